@@ -27,8 +27,8 @@ MIN_GROUP = 200
 #: metric -> (spread, floor). Metrics are integers: shares per thousand words, characters or lines.
 FENCES = {
     "symbols_pm": (6, 150),
-    "dup_lines_pm": (6, 150),
-    "repeat_pm": (6, 100),
+    "dup_lines_pm": (6, 400),
+    "repeat_pm": (6, 250),
     "word_len_pm": (8, 4000),
     "upper_pm": (6, 200),
 }

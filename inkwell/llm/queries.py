@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontam, packing, tokens, url_filter, warc
+from inkwell.llm import decontam, langid, lm, packing, quality, tokens, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op2_lm_score": lm.query,
+    "op4_language": langid.query,
     "op5_token_counts": tokens.query,
+    "op6_toxicity": toxicity.query,
     "op7_warc": warc.query,
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
