@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from inkwell.llm import common
 
 FOLDS, HELD_OUT = 10, 0
-CLASSES, DIM, NOISE, MINIBATCH, PASSES, RATE, SEED = 512, 16, 100, 1024, 4, 0.3, 3
-CHUNK_WORDS = 1_500_000
+CLASSES, DIM, NOISE, MINIBATCH, PASSES, RATE, SEED = 512, 16, 100, 1024, 3, 0.3, 3
+CHUNK_WORDS = 1_000_000
 ALPHA = 0.1
 UNK, END = 0, 1
 #: Holds a blank, so it is the hash of no word.
 END_TOKEN = common.hash64(b" end")
 PAIR = np.dtype([("row", "<i8"), ("tf", "<i4")])
+SUM = np.dtype([("row", "<i8"), ("log_c", "<f8"), ("known", "<i8")])
 BLOCKS = 64
 
 
@@ -46,15 +47,16 @@ def source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (common.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], train_only: bool = False) -> Iterator[tuple[list, list[bytes], list[bool], list[list[bytes]]]]:
-    """doc ids, texts, held-out flags and words, in chunks of about CHUNK_WORDS words."""
+def chunks(batches: Iterator[pa.RecordBatch], of, train_only: bool = False) -> Iterator[tuple[list, list[int], list[bool], list[np.ndarray]]]:
+    """doc ids, row keys, held-out flags and of(words), in chunks of about CHUNK_WORDS words."""
     out, n = ([], [], [], []), 0
     for batch in batches:
-        for doc_id, text, held in zip(batch.column(0).to_pylist(), common.utf8(batch, "text"), batch.column(2).to_pylist(), strict=True):
+        for doc_id, text, held in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            doc_id, text, held = doc_id.as_py(), text.as_py(), held.as_py()
             if train_only and held:
                 continue
-            own = common.words(text)
-            for to, x in zip(out, (doc_id, text, held, own), strict=True):
+            own = of(common.words(text))
+            for to, x in zip(out, (doc_id, 0 if train_only else row_key(doc_id, text), held, own), strict=True):
                 to.append(x)
             n += len(own) + 1
             if n >= CHUNK_WORDS:
@@ -74,9 +76,10 @@ def postings(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = common.HashMemo()
-        for ids, texts, held, words in chunks(batches):
-            sizes = np.array([len(w) + 1 for w in words])
-            h = np.concatenate([x for w in words for x in (memo.of(w), (END_TOKEN,))]).astype(np.int64)
+        end = np.array([END_TOKEN], np.int64)
+        for ids, keys, held, own in chunks(batches, memo.of):
+            sizes = np.array([len(w) + 1 for w in own])
+            h = np.concatenate([x for w in own for x in (w, end)])
             doc = np.repeat(np.arange(len(ids)), sizes)
             order = np.argsort(h, kind="stable")
             h, doc = h[order], doc[order]
@@ -84,7 +87,7 @@ def postings(docs: DataFrame) -> DataFrame:
             pair = np.flatnonzero(new_token | np.concatenate(([True], doc[1:] != doc[:-1])))
             tf = np.diff(np.append(pair, len(h)))
             pairs = np.empty(len(pair), PAIR)
-            pairs["row"] = np.array([row_key(i, t) for i, t in zip(ids, texts, strict=True)], np.int64)[doc[pair]]
+            pairs["row"] = np.array(keys, np.int64)[doc[pair]]
             pairs["tf"] = tf
             first = np.flatnonzero(new_token[pair])
             train = np.add.reduceat(tf * ~np.array(held, bool)[doc[pair]], first)
@@ -98,15 +101,33 @@ def postings(docs: DataFrame) -> DataFrame:
     return source(docs).mapInArrow(run, "token long, train long, pairs binary")
 
 
-def sums(joined: DataFrame) -> DataFrame:
-    """(row, log_c, known) summed over the pairs of (pairs, c): sum of tf * log10(c + ALPHA), and of tf where c > 0. Rows may come up repeatedly."""
+def _fold(parts: list[np.ndarray]) -> np.ndarray:
+    """One SUM record for each row."""
+    x = np.concatenate(parts)
+    keys, at = np.unique(x["row"], return_inverse=True)
+    out = np.empty(len(keys), SUM)
+    out["row"] = keys
+    for k in ("log_c", "known"):
+        out[k] = np.bincount(at, x[k], minlength=len(keys))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, logs, known, n = [], [], [], 0
 
-        def fold() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate(rows), return_inverse=True)
-            return pa.record_batch([pa.array(keys), pa.array(np.bincount(at, np.concatenate(logs))), pa.array(np.bincount(at, np.concatenate(known)).astype(np.int64))], names=["row", "log_c", "known"])
+def sums(joined: DataFrame, buckets: int) -> DataFrame:
+    """(row, rare_c, rare_known) for each row of the pairs of (pairs, c): the sums of tf * log10(c + ALPHA), and of tf where c > 0.
+
+    Tasks hand on their partial sums packed by bucket of the row, so that a document isn't a record of its own in every task.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            own = _fold(parts)
+            bucket = (common.mix64(own["row"]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            own, bucket = own[order], bucket[order]
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            return pa.record_batch([pa.array(bucket[first]), pa.array([x.tobytes() for x in np.split(own, first[1:])], pa.binary())], names=["bucket", "sums"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -115,17 +136,31 @@ def sums(joined: DataFrame) -> DataFrame:
             offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
             pairs = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(PAIR)
             c = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(offsets) // PAIR.itemsize)
-            rows.append(pairs["row"].copy())
-            logs.append(pairs["tf"] * np.log10(c + ALPHA))
-            known.append(pairs["tf"] * (c > 0))
-            n += len(pairs)
+            own = np.empty(len(pairs), SUM)
+            own["row"], own["log_c"], own["known"] = pairs["row"], pairs["tf"] * np.log10(c + ALPHA), pairs["tf"] * (c > 0)
+            parts.append(own)
+            n += len(own)
             if n > 1_000_000:
-                yield fold()
-                rows, logs, known, n = [], [], [], 0
-        if rows:
-            yield fold()
+                yield flush()
+                parts, n = [], 0
+        if parts:
+            yield flush()
 
-    return joined.select("pairs", "c").mapInArrow(run, "row long, log_c double, known long")
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            for x in batch.column(1).to_pylist():
+                parts.append(np.frombuffer(x, SUM))
+                n += len(parts[-1])
+                if n > 1_000_000:
+                    parts = [_fold(parts)]
+                    n = len(parts[0]) // 2  # a fold must at least halve what comes after it
+        if parts:
+            own = _fold(parts)
+            yield pa.record_batch([pa.array(own["row"]), pa.array(own["log_c"]), pa.array(own["known"])], names=["row", "rare_c", "rare_known"])
+
+    packed = joined.select("pairs", "c").mapInArrow(partial, "bucket long, sums binary")
+    return packed.repartition(buckets // 4, "bucket").mapInArrow(total, "row long, rare_c double, rare_known long")
 
 
 class Model:
@@ -213,17 +248,17 @@ class Classes(dict):
         c = self[word] = self.by_hash.get(common.hash64(word), UNK)
         return c
 
-    def sequences(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of the joined documents, each ended by END and begun by two END as context, and the documents' sizes without those."""
-        sizes = np.array([len(w) + 1 for w in words])
-        out = np.full(int(sizes.sum() + 2 * len(sizes)), END, np.int64)
-        at = 2
-        for own in words:
-            out[at : at + len(own)] = np.fromiter(map(self.__getitem__, own), dtype=np.int64, count=len(own))
-            at += len(own) + 3
+    def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > 400_000:
             self.clear()
-        return out, sizes
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int16, count=len(words))
+
+    @staticmethod
+    def sequences(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The joined documents, each ended by END and begun by two END as context, and the documents' sizes without those."""
+        sizes = np.array([len(w) + 1 for w in docs])
+        begin, end = np.full(2, END, np.int16), np.full(1, END, np.int16)
+        return np.concatenate([x for own in docs for x in (begin, own, end)]).astype(np.int64), sizes
 
 
 def contexts(seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,8 +278,8 @@ def train_model(docs: DataFrame, by_hash: dict[int, int], counts: np.ndarray) ->
         classes, model = Classes(by_hash), Model(counts)
 
         def trigrams() -> Iterator[np.ndarray]:
-            for *_, words in chunks(batches, train_only=True):
-                w2, w1, w = contexts(*classes.sequences(words))
+            for *_, own in chunks(batches, classes.of, train_only=True):
+                w2, w1, w = contexts(*classes.sequences(own))
                 yield (w2 * len(counts) + w1) * len(counts) + w
 
         tokens = model.train(trigrams())
@@ -290,14 +325,15 @@ def score(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     # the tokens with a class of their own need no join
     own = docs.sparkSession.createDataFrame([(t,) for t in [END_TOKEN, *by_hash]], "token long")
     rare = posted.join(F.broadcast(own), "token", "left_anti").select("token", "pairs")
-    rare = sums(rare.join(counted, "token", "left").withColumn("c", F.coalesce("c", F.lit(0))))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rare = sums(rare.join(counted, "token", "left").withColumn("c", F.coalesce("c", F.lit(0))), buckets)
     shared = sc.broadcast((by_hash, np.log10(listed + ALPHA), model.prepare(), bool(ended)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_hash, log_c, tables, has_end = shared.value
         known = Classes(by_hash)
-        for ids, texts, held, words in chunks(batches):
-            seq, sizes = known.sequences(words)
+        for ids, keys, held, own in chunks(batches, known.of):
+            seq, sizes = known.sequences(own)
             w2, w1, w = contexts(seq, sizes)
             first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             log_p = np.empty(len(w))
@@ -308,13 +344,12 @@ def score(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
             unk = of((w == UNK).astype(np.int64))
             seen = sizes - unk - (0 if has_end else 1)
             yield pa.record_batch([
-                pa.array([row_key(i, t) for i, t in zip(ids, texts, strict=True)], pa.int64()), pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes), pa.array(unk), pa.array(seen),
+                pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes), pa.array(unk), pa.array(seen),
                 pa.array(of(np.where(w == UNK, 0.0, log_c[w]))), pa.array(of(log_p) / np.log(10)),
             ], names=["row", "doc_id", "held_out", "n_tokens", "n_unk", "known", "log_c", "log_p"])
 
     rows = source(docs).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_unk long, known long, log_c double, log_p double")
     absent = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    rare = rare.groupBy("row").agg(F.sum("log_c").alias("rare_c"), F.sum("known").alias("rare_known"))
     rare = rare.select("row", absent("doc_id", "long"), absent("held_out", "boolean"), absent("n_tokens", "long"), absent("n_unk", "long"), absent("known", "long"), absent("log_c", "double"), absent("log_p", "double"), "rare_c", "rare_known")
     rows = rows.select("*", absent("rare_c", "double"), absent("rare_known", "long"))
     met = rows.union(rare).groupBy("row").agg(F.count("n_tokens").alias("copies"), *(F.max(c).alias(c) for c in rows.columns[1:]))
