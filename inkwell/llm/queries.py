@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontam, langid, lm, packing, quality, tokens, toxicity, url_filter, warc
+from inkwell.llm import decontam, jaccard, langid, lm, packing, quality, tokens, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_lm_score": lm.query,
+    "op3_jaccard": jaccard.query,
     "op4_language": langid.query,
     "op5_token_counts": tokens.query,
     "op6_toxicity": toxicity.query,
