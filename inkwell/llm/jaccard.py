@@ -14,8 +14,9 @@ segments of that size are expected to cause among all documents; so the segments
 
 Groups of equal keys are sorted and streamed; in each, the first set is the hub and only pairs with the hub are verified. Pairs
 of sets that the links found so far already join aren't needed for components. Groups that still hold more than one
-component get more hubs in rounds (8, 64, ... of them) until all are used, so no link is missed and no group is
-expanded into all its pairs as long as its members are linked. Copies of a set are one node. Verification compares the
+component get more hubs in rounds (64, 4096, ... of them) until all are used, so no link is missed. Every set has a bitmap
+with the parity of its elements' hashes: sets that differ in d elements have bitmaps that differ in at most d bits, so the
+joins only let pass pairs whose bitmaps allow a link, and a group of near copies below the threshold isn't expanded. Copies of a set are one node. Verification compares the
 whole sets, which are made again from the texts of the candidates only.
 
 Shingles, sets and keys are 64-bit hashes: two of n distinct sets share one with probability n^2 / 2^65.
@@ -41,6 +42,8 @@ from inkwell.llm import common, graph
 SHINGLE, PERCENT = 5, 80
 #: Cost model: the chance that two sets share a given shingle by accident, and the cost of a wrong candidate in index entries.
 SHARED, WRONG = 0.02, 0.1
+BITS, GROWTH = 512, 64
+BITMAP = [f"b{i}" for i in range(BITS // 64)]
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1000003) for k in range(64)]
 
 
@@ -155,14 +158,27 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
             memo.trim()
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity of the elements in each of BITS places, as signed longs."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def possible(percent: int):
+    """Condition on two rows (n, bits...) and (n_a, bits..._a): sizes and bitmaps allow a link."""
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_a"))) for b in BITMAP[1:]), F.bit_count(F.col(BITMAP[0]).bitwiseXOR(F.col(f"{BITMAP[0]}_a"))))
+    sizes = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+    return sizes & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_a")))
+
+
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node): node is the hash of the set, null for the empty one."""
+    """(doc_id, n_shingles, node, bitmap...): node is the hash of the set, null for the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, k):
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.array(x) for x in np.array([bitmap(s) for s in sets]).T.copy())], names=["doc_id", "n_shingles", "node", *BITMAP])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
 def entries(docs: DataFrame, k: int, percent: int, documents: int) -> DataFrame:
@@ -224,15 +240,14 @@ def collisions(sorted_entries: DataFrame) -> DataFrame:
     return sorted_entries.mapInArrow(run, "key long, node long, rank long, hub long")
 
 
-def sets_of(docs: DataFrame, described: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, set) for the given nodes, from the text of one document each."""
-    chosen = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+def sets_of(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(node, set) of the candidates, from the text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, k):
             yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    return docs.join(chosen, "doc_id", "left_semi").mapInArrow(run, "node long, set binary")
+    return docs.join(candidates.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, set binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -259,8 +274,13 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     dealt = entries(docs, k, percent, described.count()).repartition(partitions, F.shiftright("key", 1)).sortWithinPartitions("key", "node")
     shared = common.materialize(collisions(dealt), "jaccard-collisions")
     nodes = shared.select("node").union(shared.select("hub")).distinct()
-    sets = common.materialize(sets_of(docs, described, nodes, k), "jaccard-candidates")
-    links = common.materialize(verify(pairs_of(shared.select(F.col("hub").alias("a"), F.col("node").alias("b"))), sets, percent), "jaccard-links")
+    candidates = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(b).alias(b) for b in BITMAP))
+    candidates = common.materialize(candidates, "jaccard-candidates")
+    sets = common.materialize(sets_of(docs, candidates, k), "jaccard-texts")
+    known = candidates.drop("doc_id")
+    first = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = first.join(known.withColumnRenamed("node", "b"), "b").join(known.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", *BITMAP))), "a")
+    links = common.materialize(verify(pairs_of(first.filter(possible(percent))), sets, percent), "jaccard-links")
     roots = common.materialize(graph.components(links), "jaccard-roots")
     used = 1
     while True:
@@ -268,14 +288,16 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
         members = shared.select("key", "node", "rank").union(shared.groupBy("key").agg(F.min("hub").alias("node")).select("key", "node", F.lit(0).cast("long")))
         members = members.join(roots, "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
         open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("most")).filter(f"x <> y and most >= {used}").select("key")
-        members = common.materialize(members.join(open_keys, "key", "left_semi"), "jaccard-open")
+        members = common.materialize(members.join(open_keys, "key", "left_semi").join(known, "node"), "jaccard-open")
         if members.isEmpty():
             break
-        hubs = members.filter(F.col("rank").between(used, 8 * used - 1)).select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        more = pairs_of(hubs.join(members.select("key", F.col("node").alias("b"), "root"), "key").filter("root <> root_a").select("a", "b"))
-        links = links.union(common.materialize(verify(more, sets, percent), "jaccard-links"))
-        roots = common.materialize(graph.components(links), "jaccard-roots")
-        used *= 8
+        hubs = members.filter(F.col("rank").between(used, GROWTH * used - 1)).select("key", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("root", "n", *BITMAP)))
+        more = hubs.join(members.withColumnRenamed("node", "b"), (hubs["key"] == members["key"]) & (F.col("root") != F.col("root_a")) & possible(percent)).select("a", "b")
+        more = common.materialize(verify(pairs_of(more), sets, percent), "jaccard-links")
+        used *= GROWTH
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = common.materialize(graph.components(links), "jaccard-roots")
     first = described.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     first = common.materialize(first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "jaccard-first")
     smallest = common.materialize(first.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-components")

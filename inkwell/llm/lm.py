@@ -33,7 +33,7 @@ from inkwell.llm import common
 
 FOLDS, HELD_OUT = 10, 0
 CLASSES, DIM, NOISE, MINIBATCH, PASSES, RATE, SEED = 512, 16, 100, 1024, 3, 0.3, 3
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 2_000_000
 ALPHA = 0.1
 UNK, END = 0, 1
 #: Holds a blank, so it is the hash of no word.

@@ -39,21 +39,21 @@ STEP = 16
 def metrics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the base columns and the adaptive rules' integer metrics. Each step is a projection of its own, which reads the arrays of the last one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("t"))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), text.alias("t"))
     squeezed = F.trim(F.regexp_replace("t", r"[\x20\x09-\x0D]+", " "))
     df = df.select(
-        "doc_id", "lang", "source", squeezed.alias("s"),
+        "doc_id", "lang", "source", "text_hash", squeezed.alias("s"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0).alias("lines"),
         (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
     )
     df = df.select(
-        "doc_id", "lang", "source", "n_symbols", "n_upper", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", "lang", "source", "text_hash", "n_symbols", "n_upper", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length(F.translate("s", " ", "")).cast("long").alias("word_chars"),
         F.when(F.length("s") > 0, F.split("s", " ")).otherwise(F.array().cast("array<string>")).alias("w"),
     )
-    plain = ["doc_id", "lang", "source", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "word_chars"]
+    plain = ["doc_id", "lang", "source", "text_hash", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "word_chars"]
     df = df.select(*plain, F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     windows = F.transform(F.sequence(F.lit(1), F.size("h") - F.lit(WINDOW - 1)), lambda i: F.xxhash64(F.slice("h", i, WINDOW)))
     df = df.select(*plain, "n_words", F.when(F.col("n_words") > WINDOW, windows).alias("v"))
@@ -66,7 +66,7 @@ def metrics(docs: DataFrame) -> DataFrame:
     df = df.select(*plain, "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     per = lambda a, b: F.coalesce(F.expr(f"{a} * 1000 div nullif({b}, 0)"), F.lit(0))
     return df.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))).alias("base_failed"),
         per("n_symbols", "n_words").alias("symbols_pm"), per("n_dup_lines", "n_lines").alias("dup_lines_pm"), per("n_repeat_words", "n_words").alias("repeat_pm"),
         per("word_chars", "n_words").alias("word_len_pm"), per("n_upper", "word_chars").alias("upper_pm"),
