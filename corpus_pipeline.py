@@ -20,13 +20,13 @@ ORACLE_SQL = None
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (doc_id), null included."""
-    ids = ids.select(F.col("doc_id").alias("kept_id"))
+    """The rows of docs whose doc_id is among ids (doc_id), null included. Both sides grow with the corpus: a merge join at every size."""
+    ids = ids.select(F.col("doc_id").alias("kept_id")).hint("merge")
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    judged = quality.judge(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).hint("merge")
     return docs.join(judged, docs["doc_id"].eqNullSafe(judged["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == judged["kept_hash"]), "left_semi")
 
 

@@ -43,6 +43,7 @@ SHINGLE, PERCENT = 5, 80
 #: Cost model: the chance that two sets share a given shingle by accident, and the cost of a wrong candidate in index entries.
 SHARED, WRONG = 0.02, 0.1
 BITS, GROWTH = 512, 64
+SLOTS, PAGE = 1 << 26, 32768
 BITMAP = [f"b{i}" for i in range(BITS // 64)]
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1000003) for k in range(64)]
 
@@ -241,13 +242,30 @@ def collisions(sorted_entries: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(node, set) of the candidates, from the text of one document each."""
+    """(node, set) of the candidates, from the text of one document each, and of the few documents that share a slot with one.
+
+    A bitmap of SLOTS slots of doc_id (8 MB whatever the input) keeps other texts from being read into sets; a crowded
+    bitmap would only let more of them pass.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    rows = candidates.select(slot.alias("s")).groupBy(F.expr(f"s div {PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.col("s") % PAGE).alias("bits")).collect()  # at most SLOTS / PAGE rows
+    shared = docs.sparkSession.sparkContext.broadcast({r["page"]: bytes(r["bits"]) for r in rows})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, k):
+        bits = np.zeros(SLOTS // 8, np.uint8)
+        for page, x in shared.value.items():
+            bits[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(x, np.uint8)
+
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(1).to_numpy()
+                yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+        for _, sets in _sets(wanted(), k):
+            sets = [s for s in sets if len(s)]
             yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    return docs.join(candidates.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, set binary")
+    return docs.select("doc_id", slot.alias("slot"), "text").mapInArrow(run, "node long, set binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
