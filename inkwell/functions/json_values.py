@@ -11,6 +11,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from inkwell.functions import text
 
@@ -52,7 +53,7 @@ def contains(wanted, given) -> bool:
     return text.plain_normalize(str(wanted)) == text.plain_normalize(str(given))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def json_contains(wanted: pd.Series, given: pd.Series) -> pd.Series:
     """Null where wanted is null or an empty object."""
     def one(w, g):
@@ -62,7 +63,7 @@ def json_contains(wanted: pd.Series, given: pd.Series) -> pd.Series:
     return pd.Series([one(w, g) for w, g in zip(wanted, given, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(values: pd.Series) -> pd.Series:
     """Keys sorted, no blanks, UTF-8 kept; 1 and 1.0 stay different. Text that is no JSON gives null."""
     def one(v):
@@ -89,7 +90,7 @@ def summary_object(c: Column) -> Column:
     return F.when(bare == "", "{}").when(bare.startswith("{") & F.try_parse_json(bare).isNotNull(), bare).otherwise(wrapped)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_uuid(values: pd.Series) -> pd.Series:
     """uuid5 in the namespace of URLs."""
     return values.map(lambda v: str(uuid.uuid5(uuid.NAMESPACE_URL, v)) if isinstance(v, str) else None)

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: what Python calls white space, as a character class for Spark's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -34,7 +35,7 @@ def plain_normalize(value: str | None) -> str:
     return _PY_SPACE.sub(" ", unicodedata.normalize("NFKC", value)).strip().casefold() if value else ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(values: pd.Series) -> pd.Series:
     """plain_normalize of each value; null gives the empty text."""
     return values.map(lambda v: plain_normalize(v) if isinstance(v, str) else "")
@@ -46,7 +47,7 @@ def plain_fact_key(value: str) -> str:
     return ".".join(part.strip().replace(" ", "_") for part in whole.split("."))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fact_key(values: pd.Series) -> pd.Series:
     return values.map(lambda v: plain_fact_key(v) if isinstance(v, str) else None)
 

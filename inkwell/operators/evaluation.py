@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from inkwell.functions import json_values as J
 from inkwell.functions import text as T
@@ -28,7 +29,7 @@ RATIOS = {
 }
 
 
-@F.pandas_udf("struct<status:string,type_matched:boolean,structured:boolean>")
+@F.pandas_udf(StructType([StructField("status", StringType()), StructField("type_matched", BooleanType()), StructField("structured", BooleanType())]))
 def compare_values(gold_type: pd.Series, gold_value: pd.Series, gold_json: pd.Series, type_: pd.Series, value: pd.Series, value_json: pd.Series) -> pd.DataFrame:
     """MATCH, MISMATCH or SEMANTIC_JUDGE_REQUIRED of the shown values; whether the types agree; whether the JSON holds the gold JSON (null without one)."""
     import json

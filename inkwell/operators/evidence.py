@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from inkwell.functions import text as T
 
@@ -47,7 +48,7 @@ def verified(source: Column, quote: Column, start: Column, end: Column) -> Colum
 
 def excerpt(source: Column, quotes: Column, around: int = 300, most: int = 600) -> Column:
     """The source around the first quote that it holds, else its beginning."""
-    found = F.element_at(F.filter(quotes, lambda q: (F.length(q) > 0) & source.contains(q)), 1)
+    found = F.get(F.filter(quotes, lambda q: (F.length(q) > 0) & source.contains(q)), 0)
     at = F.call_function("instr", source, found) - 1
     start = F.greatest(at - around, F.lit(0))
     return F.when(at.isNotNull(), F.substring(source, start + 1, F.least(at + F.length(found) + around, F.length(source)) - start)).otherwise(F.substring(source, F.lit(1), F.lit(most)))
@@ -59,7 +60,7 @@ def same_span(left: str, right: str, ratio: float = 0.9) -> bool:
     return bool(a and b) and (a in b or b in a or SequenceMatcher(None, a, b).ratio() >= ratio)
 
 
-@F.pandas_udf("struct<quotes:int,locatable:int,gold:int,covered:int>")
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("quotes", "locatable", "gold", "covered")]))
 def evaluate(gold: pd.Series, given: pd.Series, source: pd.Series) -> pd.DataFrame:
     """Counts of the given quotes, those found in the source, the gold quotes, and those that a given quote covers."""
     rows = []

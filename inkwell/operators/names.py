@@ -86,7 +86,7 @@ def resolve(rows: DataFrame, entities: DataFrame, kind: str = "SETTING") -> Data
     pronoun = is_mention(F.col("r"))
     base = base.withColumns({"e_ids": e_ids, "r_ids": r_ids, "concrete": concrete, "pronoun": pronoun})
     of = lambda status, i=None: F.struct((F.lit(None).cast("string") if i is None else i).alias("matched_id"), F.lit(status).alias("match_status"))
-    first = lambda c: F.element_at(c, 1)
+    first = lambda c: F.get(c, 0)
     by_entity = F.when(F.size("e_ids") > 1, of("AMBIGUOUS")).when(F.size("e_ids") == 1, of("MATCHED", first("e_ids"))).otherwise(of("UNRESOLVED"))
     result = (
         F.when(~F.col("concrete"), of("AMBIGUOUS"))

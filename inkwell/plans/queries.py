@@ -1,6 +1,284 @@
-"""Registered queries of the engine's own operators, each with the SQL that must give the same rows."""
+"""Registered queries of the engine's own operators, each with the SQL that must give the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from inkwell.functions import json_values as J
+from inkwell.functions import text as T
+from inkwell.operators import chunking, dedup, evaluation, evidence, metering, names, vector
+
+#: Fixed query vector of 64 numbers.
+Q = [((k * 37 % 64) - 32) / 32 for k in range(64)]
+_Q = "[" + ", ".join(str(x) for x in Q) + "]::DOUBLE[]"
+
+
+def _t(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _chunks(spark, sf):
+    """embeddings with the columns that chunks have: work, episode, model and version follow from vec_id."""
+    return _t(spark, sf, "embeddings").select("vec_id", F.col("label").alias("work_id"), (F.col("vec_id") % 50).alias("episode_no"), F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"), F.when(F.col("vec_id") % 11 == 0, "v0").otherwise("v1").alias("version"))
+
+
+def vector_topk(spark, sf):
+    out = vector.top_k(_t(spark, sf, "embeddings"), Q, 10)
+    return out.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def vector_topk_filtered(spark, sf):
+    rows = _chunks(spark, sf)
+    out = vector.top_k(rows, Q, 20, where=(F.col("work_id") < 6) & (F.col("version") == "v1"), episode_range=(5, 40), exclude=rows.filter("vec_id % 13 = 0"))
+    return out.select("vec_id", "episode_no", F.round("similarity", 6).alias("similarity"))
+
+
+def paragraph_split(spark, sf):
+    return chunking.split_paragraphs(_t(spark, sf, "documents").select("doc_id", "text"))
+
+
+def long_paragraph_split(spark, sf):
+    rows = chunking.split_long(chunking.split_paragraphs(_t(spark, sf, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", "paragraph_index", "start_offset", "end_offset", "paragraph_text")
+
+
+def chunk_pack(spark, sf):
+    return chunking.chunks(_t(spark, sf, "documents").select("doc_id", "text")).drop("chunk_id")
+
+
+def adjacent_context(spark, sf):
+    return chunking.with_context(_t(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "previous_text", "text", "next_text")
+
+
+def _quotes(spark, sf):
+    """Each document with its third line as a quote, and a quote from another document."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return docs.withColumn("quote", F.get(F.split("text", "\n"), 2))
+
+
+def evidence_locate(spark, sf):
+    at = evidence.locate(F.col("text"), F.col("quote"))
+    return _quotes(spark, sf).select("doc_id", at["start"].alias("start_offset"), at["end"].alias("end_offset"), evidence.verified(F.col("text"), F.col("quote"), at["start"], at["end"]).alias("verified"))
+
+
+def evidence_locate_ws(spark, sf):
+    rows = _quotes(spark, sf).withColumn("quote", F.regexp_replace("quote", " ", "\n\t"))
+    at = evidence.locate_spaced(F.col("text"), F.col("quote"))
+    return rows.select("doc_id", at["start"].alias("start_offset"), at["end"].alias("end_offset"))
+
+
+def source_excerpt(spark, sf):
+    return _quotes(spark, sf).select("doc_id", evidence.excerpt(F.col("text"), F.array("quote")).alias("excerpt"))
+
+
+def name_exact(spark, sf):
+    known = names.known(_t(spark, sf, "nation"), "n_nationkey", "n_name")
+    rows = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("row_id"), names.normalize(F.concat(F.lit(" «").substr(1, 1), F.lower("n_name"), F.lit(" "))).alias("n"))
+    return rows.join(known, rows["n"] == known["known_name"]).select("row_id", "known_id")
+
+
+def _mentions(spark, sf):
+    """Parts as mentions of the distinct part names that are two words long at most."""
+    part = _t(spark, sf, "part")
+    known = names.known(part.groupBy("p_name").agg(F.min("p_partkey").alias("id")).filter("id % 3 = 0"), "id", "p_name")
+    rows = part.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("entity_name"), F.element_at(F.split("p_name", " "), 1).alias("raw_mention"))
+    return rows, known
+
+
+def name_containment(spark, sf):
+    rows, known = _mentions(spark, sf)
+    met = names._contained(rows.withColumn("n0", names.normalize(F.col("raw_mention"))), "n0", known, "ids")
+    return met.select("row_id", F.array_join("ids", ",").alias("ids"))
+
+
+def name_resolution(spark, sf):
+    rows, known = _mentions(spark, sf)
+    return names.resolve(rows, known)
+
+
+def schema_key_canonical(spark, sf):
+    schemas = spark.createDataFrame([("person.age", ["years", "나이"]), ("person.height", ["size"]), ("item.weight", ["size", "mass"])], "schema_key string, aliases array<string>")
+    keys = F.array(*(F.lit(x) for x in ("person.age", "years", "person.years", "size", "item.size", "mass", " person.age ", "other.key")))
+    rows = _t(spark, sf, "nation").select("n_nationkey", F.element_at(keys, (F.col("n_nationkey") % 8 + 1).cast("int")).alias("attribute_name"))
+    return names.canonical_keys(rows, schemas).select("n_nationkey", "canonical_key")
+
+
+def _discoveries(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.lower(F.element_at(F.split("text", " "), 1)).alias("name"), F.when(F.col("turn") % 3 == 0, "MATCHED").otherwise("UNRESOLVED").alias("match_status"))
+
+
+def discovery_dedup(spark, sf):
+    return dedup.first_discoveries(_discoveries(spark, sf), ["conv_id"], "name")
+
+
+def _settings(spark, sf):
+    return _t(spark, sf, "events").select(F.col("event_id").alias("ordinal"), (F.col("user_id") % 10).alias("job"), F.when(F.col("event_id") % 17 != 0, F.concat_ws("|", "event_type", (F.col("user_id") % 50).cast("string"))).alias("key"), F.when(F.col("event_id") % 5 != 0, F.round("value", 1)).alias("confidence"))
+
+
+def setting_dedup(spark, sf):
+    return dedup.best_settings(_settings(spark, sf), ["job"], "key")
+
+
+def duplicate_rows(spark, sf):
+    return dedup.repeated(_settings(spark, sf), ["job"], "key")
+
+
+def gold_ids(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("ordinal"), (F.col("doc_id") % 10).alias("episode_no"), "lang", "source")
+    return dedup.occurrence_ids(rows, "episode_no", F.lower("lang"), F.col("source")).select("doc_id", "gold_id")
+
+
+def _counts(spark, sf):
+    """Labels as gold decisions against a rule; episodes are the sources."""
+    d, l = _t(spark, sf, "documents").select("doc_id", "source", "n_chars"), _t(spark, sf, "labels")
+    rows = d.join(l, "doc_id").withColumn("predicted", F.col("n_chars") > 400)
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0))
+    good, w = F.col("quality") == 1, F.when(F.col("doc_id") % 3 == 0, 3).when(F.col("doc_id") % 3 == 1, 2).otherwise(1)
+    total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
+    own = {"goldExtract": n(good), "predictions": n(F.col("predicted")), "predictionTotal": F.count(F.lit(1)), "detectionMatches": n(good & F.col("predicted")), "factCorrect": n(good & F.col("predicted") & (F.col("toxic") == 0)), "goldDoNotExtractScored": n(~good), "hardNegativeViolations": n(~good & F.col("predicted")), "weightedGold": total(good), "weightedDetectionMatches": total(good & F.col("predicted")), "weightedFactCorrect": total(good & F.col("predicted") & (F.col("toxic") == 0))}
+    return rows.groupBy("source").agg(*(e.cast("long").alias(c) for c, e in own.items()))
+
+
+def eval_counts(spark, sf):
+    by = _counts(spark, sf)
+    return by.unionByName(by.agg(*(F.sum(c).alias(c) for c in by.columns[1:])).withColumn("source", F.lit("*")))
+
+
+def eval_metrics(spark, sf):
+    out = evaluation.metrics(eval_counts(spark, sf))
+    return out.select("source", "detectionPrecision", "detectionRecall", "detectionF1", "factPrecision", "factRecall", "factF1", "weightedDetectionRecall", "weightedFactRecall", "hardNegativeViolationRate")
+
+
+def _pairs(spark, sf):
+    """Gold and predicted rows of an episode that share a key."""
+    p = _t(spark, sf, "part")
+    gold = p.filter("p_partkey % 2 = 0").select((F.col("p_partkey") % 40).alias("episode_no"), F.col("p_partkey").alias("ordinal"), F.element_at(F.split("p_name", " "), 1).alias("name"), F.col("p_brand").alias("fact_key"), F.array(F.col("p_type")).alias("accepted_keys"))
+    pred = p.filter("p_partkey % 2 = 1").select(((F.col("p_partkey") + 1) % 40).alias("episode_no"), F.col("p_partkey").alias("ordinal"), F.element_at(F.split("p_name", " "), 1).alias("name"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("key"))
+    return gold, pred, evaluation.identity_pairs(gold, pred)
+
+
+def identity_join(spark, sf):
+    return _pairs(spark, sf)[2]
+
+
+def assignment(spark, sf):
+    return evaluation.assign(_pairs(spark, sf)[2])
+
+
+def unmatched_gold(spark, sf):
+    gold, _, pairs = _pairs(spark, sf)
+    return gold.select("episode_no", "ordinal").join(pairs.select("episode_no", F.col("gold_ordinal").alias("ordinal")), ["episode_no", "ordinal"], "left_anti")
+
+
+def review_exclusion(spark, sf):
+    _, pred, pairs = _pairs(spark, sf)
+    pred = pred.select("episode_no", F.col("ordinal").alias("pred_ordinal"))
+    return evaluation.without_review(pred, pairs.filter("weight = 1000"), pairs.filter("weight = 900"))[0]
+
+
+def episode_alignment(spark, sf):
+    gold, pred, _ = _pairs(spark, sf)
+    return evaluation.align(gold.filter("episode_no < 30"), pred.filter("episode_no > 5"))
+
+
+def token_bounds(spark, sf):
+    d = _t(spark, sf, "documents")
+    return d.select("doc_id", metering.bound_from_bytes(F.col("text"), 4096).alias("byte_bound"), metering.bound_from_tokens(F.col("n_chars"), 4096).alias("token_bound"))
+
+
+def embedding_bounds(spark, sf):
+    return metering.embedding_bound(_t(spark, sf, "documents"), ["source"], "text")
+
+
+def ledger_report(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("event_type").alias("purpose"), (F.col("user_id") % 3).alias("model"), (F.col("event_id") % 1000 + 100).alias("input"), F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 50).otherwise(0).alias("cached"), (F.col("event_id") % 2000 + 500).alias("reserved"))
+    return metering.report(e, ["purpose", "model"])
+
+
+def number_parse(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", T.parse_decimal(F.concat(F.lit("Lv."), F.col("p_size").cast("string"), F.lit(" (New +1)"))).cast("double").alias("number"))
+
+
+def boolean_parse(spark, sf):
+    words = F.array(*(F.lit(x) for x in (" Yes", "no", "참", "거짓", "TRUE", "0", "maybe")))
+    return _t(spark, sf, "events").select("event_id", T.parse_boolean(F.element_at(words, (F.col("event_id") % 7 + 1).cast("int"))).alias("flag"))
+
+
+def content_hash(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", T.content_version(F.col("text"), "notion-").alias("version"))
+
+
+def canonical_props(spark, sf):
+    return _t(spark, sf, "events").select("event_id", J.canonical_json(F.col("props")).alias("props"))
+
+
+def fact_keys(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", T.fact_key(F.concat_ws(".", "p_type", "p_name")).alias("key"))
+
+
+_LINES = r"""
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL"""
+_PARAGRAPHS = f"""
+WITH l AS ({_LINES}),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS paragraph_index, line AS paragraph_text, s::INT AS start_offset, (s + length(line))::INT AS end_offset
+      FROM o WHERE NOT regexp_matches(line, '^\\s*$'))""".replace("\\\\", "\\")
+_CH = "(SELECT vec_id, label AS work_id, vec_id % 50 AS episode_no, CASE WHEN vec_id % 7 <> 0 THEN embedding END AS embedding, CASE WHEN vec_id % 11 = 0 THEN 'v0' ELSE 'v1' END AS version FROM embeddings)"
+_SET = "(SELECT event_id AS ordinal, user_id % 10 AS job, CASE WHEN event_id % 17 <> 0 THEN event_type || '|' || (user_id % 50) END AS key, CASE WHEN event_id % 5 <> 0 THEN round(value, 1) END AS confidence FROM events)"
+_KNOWN = "(SELECT id AS known_id, lower(p_name) AS known_name FROM (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1) WHERE id % 3 = 0)"
+_G = "(SELECT p_partkey % 40 AS episode_no, p_partkey AS ordinal, split_part(p_name, ' ', 1) AS name, p_brand AS fact_key, p_type AS alias FROM part WHERE p_partkey % 2 = 0)"
+_P = "(SELECT (p_partkey + 1) % 40 AS episode_no, p_partkey AS ordinal, split_part(p_name, ' ', 1) AS name, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS key FROM part WHERE p_partkey % 2 = 1)"
+_PAIRS = f"(SELECT g.episode_no, g.ordinal AS gold_ordinal, p.ordinal AS pred_ordinal, CASE WHEN p.key = g.fact_key THEN 1000 ELSE 900 END AS weight FROM {_G} g JOIN {_P} p ON g.episode_no = p.episode_no AND g.name = p.name AND p.key IN (g.fact_key, g.alias))"
+_W = "CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END"
+_COUNTS = f"""
+SELECT coalesce(source, '*') AS source, count(*) FILTER (quality = 1) AS "goldExtract", count(*) FILTER (n_chars > 400) AS "predictions", count(*) AS "predictionTotal",
+  count(*) FILTER (quality = 1 AND n_chars > 400) AS "detectionMatches", count(*) FILTER (quality = 1 AND n_chars > 400 AND toxic = 0) AS "factCorrect", count(*) FILTER (quality <> 1) AS "goldDoNotExtractScored",
+  count(*) FILTER (quality <> 1 AND n_chars > 400) AS "hardNegativeViolations", coalesce(sum({_W}) FILTER (quality = 1), 0)::BIGINT AS "weightedGold",
+  coalesce(sum({_W}) FILTER (quality = 1 AND n_chars > 400), 0)::BIGINT AS "weightedDetectionMatches", coalesce(sum({_W}) FILTER (quality = 1 AND n_chars > 400 AND toxic = 0), 0)::BIGINT AS "weightedFactCorrect"
+FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source)"""
+
+
+def _r(a, b):
+    return f'round_even("{a}"::DOUBLE / nullif("{b}", 0), 6)'
+
+
+def _f(p, r):
+    return f"CASE WHEN {p} + {r} = 0 THEN 0.0 ELSE round_even(2 * {p} * {r} / ({p} + {r}), 6) END"
+
+
+QUERIES = {f.__name__: f for f in (
+    vector_topk, vector_topk_filtered, paragraph_split, long_paragraph_split, chunk_pack, adjacent_context, evidence_locate, evidence_locate_ws, source_excerpt, name_exact, name_containment,
+    name_resolution, schema_key_canonical, discovery_dedup, setting_dedup, duplicate_rows, gold_ids, eval_counts, eval_metrics, identity_join, assignment, unmatched_gold, review_exclusion,
+    episode_alignment, token_bounds, embedding_bounds, ledger_report, number_parse, boolean_parse, content_hash, canonical_props, fact_keys,
+)}
+
+ORACLES: dict[str, str] = {
+    "vector_topk": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS similarity FROM embeddings ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], {_Q}), vec_id LIMIT 10",
+    "vector_topk_filtered": f"SELECT vec_id, episode_no, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS similarity FROM {_CH} WHERE embedding IS NOT NULL AND work_id < 6 AND version = 'v1' AND episode_no BETWEEN 5 AND 40 AND vec_id % 13 <> 0 ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], {_Q}), vec_id LIMIT 20",
+    "paragraph_split": _PARAGRAPHS + "SELECT * FROM p",
+    "long_paragraph_split": _PARAGRAPHS + "SELECT doc_id, paragraph_index, (start_offset + a)::INT AS start_offset, (start_offset + least(a + 3000, length(paragraph_text)))::INT AS end_offset, substring(paragraph_text, a + 1, 3000) AS paragraph_text FROM (SELECT *, unnest(generate_series(0, greatest(length(paragraph_text) - 1, 0), 3000))::INT AS a FROM p)",
+    "adjacent_context": "SELECT conv_id, turn, lag(text) OVER w AS previous_text, text, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    "evidence_locate": "WITH q AS (SELECT doc_id, text, string_split(text, chr(10))[3] AS quote FROM documents), h AS (SELECT *, CASE WHEN length(quote) > 0 AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS s FROM q) SELECT doc_id, s::INT AS start_offset, (s + length(quote))::INT AS end_offset, s IS NOT NULL AS verified FROM h",
+    "evidence_locate_ws": "WITH q AS (SELECT doc_id, text, string_split(text, chr(10))[3] AS quote FROM documents), h AS (SELECT *, CASE WHEN length(quote) > 0 AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS s FROM q) SELECT doc_id, s::INT AS start_offset, (s + length(quote))::INT AS end_offset FROM h",
+    "source_excerpt": "WITH q AS (SELECT doc_id, text, string_split(text, chr(10))[3] AS quote FROM documents), h AS (SELECT *, CASE WHEN length(quote) > 0 AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS s FROM q) SELECT doc_id, CASE WHEN s IS NULL THEN substring(text, 1, 600) ELSE substring(text, greatest(s - 300, 0) + 1, least(s + length(quote) + 300, length(text)) - greatest(s - 300, 0)) END AS excerpt FROM h",
+    "name_exact": "SELECT a.n_nationkey AS row_id, b.n_nationkey AS known_id FROM nation a JOIN nation b ON trim(lower(a.n_name)) = trim(lower(b.n_name))",
+    "name_containment": f"SELECT row_id, string_agg(known_id::VARCHAR, ',' ORDER BY known_id) AS ids FROM (SELECT DISTINCT p_partkey AS row_id, known_id FROM part JOIN {_KNOWN} ON contains(known_name, lower(split_part(p_name, ' ', 1))) OR contains(lower(split_part(p_name, ' ', 1)), known_name)) GROUP BY row_id",
+    "schema_key_canonical": "SELECT n_nationkey, (['person.age', 'person.age', 'person.age', 'size', 'item.weight', 'item.weight', 'person.age', 'other.key'])[n_nationkey % 8 + 1] AS canonical_key FROM nation",
+    "discovery_dedup": "SELECT conv_id, ordinal, name, match_status FROM (SELECT conv_id, turn AS ordinal, lower(split_part(text, ' ', 1)) AS name, 'UNRESOLVED' AS match_status, row_number() OVER (PARTITION BY conv_id, lower(split_part(text, ' ', 1)) ORDER BY turn) AS k FROM conversations WHERE turn % 3 <> 0) WHERE k = 1",
+    "setting_dedup": f"SELECT ordinal, job, key, confidence, position FROM (SELECT *, row_number() OVER (PARTITION BY job, key ORDER BY coalesce(confidence, -1) DESC, ordinal) AS k, min(ordinal) OVER (PARTITION BY job, key) AS position FROM {_SET} WHERE key IS NOT NULL) WHERE k = 1 UNION ALL SELECT ordinal, job, key, confidence, ordinal FROM {_SET} WHERE key IS NULL",
+    "duplicate_rows": f"SELECT ordinal, job, key, confidence FROM (SELECT *, row_number() OVER (PARTITION BY job, key ORDER BY ordinal) AS k FROM {_SET} WHERE key IS NOT NULL) WHERE k > 1",
+    "gold_ids": "SELECT doc_id, 'episode-' || (doc_id % 10) || ':' || lower(lang) || ':' || source || ':' || row_number() OVER (PARTITION BY doc_id % 10, lower(lang), source ORDER BY doc_id) AS gold_id FROM documents",
+    "eval_counts": _COUNTS,
+    "eval_metrics": f'WITH c AS ({_COUNTS}), m AS (SELECT source, {_r("detectionMatches", "predictions")} AS "detectionPrecision", {_r("detectionMatches", "goldExtract")} AS "detectionRecall", {_r("factCorrect", "predictions")} AS "factPrecision", {_r("factCorrect", "goldExtract")} AS "factRecall", {_r("weightedDetectionMatches", "weightedGold")} AS "weightedDetectionRecall", {_r("weightedFactCorrect", "weightedGold")} AS "weightedFactRecall", {_r("hardNegativeViolations", "goldDoNotExtractScored")} AS "hardNegativeViolationRate" FROM c) SELECT *, ' + _f('"detectionPrecision"', '"detectionRecall"') + ' AS "detectionF1", ' + _f('"factPrecision"', '"factRecall"') + ' AS "factF1" FROM m',
+    "identity_join": f"SELECT * FROM {_PAIRS}",
+    "unmatched_gold": f"SELECT episode_no, ordinal FROM {_G} g WHERE NOT EXISTS (SELECT 1 FROM {_PAIRS} p WHERE p.episode_no = g.episode_no AND p.gold_ordinal = g.ordinal)",
+    "review_exclusion": f"SELECT episode_no, ordinal AS pred_ordinal FROM {_P} p WHERE NOT EXISTS (SELECT 1 FROM {_PAIRS} x WHERE x.pred_ordinal = p.ordinal AND weight = 1000) AND EXISTS (SELECT 1 FROM {_PAIRS} x WHERE x.pred_ordinal = p.ordinal AND weight = 900)",
+    "episode_alignment": f"SELECT episode_no, coalesce(a, false) AS has_gold, coalesce(b, false) AS has_predictions FROM (SELECT DISTINCT episode_no, true AS a FROM {_G} WHERE episode_no < 30) FULL JOIN (SELECT DISTINCT episode_no, true AS b FROM {_P} WHERE episode_no > 5) USING (episode_no)",
+    "token_bounds": "SELECT doc_id, strlen(coalesce(text, '')) + 4096 + 512 AS byte_bound, ceil(n_chars::DOUBLE * 1.10::DOUBLE)::BIGINT + 256 + 4096 AS token_bound FROM documents",
+    "embedding_bounds": "SELECT source, (coalesce(sum(strlen(text)), 0) + 256)::BIGINT AS reserved_tokens FROM documents GROUP BY 1",
+    "ledger_report": "WITH e AS (SELECT event_type AS purpose, user_id % 3 AS model, event_id % 1000 + 100 AS input, CASE WHEN event_id % 4 = 0 THEN event_id % 50 ELSE 0 END AS cached, event_id % 2000 + 500 AS reserved FROM events) SELECT purpose, model, count(*) AS calls, count(*) FILTER (cached > 0) AS cache_hits, sum(input)::BIGINT AS input_tokens, sum(cached)::BIGINT AS cached_tokens, round(sum(cached)::DOUBLE / sum(input), 6) AS cached_share, round(avg(reserved), 6) AS mean_reserved, round(avg(reserved::DOUBLE / input), 6) AS mean_reserved_over_used FROM e GROUP BY 1, 2",
+    "number_parse": "SELECT p_partkey, p_size::DOUBLE AS number FROM part",
+    "boolean_parse": "SELECT event_id, ([true, false, true, false, true, false, NULL])[event_id % 7 + 1] AS flag FROM events",
+    "content_hash": "SELECT doc_id, 'notion-' || substring(sha256(text), 1, 12) AS version FROM documents",
+    "fact_keys": "SELECT p_partkey, array_to_string(list_transform(string_split(lower(trim(p_type || '.' || p_name)), '.'), x -> replace(trim(x), ' ', '_')), '.') AS key FROM part",
+}
