@@ -130,3 +130,33 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(common.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """DuckDB SQL for query(), with the same fences and bucket bounds."""
+    fold = lambda column, chars: f"length({column}) - length(translate({column}, '{chars}', ''))"
+    per = lambda a, b: f"coalesce({a} * 1000 // nullif({b}, 0), 0)"
+    spread = "CASE metric " + " ".join(f"WHEN '{m}' THEN q75 + {s} * (q75 - q50) + {f}" for m, (s, f) in FENCES.items()) + " END"
+    quantile = lambda keys: f"""
+      (SELECT {keys} metric, any_value(total) AS total, min(bucket) FILTER (cum * 4 >= total * 2) AS q50, min(bucket) FILTER (cum * 4 >= total * 3) AS q75
+       FROM (SELECT {keys} metric, bucket, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {keys} metric) AS total
+             FROM (SELECT {keys} metric, bucket, count(*) AS n FROM s GROUP BY {keys} metric, bucket)) GROUP BY {keys} metric)"""
+    return rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM g WHERE (doc_id, g) IN (SELECT (doc_id, g) FROM g GROUP BY doc_id, g HAVING count(*) > 1)) GROUP BY doc_id),
+b AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, ({fold('t', '#*$%&|<>')})::BIGINT AS n_symbols, ({fold('t', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')}) AS n_upper,
+        len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, {per('n_symbols', 'n_words')} AS symbols_pm, {per('n_dup_lines', 'n_lines')} AS dup_lines_pm,
+        {per('n_repeat_words', 'n_words')} AS repeat_pm, {per('word_chars', 'n_words')} AS word_len_pm, {per('n_upper', 'word_chars')} AS upper_pm FROM b),
+v AS (SELECT doc_id, lang, source, base_failed, unnest([{', '.join(f"'{m}'" for m in FENCES)}]) AS metric, unnest([{', '.join(f'{m}::BIGINT' for m in FENCES)}]) AS value FROM m),
+s AS (SELECT *, list_last(list_filter({bounds(1 << 26)}, lambda b: b <= value)) AS bucket FROM v WHERE NOT base_failed),
+o AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.total >= {MIN_GROUP} THEN o.q50 WHEN l.total >= {MIN_GROUP} THEN l.q50 ELSE a.q50 END AS q50, CASE WHEN o.total >= {MIN_GROUP} THEN o.q75 WHEN l.total >= {MIN_GROUP} THEN l.q75 ELSE a.q75 END AS q75
+      FROM {quantile('lang, source,')} o LEFT JOIN {quantile('lang,')} l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric LEFT JOIN {quantile('')} a ON o.metric = a.metric),
+x AS (SELECT DISTINCT v.doc_id FROM v JOIN (SELECT lang, source, metric, {spread} AS fence FROM o) f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.metric = f.metric WHERE value > fence)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM x) AS kept FROM m
+"""
+
+
+ORACLE = oracle()

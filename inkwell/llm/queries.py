@@ -17,6 +17,9 @@ QUERIES = {
     "op10_decontamination": decontam.query,
 }
 ORACLES = {
+    "op1_quality": quality.ORACLE,
+    "op3_jaccard": jaccard.ORACLE,
+    "op10_decontamination": decontam.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
 }
