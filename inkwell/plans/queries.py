@@ -280,5 +280,5 @@ ORACLES: dict[str, str] = {
     "number_parse": "SELECT p_partkey, p_size::DOUBLE AS number FROM part",
     "boolean_parse": "SELECT event_id, ([true, false, true, false, true, false, NULL])[event_id % 7 + 1] AS flag FROM events",
     "content_hash": "SELECT doc_id, 'notion-' || substring(sha256(text), 1, 12) AS version FROM documents",
-    "fact_keys": "SELECT p_partkey, array_to_string(list_transform(string_split(lower(trim(p_type || '.' || p_name)), '.'), x -> replace(trim(x), ' ', '_')), '.') AS key FROM part",
+    "fact_keys": "SELECT p_partkey, array_to_string(list_transform(string_split(lower(trim(p_type || '.' || p_name)), '.'), lambda x: replace(trim(x), ' ', '_')), '.') AS key FROM part",
 }
