@@ -21,19 +21,19 @@ ORACLE_SQL = None
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids (doc_id), null included. Both sides grow with the corpus: a merge join at every size."""
-    ids = ids.select(F.col("doc_id").alias("kept_id")).hint("merge")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    ids = ids.select(F.col("doc_id").alias("_ink_id")).hint("merge")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_ink_id"]), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).hint("merge")
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == judged["kept_hash"]), "left_semi")
+    judged = quality.judge(docs).filter("kept").select(F.col("doc_id").alias("_ink_id"), F.col("text_hash").alias("_ink_hash")).hint("merge")
+    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["_ink_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == judged["_ink_hash"]), "left_semi")
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, common.read(spark, sf_dir, "labels"))
-    scored = toxicity.scored(docs, model, "toxicity_score")
-    return scored.filter(~toxicity.rejected(model, F.col("toxicity_score"), F.col("lang"))).select(*docs.columns)
+    scored = toxicity.scored(docs, model, "_ink_score")
+    return scored.filter(~toxicity.rejected(model, F.col("_ink_score"), F.col("lang"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
