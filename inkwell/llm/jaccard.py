@@ -292,7 +292,10 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     dealt = entries(docs, k, percent, described.count()).repartition(partitions, F.shiftright("key", 1)).sortWithinPartitions("key", "node")
     shared = common.materialize(collisions(dealt), "jaccard-collisions")
     nodes = shared.select("node").union(shared.select("hub")).distinct()
-    candidates = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(b).alias(b) for b in BITMAP))
+    # copies are one row of each task before they meet
+    unique = described.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(b).alias(b) for b in BITMAP))
+    unique = common.materialize(unique, "jaccard-unique")
+    candidates = unique.join(nodes, "node", "left_semi")
     candidates = common.materialize(candidates, "jaccard-candidates")
     sets = common.materialize(sets_of(docs, candidates, k), "jaccard-texts")
     known = candidates.drop("doc_id")
@@ -316,7 +319,7 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
         if not more.isEmpty():
             links = links.union(more)
             roots = common.materialize(graph.components(links), "jaccard-roots")
-    first = described.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
+    first = unique.select("node", F.col("doc_id").alias("first"))
     first = common.materialize(first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "jaccard-first")
     smallest = common.materialize(first.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-components")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
