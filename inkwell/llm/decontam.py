@@ -75,7 +75,7 @@ def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             yield block(ids, lengths, hashes)
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return source.mapInArrow(run, "ids array<long>, lengths binary, terms binary, starts binary, positions binary")
+    return source.mapInArrow(common.tidied(run), "ids array<long>, lengths binary, terms binary, starts binary, positions binary")
 
 
 class Block:
@@ -156,7 +156,7 @@ def term_counts(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
                     total += np.where(have[at] == wanted, np.diff(np.append(first, n // 4))[at], 0)
         yield pa.record_batch([pa.array(wanted), pa.array(total)], names=["term", "n"])
 
-    rows = index.select("terms", "starts", F.length("positions").cast("long").alias("n")).mapInArrow(run, "term long, n long")
+    rows = index.select("terms", "starts", F.length("positions").cast("long").alias("n")).mapInArrow(common.tidied(run), "term long, n long")
     return {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row for each test term
 
 
@@ -204,7 +204,7 @@ def match(index: DataFrame, items: list[tuple[object, bytes | None]], size: int
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]), pa.array((hit > 0) & (20 * hit >= b.lengths)), pa.array(listed, pa.list_(pa.string())),
                 ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    return index.mapInArrow(common.tidied(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
 def benchmark_items(benchmark: DataFrame, most: int = 1_000_000) -> list[tuple[object, bytes | None]]:
@@ -228,7 +228,7 @@ def proximity(index: DataFrame, phrase: str, slop: int) -> DataFrame:
                 docs = [int(b.doc_of(a)) for a, _ in spans]
                 yield pa.record_batch([pa.array([b.ids[d] for d in docs], pa.int64()), pa.array([a - int(b.first[d]) for (a, _), d in zip(spans, docs, strict=True)], pa.int64()), pa.array([z - int(b.first[d]) for (_, z), d in zip(spans, docs, strict=True)], pa.int64())], names=["doc_id", "start", "end"])
 
-    return index.mapInArrow(run, "doc_id long, start long, end long")
+    return index.mapInArrow(common.tidied(run), "doc_id long, start long, end long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

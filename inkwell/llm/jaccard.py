@@ -179,7 +179,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         for batch, sets in _sets(batches, k):
             yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.array(x) for x in np.array([bitmap(s) for s in sets]).T.copy())], names=["doc_id", "n_shingles", "node", *BITMAP])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, " + ", ".join(f"{b} long" for b in BITMAP))
+    return docs.mapInArrow(common.tidied(run), "doc_id long, n_shingles long, node long, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
 def entries(docs: DataFrame, k: int, percent: int, documents: int) -> DataFrame:
@@ -201,7 +201,7 @@ def entries(docs: DataFrame, k: int, percent: int, documents: int) -> DataFrame:
                 for at in range(0, out.num_rows, 50_000):
                     yield out.slice(at, 50_000)
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(common.tidied(run), "key long, node long")
 
 
 def collisions(sorted_entries: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def collisions(sorted_entries: DataFrame) -> DataFrame:
             hub = int(hubs[at[-1]]) if has_hub[at[-1]] else None
             last_group = int(group[-1])
 
-    return sorted_entries.mapInArrow(run, "key long, node long, rank long, hub long")
+    return sorted_entries.mapInArrow(common.tidied(run), "key long, node long, rank long, hub long")
 
 
 def sets_of(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -265,7 +265,7 @@ def sets_of(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
             sets = [s for s in sets if len(s)]
             yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    return docs.select("doc_id", slot.alias("slot"), "text").mapInArrow(run, "node long, set binary")
+    return docs.select("doc_id", slot.alias("slot"), "text").mapInArrow(common.tidied(run), "node long, set binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +277,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([c.filter(ok) for c in batch.columns[:2]], names=["a", "b"])
 
     full = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "x", "y").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def pairs_of(left: DataFrame) -> DataFrame:

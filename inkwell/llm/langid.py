@@ -173,7 +173,7 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(common.tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def postings(docs: DataFrame) -> DataFrame:
             for k in range(0, out.num_rows, 100_000):
                 yield out.slice(k, 100_000)
 
-    return source(docs).mapInArrow(run, "token long, train long, pairs binary")
+    return source(docs).mapInArrow(common.tidied(run), "token long, train long, pairs binary")
 
 
 def _fold(parts: list[np.ndarray]) -> np.ndarray:
@@ -159,8 +159,8 @@ def sums(joined: DataFrame, buckets: int) -> DataFrame:
             own = _fold(parts)
             yield pa.record_batch([pa.array(own["row"]), pa.array(own["log_c"]), pa.array(own["known"])], names=["row", "rare_c", "rare_known"])
 
-    packed = joined.select("pairs", "c").mapInArrow(partial, "bucket long, sums binary")
-    return packed.repartition(buckets // 4, "bucket").mapInArrow(total, "row long, rare_c double, rare_known long")
+    packed = joined.select("pairs", "c").mapInArrow(common.tidied(partial), "bucket long, sums binary")
+    return packed.repartition(buckets // 4, "bucket").mapInArrow(common.tidied(total), "row long, rare_c double, rare_known long")
 
 
 class Model:
@@ -298,7 +298,7 @@ def train_model(docs: DataFrame, by_hash: dict[int, int], counts: np.ndarray) ->
             yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([t for t, _ in total.values()]), pa.array([x.tobytes() for _, x in total.values()], pa.binary())], names=["block", "tokens", "sum"])
 
     schema = "block int, tokens double, sum binary"
-    rows = source(docs).mapInArrow(run, schema).repartition(16, "block").mapInArrow(add, schema).collect()  # BLOCKS rows
+    rows = source(docs).mapInArrow(common.tidied(run), schema).repartition(16, "block").mapInArrow(common.tidied(add), schema).collect()  # BLOCKS rows
     if rows:
         rows.sort(key=lambda r: r["block"])
         flat = np.concatenate([np.frombuffer(bytes(r["sum"]), np.float64) / r["tokens"] for r in rows])
@@ -348,7 +348,7 @@ def score(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
                 pa.array(of(np.where(w == UNK, 0.0, log_c[w]))), pa.array(of(log_p) / np.log(10)),
             ], names=["row", "doc_id", "held_out", "n_tokens", "n_unk", "known", "log_c", "log_p"])
 
-    rows = source(docs).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_unk long, known long, log_c double, log_p double")
+    rows = source(docs).mapInArrow(common.tidied(run), "row long, doc_id long, held_out boolean, n_tokens long, n_unk long, known long, log_c double, log_p double")
     absent = lambda c, kind: F.lit(None).cast(kind).alias(c)
     rare = rare.select("row", absent("doc_id", "long"), absent("held_out", "boolean"), absent("n_tokens", "long"), absent("n_unk", "long"), absent("known", "long"), absent("log_c", "double"), absent("log_p", "double"), "rare_c", "rare_known")
     rows = rows.select("*", absent("rare_c", "double"), absent("rare_known", "long"))

@@ -132,7 +132,7 @@ def attribute(df: DataFrame, id_col: str, fields: list[str], lines: bool = False
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[id_col, "field", "section", "start", "end", "n_tokens"])
 
     source = df.select(df[id_col].alias(id_col), *(df[f].cast("string").alias(f"f{i}") for i, f in enumerate(fields)))
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, field string, section long, start long, end long, n_tokens long")
+    return source.mapInArrow(common.tidied(run), f"`{id_col}` {source.schema[0].dataType.simpleString()}, field string, section long, start long, end long, n_tokens long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -243,7 +243,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             s = model.score(docs, vocabulary.table)
             yield pa.record_batch([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidied(run), schema)
 
 
 def rejected(model: Model, score, lang):

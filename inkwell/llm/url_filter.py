@@ -126,7 +126,7 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: s
 
     source = pages.select(pages[id_col].alias(id_col), pages[url_col].cast("string").alias("url"))
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return source.mapInArrow(common.tidied(judge), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

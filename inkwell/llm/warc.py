@@ -133,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
         if out is not None:
             yield done()
 
-    return rows.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(write, "path string, records long")
+    return rows.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(common.tidied(write), "path string, records long")
 
 
 def read_archives(manifest: DataFrame, content: bool = False) -> DataFrame:
@@ -159,7 +159,7 @@ def read_archives(manifest: DataFrame, content: bool = False) -> DataFrame:
                     yield pa.record_batch([pa.array([r[c] for r in rows], kinds[c]) for c in names], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url binary, payload binary" if content else "")
-    return manifest.select("path").mapInArrow(scan, schema)
+    return manifest.select("path").mapInArrow(common.tidied(scan), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
