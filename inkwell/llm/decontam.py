@@ -4,8 +4,8 @@ Index: the documents are dealt out in blocks as the scan brings them, and each b
 folder: the sorted 64-bit hashes of its terms, and for each term the ascending positions at which it stands. Between two
 documents one position stays free, so no match runs across them. The index holds all terms and is reread for any test set.
 
-Query: the distinct windows of the items are few and their size is checked (max_windows at once; more are done in rounds over the
-index). Corpus frequencies of the test terms come from one pass over the dictionaries of the index, so every window starts
+Query: the windows of the items go to every task, so their number is checked: more than max_windows distinct ones are an error,
+never cut. Larger test sets are matched in parts against the same index, which is built once. Corpus frequencies of the test terms come from one pass over the dictionaries of the index, so every window starts
 from its rarest term: the positions of that term less its offset, intersected with the adjusted lists of the next rarest terms
 until the list is empty or all terms are used.
 
