@@ -4,13 +4,13 @@ Each stage takes (spark, docs, sf_dir), works on every row that its predecessor
 the columns of documents; the last one returns the pieces of the packed sequences. run() writes each stage's result as Parquet
 in the shared folder and reads it as the next one's input.
 
-A document is told by its doc_id and text, rows that repeat both share their fate. A null doc_id is a document like any other
-as far as rules, scores and test items are concerned.
+A document is told by its doc_id and text; a null doc_id is a document like any other, and one doc_id may stand for several
+texts. Rows that repeat both share their fate, until near duplicates leaves one row of them, empty texts included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import common, decontam, jaccard, packing, quality, toxicity
@@ -19,10 +19,15 @@ from inkwell.llm import common, decontam, jaccard, packing, quality, toxicity
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (doc_id), null included. Both sides grow with the corpus: a merge join at every size."""
-    ids = ids.select(F.col("doc_id").alias("_ink_id")).hint("merge")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_ink_id"]), "left_semi")
+def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text are among rows (doc_id, row_hash), null included. Both sides grow with the corpus: a merge join at every size."""
+    rows = rows.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_ink_id"), F.col("row_hash").alias("_ink_hash")).hint("merge")
+    return docs.join(rows, ["_ink_id", "_ink_hash"], "left_semi").drop("_ink_id", "_ink_hash")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of _keep(): _ink_id and _ink_hash, which also tells a null doc_id from 0."""
+    return docs.withColumns({"_ink_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), "_ink_hash": common.row_hash(docs["doc_id"], docs["text"])})
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +42,15 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, jaccard.join(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    """One row of each component; of rows with its smallest doc_id the one of the smallest hash, and one of exact repeats."""
+    copy = Window.partitionBy("_ink_id", "_ink_hash").orderBy(F.xxhash64(*(docs[c] for c in docs.columns if c not in ("doc_id", "text"))))
+    # before the join: Spark then leaves one row of a key to each task ahead of the exchange, and the join needs none of its own
+    single = _keyed(docs).withColumn("_ink_copy", F.row_number().over(copy)).filter("_ink_copy = 1").drop("_ink_copy")
+    return _keep(single, jaccard.keep(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, decontam.decontaminate(docs, common.read(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")))
+    return _keep(_keyed(docs), decontam.decontaminate(docs, common.read(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,5 +119,12 @@ def crc_mod(column, divisor: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
 
 
+def row_hash(doc_id, text):
+    """64-bit hash of a row's text and of whether doc_id and text are null, as a Spark column: with doc_id it tells rows apart."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(doc_id.isNull(), text.isNull(), text.cast("string"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -41,10 +41,10 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each block: doc ids, word counts and first positions of its documents; term hashes, list starts and positions."""
-    names = ["ids", "lengths", "terms", "starts", "positions"]
+    """One row for each block: doc ids, row hashes and word counts of its documents; term hashes, list starts and positions."""
+    names = ["ids", "hashes", "lengths", "terms", "starts", "positions"]
 
-    def block(ids: list, lengths: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    def block(ids: list, keys: list, lengths: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array(lengths, np.int64)
         first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         h = np.concatenate(hashes)
@@ -54,28 +54,29 @@ def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
         assert not len(at) or at[-1] < 1 << 32, "block_words must stay below 2**32"
         assert len(first) == len(sizes)
-        columns = [pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, h[starts], starts.astype(np.uint32), at[order].astype(np.uint32)))]
+        columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, h[starts], starts.astype(np.uint32), at[order].astype(np.uint32)))]
         return pa.record_batch(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = common.HashMemo()
-        ids, lengths, hashes, n = [], [], [], 0
+        ids, keys, lengths, hashes, n = [], [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), common.utf8(batch, "text"), strict=True):
+            for doc_id, text, key in zip(batch.column(0).to_pylist(), common.utf8(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 own = memo.of(terms(text))
                 ids.append(doc_id)
+                keys.append(key)
                 lengths.append(len(own))
                 hashes.append(own)
                 n += len(own)
                 memo.trim()
                 if n >= block_words:
-                    yield block(ids, lengths, hashes)
-                    ids, lengths, hashes, n = [], [], [], 0
+                    yield block(ids, keys, lengths, hashes)
+                    ids, keys, lengths, hashes, n = [], [], [], [], 0
         if ids:
-            yield block(ids, lengths, hashes)
+            yield block(ids, keys, lengths, hashes)
 
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return source.mapInArrow(common.tidied(run), "ids array<long>, lengths binary, terms binary, starts binary, positions binary")
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), common.row_hash(docs["doc_id"], docs["text"]).alias("row_hash"))
+    return source.mapInArrow(common.tidied(run), "ids array<long>, hashes array<long>, lengths binary, terms binary, starts binary, positions binary")
 
 
 class Block:
@@ -161,7 +162,7 @@ def term_counts(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
 
 
 def match(index: DataFrame, items: list[tuple[object, bytes | None]], size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) for every document of the index."""
+    """(doc_id, row_hash, n_words, n_hit, n_items, items_sha256, contaminated, items) for every document of the index."""
     items = [x for x in items if x[0] is not None]
     found, owners = windows_of(items, size)
     names = [str(i) for i, _ in items]
@@ -183,7 +184,7 @@ def match(index: DataFrame, items: list[tuple[object, bytes | None]], size: int
         for i, (w, _, n) in enumerate(rows):
             padded[i, :n] = w
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("ids", "lengths", "terms", "starts", "positions")), strict=True):
+            for keys, *row in zip(*(batch.column(c).to_pylist() for c in ("hashes", "ids", "lengths", "terms", "starts", "positions")), strict=True):
                 b = Block(*row)
                 lists = b.lists(wanted)
                 present = np.append(lists >= 0, True)
@@ -200,11 +201,11 @@ def match(index: DataFrame, items: list[tuple[object, bytes | None]], size: int
                 hit = covered[b.first + b.lengths] - covered[b.first]
                 listed = [sorted(names[i] for i in items_of.get(d, ())) for d in range(len(b.ids))]
                 yield pa.record_batch([
-                    pa.array(b.ids, pa.int64()), pa.array(b.lengths), pa.array(hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()),
+                    pa.array(b.ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(b.lengths), pa.array(hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]), pa.array((hit > 0) & (20 * hit >= b.lengths)), pa.array(listed, pa.list_(pa.string())),
-                ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+                ], names=["doc_id", "row_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
-    return index.mapInArrow(common.tidied(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    return index.mapInArrow(common.tidied(run), "doc_id long, row_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
 def benchmark_items(benchmark: DataFrame, most: int = 1_000_000) -> list[tuple[object, bytes | None]]:
@@ -237,7 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")).drop("row_hash", "items")
 
 
 ORACLE = r"""

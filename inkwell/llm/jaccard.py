@@ -173,13 +173,13 @@ def possible(percent: int):
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bitmap...): node is the hash of the set, null for the empty one."""
+    """(doc_id, row_hash, n_shingles, node, bitmap...): node is the hash of the set, null for the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, k):
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.array(x) for x in np.array([bitmap(s) for s in sets]).T.copy())], names=["doc_id", "n_shingles", "node", *BITMAP])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.array(x) for x in np.array([bitmap(s) for s in sets]).T.copy())], names=["doc_id", "row_hash", "n_shingles", "node", *BITMAP])
 
-    return docs.mapInArrow(common.tidied(run), "doc_id long, n_shingles long, node long, " + ", ".join(f"{b} long" for b in BITMAP))
+    return docs.select("doc_id", "text", common.row_hash(docs["doc_id"], docs["text"]).alias("row_hash")).mapInArrow(common.tidied(run), "doc_id long, row_hash long, n_shingles long, node long, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
 def entries(docs: DataFrame, k: int, percent: int, documents: int) -> DataFrame:
@@ -284,8 +284,8 @@ def pairs_of(left: DataFrame) -> DataFrame:
     return left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): n_links counts the verified links of the document's set to other sets; the component is complete, links within it that aren't needed are not all verified."""
+def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, row_hash, n_shingles, root, component_id, n_links) of every row: root tells the component, null for an empty set; n_links counts the verified links of the document's set to other sets; the component is complete, links within it that aren't needed are not all verified."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     described = common.materialize(describe(docs, k), "jaccard-sets")
@@ -323,9 +323,20 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     first = common.materialize(first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "jaccard-first")
     smallest = common.materialize(first.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-components")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    labels = first.join(smallest, "root").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = first.join(smallest, "root").join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     labels = common.materialize(labels, "jaccard-labels")
-    return described.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return described.join(labels, "node", "left").select("doc_id", "row_hash", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row; see labelled()."""
+    return labelled(docs, k, percent).drop("row_hash", "root")
+
+
+def keep(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, row_hash) of one document of each component: the smallest hash among those of the smallest doc_id; empty sets all stay."""
+    firsts = labelled(docs, k, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    return firsts.groupBy("root", "doc_id", F.when(F.col("root").isNull(), F.col("row_hash")).alias("alone")).agg(F.min("row_hash").alias("row_hash")).select("doc_id", "row_hash")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

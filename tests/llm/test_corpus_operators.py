@@ -271,3 +271,22 @@ def test_pipeline_edges(spark, odd, none, sf):
             docs = common.materialize(stage(spark, docs, sf), name)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, sf).count() >= 0
+
+
+def test_pipeline_tells_rows_apart(spark, tmp_path):
+    """Verdicts take effect on null and reused doc_ids, and one row stays of exact repeats."""
+    rng = random.Random(6)
+    text = lambda n=60: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    bad, a, b, c, d, e = (text() for _ in range(6))
+    near = b + " more"
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    rest = lambda df: sorted((str(r["doc_id"]), str(r["text"])) for r in df.collect())
+    told = lambda rows: sorted((str(i), str(t)) for i, t in rows)
+    rows = [(None, bad), (None, a), (None, None), (3, bad), (3, c), (0, d)]
+    assert rest(corpus_pipeline.benchmark_decontamination(spark, frame(rows), str(tmp_path))) == told([(None, a), (None, None), (3, c), (0, d)])
+    # a near copy's own id, or null, is kept for another text; repeats; a reused id first in two components, and twice in one
+    rows = [(1, b), (2, near), (2, a), (None, near), (None, c), (None, c), (5, d), (5, d), (5, e), (5, None), (5, ""), (6, "")]
+    kept = rest(corpus_pipeline.near_duplicates(spark, frame(rows), str(tmp_path)))
+    assert kept == told([(1, b), (2, a), (None, c), (5, d), (5, e), (5, None), (5, ""), (6, "")])
+    assert len(rest(corpus_pipeline.near_duplicates(spark, frame([(8, b), (8, near), (9, b)]), str(tmp_path)))) == 1
