@@ -4,8 +4,10 @@ Index: the documents are dealt out in blocks as the scan brings them, and each b
 folder: the sorted 64-bit hashes of its terms, and for each term the ascending positions at which it stands. Between two
 documents one position stays free, so no match runs across them. The index holds all terms and is reread for any test set.
 
-Query: the windows of the items go to every task, so their number is checked: more than max_windows distinct ones are an error,
-never cut. Larger test sets are matched in parts against the same index, which is built once. Corpus frequencies of the test terms come from one pass over the dictionaries of the index, so every window starts
+Query: the windows of the items are written as a table. Up to max_windows of them go to every task; more are dealt out in parts
+of about max_windows, runs of an item's windows staying together, each of which is matched by a pass over the same index. A
+part gives the hit intervals and items of each document that it hits; they are united by document before hit words are counted.
+Corpus frequencies of the test terms come from one pass over the dictionaries of the index, so every window starts
 from its rarest term: the positions of that term less its offset, intersected with the adjusted lists of the next rarest terms
 until the list is empty or all terms are used.
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ from inkwell.llm import common
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
-MAX_WINDOWS = 200_000
+MAX_WINDOWS, RUN = 200_000, 1000
 
 #: A-Z to a-z; ASCII that is no letter or digit to a blank; other bytes, all of characters beyond ASCII, stay.
 _FOLD = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
@@ -41,7 +44,7 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each block: doc ids, row hashes and word counts of its documents; term hashes, list starts and positions."""
+    """One row for each block: its number, doc ids, row hashes and word counts of its documents; term hashes, list starts and positions."""
     names = ["ids", "hashes", "lengths", "terms", "starts", "positions"]
 
     def block(ids: list, keys: list, lengths: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
@@ -76,7 +79,8 @@ def build_index(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             yield block(ids, keys, lengths, hashes)
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), common.row_hash(docs["doc_id"], docs["text"]).alias("row_hash"))
-    return source.mapInArrow(common.tidied(run), "ids array<long>, hashes array<long>, lengths binary, terms binary, starts binary, positions binary")
+    index = source.mapInArrow(common.tidied(run), "ids array<long>, hashes array<long>, lengths binary, terms binary, starts binary, positions binary")
+    return index.withColumn("block", F.monotonically_increasing_id())
 
 
 class Block:
@@ -132,16 +136,22 @@ class Block:
         return np.searchsorted(self.first, position, side="right") - 1
 
 
-def windows_of(items: list[tuple[object, bytes | None]], size: int) -> tuple[list[np.ndarray], list[list[int]]]:
-    """The distinct windows as arrays of term hashes, and for each the indexes of the items that have it."""
-    owners: dict[bytes, list[int]] = {}
-    for i, (_, text) in enumerate(items):
-        h = np.array([common.hash64(t) for t in terms(text)], np.int64)
-        for k in range(max(len(h) - size + 1, min(len(h), 1))):
-            own = owners.setdefault(h[k : k + size].tobytes(), [])
-            if not own or own[-1] != i:
-                own.append(i)
-    return [np.frombuffer(w, np.int64) for w in owners], list(owners.values())
+def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
+    """(run, window, item): the windows of each item that has an id, as packed term hashes; run tells pieces of RUN windows of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = common.HashMemo()
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), common.utf8(batch, "text"), strict=True):
+                h = memo.of(terms(text))
+                n = max(len(h) - size + 1, min(len(h), 1))
+                for at in range(0, n, RUN):
+                    own = [h[k : k + size].tobytes() for k in range(at, min(at + RUN, n))]
+                    yield pa.record_batch([pa.array([at // RUN] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array([str(item)] * len(own))], names=["run", "window", "item"])
+                memo.trim()
+
+    items = benchmark.filter(benchmark["item_id"].isNotNull()).select(benchmark["item_id"].alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    return items.mapInArrow(common.tidied(run), "run long, window binary, item string")
 
 
 def term_counts(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
@@ -161,35 +171,36 @@ def term_counts(index: DataFrame, wanted: np.ndarray) -> dict[int, int]:
     return {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row for each test term
 
 
-def match(index: DataFrame, items: list[tuple[object, bytes | None]], size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """(doc_id, row_hash, n_words, n_hit, n_items, items_sha256, contaminated, items) for every document of the index."""
-    items = [x for x in items if x[0] is not None]
-    found, owners = windows_of(items, size)
-    names = [str(i) for i, _ in items]
-    spark = index.sparkSession
+def hits(index: DataFrame, windows: DataFrame, every: bool) -> tuple[DataFrame, Broadcast]:
+    """(block, doc, doc_id, row_hash, n_words, spans, items) of the documents that windows (window, item) hit, or of every document.
+
+    spans are the united word intervals that are hit, as packed pairs (begin, end). The windows go to every task.
+    """
+    owners: dict[bytes, set[str]] = {}
+    for r in windows.toLocalIterator():
+        owners.setdefault(bytes(r["window"]), set()).add(r["item"])
+    found = [np.frombuffer(w, np.int64) for w in owners]
     wanted = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    if len(found) > max_windows:
-        raise ValueError(f"{len(found)} windows are more than max_windows={max_windows}; match the items in parts")
     counts = term_counts(index, wanted) if len(wanted) else {}
     rows = []
     for w in found:
         order = np.argsort([counts.get(int(t), 0) for t in w], kind="stable")
         rows.append((np.searchsorted(wanted, w), order, len(w)))
-    shared = spark.sparkContext.broadcast((wanted, rows, owners, names))
+    shared = index.sparkSession.sparkContext.broadcast((wanted, rows, list(owners.values())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, rows, owners, names = shared.value
+        wanted, rows, owners = shared.value
         width = max((n for _, _, n in rows), default=1)
         padded = np.full((len(rows), width), len(wanted))
         for i, (w, _, n) in enumerate(rows):
             padded[i, :n] = w
         for batch in batches:
-            for keys, *row in zip(*(batch.column(c).to_pylist() for c in ("hashes", "ids", "lengths", "terms", "starts", "positions")), strict=True):
+            for block, keys, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "ids", "lengths", "terms", "starts", "positions")), strict=True):
                 b = Block(*row)
                 lists = b.lists(wanted)
                 present = np.append(lists >= 0, True)
                 delta = np.zeros(int(b.first[-1] + b.lengths[-1]) + 2 if len(b.lengths) else 1, np.int64)
-                items_of: dict[int, set[int]] = {}
+                items_of: dict[int, set[str]] = {}
                 for i in np.flatnonzero(present[padded].all(axis=1)):
                     w, order, n = rows[i]
                     at = b.phrase(lists[w], order)
@@ -197,23 +208,54 @@ def match(index: DataFrame, items: list[tuple[object, bytes | None]], size: int
                     np.add.at(delta, at + n, -1)
                     for d in np.unique(b.doc_of(at)):
                         items_of.setdefault(int(d), set()).update(owners[i])
-                covered = np.concatenate(([0], np.cumsum(np.cumsum(delta) > 0)))
-                hit = covered[b.first + b.lengths] - covered[b.first]
-                listed = [sorted(names[i] for i in items_of.get(d, ())) for d in range(len(b.ids))]
+                # a document's words end before the free position, so each change from bare to hit and back lies within it
+                change = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(delta) > 0).astype(np.int8))))).reshape(-1, 2)
+                of = b.doc_of(change[:, 0])
+                docs = range(len(b.ids)) if every else sorted(items_of)
+                left, right = np.searchsorted(of, docs), np.searchsorted(of, docs, side="right")
+                spans = [(change[x:y] - b.first[d]).tobytes() for d, x, y in zip(docs, left, right, strict=True)]
                 yield pa.record_batch([
-                    pa.array(b.ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(b.lengths), pa.array(hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]), pa.array((hit > 0) & (20 * hit >= b.lengths)), pa.array(listed, pa.list_(pa.string())),
-                ], names=["doc_id", "row_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
-
-    return index.mapInArrow(common.tidied(run), "doc_id long, row_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
-
+                    pa.array([block] * len(docs), pa.int64()), pa.array(docs, pa.int64()), pa.array([b.ids[d] for d in docs], pa.int64()), pa.array([keys[d] for d in docs], pa.int64()), pa.array([int(b.lengths[d]) for d in docs], pa.int64()),
+                    pa.array(spans, pa.binary()), pa.array([sorted(items_of.get(d, ())) for d in docs], pa.list_(pa.string())),
+                ], names=["block", "doc", "doc_id", "row_hash", "n_words", "spans", "items"])
+
+    return index.mapInArrow(common.tidied(run), "block long, doc long, doc_id long, row_hash long, n_words long, spans binary, items array<string>"), shared
+
+
+def match(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """(doc_id, row_hash, n_words, n_hit, n_items, items_sha256, contaminated, items) for every document of the index, a table that has been written."""
+    windows = common.materialize(windows_of(benchmark, size), "decontam-windows")
+    parts = -(-windows.count() // max_windows)
+    if parts <= 1:
+        found, _ = hits(index, windows, True)
+        found = found.select("doc_id", "row_hash", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
+    else:
+        found = None
+        for part in range(parts):
+            own, shared = hits(index, windows.filter(F.pmod(F.xxhash64("item", "run"), F.lit(parts)) == part), part == 0)
+            own = common.materialize(own, "decontam-hits")
+            shared.destroy()
+            found = own if found is None else found.union(own)
+        same = (F.first(c).alias(c) for c in ("doc_id", "row_hash", "n_words"))
+        found = found.groupBy("block", "doc").agg(*same, F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+        found = found.select("doc_id", "row_hash", "n_words", "spans", "items")
 
-def benchmark_items(benchmark: DataFrame, most: int = 1_000_000) -> list[tuple[object, bytes | None]]:
-    """The test items. Their number is that of the test sets and doesn't grow with the corpus; more than `most` is an error."""
-    rows = benchmark.select(benchmark["item_id"].alias("item_id"), benchmark["text"].cast("string").cast("binary").alias("text")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} test items: match them in parts")
-    return [(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in rows]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, hit, listed = batch.column(2).to_numpy(), np.zeros(batch.num_rows, np.int64), []
+            for i, (spans, items) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                listed.append(sorted(set().union(*items)))
+                x = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
+                if len(x):
+                    x = x[np.argsort(x[:, 0], kind="stable")]
+                    end = np.maximum.accumulate(x[:, 1])
+                    hit[i] = np.maximum(end - np.maximum(x[:, 0], np.append(0, end[:-1])), 0).sum()
+            yield pa.record_batch([
+                *batch.columns[:3], pa.array(hit), pa.array([len(x) for x in listed], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()), pa.array((hit > 0) & (20 * hit >= lengths)), pa.array(listed, pa.list_(pa.string())),
+            ], names=["doc_id", "row_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+
+    return found.mapInArrow(common.tidied(run), "doc_id long, row_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
 def proximity(index: DataFrame, phrase: str, slop: int) -> DataFrame:
@@ -234,7 +276,7 @@ def proximity(index: DataFrame, phrase: str, slop: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     index = common.materialize(build_index(docs), "decontam-index")
-    return match(index, benchmark_items(benchmark), size)
+    return match(index, benchmark, size)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -290,3 +290,25 @@ def test_pipeline_tells_rows_apart(spark, tmp_path):
     kept = rest(corpus_pipeline.near_duplicates(spark, frame(rows), str(tmp_path)))
     assert kept == told([(1, b), (2, a), (None, c), (5, d), (5, e), (5, None), (5, ""), (6, "")])
     assert len(rest(corpus_pipeline.near_duplicates(spark, frame([(8, b), (8, near), (9, b)]), str(tmp_path)))) == 1
+
+
+def test_decontamination_in_parts(spark):
+    """Any number of windows: what each of the parts hits is united by document before it is counted."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(40))) for i in range(30)] + [(30, "w1"), (None, "w2"), (31, None), (5, "w3 w4")]
+    rows = []
+    for i in range(40):
+        own = [f"v{rng.randrange(9)}" for _ in range(rng.choice((20, 400)))]
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            w, at = (rng.choice(items)[1] or "").split(), rng.randrange(len(own))
+            k = rng.randrange(max(len(w) - 13, 1))
+            own[at:at] = w[k : k + rng.choice((12, 13, 14, 20))]
+        rows.append((rng.choice((None, 1, i)), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = common.materialize(decontam.build_index(df, 900), "t")
+    wanted = sorted((str(i), *plain_decontam(t, [x for x in items if x[0] is not None])) for i, t in rows)
+    assert {x[-1] for x in wanted} == {True, False}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontam.MAX_WINDOWS, 200):
+        got = decontam.match(index, bench, max_windows=most).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == wanted
