@@ -12,9 +12,9 @@ is at most one smaller, so it is indexed too. If neither leaves out any, the sam
 allocate() chooses m0, m1 and the smallest segment size by cost: index entries of a set, plus the wrong candidates that
 segments of that size are expected to cause among all documents; so the segments grow with the corpus.
 
-Groups of equal keys are sorted and streamed; in each, the first set is the hub and only pairs with the hub are verified. Pairs
-of sets that the links found so far already join aren't needed for components. Groups that still hold more than one
-component get more hubs in rounds (64, 4096, ... of them) until all are used, so no link is missed. Every set has a bitmap
+Groups of equal keys are sorted and streamed; in each, the first set is the hub and the pairs with it are verified first. Then the
+groups get more hubs in rounds (64, 4096, ... of them) until all are used, so no link is missed. join() verifies every pair;
+components(), which returns no links, leaves out groups and pairs that the links found so far already join. Every set has a bitmap
 with the parity of its elements' hashes: sets that differ in d elements have bitmaps that differ in at most d bits, so the
 joins only let pass pairs whose bitmaps allow a link, and a group of near copies below the threshold isn't expanded. Copies of a set are one node. Verification compares the
 whole sets, which are made again from the texts of the candidates only.
@@ -284,8 +284,12 @@ def pairs_of(left: DataFrame) -> DataFrame:
     return left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, row_hash, n_shingles, root, component_id, n_links) of every row: root tells the component, null for an empty set; n_links counts the verified links of the document's set to other sets; the component is complete, links within it that aren't needed are not all verified."""
+def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
+    """(doc_id, row_hash, n_shingles, root, component_id, n_links) of every row: root tells the component, null for an empty set.
+
+    every: all candidate pairs are verified, and n_links counts the links of the document's set to other sets. Otherwise only the
+    components are meant: pairs that the links found so far already join are left out, and n_links isn't counted.
+    """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     described = common.materialize(describe(docs, k), "jaccard-sets")
@@ -302,45 +306,62 @@ def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     first = first.join(known.withColumnRenamed("node", "b"), "b").join(known.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", *BITMAP))), "a")
     links = common.materialize(verify(pairs_of(first.filter(possible(percent))), sets, percent), "jaccard-links")
-    roots = common.materialize(graph.components(links), "jaccard-roots")
+    # the members of the groups, with the hub as one of rank 0
+    grouped = shared.select("key", "node", "rank").union(shared.groupBy("key").agg(F.min("hub").alias("node")).select("key", "node", F.lit(0).cast("long")))
+    roots = None if every else common.materialize(graph.components(links), "jaccard-roots")
     used = 1
     while True:
-        # groups of a key that still hold more than one component, with the hub as a member of rank 0
-        members = shared.select("key", "node", "rank").union(shared.groupBy("key").agg(F.min("hub").alias("node")).select("key", "node", F.lit(0).cast("long")))
-        members = members.join(roots, "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
+        if every:
+            members = grouped.withColumn("root", F.col("node"))
+        else:
+            members = grouped.join(roots, "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
+        # groups whose sets aren't all joined, or of distinct sets where every pair counts, and that have further hubs
         open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("most")).filter(f"x <> y and most >= {used}").select("key")
         members = common.materialize(members.join(open_keys, "key", "left_semi").join(known, "node"), "jaccard-open")
         if members.isEmpty():
             break
-        hubs = members.filter(F.col("rank").between(used, GROWTH * used - 1)).select("key", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("root", "n", *BITMAP)))
-        more = hubs.join(members.withColumnRenamed("node", "b"), (hubs["key"] == members["key"]) & (F.col("root") != F.col("root_a")) & possible(percent)).select("a", "b")
+        hubs = members.filter(F.col("rank").between(used, GROWTH * used - 1)).select("key", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("root", "rank", "n", *BITMAP)))
+        # whole members are hubs themselves in their turn, so each pair with one is met once
+        fresh = F.col("rank").isNull() | F.col("rank").between(1, F.col("rank_a") - 1) if every else F.lit(True)
+        more = hubs.join(members.withColumnRenamed("node", "b"), (hubs["key"] == members["key"]) & (F.col("root") != F.col("root_a")) & fresh & possible(percent)).select("a", "b")
         more = common.materialize(verify(pairs_of(more), sets, percent), "jaccard-links")
         used *= GROWTH
         if not more.isEmpty():
             links = links.union(more)
-            roots = common.materialize(graph.components(links), "jaccard-roots")
+            if not every:
+                roots = common.materialize(graph.components(links), "jaccard-roots")
+    if every:
+        links = common.materialize(links.distinct(), "jaccard-links")  # a pair may share keys of several rounds
+        roots = common.materialize(graph.components(links), "jaccard-roots")
     first = unique.select("node", F.col("doc_id").alias("first"))
     first = common.materialize(first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "jaccard-first")
     smallest = common.materialize(first.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-components")
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    labels = first.join(smallest, "root").join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = first.join(smallest, "root").select("node", "root", "component_id", F.lit(None if not every else 0).cast("long").alias("n_links"))
+    if every:
+        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+        labels = labels.join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("degree", "n_links").alias("n_links"))
     labels = common.materialize(labels, "jaccard-labels")
     return described.join(labels, "node", "left").select("doc_id", "row_hash", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row; see labelled()."""
-    return labelled(docs, k, percent).drop("row_hash", "root")
+    """(doc_id, n_shingles, component_id, n_links) of every row: n_links counts all links of the document's set to other sets."""
+    return labelled(docs, k, percent, True).drop("row_hash", "root")
+
+
+def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, without verifying the links that no component needs."""
+    return labelled(docs, k, percent, False).drop("row_hash", "root", "n_links")
 
 
 def keep(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row_hash) of one document of each component: the smallest hash among those of the smallest doc_id; empty sets all stay."""
-    firsts = labelled(docs, k, percent).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    firsts = labelled(docs, k, percent, False).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
     return firsts.groupBy("root", "doc_id", F.when(F.col("root").isNull(), F.col("row_hash")).alias("alone")).agg(F.min("row_hash").alias("row_hash")).select("doc_id", "row_hash")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(common.read(spark, sf_dir, "documents"), 3, 90).drop("n_links")
+    return components(common.read(spark, sf_dir, "documents"), 3, 90)
 
 
 ORACLE = r"""

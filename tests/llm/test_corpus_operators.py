@@ -292,6 +292,24 @@ def test_pipeline_tells_rows_apart(spark, tmp_path):
     assert len(rest(corpus_pipeline.near_duplicates(spark, frame([(8, b), (8, near), (9, b)]), str(tmp_path)))) == 1
 
 
+@pytest.mark.parametrize(("k", "percent", "seed"), [(3, 90, 3), (5, 80, 4)])
+def test_jaccard_counts_every_link(spark, k, percent, seed):
+    """n_links is the number of other sets at the threshold, also in a group of many sets that are all linked."""
+    base = [f"b{i}" for i in range(400)]
+    rows = near_copies(seed) + [(1000 + i, " ".join([*base, f"own{i}"])) for i in range(150)]
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    distinct = set(sets.values()) - {frozenset()}
+    degree = {s: sum(s != x and 100 * len(s & x) >= percent * len(s | x) for x in distinct) for s in distinct}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join(df, k, percent).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: degree.get(s, 0) for i, s in sets.items()}
+    assert all(r["n_links"] == 149 for r in got if r["doc_id"] >= 1000)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {r["doc_id"]: r["component_id"] for r in jaccard.components(df, k, percent).collect()}
+
+
 def test_decontamination_in_parts(spark):
     """Any number of windows: what each of the parts hits is united by document before it is counted."""
     rng = random.Random(8)
