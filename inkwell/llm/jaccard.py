@@ -105,7 +105,7 @@ def allocate(band: int, percent: int, documents: int) -> tuple[int, int, int, in
         for weight in (1, 2, 3):
             for share in (0, 0.03, 0.06, 0.12, 0.25, 0.5, 0.75, 1):
                 slack = 0
-                for _ in range(6):
+                while True:  # slack grows until it is enough or out of bounds
                     m1 = int(round(share * ceil((need + slack) / 2)))
                     m0 = max(need + slack - 2 * m1, 0)
                     k0 = low / (m0 + weight * m1)

@@ -310,6 +310,20 @@ def test_jaccard_counts_every_link(spark, k, percent, seed):
     assert {r["doc_id"]: r["component_id"] for r in got} == {r["doc_id"]: r["component_id"] for r in jaccard.components(df, k, percent).collect()}
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_allocation_covers_its_budget(percent):
+    """The segments cover one unit more than a linked pair's differences and the slack, in every band."""
+    edges = jaccard.bands(percent)
+    for documents in (100, 30_000, 10**7, 10**10):
+        for band in range(int(np.searchsorted(edges, 20_000))):
+            plan = jaccard.allocate(band, percent, documents)
+            need = jaccard.most_different(int(edges[band + 1]) - 1, percent) + 1
+            assert (plan is None) == (need == 1)
+            if plan:
+                m0, m1, _, _, slack = plan
+                assert m0 + 2 * m1 >= need + slack, (band, documents, plan)
+
+
 def test_decontamination_in_parts(spark):
     """Any number of windows: what each of the parts hits is united by document before it is counted."""
     rng = random.Random(8)
