@@ -5,12 +5,15 @@ left into the longest phrases that the automaton accepts; the language that need
 about the logarithm of the training length, so phrases times that logarithm is a code length, and the score is the posterior
 that these code lengths give to the winner.
 
-The automata are dense tables (state x symbol -> next state and phrases ended), and numpy steps all texts of a batch at once.
+The automata are tables (state x symbol -> next state and phrases ended), and numpy steps all texts of a batch at once. The
+alphabet holds every letter of the training text, of any script; each language's table knows its own letters. It is dense up to
+DENSE cells and a sorted list of transitions above. A letter that a language's text lacks is a phrase by itself there.
 Every text is parsed whole, in blocks of `block` characters each of which begins with a new phrase: the same rule at every
 length, and a very long text is many lanes rather than one long loop.
 
 Training is bounded by documented parameters: at most `sample_docs` documents and `chars` characters of each language, chosen
-by a hash of doc_id, and max_languages languages. Training rows have a non-null lang and text and crc32(doc_id) mod 4 != 2.
+by a hash of doc_id, and max_languages languages. Documents are taken whole as long as they fit; the first that doesn't fills
+the rest. Beyond 8 languages the characters of each are fewer, 8 chars / languages but 2,000 at least. Training rows have a non-null lang and text and crc32(doc_id) mod 4 != 2.
 lang, source and doc_id aren't inputs of a prediction.
 
 Defined results. Null text or no letter: "und" with score 0. Ties: the language that comes first in the alphabet. No training
@@ -19,7 +22,6 @@ rows at all: everything is "und" with score 0. Repeated rows: each is predicted.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import common
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_DOCS, CHARS, MAX_LANGUAGES, BLOCK, SYMBOLS = 60, 30_000, 512, 4096, 64
+SAMPLE_DOCS, CHARS, MAX_LANGUAGES, BLOCK, DENSE = 60, 30_000, 512, 4096, 1 << 22
 UNKNOWN, BREAK = 0, 1
 _LETTER = regex.compile(r"\p{L}")
 
@@ -66,42 +68,60 @@ def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
     return go
 
 
+class Table:
+    """A language's automaton: value 4 * (next state * width) + phrases ended, by state * width + symbol."""
+
+    def __init__(self, symbols: np.ndarray, known: int, dense: int) -> None:
+        letters = np.unique(symbols[symbols > BREAK])
+        self.local = np.full(known, UNKNOWN, np.min_scalar_type(len(letters) + 1))
+        self.local[BREAK] = BREAK
+        self.local[letters] = np.arange(2, len(letters) + 2)
+        a = len(letters) + 2
+        go = suffix_automaton(self.local[symbols])
+        root = np.full(a, -1, np.int64)
+        for c, t in go[0].items():
+            root[c] = t
+        # no transition: the phrase ends, and the next begins with this symbol; an unknown symbol is a phrase by itself
+        self.restart = np.where(root >= 0, 4 * a * root + 1, 2)
+        if len(go) * a <= dense:
+            out = np.tile(self.restart, (len(go), 1))
+            for s, row in enumerate(go):
+                for c, t in row.items():
+                    out[s, c] = 4 * a * t
+            out[0] = np.where(root >= 0, 4 * a * root, 1)
+            self.dense = out.astype(np.int32).ravel()
+        else:
+            self.dense = None
+            moves = np.array(sorted((s * a + c, 4 * a * t) for s, row in enumerate(go) for c, t in row.items()), np.int64)
+            self.keys, self.values = moves[:, 0].copy(), moves[:, 1].copy()
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> None:
+        """state becomes the value of (state, symbol); at is scratch."""
+        np.add(state, symbol, out=at)
+        if self.dense is not None:
+            np.take(self.dense, at, out=state, mode="clip")
+            return
+        i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        state[:] = np.where(self.keys[i] == at, self.values[i], np.where(state == 0, 1, self.restart[symbol]))
+
+
 class Parser:
     """Alphabet and tables of all languages."""
 
-    def __init__(self, texts: dict[str, str], symbols: int = SYMBOLS, block: int = BLOCK) -> None:
-        seen = Counter(c for t in texts.values() for c in t.lower() if c.isalpha() and ord(c) < 0x10000)
-        self.alphabet = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: symbols - 2])}
-        self.width, self.block = len(self.alphabet) + 2, block
-        codes = np.full(0x10000, BREAK, np.uint8)
-        for i in range(0x10000):
-            if chr(i).isalpha():
-                codes[i] = UNKNOWN
+    def __init__(self, texts: dict[str, str], block: int = BLOCK, dense: int = DENSE) -> None:
+        self.alphabet = {c: i + 2 for i, c in enumerate(sorted({c for t in texts.values() for c in t.lower() if c.isalpha()}))}
+        self.block = block
+        codes = np.full(0x110000, BREAK, np.min_scalar_type(len(self.alphabet) + 1))
+        codes[[i for i in range(0x110000) if chr(i).isalpha()]] = UNKNOWN
         for c, i in self.alphabet.items():
             codes[ord(c)] = i
         self.codes = codes
         self.languages = sorted(texts)
         self.cost = np.array([np.log(len(texts[x]) + 2) for x in self.languages])
-        self.tables = [self._table(self.symbols_of(texts[x])) for x in self.languages]
+        self.tables = [Table(self.symbols_of(texts[x]), len(self.alphabet) + 2, dense) for x in self.languages]
 
     def symbols_of(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        return np.where(points < 0x10000, self.codes[np.minimum(points, 0xFFFF)], UNKNOWN).astype(np.uint8)
-
-    def _table(self, symbols: np.ndarray) -> np.ndarray:
-        """4 * (next state * width) + phrases ended, by state * width + symbol."""
-        go, a = suffix_automaton(symbols), self.width
-        table = np.full((len(go), a), -1, np.int64)
-        for s, row in enumerate(go):
-            for c, t in row.items():
-                table[s, c] = t
-        table[:, UNKNOWN] = -1
-        root = table[0].copy()
-        # no transition: the phrase ends, and the next begins with this symbol; an unknown symbol is a phrase by itself
-        restart = np.where(root >= 0, 4 * a * root + 1, 2)
-        out = np.where(table >= 0, 4 * a * table, restart[None, :])
-        out[0] = np.where(root >= 0, 4 * a * root, 1)
-        return out.astype(np.int32).ravel()
+        return self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text by language."""
@@ -114,17 +134,17 @@ class Parser:
         out = np.zeros((len(texts), len(self.languages)))
         if not len(blocks):
             return out
-        grid = np.zeros((int(sizes[0]), len(blocks)), np.uint8)
+        grid = np.zeros((int(sizes[0]), len(blocks)), self.codes.dtype)
         for lane, k in enumerate(order):
             grid[: sizes[lane], lane] = blocks[k]
         active = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # lanes longer than t
         for j, table in enumerate(self.tables):
-            state, count = np.zeros(len(blocks), np.int32), np.ones(len(blocks), np.int32)
+            local = table.local[grid]
+            state, count = np.zeros(len(blocks), np.int64 if table.dense is None else np.int32), np.ones(len(blocks), np.int32)
             at, ended = np.empty_like(state), np.empty_like(state)
             for t, n in enumerate(active):
                 s, w, e = state[:n], at[:n], ended[:n]
-                np.add(s, grid[t, :n], out=w)
-                np.take(table, w, out=s, mode="clip")
+                table.step(s, local[t, :n], w)
                 np.bitwise_and(s, 3, out=e)
                 count[:n] += e
                 np.right_shift(s, 2, out=s)
@@ -143,6 +163,20 @@ class Parser:
         return lang, score
 
 
+def filled(texts: list[str], most: int) -> str:
+    """Texts joined to at most `most` characters: whole ones in their order where they fit, and the begin of the first that doesn't."""
+    whole, rest, left = [], None, most
+    for t in texts:
+        if len(t) <= left:
+            whole.append(t)
+            left -= len(t) + 1
+        elif rest is None:
+            rest = t
+    if rest is not None and left > 0:
+        whole.append(rest[:left])
+    return "\n".join(whole)
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = CHARS, max_languages: int = MAX_LANGUAGES) -> Parser:
     """Parser from the labelled documents of the training folds, within the documented bounds."""
     fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
@@ -154,13 +188,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = CHARS, m
     if not rows:
         return Parser({})
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["k"]) for r in rows if r["doc_id"] is not None], "doc_id long, k int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, chars).alias("text")).join(F.broadcast(ids), "doc_id").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, chars + 1).alias("text")).join(F.broadcast(ids), "doc_id").collect()
     parts: dict[str, list[tuple[int, int, str]]] = {}
     for r in texts:
         if r["lang"] is not None and r["text"]:
             parts.setdefault(r["lang"], []).append((r["k"], r["doc_id"], r["text"]))
     most = max(2_000, min(chars, 8 * chars // max(len(parts), 1)))  # the tables together stay bounded
-    return Parser({lang: "\n".join(t[: max(most // 8, 1)] for *_, t in sorted(own))[:most] for lang, own in parts.items()})
+    return Parser({lang: filled([t for *_, t in sorted(own)], most) for lang, own in parts.items()})
 
 
 def identify(docs: DataFrame, parser: Parser) -> DataFrame:

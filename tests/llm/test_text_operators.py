@@ -110,6 +110,26 @@ def test_cross_parsing_equals_brute_force():
             assert 0 <= n - plain_parse(t, train[lang]) <= 1
 
 
+def test_every_letter_of_every_script_counts():
+    """Letters beyond the most frequent ones, and beyond U+FFFF, tell languages apart, in dense and in sparse tables."""
+    rng = np.random.default_rng(5)
+    scripts = {"en": range(97, 123), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "zh": range(0x4E00, 0x4E00 + 900), "ja": range(0x3041, 0x3097), "gothic": range(0x10330, 0x10341)}
+    words = {x: ["".join(chr(c) for c in rng.choice(list(own), rng.integers(2, 6))) for _ in range(400)] for x, own in scripts.items()}
+    say = lambda x, n: " ".join(rng.choice(words[x], n))
+    train = {x: say(x, 1500 if x == "gothic" else 2000) for x in scripts}
+    texts = [say(x, 10) + "x" for x in scripts for _ in range(5)] + ["\u05d0\u05d1", " a"]
+    got = langid.Parser(train)
+    assert np.array_equal(got.phrases(texts), langid.Parser(train, dense=0).phrases(texts))
+    assert got.predict(texts[:-2])[0] == [x for x in scripts for _ in range(5)]
+    for t, row in zip(texts, got.phrases(texts), strict=True):
+        assert all(0 <= n - plain_parse(t, train[x]) <= 1 for x, n in zip(got.languages, row, strict=True))
+
+
+def test_training_fills_its_bound_with_whole_documents():
+    assert langid.filled(["a" * 70, "b" * 90, "c" * 20], 100) == "a" * 70 + "\n" + "c" * 20 + "\n" + "b" * 8
+    assert langid.filled(["a" * 101], 100) == "a" * 100 and langid.filled([], 100) == "" and langid.filled(["a", "b"], 100) == "a\nb"
+
+
 def test_language_accuracy(docs, spark, sf):
     lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
     rows = langid.identify(docs, langid.train(docs)).filter("held_out").collect()
