@@ -39,11 +39,53 @@ def test_quality_equals_plain_python(docs, odd):
 
 
 def test_quality_thresholds_follow_the_group(spark):
-    """What is usual in one source is an outlier in another; small groups use their language's sketch."""
-    clean, loud = " ".join(f"word{i}" for i in range(40)), " ".join(f"WORD{i}" for i in range(40))
-    rows = [(i, clean + f" {i}", "en", "quiet") for i in range(300)] + [(1000, loud, "en", "quiet")] + [(2000 + i, loud + f" {i}", "en", "loud") for i in range(300)] + [(5000, clean, None, "tiny")]
-    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert not kept[1000] and kept[2000] and kept[0] and kept[5000]
+    """What is usual in one source is an outlier in another; a small group leans on its language; a constant metric doesn't judge."""
+    rng = np.random.default_rng(3)
+
+    def text(share, n=60):
+        return " ".join(w.upper() if rng.random() < share else w for w in (f"word{rng.integers(10**6)}" for _ in range(n)))
+
+    rows = [(i, text(0.05), "en", "quiet") for i in range(300)] + [(1000, text(0.95), "en", "quiet")] + [(2000 + i, text(0.9), "en", "loud") for i in range(300)]
+    rows += [(5000, text(0.05), None, "tiny"), (5001, text(0.5), "en", "tiny")] + [(6000 + i, "plain " + " ".join(f"w{i}x{k}" for k in range(40)), "xx", "same") for i in range(60)] + [(7000, "Plain " + " ".join(f"v{k}" for k in range(40)), "xx", "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert not kept[1000] and kept[5000] and kept[5001] and kept[7000]
+    assert sum(kept[i] for i in range(300)) >= 297 and sum(kept[2000 + i] for i in range(300)) >= 297
+    fences = {(r["lang"], r["source"]): r["t_upper_pm"] for r in quality.thresholds(common.materialize(quality.metrics(df), "t")).collect()}
+    assert len(fences) == 5 and fences["en", "quiet"] < 500 < fences["en", "loud"]
+    rest = sorted(map(tuple, df.filter(df["doc_id"].isin([i for i, k in kept.items() if k])).collect()), key=str)
+    assert sorted(map(tuple, quality.kept_rows(df).collect()), key=str) == rest
+
+
+def test_quality_fences_equal_plain_python(docs):
+    """The verdict of every document, from exact blended histograms in plain Python."""
+    rows = [r.asDict() for r in quality.judge(docs).collect()]
+    counts = collections.defaultdict(collections.Counter)
+    coarse = lambda v: v >> max(v.bit_length() - quality.DIGITS, 0) << max(v.bit_length() - quality.DIGITS, 0)
+    for r in rows:
+        if not r["base_failed"]:
+            for m in quality.FENCES:
+                for key in ((m,), (m, r["lang"]), (m, r["lang"], r["source"])):
+                    counts[key][coarse(r[m])] += 1
+
+    def fence(m, lang, source):
+        q, spread = quality.FENCES[m]
+        share = lambda c, b: sum(n for x, n in c.items() if x <= b)
+        at, p = {}, quality.PRIOR
+        for b in sorted(counts[m,]):
+            below = share(counts[m,], b) / sum(counts[m,].values())
+            for key in ((m, lang), (m, lang, source)):
+                below = (share(counts[key], b) + p * below) / (sum(counts[key].values()) + p)
+            for name, level in (("mid", 0.5), ("top", q / 100)):
+                if below >= level:
+                    at.setdefault(name, b)
+        return at["top"] + spread * (at["top"] - at["mid"]) if at["top"] > at["mid"] else None
+
+    fences = {(m, *g): fence(m, *g) for g in {(r["lang"], r["source"]) for r in rows if not r["base_failed"]} for m in quality.FENCES}
+    for r in rows:
+        beyond = not r["base_failed"] and any((f := fences[m, r["lang"], r["source"]]) is not None and r[m] > f for m in quality.FENCES)
+        assert r["kept"] == (not r["base_failed"] and not beyond)
+    assert any(not r["kept"] and not r["base_failed"] for r in rows)
 
 
 def test_quality_of_nothing(none):
