@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -16,12 +17,14 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset, and gets one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -33,10 +36,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release() -> None:
-    """Delete the scratch tables written so far. Frames that still read them can't be used afterwards."""
-    while _scratch:
-        spark, path = _scratch.pop()
+def written() -> int:
+    """Scratch tables so far, for release()."""
+    return len(_scratch)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables from the number `since` on but the `keep` last ones. Frames that still read them can't be used afterwards."""
+    gone = _scratch[since : len(_scratch) - keep]
+    del _scratch[since : len(_scratch) - keep]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,6 +65,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def upload(spark: SparkSession, local: str, path: str) -> None:
+    """Copy a file of the driver to a path of any file system that Spark can write."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(local), target)
+
+
 def tidied(run):
     """run, and then what it has freed goes back to the system: Spark keeps its Python workers for the stages that follow."""
 

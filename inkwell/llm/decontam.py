@@ -225,17 +225,15 @@ def hits(index: DataFrame, windows: DataFrame, every: bool) -> tuple[DataFrame,
 def match(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """(doc_id, row_hash, n_words, n_hit, n_items, items_sha256, contaminated, items) for every document of the index, a table that has been written."""
     windows = common.materialize(windows_of(benchmark, size), "decontam-windows")
-    parts = -(-windows.count() // max_windows)
-    if parts <= 1:
-        found, _ = hits(index, windows, True)
+    parts, found = max(-(-windows.count() // max_windows), 1), None
+    for part in range(parts):
+        own, shared = hits(index, windows.filter(F.pmod(F.xxhash64("item", "run"), F.lit(parts)) == part), part == 0)
+        own = common.materialize(own, "decontam-hits")
+        shared.destroy()
+        found = own if found is None else found.union(own)
+    if parts == 1:
         found = found.select("doc_id", "row_hash", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
-        found = None
-        for part in range(parts):
-            own, shared = hits(index, windows.filter(F.pmod(F.xxhash64("item", "run"), F.lit(parts)) == part), part == 0)
-            own = common.materialize(own, "decontam-hits")
-            shared.destroy()
-            found = own if found is None else found.union(own)
         same = (F.first(c).alias(c) for c in ("doc_id", "row_hash", "n_words"))
         found = found.groupBy("block", "doc").agg(*same, F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
         found = found.select("doc_id", "row_hash", "n_words", "spans", "items")

@@ -13,11 +13,12 @@ allocate() chooses m0, m1 and the smallest segment size by cost: index entries o
 segments of that size are expected to cause among all documents; so the segments grow with the corpus.
 
 Groups of equal keys are sorted and streamed; in each, the first set is the hub and the pairs with it are verified first. Then the
-groups get more hubs in rounds (64, 4096, ... of them) until all are used, so no link is missed. join() verifies every pair;
-components(), which returns no links, leaves out groups and pairs that the links found so far already join. Every set has a bitmap
-with the parity of its elements' hashes: sets that differ in d elements have bitmaps that differ in at most d bits, so the
-joins only let pass pairs whose bitmaps allow a link, and a group of near copies below the threshold isn't expanded. Copies of a set are one node. Verification compares the
-whole sets, which are made again from the texts of the candidates only.
+groups get more hubs in rounds (64, 4096, ... of them) until all are used, so no link is missed; each pair is looked at once.
+join() verifies every pair; components(), which returns no links, leaves out groups and pairs that the links found so far already
+join. Every set has a bitmap with the parity of its elements' hashes: sets that differ in d elements have bitmaps that differ in
+at most d bits, so the joins only let pass pairs whose bitmaps allow a link, and a group of near copies below the threshold isn't
+expanded. Copies of a set are one node. Verification compares the whole sets, which are made again from the texts of the
+candidates only.
 
 Shingles, sets and keys are 64-bit hashes: two of n distinct sets share one with probability n^2 / 2^65.
 
@@ -34,6 +35,7 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ SHINGLE, PERCENT = 5, 80
 #: Cost model: the chance that two sets share a given shingle by accident, and the cost of a wrong candidate in index entries.
 SHARED, WRONG = 0.02, 0.1
 BITS, GROWTH = 512, 64
-SLOTS, PAGE = 1 << 26, 32768
+PAGE = 32768
 BITMAP = [f"b{i}" for i in range(BITS // 64)]
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1000003) for k in range(64)]
 
@@ -205,14 +207,16 @@ def entries(docs: DataFrame, k: int, percent: int, documents: int) -> DataFrame:
 
 
 def collisions(sorted_entries: DataFrame) -> DataFrame:
-    """(key, node, rank, hub) for the sets that share a key with an earlier one; rank counts the sets that have the segment whole, null for the others.
+    """(key, node, rank, hub, fresh) for the sets that share a key with an earlier one; rank counts the sets that have the segment whole from 1, null for the others.
 
-    Reads the entries of a partition in order, with a few numbers as state, so a group may be of any size.
+    Reads the entries of a partition in order, with a few numbers as state, so a group may be of any size. fresh: the task meets
+    this node with this hub for the first time, as far as it remembers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_node = last_group = hub = None
         rank = 0  # whole segments of the group so far
+        met: set[int] = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -233,39 +237,55 @@ def collisions(sorted_entries: DataFrame) -> DataFrame:
             ranks = counted - before[at] - 1
             out = has_hub[at] & (node != hubs[at])
             if out.any():
-                yield pa.record_batch([pa.array(group[out]), pa.array(node[out]), pa.array(ranks[out], mask=~whole[out]), pa.array(hubs[at][out])], names=["key", "node", "rank", "hub"])
+                pair = (common.mix64(node[out]) ^ hubs[at][out].astype(np.uint64)).tolist()
+                first = [x not in met and not met.add(x) for x in pair]
+                if len(met) > 500_000:
+                    met.clear()
+                yield pa.record_batch([pa.array(group[out]), pa.array(node[out]), pa.array(ranks[out], mask=~whole[out]), pa.array(hubs[at][out]), pa.array(first, pa.bool_())], names=["key", "node", "rank", "hub", "fresh"])
             rank = int(counted[-1] - before[at[-1]])
             hub = int(hubs[at[-1]]) if has_hub[at[-1]] else None
             last_group = int(group[-1])
 
-    return sorted_entries.mapInArrow(common.tidied(run), "key long, node long, rank long, hub long")
+    return sorted_entries.mapInArrow(common.tidied(run), "key long, node long, rank long, hub long, fresh boolean")
 
 
-def sets_of(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def slots_for(candidates: int) -> int:
+    """Slots of the bitmap of sets_of(): 64 for each candidate, within 2^20 to 2^32 (512 MB at most, from 67 million candidates on)."""
+    return 1 << min(max(20, (64 * candidates).bit_length()), 32)
+
+
+def sets_of(docs: DataFrame, candidates: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
     """(node, set) of the candidates, from the text of one document each, and of the few documents that share a slot with one.
 
-    A bitmap of SLOTS slots of doc_id (8 MB whatever the input) keeps other texts from being read into sets; a crowded
-    bitmap would only let more of them pass.
+    A bitmap of slots of doc_id and row_hash keeps other texts from being read into sets; its size follows the number of
+    candidates, and a crowded bitmap would only let more texts pass. Each task gives a set once, as far as it remembers.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    rows = candidates.select(slot.alias("s")).groupBy(F.expr(f"s div {PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.col("s") % PAGE).alias("bits")).collect()  # at most SLOTS / PAGE rows
+    slots = slots_for(candidates.count())
+    slot = F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(slots))
+    rows = candidates.select(slot.alias("s")).groupBy(F.expr(f"s div {PAGE}").alias("page")).agg(F.bitmap_construct_agg(F.col("s") % PAGE).alias("bits")).collect()  # at most slots / PAGE rows
     shared = docs.sparkSession.sparkContext.broadcast({r["page"]: bytes(r["bits"]) for r in rows})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(SLOTS // 8, np.uint8)
+        bits = np.zeros(slots // 8, np.uint8)
+        seen: set[int] = set()
         for page, x in shared.value.items():
             bits[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(x, np.uint8)
 
         def wanted() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column(1).to_numpy()
+                at = batch.column(0).to_numpy()
                 yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
         for _, sets in _sets(wanted(), k):
-            sets = [s for s in sets if len(s)]
-            yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+            own = {node_of(s): s for s in sets if len(s)}
+            own = {n: s for n, s in own.items() if n not in seen}
+            seen.update(own)
+            if len(seen) > 500_000:
+                seen.clear()
+            yield pa.record_batch([pa.array(list(own), pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())], names=["node", "set"])
 
-    return docs.select("doc_id", slot.alias("slot"), "text").mapInArrow(common.tidied(run), "node long, set binary")
+    rows = docs.withColumn("row_hash", common.row_hash(docs["doc_id"], docs["text"])).select(slot.alias("slot"), "text")
+    return rows.mapInArrow(common.tidied(run), "node long, set binary"), shared
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,88 +296,95 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = pa.array([linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield pa.record_batch([c.filter(ok) for c in batch.columns[:2]], names=["a", "b"])
 
-    full = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     return full.select("a", "b", "x", "y").mapInArrow(common.tidied(run), "a long, b long")
 
 
-def pairs_of(left: DataFrame) -> DataFrame:
-    return left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def with_known(rows: DataFrame, known: DataFrame, node: str, tag: str = "") -> DataFrame:
+    """rows with size and bitmap of the column node. Both sides grow with the corpus: a merge join at every size."""
+    return rows.join(known.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}{tag}") for c in ("n", *BITMAP))).hint("merge"), node)
 
 
 def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
-    """(doc_id, row_hash, n_shingles, root, component_id, n_links) of every row: root tells the component, null for an empty set.
+    """(doc_id, row_hash, n_shingles, component_id, first, n_links) of every row.
 
-    every: all candidate pairs are verified, and n_links counts the links of the document's set to other sets. Otherwise only the
-    components are meant: pairs that the links found so far already join are left out, and n_links isn't counted.
+    first: the row is the one that stays of its component (the smallest doc_id, and of rows with that the smallest row_hash; null
+    doc_ids last); rows with an empty set are components by themselves and all first. every: all candidate pairs are verified,
+    and n_links counts the links of the document's set to other sets. Otherwise only the components are meant: pairs that the
+    links found so far already join are left out, and n_links isn't counted.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     described = common.materialize(describe(docs, k), "jaccard-sets")
     dealt = entries(docs, k, percent, described.count()).repartition(partitions, F.shiftright("key", 1)).sortWithinPartitions("key", "node")
     shared = common.materialize(collisions(dealt), "jaccard-collisions")
-    nodes = shared.select("node").union(shared.select("hub")).distinct()
-    # copies are one row of each task before they meet
-    unique = described.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(b).alias(b) for b in BITMAP))
+    # one row of each set, and whether it is a candidate; copies are one row of each task before they meet
+    least = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hash")
+    own = described.filter(F.col("node").isNotNull()).select("node", least.alias("least"), F.col("n_shingles").alias("n"), *BITMAP, F.lit(False).alias("met"))
+    flags = shared.select("node").union(shared.filter("fresh").select("hub")).select("node", *(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns[1:-1]), F.lit(True).alias("met"))
+    unique = own.union(flags).groupBy("node").agg(F.min("least").alias("least"), *(F.max(c).alias(c) for c in ("n", *BITMAP, "met")))
     unique = common.materialize(unique, "jaccard-unique")
-    candidates = unique.join(nodes, "node", "left_semi")
-    candidates = common.materialize(candidates, "jaccard-candidates")
-    sets = common.materialize(sets_of(docs, candidates, k), "jaccard-texts")
-    known = candidates.drop("doc_id")
-    first = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(known.withColumnRenamed("node", "b"), "b").join(known.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", *BITMAP))), "a")
-    links = common.materialize(verify(pairs_of(first.filter(possible(percent))), sets, percent), "jaccard-links")
-    # the members of the groups, with the hub as one of rank 0
-    grouped = shared.select("key", "node", "rank").union(shared.groupBy("key").agg(F.min("hub").alias("node")).select("key", "node", F.lit(0).cast("long")))
+    known = unique.filter("met").drop("met")
+    sets, bits = sets_of(docs, known.select("least.doc_id", "least.row_hash"), k)
+    sets = common.materialize(sets, "jaccard-texts")
+    bits.destroy()
+    first = with_known(with_known(shared.filter("fresh").select(F.col("hub").alias("a"), F.col("node").alias("b")), known, "b"), known, "a", "_a")
+    links = common.materialize(verify(first.filter(possible(percent)).select("a", "b"), sets, percent), "jaccard-links")
     roots = None if every else common.materialize(graph.components(links), "jaccard-roots")
+    most = shared.agg(F.max("rank")).first()[0] or 0
     used = 1
-    while True:
+    while used <= most:
         if every:
-            members = grouped.withColumn("root", F.col("node"))
+            members = shared.select("key", "node", "rank", F.col("node").alias("root"))
         else:
-            members = grouped.join(roots, "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
-        # groups whose sets aren't all joined, or of distinct sets where every pair counts, and that have further hubs
+            members = shared.select("key", "node", "rank").join(roots.hint("merge"), "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
+        # groups with members, beside the first hub, that aren't all joined, or distinct where every pair counts, and with further hubs
         open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("most")).filter(f"x <> y and most >= {used}").select("key")
-        members = common.materialize(members.join(open_keys, "key", "left_semi").join(known, "node"), "jaccard-open")
+        members = common.materialize(with_known(members.join(open_keys.hint("merge"), "key", "left_semi"), known, "node"), "jaccard-open")
         if members.isEmpty():
             break
         hubs = members.filter(F.col("rank").between(used, GROWTH * used - 1)).select("key", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("root", "rank", "n", *BITMAP)))
-        # whole members are hubs themselves in their turn, so each pair with one is met once
-        fresh = F.col("rank").isNull() | F.col("rank").between(1, F.col("rank_a") - 1) if every else F.lit(True)
-        more = hubs.join(members.withColumnRenamed("node", "b"), (hubs["key"] == members["key"]) & (F.col("root") != F.col("root_a")) & fresh & possible(percent)).select("a", "b")
-        more = common.materialize(verify(pairs_of(more), sets, percent), "jaccard-links")
+        # members with a smaller rank have been hubs themselves, or are in this round
+        fresh = F.col("rank").isNull() | (F.col("rank") >= GROWTH * used) | F.col("rank").between(used, F.col("rank_a") - 1)
+        more = hubs.join(members.withColumnRenamed("node", "b").hint("merge"), (hubs["key"] == members["key"]) & (F.col("root") != F.col("root_a")) & fresh & possible(percent))
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = common.materialize(verify(more, sets, percent), "jaccard-links")
         used *= GROWTH
         if not more.isEmpty():
             links = links.union(more)
-            if not every:
+            if not every and used <= most:
                 roots = common.materialize(graph.components(links), "jaccard-roots")
-    if every:
-        links = common.materialize(links.distinct(), "jaccard-links")  # a pair may share keys of several rounds
+            elif not every:
+                roots = None
+    if roots is None:
+        links = common.materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-links")  # a pair may share keys of several rounds
         roots = common.materialize(graph.components(links), "jaccard-roots")
-    first = unique.select("node", F.col("doc_id").alias("first"))
-    first = common.materialize(first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "jaccard-first")
-    smallest = common.materialize(first.groupBy("root").agg(F.min("first").alias("component_id")), "jaccard-components")
-    labels = first.join(smallest, "root").select("node", "root", "component_id", F.lit(None if not every else 0).cast("long").alias("n_links"))
+    named = common.materialize(unique.select("node", "least").join(roots.hint("merge"), "node", "left").select("node", "least", "root"), "jaccard-named")
+    joined = common.materialize(named.filter("root is not null").groupBy("root").agg(F.min("least").alias("all")), "jaccard-components")
+    labels = named.join(joined.hint("merge"), "root", "left").select("node", F.coalesce("all", "least").alias("all"), F.lit(0 if every else None).cast("long").alias("n_links"))
     if every:
         degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-        labels = labels.join(degree, "node", "left").select("node", "root", "component_id", F.coalesce("degree", "n_links").alias("n_links"))
+        labels = labels.join(degree.hint("merge"), "node", "left").select("node", "all", F.coalesce("degree", "n_links").alias("n_links"))
     labels = common.materialize(labels, "jaccard-labels")
-    return described.join(labels, "node", "left").select("doc_id", "row_hash", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    met = described.drop(*BITMAP).join(labels.hint("merge"), "node", "left")
+    first = F.col("all").isNull() | (F.col("doc_id").eqNullSafe(F.col("all.doc_id")) & (F.col("row_hash") == F.col("all.row_hash")))
+    component = F.when(F.col("all").isNull(), F.col("doc_id")).otherwise(F.col("all.doc_id"))
+    return met.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), first.alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row: n_links counts all links of the document's set to other sets."""
-    return labelled(docs, k, percent, True).drop("row_hash", "root")
+    return labelled(docs, k, percent, True).drop("row_hash", "first")
 
 
 def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row, without verifying the links that no component needs."""
-    return labelled(docs, k, percent, False).drop("row_hash", "root", "n_links")
+    return labelled(docs, k, percent, False).drop("row_hash", "first", "n_links")
 
 
 def keep(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, row_hash) of one document of each component: the smallest hash among those of the smallest doc_id; empty sets all stay."""
-    firsts = labelled(docs, k, percent, False).filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    return firsts.groupBy("root", "doc_id", F.when(F.col("root").isNull(), F.col("row_hash")).alias("alone")).agg(F.min("row_hash").alias("row_hash")).select("doc_id", "row_hash")
+    """(doc_id, row_hash, kept) of every row: one document of each component is kept; empty sets all are."""
+    return labelled(docs, k, percent, False).select("doc_id", "row_hash", F.col("first").alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

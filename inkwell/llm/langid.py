@@ -12,8 +12,11 @@ Every text is parsed whole, in blocks of `block` characters each of which begins
 length, and a very long text is many lanes rather than one long loop.
 
 Training is bounded by documented parameters: at most `sample_docs` documents and `chars` characters of each language, chosen
-by a hash of doc_id, and max_languages languages. Documents are taken whole as long as they fit; the first that doesn't fills
-the rest. Beyond 8 languages the characters of each are fewer, 8 chars / languages but 2,000 at least. Training rows have a non-null lang and text and crc32(doc_id) mod 4 != 2.
+by a hash of doc_id. Documents are taken whole, and one that doesn't fit into what is left is skipped; only where none of a
+language's documents fits, the shortest one gives its first `chars` characters. Beyond 8 languages the characters of each are
+fewer, 8 chars / languages but 2,000 at least. Languages beyond `group` go into further parsers, each of which looks at all
+texts; so the tables of a task stay bounded and any number of languages is compared. Training rows have a non-null lang and text
+and crc32(doc_id) mod 4 != 2; repeated rows count once, and rows without a doc_id aren't used.
 lang, source and doc_id aren't inputs of a prediction.
 
 Defined results. Null text or no letter: "und" with score 0. Ties: the language that comes first in the alphabet. No training
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import common
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_DOCS, CHARS, MAX_LANGUAGES, BLOCK, DENSE = 60, 30_000, 512, 4096, 1 << 22
+SAMPLE_DOCS, CHARS, GROUP, BLOCK, DENSE = 60, 30_000, 128, 4096, 1 << 22
 UNKNOWN, BREAK = 0, 1
 _LETTER = regex.compile(r"\p{L}")
 
@@ -148,66 +151,91 @@ class Parser:
                 np.bitwise_and(s, 3, out=e)
                 count[:n] += e
                 np.right_shift(s, 2, out=s)
-            out[:, j] = np.bincount(owner, weights=count, minlength=len(texts))
+            # in state 0 the block ended with an unknown symbol, and no phrase is open
+            out[:, j] = np.bincount(owner, weights=count - (state == 0), minlength=len(texts))
         return out
 
+    def codes_of(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+        """The texts that have a letter, and their code lengths by language."""
+        spoken = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        return spoken, self.phrases([texts[i] for i in spoken]) * self.cost if spoken else np.zeros((0, len(self.languages)))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text, among this parser's languages."""
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        spoken = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
-        if spoken:
-            bits = self.phrases([texts[i] for i in spoken]) * self.cost
-            best = bits.argmin(axis=1)
-            share = 1 / np.exp(np.minimum(bits.min(axis=1)[:, None] - bits, 0)).sum(axis=1)
-            for i, b, s in zip(spoken, best, share, strict=True):
-                lang[i], score[i] = self.languages[b], float(s)
+        spoken, bits = self.codes_of(texts)
+        for i, own in zip(spoken, bits, strict=True):
+            b = int(own.argmin())
+            lang[i], score[i] = self.languages[b], float(1 / np.exp(own[b] - own).sum())
         return lang, score
 
 
-def filled(texts: list[str], most: int) -> str:
-    """Texts joined to at most `most` characters: whole ones in their order where they fit, and the begin of the first that doesn't."""
-    whole, rest, left = [], None, most
-    for t in texts:
-        if len(t) <= left:
-            whole.append(t)
-            left -= len(t) + 1
-        elif rest is None:
-            rest = t
-    if rest is not None and left > 0:
-        whole.append(rest[:left])
-    return "\n".join(whole)
+def chosen_rows(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """Which of (place, characters), in order, are taken whole within `most` characters, line breaks between them included; the shortest alone where none fits."""
+    out, left = [], most
+    for k, n in sizes:
+        if n <= left:
+            out.append(k)
+            left -= n + 1
+    return out or [min(sizes, key=lambda x: (x[1], x[0]))[0]] if sizes else []
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = CHARS, max_languages: int = MAX_LANGUAGES) -> Parser:
-    """Parser from the labelled documents of the training folds, within the documented bounds."""
-    fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, chars: int = CHARS, group: int = GROUP) -> list[Parser]:
+    """Parsers from the labelled documents of the training folds, within the documented bounds, for `group` languages each."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    fit = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & (common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
+    once = fit.groupBy("lang", "doc_id", "t").agg(F.max(F.length("text")).alias("n"))
     # each task passes on at most sample_docs rows of a language
-    chosen = fit.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= sample_docs)
-    rows = chosen.limit(sample_docs * max_languages + 1).collect()
-    if len(rows) > sample_docs * max_languages:
-        raise ValueError(f"over {max_languages} languages")
-    if not rows:
-        return Parser({})
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["k"]) for r in rows if r["doc_id"] is not None], "doc_id long, k int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, chars + 1).alias("text")).join(F.broadcast(ids), "doc_id").collect()
-    parts: dict[str, list[tuple[int, int, str]]] = {}
-    for r in texts:
-        if r["lang"] is not None and r["text"]:
-            parts.setdefault(r["lang"], []).append((r["k"], r["doc_id"], r["text"]))
-    most = max(2_000, min(chars, 8 * chars // max(len(parts), 1)))  # the tables together stay bounded
-    return Parser({lang: filled([t for *_, t in sorted(own)], most) for lang, own in parts.items()})
-
-
-def identify(docs: DataFrame, parser: Parser) -> DataFrame:
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")
+    found: dict[str, list] = {}
+    for r in once.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs).collect():
+        found.setdefault(r["lang"], []).append(r)
+    most = max(2_000, min(chars, 8 * chars // max(len(found), 1)))
+    chosen = []
+    for own in found.values():
+        by = {r["k"]: r for r in own}
+        chosen += [by[k] for k in chosen_rows(sorted((r["k"], r["n"]) for r in own), most)]
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame([(r["lang"], r["doc_id"], r["t"], r["k"]) for r in chosen], "lang string, doc_id long, t long, k int")
+    texts: dict[str, dict[int, str]] = {}
+    for r in rows.join(F.broadcast(ids), ["lang", "doc_id", "t"]).groupBy("lang", "k").agg(F.min(F.substring("text", 1, most)).alias("text")).collect():
+        texts.setdefault(r["lang"], {})[r["k"]] = r["text"]
+    joined = {lang: "\n".join(t for _, t in sorted(own.items())) for lang, own in sorted(texts.items())}
+    names = list(joined)
+    return [Parser({x: joined[x] for x in names[k : k + group]}) for k in range(0, len(names), group)]
+
+
+def identify(docs: DataFrame, parsers: list[Parser]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score = shared.value.predict(batch.column(2).to_pylist())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(common.tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    if not parsers:
+        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    state = "lang_pred string, bits double, odds double"
+    rows = rows.select("*", F.lit("und").alias("lang_pred"), F.lit(None).cast("double").alias("bits"), F.lit(0.0).alias("odds"))
+
+    def step(parser: Parser):
+        shared = docs.sparkSession.sparkContext.broadcast(parser)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                lang, bits, odds = (batch.column(c).to_pylist() for c in ("lang_pred", "bits", "odds"))
+                spoken, codes = shared.value.codes_of(texts)
+                for i, own in zip(spoken, codes, strict=True):
+                    b = int(own.argmin())
+                    total = float(np.exp(own[b] - own).sum())  # of all languages' odds, relative to the best of this parser
+                    if bits[i] is None or own[b] < bits[i]:
+                        lang[i], odds[i], bits[i] = shared.value.languages[b], total + (odds[i] * np.exp(own[b] - bits[i]) if bits[i] is not None else 0.0), float(own[b])
+                    else:
+                        odds[i] += total * np.exp(bits[i] - own[b])
+                yield pa.record_batch([*batch.columns[:3], pa.array(lang, pa.string()), pa.array(bits, pa.float64()), pa.array(odds, pa.float64())], names=batch.schema.names)
+
+        return common.tidied(run)
+
+    for parser in parsers:
+        rows = rows.mapInArrow(step(parser), f"doc_id long, held_out boolean, text string, {state}")
+    return rows.select("doc_id", "held_out", "lang_pred", F.when(F.col("odds") > 0, 1 / F.col("odds")).otherwise(0.0).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Best-fit packing by bin completion with branch and bound, over the histogram of piece lengths.
 
 Pieces of equal length can stand for each other, so the whole packing is decided on the counts of the at most `capacity`
-lengths: that histogram is all that reaches the driver, whatever the number of documents. Bin completion takes the largest
-length left and fills the rest of the sequence with an undominated set: largest-first fillings (best fit) and exact fillings
-of one or two pieces compete, and the one with the least waste wins, used as many times at once as the counts allow. If the
-number of sequences isn't the lower bound, branch and bound works on the fullest-wasted tail of sequences: it enumerates
-undominated fillings around its largest piece, prunes by the waste bound and keeps the best solution found so far. It stops
-after a documented number of nodes, with the incumbent.
+lengths: that histogram is all that reaches the driver, whatever the number of documents. The incumbent is best fit: the largest
+length left and its filling with the least waste among a few, used as many times at once as the counts allow. If it takes more
+sequences than the lower bound, branch and bound looks for fewer, over the whole histogram: at each node it enumerates the
+fillings of any number of pieces around the largest piece left, those with the least waste first, leaves out the dominated ones
+(where a piece left out could replace one or several smaller ones of the filling), takes a filling as many times as the counts
+allow and then less often, and prunes where the waste so far is more than a packing better than the incumbent may have. Fillings
+at the same largest piece are taken in one order, so no set of sequences is met twice. A better packing becomes the incumbent.
+The search is complete but for its bounds: it ends after `nodes` nodes, or STEPS steps of the enumeration for each of them, all
+together, with the best packing found.
 
 The plan is a list of intervals of ranks of each length. Pieces get their rank by a range partition on (length, doc_id,
 piece), written as a table, plus the counts of its partitions; so no task ever holds all pieces of a common length.
@@ -18,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +34,7 @@ from inkwell.llm import common, tokens
 
 CAPACITY = 2048
 END = 0
-NODES = 20_000
-TAIL = 24
+NODES, STEPS = 20_000, 50
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
@@ -87,45 +90,114 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def branch_and_bound(items: list[int], capacity: int, incumbent: list[list[int]], nodes: int = NODES) -> list[list[int]]:
-    """Fewest bins for items (a bounded list), or the incumbent where the search finds none better within its nodes."""
-    best, left = incumbent, nodes
-    items = sorted(items, reverse=True)
-    total = sum(items)
+Filling = tuple[tuple[int, int], ...]
 
-    def fillings(rest: list[int], room: int) -> list[tuple[int, ...]]:
-        """Sets of up to three pieces, most filled first; a set is left out where one larger piece could replace one of its own."""
-        found, n = {(): 0}, len(rest)
-        for i in range(n):
-            if rest[i] > room or i and rest[i] == rest[i - 1]:
-                continue
-            found[(i,)] = rest[i]
-            for j in range(i + 1, n):
-                if rest[i] + rest[j] <= room:
-                    found[(i, j)] = rest[i] + rest[j]
-                    k = next((k for k in range(j + 1, n) if rest[i] + rest[j] + rest[k] <= room), None)
-                    if k is not None:
-                        found[(i, j, k)] = rest[i] + rest[j] + rest[k]
-                    break
-        return sorted(found, key=found.get, reverse=True)[:12]
-
-    def search(rest: list[int], bins: list[list[int]], waste: int) -> None:
-        nonlocal best, left
-        left -= 1
+
+def exact(lengths: list[int], left: list[int], target: int, budget: list[int]) -> Iterator[Filling]:
+    """The sets of pieces that fill target exactly, as (length, times), larger pieces first; lengths ascend and left has their counts. Ends early where budget, the steps left, is used up."""
+    reach, dead = [], set()
+    for n, k in zip(lengths, left, strict=True):
+        reach.append((reach[-1] if reach else 0) + n * k)
+
+    def go(i: int, rest: int) -> Iterator[Filling]:
         if not rest:
-            if len(bins) < len(best):
-                best = [list(b) for b in bins]
+            yield ()
             return
-        # the waste so far can't be undone: that many bins at least
-        if left <= 0 or -(-(total + waste) // capacity) >= len(best) or len(bins) + -(-sum(rest) // capacity) >= len(best):
+        i = min(i, bisect_right(lengths, rest) - 1)
+        if i < 0 or (i, rest) in dead:
             return
-        first, others = rest[0], rest[1:]
-        for chosen in fillings(others, capacity - first):
-            filled = [first, *(others[i] for i in chosen)]
-            search([x for i, x in enumerate(others) if i not in chosen], [*bins, filled], waste + capacity - sum(filled))
-
-    search(items, [], 0)
-    return best
+        found = False
+        for j in range(i, -1, -1):
+            if reach[j] < rest:
+                break
+            for times in range(min(left[j], rest // lengths[j]), 0, -1):
+                budget[0] -= 1
+                if budget[0] < 0:
+                    return
+                for others in go(j - 1, rest - times * lengths[j]):
+                    found = True
+                    yield ((lengths[j], times), *others)
+        if not found:
+            dead.add((i, rest))
+
+    return go(len(lengths) - 1, target)
+
+
+def dominated(filling: Filling, lengths: list[int], left: list[int], waste: int) -> bool:
+    """Whether a piece that was left out could join the filling, or replace one smaller piece of it or several that together aren't larger."""
+    used = dict(filling)
+    out = sum(1 << n for n, k in zip(lengths, left, strict=True) if k > used.get(n, 0))
+    one = several = 0  # sums of one piece and of more, as bits
+    for n, times in filling:
+        for _ in range(times):
+            several |= (several << n) | (one << n)
+            one |= 1 << n
+    if out & several:
+        return True
+    sums, width = (one | several | 1), 0
+    spread = 0  # sums plus 1 to waste
+    while width < waste:
+        more = min(max(width, 1), waste - width)
+        spread |= (spread << more) if width else (sums << 1)
+        width += more
+    return bool(out & spread)
+
+
+def search(counts: np.ndarray, capacity: int, best: int, bound: int, nodes: int = NODES) -> Plan | None:
+    """A packing of fewer than best sequences, the best that the search finds, or None."""
+    counts, found, budget = counts.copy(), None, [STEPS * nodes]
+    total = int((counts * np.arange(len(counts))).sum())
+
+    def choices(after: tuple | None, spare: int) -> Iterator[tuple[tuple, Filling]]:
+        """(order, filling with the largest piece) at the present counts, in order, behind `after` where the largest piece is the same."""
+        largest = int(np.flatnonzero(counts)[-1])
+        own = counts[: capacity - largest + 1].copy()
+        if largest < len(own):
+            own[largest] -= 1
+        lengths = (np.flatnonzero(own[1:]) + 1).tolist()
+        left = own[lengths].tolist()
+        for waste in range(min(spare, capacity - largest) + 1):
+            for filling in exact(lengths, left, capacity - largest - waste, budget):
+                order = (-largest, waste, tuple((-n, -k) for n, k in filling))
+                if (after is None or after[0] != -largest or order > after) and not dominated(filling, lengths, left, waste):
+                    same = filling and filling[0][0] == largest
+                    yield order, ((largest, 1 + filling[0][1]), *filling[1:]) if same else ((largest, 1), *filling)
+
+    def times_of(filling: Filling) -> int:
+        return min(int(counts[n]) // k for n, k in filling)
+
+    def take(filling: Filling, times: int) -> None:
+        for n, k in filling:
+            counts[n] -= k * times
+
+    path: list[list] = []  # [choices, order, filling, times] of each level
+    bins, waste = 0, 0
+    spare = lambda: capacity * (best - 1) - total - waste
+    level: list | None = [choices(None, spare()), None, None, 0]
+    while level is not None and nodes > 0 and budget[0] > 0 and best > bound:
+        if level[3] > 0:  # less often
+            per = capacity - sum(n * k for n, k in level[2])
+            take(level[2], -1)
+            level[3], bins, waste = level[3] - 1, bins - 1, waste - per
+        if level[3] == 0:
+            step = next(level[0], None)
+            if step is None:
+                level = path.pop() if path else None
+                continue
+            level[1], level[2] = step
+            level[3] = times_of(level[2])
+            per = capacity - sum(n * k for n, k in level[2])
+            take(level[2], level[3])
+            bins, waste = bins + level[3], waste + per * level[3]
+        nodes -= 1
+        if spare() < 0:
+            continue
+        if not counts.any():
+            best, found = bins, [(x[2], x[3]) for x in [*path, level]]
+            continue
+        path.append(level)
+        level = [choices(level[1], spare()), None, None, 0]
+    return found
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
@@ -133,7 +205,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] += n
-    bound, out, at = lower_bound(counts, capacity), [], capacity
+    whole, bound, out, at = counts.copy(), lower_bound(counts, capacity), [], capacity
     while at > 0:
         if not counts[at]:
             at -= 1
@@ -146,20 +218,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
         for k, v in used.items():
             counts[k] -= v * times
         out.append((tuple(sorted(used.items(), reverse=True)), times))
-    if sum(n for _, n in out) > bound and out:
-        waste = lambda p: capacity - sum(k * v for k, v in p)
-        tail: list[list[int]] = []
-        kept = Counter()
-        for pattern, n in sorted(out, key=lambda x: waste(x[0])):
-            kept[pattern] += n
-        for pattern in sorted(kept, key=waste, reverse=True):
-            while kept[pattern] and len(tail) < TAIL and waste(pattern):
-                kept[pattern] -= 1
-                tail.append([k for k, v in pattern for _ in range(v)])
-        better = branch_and_bound([x for b in tail for x in b], capacity, tail, nodes)
-        for b in better:
-            kept[tuple(sorted(Counter(b).items(), reverse=True))] += 1
-        out = [(p, n) for p, n in kept.items() if n]
+    if (n := sum(times for _, times in out)) > bound:
+        out = search(whole, capacity, n, bound, nodes) or out
     return out
 
 

@@ -5,16 +5,21 @@ the document, and a logistic layer reads the maxima. Only the winning positions
 on the touched rows). The scores are then calibrated on rows that the training didn't see, at their natural shares.
 
 Bounds (documented parameters): the fit uses at most `per_class` labelled documents of each class, the smallest hashes of
-doc_id first, and at most `max_words` words altogether; it takes whole documents. Labels come from rows whose crc32(doc_id)
+doc_id first, one text of each doc_id, and at most `max_words` words altogether (a word as five characters). It takes whole
+documents; one that doesn't fit into what is left of the words is skipped, and those after it are still taken. Spark brings this
+bounded sample to one task, which fits the model; the driver sees the model only. Labels come from rows whose crc32(doc_id)
 mod 3 isn't 1 only. labels, lang, source and doc_id aren't inputs of a score. Thresholds by language are chosen on
-calibration rows and only used by flagged(); the score itself knows no language.
+calibration rows and only used by rejected(); the score itself knows no language.
 
 Defined results. Null or empty text: the score of a document without words (the calibrated bias), in 0 to 1. No labels: score 0
-for all. Labels of both kinds for one doc_id: the larger one counts. Repeated rows: each is scored. Extra columns are ignored.
+for all. Labels of both kinds for one doc_id: the larger one counts. Several texts of one labelled doc_id: the fit takes the one
+of the smallest hash. Repeated rows: each is scored. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,22 +46,22 @@ class Vocabulary(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[list[int]] = [[0] * (1 + len(PREFIXES))]
+        self.rows = array("i", [0] * (1 + len(PREFIXES)))
 
     def __missing__(self, word: bytes) -> int:
         w = word.strip(_STRIP).decode("utf-8", "ignore").lower()
         parts = [w, *(f"{w[:k]}*" if len(w) > k else "" for k in PREFIXES)]
-        self.rows.append([1 + common.hash64(x.encode()) % (BUCKETS - 1) if x else 0 for x in parts])
-        i = self[word] = len(self.rows) - 1
+        self.rows.extend(1 + common.hash64(x.encode()) % (BUCKETS - 1) if x else 0 for x in parts)
+        i = self[word] = len(self.rows) // len(parts) - 1
         return i
 
     @property
     def table(self) -> np.ndarray:
-        return np.array(self.rows, np.int32)
+        return np.array(self.rows, np.int32).reshape(-1, 1 + len(PREFIXES))
 
     def of(self, text: bytes | None) -> np.ndarray:
         own = common.words(text)
-        out = np.zeros(len(own) + PAD, np.int32)
+        out = np.zeros(max(len(own), 1) + PAD, np.int32)  # a text without words is one padding word
         out[: len(own)] = np.fromiter(map(self.__getitem__, own), dtype=np.int32, count=len(own))
         return out
 
@@ -64,7 +69,7 @@ class Vocabulary(dict):
         """Between batches only: arrays made before lose their meaning."""
         if len(self) > most:
             self.clear()
-            del self.rows[1:]
+            del self.rows[1 + len(PREFIXES) :]
 
 
 class Model:
@@ -187,31 +192,32 @@ def best_threshold(score: np.ndarray, labels: np.ndarray, weights: np.ndarray) -
     return float(round(grid[good[np.argmin(np.abs(grid[good] - CUT))]], 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_words: int = MAX_WORDS) -> Model:
-    """Fit on 3/4 of the bounded sample, calibrate on the rest."""
-    model, spark = Model(), docs.sparkSession
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, max_words: int) -> tuple[DataFrame | None, dict[int, int]]:
+    """(h, toxic, lang, text) of the bounded sample, None where there is none, and the number of labelled ids of each class."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ids = [(r["doc_id"], c) for c in (0, 1) for r in own.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
-    if not ids:
-        model.shift = -50.0
-        model.scale = 0.0
-        return model
-    chosen = spark.createDataFrame(ids, "doc_id long, toxic int")  # 2 * per_class short rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "lang", "text")
-    # the words of the sample are bounded too: whole documents, in order of their hash
-    vocabulary, rows, n = Vocabulary(), [], 0
-    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in texts.select("h", "doc_id", (F.length("text") / 5).alias("n")).collect())
-    kept = []
-    for _, doc_id, size in sizes:
-        n += size or 0
-        if n <= max_words:
-            kept.append((doc_id,))
-    texts = texts.join(F.broadcast(spark.createDataFrame(kept, "k long")), F.col("doc_id") == F.col("k"))
-    for r in sorted(texts.collect(), key=lambda r: (r["h"], r["doc_id"], r["text"] or "")):
-        rows.append((vocabulary.of(None if r["text"] is None else r["text"].encode()), r["toxic"], r["lang"]))
-    x, y, langs = [r[0] for r in rows], np.array([r[1] for r in rows], np.float32), [r[2] for r in rows]
+    ids = [(r["doc_id"], c) for c in sorted(shares) for r in own.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+    frame = lambda rows, schema: F.broadcast(docs.sparkSession.createDataFrame(rows, schema))  # noqa: E731  2 * per_class short rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("t", F.xxhash64("text"))
+    # one text of each id; every task passes on one row of an id
+    sizes = texts.join(frame(ids, "doc_id long, toxic int"), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("t", (F.coalesce(F.length("text"), F.lit(0)) / 5).alias("words"))).alias("x"))
+    kept, left = [], float(max_words)
+    for r in sorted(sizes.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "x.t", "x.words").collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if r["words"] <= left:
+            kept.append((r["doc_id"], r["t"], r["h"], r["toxic"]))
+            left -= r["words"]
+    if not kept:
+        return None, shares
+    found = texts.join(frame(kept, "doc_id long, t long, h long, toxic int"), ["doc_id", "t"])
+    return found.groupBy("doc_id", "h", "toxic").agg(F.min(F.struct("lang", "text")).alias("x")).select("h", "doc_id", "toxic", "x.lang", "x.text"), shares
+
+
+def fitted(rows: list[tuple], shares: dict[int, int]) -> Model:
+    """The model of the sample's rows (h, doc_id, toxic, lang, text in UTF-8): fit on 3/4 of them, calibrated on the rest."""
+    model, vocabulary = Model(), Vocabulary()
+    rows = sorted(rows, key=lambda r: r[:2])
+    x, y, langs = [vocabulary.of(r[4]) for r in rows], np.array([r[2] for r in rows], np.float32), [r[3] for r in rows]
     held = np.arange(len(x)) % 4 == 3
     fit = np.flatnonzero(~held)
     table = vocabulary.table
@@ -223,6 +229,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_wo
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_words: int = MAX_WORDS) -> Model:
+    """Fit on 3/4 of the bounded sample, calibrate on the rest, in one task."""
+    chosen, shares = sample(docs, labels, per_class, max_words)
+    if chosen is None:
+        model = Model()
+        model.scale, model.shift = 0.0, -50.0
+        return model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "toxic", "lang")), common.utf8(batch, "text"), strict=True)]
+        yield pa.record_batch([pa.array([pickle.dumps(fitted(rows, shares))], pa.binary())], names=["model"])
+
+    return pickle.loads(bytes(chosen.repartition(1).mapInArrow(common.tidied(run), "model binary").first()[0]))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     return scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text"), model).withColumn("predicted", (F.col("score") >= CUT).cast("int")).drop("text")

@@ -2,8 +2,9 @@
 
 The rule file holds the sorted xxhash keys, the offsets of the full strings, one verdict byte for each rule and the strings.
 A probe finds its key with numpy's binary search over the mapped file and then compares the stored string, so a hash
-collision can't give a wrong answer. The file goes to every executor with SparkContext.addFile, which also reaches
-executors that join later; its size is that of the rules and doesn't depend on the pages.
+collision can't give a wrong answer. The file is written to the shared folder and goes to every executor with
+SparkContext.addFile, which also reaches executors that join later; its size is that of the rules and doesn't depend on the
+pages.
 
 Defined results. Null url, or no "://": host and path are empty, no rule, default verdict. Empty path: only rules with an
 empty path can fit. Repeated rows: each is judged. Extra columns of the input are ignored, so their names can't clash.
@@ -96,13 +97,15 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: s
     spark = pages.sparkSession
     packed = DigestArray.pack(((h + p).encode(), VERDICTS.index(v)) for v, h, p in rules)
     lengths = sorted({len(p.encode()) for _, _, p in rules}, reverse=True)
-    name = f"rules-{hashlib.sha256(packed).hexdigest()[:20]}.bin"
-    local = os.path.join(tempfile.gettempdir(), name)
-    if not os.path.exists(local):
-        with open(f"{local}.{os.getpid()}", "wb") as f:
-            f.write(packed)
-        os.replace(f"{local}.{os.getpid()}", local)
-    spark.sparkContext.addFile(os.path.abspath(local))
+    name = f"rules-{hashlib.sha256(packed).hexdigest()}.bin"
+    if not any(x.endswith(f"/{name}") for x in spark.sparkContext.listFiles):
+        with tempfile.TemporaryDirectory() as folder:  # the driver's own copy; Spark serves the file from the driver to the executors
+            local = os.path.join(os.path.abspath(folder), name)
+            with open(local, "wb") as f:
+                f.write(packed)
+            path = f"{common.shared_dir(spark)}/{name}"
+            common.upload(spark, local, path)
+        spark.sparkContext.addFile(path)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestArray(SparkFiles.get(name))

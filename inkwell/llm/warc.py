@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from inkwell.llm import common
 
 MIN_BYTES = 100
+COLUMNS = ("page_id", "url", "html", "digest", "size", "refers_to", "serial", "first_url")
 ARCHIVE_BYTES = 256 << 20
 CHUNK = 1 << 16
+#: Pages carry no time of their own.
+DATE = b"1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,23 +42,36 @@ class WarcError(ValueError):
     """A record that can't be framed or whose digest is wrong."""
 
 
+#: Spark's names of stores that Arrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def located(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path of a folder in Spark's notation: local files, hdfs, s3a, gs, abfs and abfss. Others are an error."""
+    scheme, sep, rest = uri.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{sep}{rest}")
+    except pa.ArrowInvalid as e:
+        raise WarcError(f"archives can't be written to {scheme}: {e}") from None
+
+
 def _open(uri: str, mode: str):
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = located(uri)
     return fs.open_input_stream(path, compression=None) if mode == "r" else fs.open_output_stream(path, compression=None)
 
 
-def record(page_id: int | None, url: bytes | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """The bytes of a record, not compressed. A revisit (refers_to is set) leaves out the payload."""
+def record(page_id: int | None, url: bytes | None, payload: bytes, size: int, digest: str, refers_to: int | None, serial: int = 0, refers_url: bytes | None = None) -> bytes:
+    """The bytes of a record, not compressed. A revisit (refers_to is set) leaves out the payload and names the response's url and page. serial tells repeated rows apart."""
     revisit = refers_to is not None
+    bare = lambda x: (x or b"").replace(b"\r", b"%0D").replace(b"\n", b"%0A")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if revisit else http + payload
-    target = (url or b"").replace(b"\r", b"%0D").replace(b"\n", b"%0A")
     head = [
         b"WARC/1.1",
         b"WARC-Type: " + (b"revisit" if revisit else b"response"),
-        b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}")).encode(),
-        b"WARC-Date: 1970-01-01T00:00:00Z",
-        b"WARC-Target-URI: " + target,
+        b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}:{serial}")).encode(),
+        b"WARC-Date: " + DATE,
+        b"WARC-Target-URI: " + bare(url),
         b"WARC-Payload-Digest: sha256:" + digest.encode(),
         b"Content-Type: application/http; msgtype=response",
         b"Content-Length: %d" % len(block),
@@ -63,7 +79,7 @@ def record(page_id: int | None, url: bytes | None, payload: bytes, size: int, di
     if page_id is not None:
         head.append(b"X-Page-Id: %d" % page_id)
     if revisit:
-        head += [b"WARC-Profile: " + PROFILE.encode(), b"X-Refers-To-Page-Id: %d" % refers_to]
+        head += [b"WARC-Profile: " + PROFILE.encode(), b"WARC-Refers-To-Target-URI: " + bare(refers_url), b"WARC-Refers-To-Date: " + DATE, b"X-Refers-To-Page-Id: %d" % refers_to]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -106,10 +122,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     """Write every row of pages (page_id, url, html) and return the manifest (path, records)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumns({"digest": F.sha2("html", 256), "size": F.length("html").cast("long")})
-    firsts = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = common.materialize(firsts.filter("n > 1").select("digest", "first"), "warc-firsts")
-    rows = rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1], recursive=True)
+    firsts = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first_url"), F.count(F.lit(1)).alias("n"))
+    firsts = common.materialize(firsts.filter("n > 1").select("digest", "first", "first_url"), "warc-firsts")
+    rows = rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).withColumn("serial", F.monotonically_increasing_id())
+    store, path = located(folder)
+    store.create_dir(path, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, path, size, n, k = TaskContext.get(), None, "", 0, 0, 0
@@ -119,12 +136,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
             return pa.record_batch([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
         for batch in batches:
-            for page_id, url, html, digest, length, refers in zip(*(common.utf8(batch, c) if c in ("url", "html") else batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "size", "refers_to")), strict=True):
+            for page_id, url, html, digest, length, refers, serial, first_url in zip(*(common.utf8(batch, c) if c in ("url", "html", "first_url") else batch.column(c).to_pylist() for c in COLUMNS), strict=True):
                 if out is None:
                     path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{k:04d}.warc.gz"
                     out, size, n, k = _open(path, "w"), 0, 0, k + 1
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = z.compress(record(page_id, url, html, length, digest, refers)) + z.flush()
+                data = z.compress(record(page_id, url, html, length, digest, refers, serial, first_url)) + z.flush()
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= ARCHIVE_BYTES:
@@ -133,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
         if out is not None:
             yield done()
 
-    return rows.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(common.tidied(write), "path string, records long")
+    return rows.select(*COLUMNS).mapInArrow(common.tidied(write), "path string, records long")
 
 
 def read_archives(manifest: DataFrame, content: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -116,6 +117,12 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_refuses_damage():
     good = warc.record(1, b"u", b"payload", 7, hashlib.sha256(b"payload").hexdigest(), None)
+    again = warc.record(1, b"u", b"payload", 7, hashlib.sha256(b"payload").hexdigest(), None, serial=1)
+    assert good != again and warc.parse(good)["payload"] == warc.parse(again)["payload"]
+    revisit = warc.record(2, b"v", b"", 7, hashlib.sha256(b"payload").hexdigest(), 1, refers_url=b"u\r\nX: y")
+    assert b"\r\nWARC-Refers-To-Target-URI: u%0D%0AX: y\r\n" in revisit and warc.parse(revisit)["refers_to"] == 1
+    with pytest.raises(warc.WarcError):
+        warc.located("wasbs://c@a/x")
     assert warc.parse(good)["payload"] == b"payload"
     for bad in (good[:-1], good.replace(b"payload\r\n\r\n", b"paylOad\r\n\r\n"), b"x" + good):
         with pytest.raises(warc.WarcError):
@@ -206,12 +213,45 @@ def test_plan_against_exhaustive_search():
         return best
 
     rng = random.Random(4)
-    for _ in range(150):
-        items = sorted((rng.randrange(1, 41) for _ in range(rng.randrange(1, 11))), reverse=True)
-        got = packing.plan(collections.Counter(items), 40)
+    for _ in range(300):
+        capacity = rng.choice((12, 25, 40, 64))
+        items = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 13))), reverse=True)
+        got = packing.plan(collections.Counter(items), capacity)
         assert collections.Counter({k: v for p, n in got for k, v in [(k, sum(n2 * dict(p2).get(k, 0) for p2, n2 in got)) for k, _ in p]}) == collections.Counter(items)
-        assert all(sum(k * v for k, v in p) <= 40 for p, _ in got)
-        assert sum(n for _, n in got) == fewest(items, 40)
+        assert all(sum(k * v for k, v in p) <= capacity for p, _ in got)
+        assert sum(n for _, n in got) == fewest(items, capacity)
+
+
+def test_fillings_are_undominated_and_complete():
+    rng = random.Random(9)
+    for _ in range(100):
+        left = collections.Counter(rng.randrange(1, 20) for _ in range(rng.randrange(1, 9)))
+        lengths = sorted(left)
+        sets = {()}
+        for n in lengths:
+            sets = {(*s, *[n] * k) for s in sets for k in range(left[n] + 1)}
+        for target in range(1, 30):
+            got = list(packing.exact(lengths, [left[n] for n in lengths], target, [10**6]))
+            assert sorted(tuple(sorted(n for n, k in f for _ in range(k))) for f in got) == sorted(s for s in sets if sum(s) == target)
+            for f in got:
+                for waste in (0, 2):
+                    used = [n for n, k in f for _ in range(k)]
+                    parts = [c for r in range(len(used) + 1) for c in itertools.combinations(used, r)]
+                    free = [n for n in lengths if left[n] > dict(f).get(n, 0)]
+                    wanted = any(sum(c) < x <= sum(c) + waste or x == sum(c) and len(c) > 1 for c in parts for x in free)
+                    assert packing.dominated(f, lengths, [left[n] for n in lengths], waste) == wanted
+
+
+def test_search_beats_best_fit():
+    """120 pieces for which best fit needs more sequences than there must be."""
+    gaps = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        h = collections.Counter(np.clip(rng.lognormal(6.6, 0.6, 120).astype(int), 1, 2048).tolist())
+        first, better = (sum(n for _, n in packing.plan(h, nodes=k)) for k in (0, 4000))
+        assert better <= first
+        gaps += first - better
+    assert gaps > 0
 
 
 def plain_decontam(text, items):
