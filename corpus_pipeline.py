@@ -19,20 +19,21 @@ from inkwell.llm import common, decontam, jaccard, packing, quality, toxicity
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and text are among rows (doc_id, row_hash), null included. Both sides grow with the corpus: a merge join at every size."""
-    rows = rows.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_ink_id"), F.col("row_hash").alias("_ink_hash")).hint("merge")
-    return docs.join(rows, ["_ink_id", "_ink_hash"], "left_semi").drop("_ink_id", "_ink_hash")
+#: The rows of a document: its doc_id, null as 0, and the hash of its text, which also tells a null doc_id from 0.
+_KEY = ["_ink_id", "_ink_hash"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of _keep(): _ink_id and _ink_hash, which also tells a null doc_id from 0."""
     return docs.withColumns({"_ink_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), "_ink_hash": common.row_hash(docs["doc_id"], docs["text"])})
 
 
+def _keys(rows: DataFrame, name: str) -> DataFrame:
+    """The keys of rows (doc_id, row_hash), written: so Spark knows their size and sends them to the texts only where that is small."""
+    return common.materialize(rows.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_ink_id"), F.col("row_hash").alias("_ink_hash")).distinct(), name)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs).filter("kept").select(F.col("doc_id").alias("_ink_id"), F.col("text_hash").alias("_ink_hash")).hint("merge")
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["_ink_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == judged["_ink_hash"]), "left_semi")
+    return quality.kept_rows(docs)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +44,20 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component; of rows with its smallest doc_id the one of the smallest hash, and one of exact repeats."""
-    copy = Window.partitionBy("_ink_id", "_ink_hash").orderBy(F.xxhash64(*(docs[c] for c in docs.columns if c not in ("doc_id", "text"))))
-    # before the join: Spark then leaves one row of a key to each task ahead of the exchange, and the join needs none of its own
-    single = _keyed(docs).withColumn("_ink_copy", F.row_number().over(copy)).filter("_ink_copy = 1").drop("_ink_copy")
-    return _keep(single, jaccard.keep(docs))
+    judged = common.materialize(jaccard.keep(docs), "pipeline-judged")
+    copies = _keys(judged.filter(~F.col("kept")), "pipeline-copies")
+    repeated = _keys(judged.filter("kept").groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "pipeline-repeated")
+    single = _keyed(docs).join(copies, _KEY, "left_anti")
+    if not repeated.isEmpty():
+        order = Window.partitionBy(*_KEY).orderBy(F.xxhash64(*(docs[c] for c in docs.columns if c not in ("doc_id", "text"))))
+        one = single.join(repeated, _KEY, "left_semi").withColumn("_ink_copy", F.row_number().over(order)).filter("_ink_copy = 1").drop("_ink_copy")
+        single = single.join(repeated, _KEY, "left_anti").unionByName(one)
+    return single.drop(*_KEY)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(_keyed(docs), decontam.decontaminate(docs, common.read(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")))
+    hit = decontam.decontaminate(docs, common.read(spark, sf_dir, "benchmark")).filter("contaminated")
+    return _keyed(docs).join(_keys(hit, "pipeline-contaminated"), _KEY, "left_anti").drop(*_KEY)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +74,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
+    docs, begun = common.read(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.release(begun, keep=1)
     return docs
