@@ -10,7 +10,7 @@ leaves out segments; what is left of its budget is above H, so some segment of i
 is at most one smaller, so it is indexed too. If neither leaves out any, the same holds with the whole budget.
 
 allocate() chooses m0, m1 and the smallest segment size by cost: index entries of a set, plus the wrong candidates that
-segments of that size are expected to cause among all documents; so the segments grow with the corpus.
+its segments, of Poisson sizes, are expected to cause among all documents; so the segments grow with the corpus.
 
 Groups of equal keys are sorted and streamed; in each, the first set is the hub and the pairs with it are verified first. Then the
 groups get more hubs in rounds (64, 4096, ... of them) until all are used, so no link is missed; each pair is looked at once.
@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from inkwell.llm import common, graph
 
 SHINGLE, PERCENT = 5, 80
-#: Cost model: the chance that two sets share a given shingle by accident, and the cost of a wrong candidate in index entries.
-SHARED, WRONG = 0.02, 0.1
+#: Cost model: the chance that a set has a given shingle of another one by accident, and the cost of a wrong candidate in index entries.
+SHARED, WRONG = 0.001, 0.1
 BITS, GROWTH = 512, 64
 PAGE = 32768
 BITMAP = [f"b{i}" for i in range(BITS // 64)]
@@ -95,6 +95,16 @@ def _at_most(k: float, mean: float) -> float:
     return min(total, 1.0)
 
 
+def _accidents(mean: float, least: int) -> float:
+    """Chance that a segment of Poisson(mean) elements, more than least of them, stands in another set by accident, with nothing else in the segment there."""
+    term, total = exp(-mean), 0.0
+    for i in range(60):
+        if i > least:
+            total += term
+        term *= mean * SHARED / (i + 1)
+    return total * exp(-mean)
+
+
 @lru_cache(4096)
 def allocate(band: int, percent: int, documents: int) -> tuple[int, int, int, int, int] | None:
     """(m0, m1, weight of a one-deletion segment, smallest size, slack) of least cost; None where sets must be equal to be linked."""
@@ -118,7 +128,9 @@ def allocate(band: int, percent: int, documents: int) -> tuple[int, int, int, in
                     slack = wanted
                 if wanted > slack:
                     continue
-                now = m0 * (1 - p0) + m1 * (1 + weight * k0) + documents * (m0 + m1) * SHARED ** (least + 1) * WRONG
+                k1 = weight * k0
+                wrong = m0 * _accidents(k0, least) + m1 * k1 * (1 + k1) * _accidents(k1, least)  # with one element less on either side
+                now = m0 * (1 - p0) + m1 * (1 + k1) + documents * wrong * WRONG
                 if now < cost:
                     best, cost = (m0, m1, weight, least, slack), now
     return best
@@ -328,7 +340,8 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     sets, bits = sets_of(docs, known.select("least.doc_id", "least.row_hash"), k)
     sets = common.materialize(sets, "jaccard-texts")
     bits.destroy()
-    first = with_known(with_known(shared.filter("fresh").select(F.col("hub").alias("a"), F.col("node").alias("b")), known, "b"), known, "a", "_a")
+    first = shared.filter("fresh").select(F.col("hub").alias("a"), F.col("node").alias("b")).repartition("b").distinct()
+    first = with_known(with_known(first, known, "b"), known, "a", "_a")
     links = common.materialize(verify(first.filter(possible(percent)).select("a", "b"), sets, percent), "jaccard-links")
     roots = None if every else common.materialize(graph.components(links), "jaccard-roots")
     most = shared.agg(F.max("rank")).first()[0] or 0
