@@ -3,54 +3,54 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 import uuid
-from decimal import Decimal, InvalidOperation
+from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from inkwell.functions import text
 
-_NUMBER = regex.compile(r"[^\d+\-]*([+\-]?\d+(?:\.\d+)?)")
-
 
 def number_of(value) -> Decimal | None:
     """The number that a JSON value shows; a truth value shows none."""
     if value is None or isinstance(value, bool):
         return None
-    shown = str(value) if isinstance(value, (int, float, Decimal)) else unicodedata.normalize("NFKC", str(value)).replace(",", "").strip()
-    m = regex.match(r"(.+)", shown, regex.S) if isinstance(value, (int, float, Decimal)) else _NUMBER.match(shown)
-    try:
-        return Decimal(m[1]) if m else None
-    except InvalidOperation:
-        return None
+    return Decimal(str(value)) if isinstance(value, (int, float, Decimal)) else text.plain_number(str(value))
 
 
 def truth_of(value) -> bool | None:
-    if isinstance(value, bool):
-        return value
-    word = text.plain_normalize(None if value is None else str(value))
-    return True if word in text.TRUE_WORDS else False if word in text.FALSE_WORDS else None
+    """The truth value that a JSON value shows."""
+    word = text.plain_normalize("" if value is None else str(value))
+    return word in text.TRUE_WORDS if word in text.TRUE_WORDS + text.FALSE_WORDS else None
+
+
+def nodes(tree, at: tuple = ()) -> Iterator[tuple[tuple, object]]:
+    """Every value of a JSON tree with its path."""
+    yield at, tree
+    inner = tree.items() if isinstance(tree, dict) else enumerate(tree) if isinstance(tree, list) else ()
+    for k, v in inner:
+        yield from nodes(v, (*at, k))
+
+
+#: kind of wanted value -> (its types, whether a given value satisfies it), the first that fits.
+KINDS = (
+    ((dict,), lambda w, g: isinstance(g, dict)),
+    ((list,), lambda w, g: isinstance(g, list) and len(g) == len(w)),
+    ((bool,), lambda w, g: truth_of(g) == w),
+    ((int, float, Decimal), lambda w, g: number_of(g) == number_of(w)),
+    ((type(None),), lambda w, g: g is None),
+    ((object,), lambda w, g: text.plain_normalize(str(g)) == text.plain_normalize(str(w))),
+)
 
 
 def contains(wanted, given) -> bool:
     """Whether given has all that wanted asks for: further fields of objects don't matter, lists must have equal length."""
-    match wanted:
-        case dict():
-            return isinstance(given, dict) and all(k in given and contains(v, given[k]) for k, v in wanted.items())
-        case list():
-            return isinstance(given, list) and len(given) == len(wanted) and all(map(contains, wanted, given))
-        case bool():
-            return truth_of(given) == wanted
-        case int() | float() | Decimal():
-            return number_of(given) == number_of(wanted)
-        case None:
-            return given is None
-    return text.plain_normalize(str(wanted)) == text.plain_normalize(str(given))
+    there = dict(nodes(given))
+    return all(at in there and next(fits for types, fits in KINDS if isinstance(w, types))(w, there[at]) for at, w in nodes(wanted))
 
 
 @F.pandas_udf(BooleanType())

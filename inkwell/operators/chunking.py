@@ -10,30 +10,37 @@ from inkwell.functions import text as T
 TARGET, LARGEST, SMALLEST = 2500, 3000, 1000
 
 
+BLOCK = 64
+
+
+def starts(lengths: Column) -> Column:
+    """Running sums of an array of lengths, each before its own element.
+
+    Appending to an array copies it, so the sums are made block by block, and only the blocks' own sums over the whole array.
+    """
+    at = F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(BLOCK))
+    blocks = F.transform(at, lambda i: F.slice(lengths, i + 1, BLOCK))
+
+    def run(values: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    total = lambda block: F.aggregate(block, F.lit(0), lambda a, n: a + n)
+    return F.flatten(F.zip_with(blocks, run(F.transform(blocks, total), F.lit(0)), run))
+
+
 def paragraphs(c: Column) -> Column:
     """Array of (start, end, body) of the lines that aren't blank, in order."""
     lines = F.regexp_extract_all(c, F.lit(T.LINE), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,body:string>>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        body = F.regexp_replace(line, r"(?:\r\n|\r|\n)\z", "")
-        own = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(body)).alias("end"), body.alias("body"))
-        blank = F.length(F.regexp_replace(line, T.SPACE, "")) == 0
-        return F.struct((acc["at"] + F.length(line)).alias("at"), F.when(blank, acc["out"]).otherwise(F.concat(acc["out"], F.array(own))).alias("out"))
-
-    return F.aggregate(lines, zero, step)["out"]
+    body = lambda line: F.regexp_replace(line, r"(?:\r\n|\r|\n)\z", "")
+    placed = F.zip_with(lines, starts(F.transform(lines, F.length)), lambda line, at: F.struct(at.alias("start"), (at + F.length(body(line))).alias("end"), body(line).alias("body")))
+    return F.filter(placed, lambda p: p["body"].rlike(T.SOLID))
 
 
 def split_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph_index, paragraph_text, start_offset, end_offset).
-
-    Offsets of a document's lines are a running sum, so lines are exploded and summed within the document only.
-    """
-    lines = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(T.LINE), F.lit(0))).alias("k", "line"))
-    order = Window.partitionBy(id_col).orderBy("k")
-    lines = lines.withColumn("start_offset", (F.sum(F.length("line")).over(order) - F.length("line")).cast("int")).withColumn("paragraph_text", F.regexp_replace("line", r"(?:\r\n|\r|\n)\z", ""))
-    kept = lines.filter(F.length(F.regexp_replace("line", T.SPACE, "")) > 0)
-    return kept.select(id_col, (F.row_number().over(order) - 1).alias("paragraph_index"), "paragraph_text", "start_offset", (F.col("start_offset") + F.length("paragraph_text")).alias("end_offset"))
+    """(id, paragraph_index, paragraph_text, start_offset, end_offset), within each row: nothing is shuffled."""
+    rows = docs.select(id_col, F.posexplode(paragraphs(F.col(text_col))).alias("paragraph_index", "p"))
+    return rows.select(id_col, "paragraph_index", F.col("p.body").alias("paragraph_text"), F.col("p.start").alias("start_offset"), F.col("p.end").alias("end_offset"))
 
 
 def split_long(paragraphs_: DataFrame, most: int = LARGEST) -> DataFrame:

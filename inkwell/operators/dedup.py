@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions import text as T
+
 
 def first_discoveries(rows: DataFrame, partition: list[str], name: str, status: str = "match_status") -> DataFrame:
     """UNRESOLVED rows only, the first of each normalised name."""
@@ -36,6 +38,12 @@ def setting_key(matched_id: Column, name: Column, attribute: Column, value_type:
     return F.when((status != "AMBIGUOUS") & who.isNotNull(), F.to_json(F.array(who, F.coalesce(attribute, F.lit("")), F.coalesce(value_type, F.lit("")), F.coalesce(value_json, F.lit("")))))
 
 
+def gold_ids(gold: DataFrame) -> DataFrame:
+    """gold (episode_no, ordinal, entity_name, fact_key, decision) with gold_id: its parts are the name and the key, or the decision where there is no key."""
+    key = F.when(F.length(F.coalesce("fact_key", F.lit(""))) > 0, F.col("fact_key")).otherwise(F.col("decision"))
+    return occurrence_ids(gold, "episode_no", T.id_part(F.col("entity_name")), T.id_part(key))
+
+
 def occurrence_ids(rows: DataFrame, episode: str, name: Column, key: Column) -> DataFrame:
     """gold_id episode-{n}:{name}:{key}:{k}, k counting equal identities from 1 in input order."""
     rows = rows.withColumns({"g_name": name, "g_key": key})

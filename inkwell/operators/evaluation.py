@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from inkwell.functions import json_values as J
 from inkwell.functions import text as T
+from inkwell.operators import dedup, evidence, names
+from inkwell.sources import tables
 
 #: Weights of a pair and of importance.
 CANONICAL, ALIAS, MATCH, PENDING, SAME_TYPE, COVERED = 1000, 900, 100, 50, 20, 5
 IMPORTANCE = {"MUST": 3, "SHOULD": 2, "NICE": 1}
+#: Decisions of gold rows.
+EXTRACT, DO_NOT_EXTRACT, REVIEW = "EXTRACT", "DO_NOT_EXTRACT", "REVIEW_REQUIRED"
+#: The counts of an episode, which add up over episodes.
+COUNTS = (
+    "goldExtract", "goldDoNotExtract", "goldDoNotExtractScored", "goldDoNotExtractUnscored", "goldReviewExcluded", "characterDiscoveryExcluded", "predictionTotal", "predictions", "reviewExcludedPredictions",
+    "detectionMatches", "factCorrect", "semanticPending", "valueTypeCorrect", "structuredValueEvaluated", "structuredValueCorrect", "attributeValueCorrect", "hardNegativeViolations", "duplicates", "weightedGold",
+    "weightedDetectionMatches", "weightedFactCorrect", "evidenceQuotes", "locatableEvidenceQuotes", "matchedWithPredictionEvidence", "matchedWithGoldEvidence", "matchedWithCoveredGoldEvidence", "judgeInputTokens",
+    "judgeCachedInputTokens", "judgeOutputTokens", "unknownSubjectPredictions", "subjectOnlyFailures", "ambiguousUnknownSubjectPredictions", "pendingUnknownSubjectPredictions", "unmatchedUnknownSubjectPredictions",
+)
 
 #: metric -> (numerator, denominator, needs all meanings judged)
 RATIOS = {
@@ -32,7 +48,6 @@ RATIOS = {
 @F.pandas_udf(StructType([StructField("status", StringType()), StructField("type_matched", BooleanType()), StructField("structured", BooleanType())]))
 def compare_values(gold_type: pd.Series, gold_value: pd.Series, gold_json: pd.Series, type_: pd.Series, value: pd.Series, value_json: pd.Series) -> pd.DataFrame:
     """MATCH, MISMATCH or SEMANTIC_JUDGE_REQUIRED of the shown values; whether the types agree; whether the JSON holds the gold JSON (null without one)."""
-    import json
 
     def text(x):
         return x if isinstance(x, str) else None
@@ -56,15 +71,16 @@ def compare_values(gold_type: pd.Series, gold_value: pd.Series, gold_json: pd.Se
 
 
 def identity_pairs(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(episode_no, gold_ordinal, pred_ordinal, weight) of the pairs with equal name and an accepted key.
+    """(episode_no, gold_ordinal, pred_ordinal, name, weight) of the pairs with equal name and an accepted key.
 
     gold: episode_no, ordinal, name, fact_key, accepted_keys; predictions: episode_no, ordinal, name, key. Names and keys are
     normalised. An equi-join on the exploded keys, so no pair without an identity is ever formed.
     """
-    keys = gold.select("episode_no", F.col("ordinal").alias("gold_ordinal"), "name", "fact_key", F.explode(F.array_distinct(F.array_union("accepted_keys", F.array("fact_key")))).alias("key"))
+    accepted = F.filter(F.array_union("accepted_keys", F.array("fact_key")), lambda k: k.isNotNull())
+    keys = gold.select("episode_no", F.col("ordinal").alias("gold_ordinal"), "name", "fact_key", F.explode(accepted).alias("key"))
     met = keys.join(predictions.select("episode_no", F.col("ordinal").alias("pred_ordinal"), "name", "key"), ["episode_no", "name", "key"])
     weight = F.when(F.col("key") == F.col("fact_key"), CANONICAL).otherwise(ALIAS)
-    return met.select("episode_no", "gold_ordinal", "pred_ordinal", weight.alias("weight"))
+    return met.select("episode_no", "gold_ordinal", "pred_ordinal", "name", weight.alias("weight"))
 
 
 def pair_weight(identity: Column, status: Column, type_matched: Column, covered: Column) -> Column:
@@ -72,75 +88,94 @@ def pair_weight(identity: Column, status: Column, type_matched: Column, covered:
     return F.when(identity > 0, identity + value + F.when(type_matched, SAME_TYPE).otherwise(0) + F.when(covered, COVERED).otherwise(0)).otherwise(0)
 
 
-def best_assignment(weights: list[list[int]]) -> list[tuple[int, int]]:
+def best_assignment(weights) -> list[tuple[int, int]]:
     """Pairs (row, column) of greatest total weight, each row and column once, pairs of weight 0 left out.
 
-    Shortest augmenting paths with potentials (Jonker and Volgenant 1987), over costs that are the negative weights.
+    Shortest augmenting paths with potentials (Jonker and Volgenant 1987), over costs that are the negative weights; each step
+    looks at a whole row.
     """
-    n, m = len(weights), max((len(r) for r in weights), default=0)
-    if not n or not m:
+    w = np.array(weights, float)
+    if not w.size:
         return []
-    turned = n > m
-    w = [list(c) for c in zip(*weights, strict=True)] if turned else weights
-    n, m = len(w), len(w[0])
-    row_of, u, v = [-1] * m, [0] * n, [0] * m
+    turned = w.shape[0] > w.shape[1]
+    cost = -(w.T if turned else w)
+    n, m = cost.shape
+    row_of, u, v = np.full(m, -1), np.zeros(n), np.zeros(m)
     for start in range(n):
-        dist, came, done = [float("inf")] * m, [-1] * m, [False] * m
-        row, last, total = start, -1, 0
+        dist, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, last, total = start, -1, 0.0
         while True:
-            best, at = float("inf"), -1
-            for j in range(m):
-                if done[j]:
-                    continue
-                d = total - w[row][j] - u[row] - v[j]
-                if d < dist[j]:
-                    dist[j], came[j] = d, last
-                if dist[j] < best:
-                    best, at = dist[j], j
-            total, done[at] = best, True
+            d = np.where(done, np.inf, total + cost[row] - u[row] - v)
+            nearer = d < dist
+            dist[nearer], came[nearer] = d[nearer], last
+            at = int(np.where(done, np.inf, dist).argmin())
+            total, done[at] = dist[at], True
             if row_of[at] < 0:
                 break
             last, row = at, row_of[at]
+        settled = np.flatnonzero(done & (np.arange(m) != at))
         u[start] += total
-        for j in range(m):
-            if done[j] and j != at:
-                u[row_of[j]] += total - dist[j]
-                v[j] -= total - dist[j]
-        j = at
-        while j >= 0:
-            k = came[j]
-            row_of[j] = start if k < 0 else row_of[k]
-            j = k
-    pairs = [(i, j) for j, i in enumerate(row_of) if i >= 0 and w[i][j] > 0]
+        u[row_of[settled]] += total - dist[settled]
+        v[settled] -= total - dist[settled]
+        while at >= 0:
+            before = came[at]
+            row_of[at] = start if before < 0 else row_of[before]
+            at = before
+    pairs = [(int(i), j) for j, i in enumerate(row_of) if i >= 0 and -cost[i, j] > 0]
     return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
 
 
-def assign(pairs: DataFrame) -> DataFrame:
-    """(episode_no, gold_ordinal, pred_ordinal, weight): the assignment of greatest weight in each episode.
-
-    An episode's gold and predicted facts are one annotator's work; each episode is one group.
+def best_pairs(gold: np.ndarray, pred: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Positions of the edges (gold, pred, weight) in the assignment of greatest weight, solved by connected component."""
+    group = np.arange(len(gold))
+    sides = [np.unique(x, return_inverse=True)[1] for x in (gold, pred)]
+    while True:  # the smallest position that an edge is joined with
+        before = group
+        for side in sides:
+            least = np.full(side.max(initial=-1) + 1, len(group))
+            np.minimum.at(least, side, group)
+            group = np.minimum(group, least[side])
+        if np.array_equal(before, group):
+            break
+    order = np.argsort(group, kind="stable")
+    out: list[int] = []
+    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+        rows, columns = np.unique(gold[own], return_inverse=True), np.unique(pred[own], return_inverse=True)
+        w, edge = np.zeros((len(rows[0]), len(columns[0]))), {}
+        for k, i, j in zip(own.tolist(), rows[1].tolist(), columns[1].tolist(), strict=True):
+            if weight[k] > w[i, j]:
+                w[i, j], edge[i, j] = weight[k], k
+        out += [edge[p] for p in best_assignment(w)]
+    return out
+
+
+def assign(pairs: DataFrame, by: tuple[str, ...] = ("episode_no",)) -> DataFrame:
+    """The rows of pairs (episode_no, gold_ordinal, pred_ordinal, weight, ...) that the assignment of greatest weight takes.
+
+    `by` names columns that both sides of a pair share, so that no two groups compete for a fact. A group's facts are one
+    annotator's work on one episode; within it each connected component of pairs is solved by itself.
     """
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        gold, pred = sorted(frame["gold_ordinal"].unique()), sorted(frame["pred_ordinal"].unique())
-        row, col = {g: i for i, g in enumerate(gold)}, {p: j for j, p in enumerate(pred)}
-        weights = [[0] * len(pred) for _ in gold]
-        for g, p, w in zip(frame["gold_ordinal"], frame["pred_ordinal"], frame["weight"], strict=True):
-            weights[row[g]][col[p]] = max(int(w), weights[row[g]][col[p]])
-        out = [(frame["episode_no"].iloc[0], gold[i], pred[j], weights[i][j]) for i, j in best_assignment(weights)]
-        return pd.DataFrame(out, columns=["episode_no", "gold_ordinal", "pred_ordinal", "weight"])
+        frame = frame.sort_values(["gold_ordinal", "pred_ordinal"], kind="stable", ignore_index=True)
+        return frame.iloc[sorted(best_pairs(*(frame[c].to_numpy() for c in ("gold_ordinal", "pred_ordinal", "weight"))))]
 
-    return pairs.groupBy("episode_no").applyInPandas(solve, "episode_no long, gold_ordinal long, pred_ordinal long, weight long")
+    return pairs.groupBy(*by).applyInPandas(solve, pairs.schema)
 
 
 def diagnose_unknown(pairs: DataFrame, unknown: DataFrame) -> DataFrame:
-    """Status of each unknown-subject prediction (episode_no, pred_ordinal) from its (episode_no, gold_ordinal, pred_ordinal, status)
-    pairs with unmatched gold: recoverable if it and its gold fit each other alone and the value matches, pending if the value must be judged."""
-    fits = pairs.filter("status <> 'MISMATCH'")
-    n_gold = fits.groupBy("episode_no", "pred_ordinal").agg(F.count(F.lit(1)).alias("n_gold"), F.min("gold_ordinal").alias("gold_ordinal"), F.min("status").alias("status"))
-    n_pred = fits.groupBy("episode_no", "gold_ordinal").agg(F.count(F.lit(1)).alias("n_pred"))
-    met = unknown.join(n_gold, ["episode_no", "pred_ordinal"], "left").join(n_pred, ["episode_no", "gold_ordinal"], "left")
-    return met.select("episode_no", "pred_ordinal", F.when(F.col("n_gold").isNull(), "UNMATCHED").when((F.col("n_gold") > 1) | (F.col("n_pred") > 1), "AMBIGUOUS").when(F.col("status") == "MATCH", "RECOVERABLE").otherwise("PENDING").alias("diagnosis"))
+    """(episode_no, pred_ordinal, diagnosis, gold_ordinals) of each unknown-subject prediction, from its pairs (episode_no,
+    gold_ordinal, pred_ordinal, status) with unmatched gold that accepts its key.
+
+    RECOVERABLE: its value matches one gold row, which no other such prediction matches; AMBIGUOUS: it matches otherwise;
+    PENDING: no value matches, but some must be judged; UNMATCHED: neither.
+    """
+    sure = pairs.filter("status = 'MATCH'").withColumn("rivals", F.count(F.lit(1)).over(Window.partitionBy("episode_no", "gold_ordinal")))
+    found = sure.groupBy("episode_no", "pred_ordinal").agg(F.count(F.lit(1)).alias("n"), F.max("rivals").alias("rivals"), F.sort_array(F.collect_list("gold_ordinal")).alias("sure"))
+    open_ = pairs.filter("status = 'SEMANTIC_JUDGE_REQUIRED'").groupBy("episode_no", "pred_ordinal").agg(F.sort_array(F.collect_list("gold_ordinal")).alias("open"))
+    met = unknown.join(found, ["episode_no", "pred_ordinal"], "left").join(open_, ["episode_no", "pred_ordinal"], "left")
+    kind = F.when((F.col("n") == 1) & (F.col("rivals") == 1), "RECOVERABLE").when(F.col("n") > 0, "AMBIGUOUS").when(F.col("open").isNotNull(), "PENDING").otherwise("UNMATCHED")
+    return met.select("episode_no", "pred_ordinal", kind.alias("diagnosis"), F.coalesce("sure", "open", F.array().cast("array<bigint>")).alias("gold_ordinals"))
 
 
 def without_review(predictions: DataFrame, assigned: DataFrame, review_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,17 +205,198 @@ def metrics(counts: DataFrame) -> DataFrame:
     n = lambda c: F.col(c) if c in counts.columns else F.lit(0)
     complete = n("semanticPending") == 0
     own = {m: F.when(complete, ratio(n(a), n(b))) if judged else ratio(n(a), n(b)) for m, (a, b, judged) in RATIOS.items()}
-    rest = [c for c in counts.columns if c not in {x for a, b, _ in RATIOS.values() for x in (a, b)} and c != "semanticPending"]
+    rest = [c for c in counts.columns if c not in {x for a, b, _ in RATIOS.values() for x in (a, b)} and c not in COUNTS]
     out = counts.select(*rest, complete.alias("factMetricsComplete"), *(e.alias(m) for m, e in own.items()))
     return out.withColumns({"detectionF1": f1(F.col("detectionPrecision"), F.col("detectionRecall")), "factF1": f1(F.col("factPrecision"), F.col("factRecall"))})
 
 
 def judge_batches(rows: DataFrame, size: int = 8) -> DataFrame:
     """Batch numbers for a judge, in the order of ordinal within an episode."""
-    from pyspark.sql import Window
-
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("episode_no").orderBy("ordinal")) - 1) / size))
 
 
 def judged(covered: Column, supported: Column, contradiction: Column, unsupported: Column) -> Column:
     return covered & supported & ~contradiction & ~unsupported
+
+
+#: What a judge says of a case.
+VERDICT = ("core_meaning_covered", "supported_by_evidence", "contradiction", "unsupported_detail")
+
+
+def verdicts(answer: str, size: int) -> list[tuple[bool, str]]:
+    """(matched, reason) of the cases 0 to size - 1 in a judge's answer. Its text never shows in an error."""
+    try:
+        found = json.loads(answer[answer.index("{") : answer.rindex("}") + 1])["results"]
+        rows = [(int(x["caseId"]), [x[k] for k in VERDICT], str(x["reason"])) for x in found]
+        if not all(isinstance(v, bool) for _, own, _ in rows for v in own):
+            raise ValueError
+    except (ValueError, KeyError, TypeError):
+        raise ValueError("the judge's answer is invalid") from None
+    if sorted(i for i, *_ in rows) != list(range(size)):
+        raise ValueError("the judge's answer must name every case once")
+    return [(own[0] and own[1] and not own[2] and not own[3], reason) for _, own, reason in sorted(rows)]
+
+
+def judge(cases: DataFrame, provider: Callable[[str], tuple[str, int, int, int]], size: int = 8) -> DataFrame:
+    """(episode_no, ordinal, matched, reason, input_tokens, cached_tokens, output_tokens) of cases that need a judge.
+
+    cases: episode_no, ordinal, entity_name, fact_key, gold_value, value, gold_quotes, quotes, excerpt. Each batch of an episode
+    is one call; its tokens are booked on its first case.
+    """
+    fields = {"entityName": "entity_name", "factKey": "fact_key", "goldValue": "gold_value", "predictionValue": "value", "goldEvidence": "gold_quotes", "predictionEvidence": "quotes", "sourceExcerpt": "excerpt"}
+
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ordinal", ignore_index=True)
+        plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v
+        asked = [{"caseId": i} | {k: plain(r[c]) for k, c in fields.items()} for i, r in frame.iterrows()]
+        answer, *tokens = provider(json.dumps({"cases": asked}, ensure_ascii=False, sort_keys=True))
+        said = verdicts(answer, len(frame))
+        out = frame[["episode_no", "ordinal"]].assign(matched=[m for m, _ in said], reason=[r for _, r in said])
+        for name, n in zip(("input_tokens", "cached_tokens", "output_tokens"), tokens, strict=True):
+            out[name] = [int(n or 0)] + [0] * (len(frame) - 1)
+        return out
+
+    schema = "episode_no long, ordinal long, matched boolean, reason string, input_tokens long, cached_tokens long, output_tokens long"
+    return judge_batches(cases, size).groupBy("episode_no", "batch").applyInPandas(lambda frame: ask(frame.drop(columns="batch")), schema)
+
+
+@dataclass
+class Report:
+    """counts: the COUNTS of each episode and of all (episode_no null). The other frames list the cases behind them."""
+
+    counts: DataFrame
+    matches: DataFrame
+    unmatched_gold: DataFrame
+    unmatched_predictions: DataFrame
+    review_excluded: DataFrame
+    duplicates: DataFrame
+    violations: DataFrame
+    unknown_subjects: DataFrame
+
+    def metrics(self) -> DataFrame:
+        return metrics(self.counts)
+
+
+def prepared_gold(gold: DataFrame) -> DataFrame:
+    """gold with gold_id, normalised name and key, and all accepted keys. EXTRACT rows need an importance."""
+    rows = dedup.gold_ids(gold)
+    keys = F.filter(F.concat(F.array("fact_key"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda k: k.isNotNull() & k.rlike(T.SOLID))
+    rows = rows.select(rows["*"], T.normalize_text("entity_name").alias("name"), T.fact_key("fact_key").alias("key"), keys.alias("raw_keys"))
+    rows = rows.withColumn("accepted_keys", F.array_distinct(F.split(fact_keys(F.to_json(F.col("raw_keys"))), "\n"))).withColumn("accepted_keys", F.filter("accepted_keys", lambda k: k != "")).drop("raw_keys")
+    weight = F.lit(None).cast("int")
+    for name, n in IMPORTANCE.items():
+        weight = F.when(F.col("importance") == name, F.lit(n)).otherwise(weight)
+    none = F.raise_error(F.concat(F.lit("no importance: "), F.col("gold_id"))).cast("int")
+    return rows.withColumn("importance_weight", F.when(F.col("decision") == EXTRACT, F.coalesce(weight, none)))
+
+
+@F.pandas_udf(StringType())
+def fact_keys(values: pd.Series) -> pd.Series:
+    """A JSON list of keys as normalised keys, one a line."""
+    return values.map(lambda v: "\n".join(T.plain_fact_key(k).replace("\n", " ") for k in json.loads(v)))
+
+
+def prepared_predictions(predictions: DataFrame, schemas: DataFrame | None) -> DataFrame:
+    """Settings with their evaluation name (that of the known character where MATCHED, none where AMBIGUOUS) and normalised canonical key."""
+    rows = predictions.filter(F.coalesce("candidate_kind", F.lit("SETTING")) != "CHARACTER_DISCOVERY") if "candidate_kind" in predictions.columns else predictions
+    for c in ("match_status", "matched_character_id", "matched_name"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    rows = names.canonical_keys(rows, schemas) if schemas is not None else rows.withColumn("canonical_key", F.col("attribute_name"))
+    own = F.when((F.col("match_status") == "MATCHED") & (F.length("matched_name") > 0), F.col("matched_name")).otherwise(F.col("entity_name"))
+    shown = F.when(F.coalesce(F.col("match_status") != "AMBIGUOUS", F.lit(True)), own)
+    rows = rows.withColumns({"shown": shown, "value_json": F.coalesce("value_json", F.lit("{}")), "quotes": F.coalesce("quotes", F.array().cast("array<string>"))})
+    rows = rows.withColumns({"name": F.when(F.col("shown").isNotNull(), T.normalize_text("shown")), "plain_name": T.normalize_text("entity_name"), "key": T.fact_key("canonical_key"), "canonical_json": J.canonical_json("value_json")})
+    return rows.drop("shown")
+
+
+def compared(pairs: DataFrame, gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """pairs (episode_no, gold_ordinal, pred_ordinal, ...) with the facts of both sides and how the values compare."""
+    g = gold.select("episode_no", F.col("ordinal").alias("gold_ordinal"), "gold_id", "entity_name", "fact_key", "importance_weight", F.col("value_type").alias("gold_type"), F.col("attribute_value").alias("gold_value"), F.col("value_json").alias("gold_json"), F.col("quotes").alias("gold_quotes"), "source_text")
+    p = predictions.select("episode_no", F.col("ordinal").alias("pred_ordinal"), "attribute_name", "value_type", "attribute_value", "value_json", "quotes")
+    met = pairs.join(g, ["episode_no", "gold_ordinal"]).join(p, ["episode_no", "pred_ordinal"])
+    return met.withColumn("value", compare_values("gold_type", "gold_value", "gold_json", "value_type", "attribute_value", "value_json"))
+
+
+def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None = None, provider: Callable[[str], tuple[str, int, int, int]] | None = None, batch: int = 8) -> Report:
+    """Score predictions against gold, episode by episode and in all.
+
+    gold: episode_no, ordinal, decision, importance, entity_name, fact_key, aliases, value_type, attribute_value, value_json,
+    quotes, source_text. predictions: episode_no, ordinal, entity_name, attribute_name, attribute_value, value_type, value_json,
+    quotes and, where known, candidate_kind, match_status, matched_character_id, matched_name. schemas: (schema_key, aliases).
+    provider judges texts that differ; without one such matches stay pending. Unknown subjects are never judged.
+    """
+    gold, settings = prepared_gold(gold), prepared_predictions(predictions, schemas)
+    keys = ["episode_no", "pred_ordinal"]
+    place = lambda rows, to: rows.withColumnRenamed("ordinal", to)
+    named = settings.filter("name is not null")
+    decided = lambda d: gold.filter(F.col("decision") == d)
+    extract, negative = decided(EXTRACT), decided(DO_NOT_EXTRACT)
+
+    def identity(rows: DataFrame, given: DataFrame) -> DataFrame:
+        return identity_pairs(rows.select("episode_no", "ordinal", "name", F.col("key").alias("fact_key"), "accepted_keys"), given.select("episode_no", "ordinal", "name", "key"))
+
+    pairs = compared(identity(extract, named), extract, settings)
+    covers = evidence.evaluate("gold_quotes", "quotes", F.lit(None).cast("string"))
+    pairs = pairs.withColumn("e", covers).withColumn("weight", pair_weight(F.col("weight"), F.col("value.status"), F.col("value.type_matched"), F.col("e.covered") > 0)).drop("e")
+    matches = assign(pairs, ("episode_no", "name")).withColumn("e", evidence.evaluate("gold_quotes", "quotes", "source_text"))
+    open_ = F.col("value.status") == "SEMANTIC_JUDGE_REQUIRED"
+    spent = ("input_tokens", "cached_tokens", "output_tokens")
+    if provider is None:
+        matches = matches.withColumns({"matched": F.when(~open_, F.col("value.status") == "MATCH"), "reason": F.lit(None).cast("string")} | {c: F.lit(0).cast("long") for c in spent})
+    else:
+        excerpt = evidence.excerpt(F.col("source_text"), F.concat("gold_quotes", "quotes"))
+        cases = matches.filter(open_).select("episode_no", F.col("pred_ordinal").alias("ordinal"), "entity_name", "fact_key", "gold_value", F.col("attribute_value").alias("value"), "gold_quotes", "quotes", F.coalesce(excerpt, F.lit("")).alias("excerpt"))
+        said = place(judge(cases, provider, batch), "pred_ordinal").withColumnRenamed("matched", "said")
+        matches = matches.join(said, keys, "left").withColumn("matched", F.when(open_, F.col("said")).otherwise(F.col("value.status") == "MATCH")).drop("said")
+    matches = tables.settled(matches)  # the assignment and the judge's calls are made once
+    attribute = F.when(F.col("value.type_matched"), F.col("matched"))
+    matches = matches.withColumns({"attribute_matched": attribute, "evidence_matched": evidence.acceptable(F.col("e"), F.col("source_text").isNotNull())})
+
+    assigned = matches.select(*keys, "gold_ordinal")
+    left = lambda rows, taken, on: rows.join(taken.select(*on), on, "left_anti")
+    free_gold, free = left(place(extract, "gold_ordinal"), assigned, ["episode_no", "gold_ordinal"]), left(place(settings, "pred_ordinal"), assigned, keys)
+    excluded = free.join(identity(decided(REVIEW), named).select(*keys), keys, "left_semi")
+    scored_free = left(free, excluded, keys)
+    violations = assign(identity(negative, scored_free.withColumnRenamed("pred_ordinal", "ordinal").filter("name is not null")), ("episode_no", "name"))
+    subject = F.when(F.length("matched_character_id") > 0, F.col("matched_character_id"))
+    identified = left(place(settings, "pred_ordinal"), excluded, keys).withColumns({"ordinal": F.col("pred_ordinal"), "setting_key": dedup.setting_key(subject, names.normalize(F.col("entity_name")), F.col("attribute_name"), F.col("value_type"), F.col("canonical_json"), F.coalesce("match_status", F.lit("")))})
+    duplicates = dedup.repeated(identified, ["episode_no"], "setting_key")
+
+    missing = F.coalesce(F.col("match_status") != "MATCHED", F.lit(True)) & (F.col("plain_name") == T.plain_normalize(names.UNKNOWN))
+    unknown = place(settings.filter(missing), "pred_ordinal")
+    by_key = free_gold.select("episode_no", "gold_ordinal", F.explode("accepted_keys").alias("key")).join(left(unknown, assigned, keys).select(*keys, "key"), ["episode_no", "key"]).drop("key").distinct()
+    by_key = compared(by_key, extract, settings).select(*keys, "gold_ordinal", "value.status")
+    subjects = diagnose_unknown(by_key, left(unknown, assigned, keys).select(*keys))
+
+    one = F.lit(1).cast("long")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    source = F.col("source_text").isNotNull()
+    parts = [
+        (extract, {"goldExtract": one, "weightedGold": F.col("importance_weight")}),
+        (negative, {"goldDoNotExtract": one, "goldDoNotExtractScored": flag(F.size("accepted_keys") > 0), "goldDoNotExtractUnscored": flag(F.size("accepted_keys") == 0)}),
+        (decided(REVIEW), {"goldReviewExcluded": one}),
+        (settings, {"predictionTotal": one, "predictions": one, "unknownSubjectPredictions": flag(missing)}),
+        (excluded, {"reviewExcludedPredictions": one, "predictions": -one}),
+        (matches, {
+            "detectionMatches": one, "weightedDetectionMatches": F.col("importance_weight"), "factCorrect": flag(F.col("matched")), "weightedFactCorrect": flag(F.col("matched")) * F.col("importance_weight"), "semanticPending": flag(F.col("matched").isNull()),
+            "valueTypeCorrect": flag(F.col("value.type_matched")), "structuredValueEvaluated": flag(F.col("value.structured").isNotNull()), "structuredValueCorrect": flag(F.col("value.structured")), "attributeValueCorrect": flag(F.col("attribute_matched")),
+            "evidenceQuotes": F.when(source, F.col("e.quotes")), "locatableEvidenceQuotes": F.when(source, F.col("e.locatable")), "matchedWithPredictionEvidence": flag(F.col("e.quotes") > 0),
+            "matchedWithGoldEvidence": flag(F.col("e.gold") > 0), "matchedWithCoveredGoldEvidence": flag((F.col("e.gold") > 0) & (F.col("e.covered") > 0)),
+            "judgeInputTokens": F.col("input_tokens"), "judgeCachedInputTokens": F.col("cached_tokens"), "judgeOutputTokens": F.col("output_tokens"),
+        }),
+        (violations, {"hardNegativeViolations": one}),
+        (duplicates, {"duplicates": one}),
+        (subjects, {c: flag(F.col("diagnosis") == d) for c, d in (("subjectOnlyFailures", "RECOVERABLE"), ("ambiguousUnknownSubjectPredictions", "AMBIGUOUS"), ("pendingUnknownSubjectPredictions", "PENDING"), ("unmatchedUnknownSubjectPredictions", "UNMATCHED"))}),
+    ]
+    if "candidate_kind" in predictions.columns:
+        parts.append((predictions, {"characterDiscoveryExcluded": flag(F.col("candidate_kind") == "CHARACTER_DISCOVERY")}))
+    # each part has a row of counts for an episode before they meet, and the total is one more level of the same aggregation
+    rows = None
+    for frame, own in parts:
+        part = frame.select("episode_no", *(x.cast("long").alias(c) for c, x in own.items())).groupBy("episode_no").agg(*(F.sum(c).alias(c) for c in own))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    counts = rows.rollup("episode_no").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in rows.columns else F.lit(0).cast("long").alias(c) for c in COUNTS))
+    details = matches.select("episode_no", "gold_id", "pred_ordinal", "entity_name", "fact_key", "attribute_name", "value.status", "value.type_matched", F.col("value.structured").alias("structured_matched"), "attribute_matched", F.col("matched").alias("fact_correct"), "evidence_matched", "reason")
+    shown = lambda rows: rows.select(*keys)
+    return Report(counts, details, free_gold.select("episode_no", "gold_id"), shown(scored_free), shown(excluded), shown(duplicates), violations.select("episode_no", "gold_ordinal", "pred_ordinal"), subjects)

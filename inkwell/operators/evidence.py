@@ -24,9 +24,11 @@ def locate_spaced(source: Column, quote: Column, base: Column | None = None) ->
     base = F.lit(0) if base is None else base
     escaped = F.regexp_replace(quote, r"([\\\[\](){}.*+?^$|#&~\-])", r"\\$1")
     pattern = F.regexp_replace(escaped, f"{T.SPACE}+", f"{T.SPACE}+".replace("\\", "\\\\"))
-    hit = F.regexp_substr(source, pattern)
+    # the pattern of a quote that stands there as it is, or of one without white space, is never made
+    rest = F.when((F.length(quote) > 0) & ~source.contains(quote) & quote.rlike(T.SPACE), pattern)
+    hit = F.regexp_substr(source, rest)
     at = F.call_function("instr", source, hit)
-    spaced = F.when((F.length(quote) > 0) & hit.isNotNull() & (at > 0), F.struct((base + at - 1).cast("int").alias("start"), (base + at - 1 + F.length(hit)).cast("int").alias("end")))
+    spaced = F.when(hit.isNotNull() & (at > 0), F.struct((base + at - 1).cast("int").alias("start"), (base + at - 1 + F.length(hit)).cast("int").alias("end")))
     return F.coalesce(locate(source, quote, base), spaced)
 
 
@@ -71,5 +73,5 @@ def evaluate(gold: pd.Series, given: pd.Series, source: pd.Series) -> pd.DataFra
 
 
 def acceptable(e: Column, has_source: Column) -> Column:
-    """Gold quotes, where there are any, are covered, and with a source every given quote is found in it."""
-    return ((e["gold"] == 0) | (e["covered"] > 0)) & (~has_source | (e["locatable"] == e["quotes"]))
+    """Gold quotes, where there are any, are covered, and with a source there are quotes and every one is found in it."""
+    return ((e["gold"] == 0) | (e["covered"] > 0)) & (~has_source | ((e["quotes"] > 0) & (e["locatable"] == e["quotes"])))

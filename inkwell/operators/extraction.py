@@ -97,3 +97,46 @@ def fill_subjects(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     usable = F.when(names.is_usable(names.normalize(F.col("subject"))), F.trim("subject")).otherwise(F.lit(names.UNKNOWN))
     met = candidates.join(answers.select(*keys, usable.alias("s")), keys, "left")
     return met.withColumn("entity_name", F.coalesce("s", "entity_name")).select(*candidates.columns)
+
+
+def subject_counts(candidates: DataFrame, filled: DataFrame) -> DataFrame:
+    """(calls, resolved, unresolved) of each chunk that needed subjects: one call a chunk; filled is fill_subjects() of candidates."""
+    keys = ["source_chunk_id", "ordinal"]
+    asked = candidates.filter(needs_subject(F.col("candidate_kind"), F.col("entity_name"))).select(*keys).join(filled.select(*keys, "entity_name"), keys)
+    unknown = F.count(F.when(F.col("entity_name") == names.UNKNOWN, 1))
+    return asked.groupBy("source_chunk_id").agg(F.lit(1).cast("long").alias("calls"), (F.count(F.lit(1)) - unknown).alias("resolved"), unknown.alias("unresolved"))
+
+
+def ask_subjects(candidates: DataFrame, chunks: DataFrame, provider: Callable[[str], str], static_prompt: str, known: list[str] = ()) -> DataFrame:
+    """(source_chunk_id, ordinal, subject): one call for each chunk with candidates that need a subject.
+
+    chunks: chunk_id, chunk_text, previous_text, next_text. The static part of the prompt comes first. The answer names each
+    asked candidate once, as {"resolutions": [{"candidateId": ..., "resolvedEntityName": ...}]}.
+    """
+    head = static_prompt + "\n" + json.dumps({"knownCharacters": sorted(known)}, ensure_ascii=False) + "\n"
+
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ordinal", ignore_index=True)
+        first = frame.iloc[0]
+        question = {"previous": first["previous_text"], "current": first["chunk_text"], "next": first["next_text"], "candidates": [{"candidateId": f"candidate-{r['ordinal']}", "entityName": r["entity_name"], "rawEntityMention": r["raw_entity_mention"], "attributeName": r["attribute_name"], "attributeValue": r["attribute_value"]} for _, r in frame.iterrows()]}
+        found = loads_object(provider(head + json.dumps(question, ensure_ascii=False)))["resolutions"]
+        said = {x["candidateId"]: x.get("resolvedEntityName") for x in found}
+        wanted = [f"candidate-{o}" for o in frame["ordinal"]]
+        if len(said) != len(found) or sorted(said) != sorted(wanted):
+            raise ValueError("the answers don't match the questions")
+        return frame[["source_chunk_id", "ordinal"]].assign(subject=[said[c] for c in wanted])
+
+    wanted = candidates.filter(needs_subject(F.col("candidate_kind"), F.col("entity_name")))
+    asked = wanted.join(chunks.select(F.col("chunk_id").alias("source_chunk_id"), "chunk_text", "previous_text", "next_text"), "source_chunk_id")
+    asked = asked.select("source_chunk_id", "ordinal", "entity_name", "raw_entity_mention", "attribute_name", "attribute_value", "chunk_text", "previous_text", "next_text")
+    return asked.groupBy("source_chunk_id").applyInPandas(ask, "source_chunk_id string, ordinal int, subject string")
+
+
+def job_summary(chunks: DataFrame, candidates: DataFrame, subjects: DataFrame, job: str = "job_id") -> DataFrame:
+    """(job, summary_json): the counters of each job. chunks: job, episode_id, embedding and embedding_status (null where it wasn't tried); candidates: the saved ones."""
+    when = lambda c: F.count(F.when(c, 1))
+    own = chunks.groupBy(job).agg(F.countDistinct("episode_id").alias("episodeCount"), F.count(F.lit(1)).alias("chunkCount"), when(F.col("embedding").isNotNull()).alias("embeddedChunkCount"), when(F.col("embedding").isNull() & F.col("embedding_status").isNotNull()).alias("embeddingFailedChunkCount"), when(F.col("embedding").isNull() & F.col("embedding_status").isNull()).alias("embeddingSkippedChunkCount"))
+    saved = candidates.groupBy(job).agg(F.count(F.lit(1)).alias("candidateCount"))
+    asked = subjects.groupBy(job).agg(*(F.sum(c).alias(f"subjectFallback{n}Count") for c, n in (("calls", "Call"), ("resolved", "Resolved"), ("unresolved", "Unresolved"))))
+    met = own.join(saved, job, "left").join(asked, job, "left").na.fill(0)
+    return met.select(job, F.to_json(F.struct(*(c for c in met.columns if c != job))).alias("summary_json"))

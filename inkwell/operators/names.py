@@ -25,9 +25,9 @@ _PARTICLE = f"(?:{'|'.join(PARTICLES)})"
 
 
 def normalize(c: Column) -> Column:
-    """White space stripped, quotes and brackets stripped, runs of white space as one blank, lower case; null is empty."""
+    """White space stripped, quotes and brackets stripped, runs of white space as one blank, case folded; null is empty."""
     bare = F.regexp_replace(T.strip(F.coalesce(c, F.lit(""))), f"^{_AROUND}+|{_AROUND}+$", "")
-    return F.lower(T.squeeze(bare))
+    return T.fold(T.squeeze(bare))
 
 
 def is_mention(name: Column) -> Column:
@@ -48,36 +48,49 @@ def is_usable(name: Column) -> Column:
     return is_concrete(name) | ((name != "") & ~name.isin(*PLACEHOLDERS, *MENTIONS) & ~particle_on_mention)
 
 
-def known(entities: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """(known_id, known_name) with normalised names, empty ones left out."""
-    return entities.select(F.col(id_col).alias("known_id"), normalize(F.col(name_col)).alias("known_name")).filter("known_name <> ''").distinct()
+def known(entities: DataFrame, id_col: str, name_col: str, work_col: str | None = None) -> DataFrame:
+    """(work, known_id, known_name) with normalised names, empty ones left out. Names only match within a work; without a column for it all are of one."""
+    work = F.col(work_col).cast("string") if work_col else F.lit("")
+    return entities.select(work.alias("work"), F.col(id_col).alias("known_id"), normalize(F.col(name_col)).alias("known_name")).filter("known_name <> ''").distinct()
 
 
 def _exact(rows: DataFrame, name: str, entities: DataFrame, out: str) -> DataFrame:
-    found = rows.select("row_id", F.col(name).alias("known_name")).filter(F.col(name) != "").join(entities, "known_name")
+    found = rows.select("row_id", "work", F.col(name).alias("known_name")).filter(F.col(name) != "").join(entities, ["work", "known_name"])
     return found.groupBy("row_id").agg(F.sort_array(F.collect_set("known_id")).alias(out))
 
 
-def _contained(rows: DataFrame, name: str, entities: DataFrame, out: str) -> DataFrame:
-    """Names of at least two characters of which one holds the other. The distinct names are compared, not the rows; the known
-    entities belong to one work, and Spark broadcasts them only if they are small enough."""
-    distinct = rows.select(F.col(name).alias("n")).filter(F.length(name) >= 2).distinct()
-    met = distinct.join(entities.filter(F.length("known_name") >= 2), F.col("n").contains(F.col("known_name")) | F.col("known_name").contains(F.col("n")))
-    met = met.groupBy("n").agg(F.sort_array(F.collect_set("known_id")).alias(out))
-    return rows.select("row_id", F.col(name).alias("n")).join(met, "n").select("row_id", out)
+def _pairs(name: Column) -> Column:
+    """The distinct pairs of neighbouring characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, 2)))
 
 
-def resolve(rows: DataFrame, entities: DataFrame, kind: str = "SETTING") -> DataFrame:
-    """rows (row_id, entity_name, raw_mention[, candidate_kind]) with matched_id and match_status.
+def contained(rows: DataFrame, name: str, entities: DataFrame, out: str) -> DataFrame:
+    """(row_id, out): ids of the known names of which one holds the other, both of at least two characters.
+
+    The distinct names of a work are compared, not the rows. The longer of two such names has the first two characters of the
+    shorter among its pairs of neighbours, so both directions are joins by work and pair, and no two other names meet.
+    """
+    names = rows.select("work", F.col(name).alias("n")).filter(F.length(name) >= 2).distinct()
+    long = entities.filter(F.length("known_name") >= 2)
+    first = lambda c: F.substring(c, 1, 2)
+    holds = names.select("work", "n", F.explode(_pairs(F.col("n"))).alias("pair")).join(long.withColumn("pair", first("known_name")), ["work", "pair"]).filter(F.col("n").contains(F.col("known_name")))
+    held = names.withColumn("pair", first("n")).join(long.select("work", "known_id", "known_name", F.explode(_pairs(F.col("known_name"))).alias("pair")), ["work", "pair"]).filter(F.col("known_name").contains(F.col("n")))
+    met = holds.select("work", "n", "known_id").union(held.select("work", "n", "known_id")).groupBy("work", "n").agg(F.sort_array(F.collect_set("known_id")).alias(out))
+    return rows.select("row_id", "work", F.col(name).alias("n")).join(met, ["work", "n"]).select("row_id", out)
+
+
+def resolve(rows: DataFrame, entities: DataFrame, kind: str = "SETTING", work_col: str | None = None) -> DataFrame:
+    """rows (row_id, entity_name, raw_mention[, candidate_kind]) with matched_id and match_status; work_col is the column of the work of a row.
 
     Rules in order: the entity name must be concrete, or an exact known name that is no bare mention; discoveries go by the
     entity alone; so do mentions that are pronouns; then the raw mention decides, and contradictions are AMBIGUOUS.
     """
-    base = rows.withColumns({"e": normalize(F.col("entity_name")), "r": normalize(F.col("raw_mention"))})
+    work = F.col(work_col).cast("string") if work_col else F.lit("")
+    base = rows.withColumns({"e": normalize(F.col("entity_name")), "r": normalize(F.col("raw_mention")), "work": work})
     if "candidate_kind" not in rows.columns:
         base = base.withColumn("candidate_kind", F.lit(kind))
     for name, tag in (("e", "e"), ("r", "r")):
-        base = base.join(_exact(base, name, entities, f"{tag}_exact"), "row_id", "left").join(_contained(base, name, entities, f"{tag}_part"), "row_id", "left")
+        base = base.join(_exact(base, name, entities, f"{tag}_exact"), "row_id", "left").join(contained(base, name, entities, f"{tag}_part"), "row_id", "left")
     empty = F.array().cast("array<string>")
     ids = lambda c: F.coalesce(F.transform(c, lambda x: x.cast("string")), empty)
     e_exact = ids("e_exact")

@@ -41,6 +41,17 @@ def top_k(chunks: DataFrame, query: list[float], k: int, *, where: Column | None
     return rows.withColumn("similarity", similarity).orderBy((1 - F.col("similarity")).asc_nulls_last(), id_col).limit(k)
 
 
+def search(chunks: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]], k: int, dim: int, **options) -> DataFrame:
+    """top_k() of a query text, which the provider embeds once, after all arguments are checked."""
+    if not text or not text.strip():
+        raise ValueError("a query text is needed")
+    top_k(chunks, [1.0] * dim, k, **options)  # the arguments' errors come before the call
+    found = provider([text])
+    if len(found) != 1 or len(found[0]) != dim:
+        raise ValueError("one vector of the given dimension is needed for the query")
+    return top_k(chunks, found[0], k, **options)
+
+
 def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], dim: int, model: str, batch: int = 64, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
     """(id, embedding, embedding_model): the provider's vectors in request order, each of dim numbers.
 

@@ -50,44 +50,54 @@ def adjacent_context(spark, sf):
     return chunking.with_context(_t(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "previous_text", "text", "next_text")
 
 
+def _third_lines(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", "text", F.get(F.split("text", "\n"), 2).alias("quote"))
+
+
 def _quotes(spark, sf):
-    """Each document with its third line as a quote, and a quote from another document."""
-    docs = _t(spark, sf, "documents").select("doc_id", "text")
-    return docs.withColumn("quote", F.get(F.split("text", "\n"), 2))
+    """Each document with its own third line as a quote, and with that of the next document, which is mostly not found."""
+    own = _third_lines(spark, sf)
+    other = own.select(F.col("doc_id").alias("of"), "quote").withColumn("doc_id", F.col("of") - 1)
+    return own.withColumn("of", F.col("doc_id")).unionByName(own.drop("quote").join(other, "doc_id"))
 
 
 def evidence_locate(spark, sf):
     at = evidence.locate(F.col("text"), F.col("quote"))
-    return _quotes(spark, sf).select("doc_id", at["start"].alias("start_offset"), at["end"].alias("end_offset"), evidence.verified(F.col("text"), F.col("quote"), at["start"], at["end"]).alias("verified"))
+    return _quotes(spark, sf).select("doc_id", "of", at["start"].alias("start_offset"), at["end"].alias("end_offset"), evidence.verified(F.col("text"), F.col("quote"), at["start"], at["end"]).alias("verified"))
 
 
 def evidence_locate_ws(spark, sf):
     rows = _quotes(spark, sf).withColumn("quote", F.regexp_replace("quote", " ", "\n\t"))
     at = evidence.locate_spaced(F.col("text"), F.col("quote"))
-    return rows.select("doc_id", at["start"].alias("start_offset"), at["end"].alias("end_offset"))
+    return rows.select("doc_id", "of", at["start"].alias("start_offset"), at["end"].alias("end_offset"))
 
 
 def source_excerpt(spark, sf):
-    return _quotes(spark, sf).select("doc_id", evidence.excerpt(F.col("text"), F.array("quote")).alias("excerpt"))
+    return _quotes(spark, sf).select("doc_id", "of", evidence.excerpt(F.col("text"), F.array("quote")).alias("excerpt"))
 
 
 def name_exact(spark, sf):
-    known = names.known(_t(spark, sf, "nation"), "n_nationkey", "n_name")
-    rows = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("row_id"), names.normalize(F.concat(F.lit(" «").substr(1, 1), F.lower("n_name"), F.lit(" "))).alias("n"))
-    return rows.join(known, rows["n"] == known["known_name"]).select("row_id", "known_id")
+    """Nation names in brackets, quotes and other case; every second one is looked for in the work of the next region."""
+    nation = _t(spark, sf, "nation")
+    known = names.known(nation, "n_nationkey", "n_name", "n_regionkey")
+    shown = F.concat(F.lit(" 《'"), F.lower("n_name"), F.lit("'》\t"))
+    rows = nation.select(F.col("n_nationkey").alias("row_id"), ((F.col("n_regionkey") + F.col("n_nationkey") % 2) % 5).cast("string").alias("work"), names.normalize(shown).alias("n"))
+    return names._exact(rows, "n", known, "ids").select("row_id", F.explode("ids").alias("known_id"))
 
 
 def _mentions(spark, sf):
-    """Parts as mentions of the distinct part names that are two words long at most."""
+    """Parts that mention a part name, its first word, a brand or nothing, against all distinct part names."""
     part = _t(spark, sf, "part")
-    known = names.known(part.groupBy("p_name").agg(F.min("p_partkey").alias("id")).filter("id % 3 = 0"), "id", "p_name")
-    rows = part.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("entity_name"), F.element_at(F.split("p_name", " "), 1).alias("raw_mention"))
-    return rows, known
+    known = names.known(part.groupBy("p_name").agg(F.min("p_partkey").alias("id")), "id", "p_name")
+    word = F.element_at(F.split("p_name", " "), 1)
+    entity = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, F.col("p_brand")).otherwise(word)
+    raw = F.when(F.col("p_size") % 4 == 0, F.col("p_type")).when(F.col("p_size") % 4 == 1, F.concat(F.lit("the "), F.col("p_name"), F.lit(" itself"))).when(F.col("p_size") % 4 == 2, F.concat(F.col("p_brand"), F.lit(" of "), word))
+    return part.select(F.col("p_partkey").alias("row_id"), entity.alias("entity_name"), raw.alias("raw_mention")), known
 
 
 def name_containment(spark, sf):
     rows, known = _mentions(spark, sf)
-    met = names._contained(rows.withColumn("n0", names.normalize(F.col("raw_mention"))), "n0", known, "ids")
+    met = names.contained(rows.select("row_id", F.lit("").alias("work"), names.normalize(F.col("entity_name")).alias("n0")), "n0", known, "ids")
     return met.select("row_id", F.array_join("ids", ",").alias("ids"))
 
 
@@ -136,12 +146,11 @@ def _counts(spark, sf):
     good, w = F.col("quality") == 1, F.when(F.col("doc_id") % 3 == 0, 3).when(F.col("doc_id") % 3 == 1, 2).otherwise(1)
     total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
     own = {"goldExtract": n(good), "predictions": n(F.col("predicted")), "predictionTotal": F.count(F.lit(1)), "detectionMatches": n(good & F.col("predicted")), "factCorrect": n(good & F.col("predicted") & (F.col("toxic") == 0)), "goldDoNotExtractScored": n(~good), "hardNegativeViolations": n(~good & F.col("predicted")), "weightedGold": total(good), "weightedDetectionMatches": total(good & F.col("predicted")), "weightedFactCorrect": total(good & F.col("predicted") & (F.col("toxic") == 0))}
-    return rows.groupBy("source").agg(*(e.cast("long").alias(c) for c, e in own.items()))
+    return rows.rollup("source").agg(*(e.cast("long").alias(c) for c, e in own.items())).withColumn("source", F.coalesce("source", F.lit("*")))
 
 
 def eval_counts(spark, sf):
-    by = _counts(spark, sf)
-    return by.unionByName(by.agg(*(F.sum(c).alias(c) for c in by.columns[1:])).withColumn("source", F.lit("*")))
+    return _counts(spark, sf)
 
 
 def eval_metrics(spark, sf):
@@ -158,11 +167,41 @@ def _pairs(spark, sf):
 
 
 def identity_join(spark, sf):
-    return _pairs(spark, sf)[2]
+    return _pairs(spark, sf)[2].drop("name")
 
 
 def assignment(spark, sf):
-    return evaluation.assign(_pairs(spark, sf)[2])
+    """The weight that each episode's best assignment has, which is the same whatever pairs of equal weight it takes."""
+    taken = evaluation.assign(_pairs(spark, sf)[2], ("episode_no", "name"))
+    return taken.groupBy("episode_no").agg(F.count(F.lit(1)).alias("pairs"), F.sum("weight").cast("long").alias("weight"))
+
+
+def _gold(spark, sf):
+    """Parts as gold rows and as predictions that differ from them in name, key, type, value or evidence; every part has a key of its own."""
+    p = _t(spark, sf, "part").withColumns({"u": F.col("p_size"), "word": F.element_at(F.split("p_name", " "), 1), "id": F.col("p_partkey").cast("string")})
+    u, number = F.col("u"), F.col("u") % 2 == 0
+    value = lambda c: F.concat(F.lit('{"value": "'), c.cast("string"), F.lit('"}'))
+    gold = p.select(
+        (u % 10).cast("long").alias("episode_no"), F.col("p_partkey").alias("ordinal"), F.when(u % 5 == 0, "DO_NOT_EXTRACT").when(u % 5 == 1, "REVIEW_REQUIRED").otherwise("EXTRACT").alias("decision"),
+        F.when(u % 3 == 0, "MUST").when(u % 3 == 1, "SHOULD").otherwise("NICE").alias("importance"), F.col("word").alias("entity_name"), F.concat(F.lit("Stat.K "), "id").alias("fact_key"), F.array(F.concat(F.lit("alt."), "id")).alias("aliases"),
+        F.when(number, "NUMBER").otherwise("STRING").alias("value_type"), F.when(number, F.concat(F.lit("Lv."), u.cast("string"), F.lit(" (New +1)"))).otherwise(F.col("p_name")).alias("attribute_value"), value(u).alias("value_json"), F.array("p_name").alias("quotes"), F.concat("p_name", F.lit(" is here")).alias("source_text"),
+    )
+    shown = F.when(number, F.when(u % 7 == 0, u + 1).otherwise(u).cast("string")).when(u % 3 == 1, F.concat("p_name", F.lit(" x"))).otherwise(F.upper("p_name"))
+    given = p.select(
+        (u % 10).cast("long").alias("episode_no"), F.col("p_partkey").alias("ordinal"), F.when(u % 11 == 0, "미상").otherwise(F.concat(F.lit(" "), F.upper("word"))).alias("entity_name"), F.when(u % 13 == 0, "AMBIGUOUS").otherwise("UNRESOLVED").alias("match_status"),
+        F.when(u % 4 == 0, F.concat(F.lit("ALT. "), "id")).otherwise(F.concat(F.lit("stat.k "), "id")).alias("attribute_name"), F.when(u % 17 == 0, "UNKNOWN").otherwise(F.when(number, "number").otherwise("STRING")).alias("value_type"),
+        shown.alias("attribute_value"), F.when(u % 10 == 3, "{}").otherwise(value(u)).alias("value_json"), F.when(u % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.upper("p_name"))).alias("quotes"), "u",
+    )
+    again = given.filter("u >= 45").withColumn("ordinal", F.col("ordinal") + 10**9)
+    return gold, given.unionByName(again).drop("u")
+
+
+def evaluate(spark, sf):
+    """All counts and metrics of gold against predictions, by episode and in all (-1)."""
+    report = evaluation.evaluate(*_gold(spark, sf))
+    rates = evaluation.metrics(report.counts).select("episode_no", "detectionPrecision", "weightedDetectionRecall", "valueTypeAccuracy", "hardNegativeViolationRate", "unknownSubjectRecoverableRate")
+    both = report.counts.join(rates, report.counts["episode_no"].eqNullSafe(rates["episode_no"])).drop(rates["episode_no"])
+    return both.withColumn("episode_no", F.coalesce("episode_no", F.lit(-1).cast("long")))
 
 
 def unmatched_gold(spark, sf):
@@ -178,7 +217,8 @@ def review_exclusion(spark, sf):
 
 def episode_alignment(spark, sf):
     gold, pred, _ = _pairs(spark, sf)
-    return evaluation.align(gold.filter("episode_no < 30"), pred.filter("episode_no > 5"))
+    brand = lambda rows, c: rows.select((F.length(c) % 7 * 10 + F.length("name")).alias("episode_no"))
+    return evaluation.align(brand(gold, "fact_key"), brand(pred, "key"))
 
 
 def token_bounds(spark, sf):
@@ -225,7 +265,12 @@ p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS p
       FROM o WHERE NOT regexp_matches(line, '^\\s*$'))""".replace("\\\\", "\\")
 _CH = "(SELECT vec_id, label AS work_id, vec_id % 50 AS episode_no, CASE WHEN vec_id % 7 <> 0 THEN embedding END AS embedding, CASE WHEN vec_id % 11 = 0 THEN 'v0' ELSE 'v1' END AS version FROM embeddings)"
 _SET = "(SELECT event_id AS ordinal, user_id % 10 AS job, CASE WHEN event_id % 17 <> 0 THEN event_type || '|' || (user_id % 50) END AS key, CASE WHEN event_id % 5 <> 0 THEN round(value, 1) END AS confidence FROM events)"
-_KNOWN = "(SELECT id AS known_id, lower(p_name) AS known_name FROM (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1) WHERE id % 3 = 0)"
+_KNOWN = "(SELECT min(p_partkey) AS known_id, lower(p_name) AS known_name FROM part GROUP BY p_name)"
+_MENTIONS = """(SELECT p_partkey AS row_id, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE split_part(p_name, ' ', 1) END AS entity_name,
+  CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN 'the ' || p_name || ' itself' WHEN 2 THEN p_brand || ' of ' || split_part(p_name, ' ', 1) END AS raw_mention FROM part)"""
+_QUOTES = """(SELECT doc_id, doc_id AS "of", text, string_split(text, chr(10))[3] AS quote FROM documents
+  UNION ALL SELECT a.doc_id, b.doc_id, a.text, string_split(b.text, chr(10))[3] FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"""
+_FOUND = f"WITH h AS (SELECT *, CASE WHEN length(quote) > 0 AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS s FROM {_QUOTES})"
 _G = "(SELECT p_partkey % 40 AS episode_no, p_partkey AS ordinal, split_part(p_name, ' ', 1) AS name, p_brand AS fact_key, p_type AS alias FROM part WHERE p_partkey % 2 = 0)"
 _P = "(SELECT (p_partkey + 1) % 40 AS episode_no, p_partkey AS ordinal, split_part(p_name, ' ', 1) AS name, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS key FROM part WHERE p_partkey % 2 = 1)"
 _PAIRS = f"(SELECT g.episode_no, g.ordinal AS gold_ordinal, p.ordinal AS pred_ordinal, CASE WHEN p.key = g.fact_key THEN 1000 ELSE 900 END AS weight FROM {_G} g JOIN {_P} p ON g.episode_no = p.episode_no AND g.name = p.name AND p.key IN (g.fact_key, g.alias))"
@@ -238,6 +283,36 @@ SELECT coalesce(source, '*') AS source, count(*) FILTER (quality = 1) AS "goldEx
 FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source)"""
 
 
+_EVALUATED = """
+WITH g AS (SELECT p_size % 10 AS episode_no, p_size AS u, CASE p_size % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'R' ELSE 'E' END AS d, 3 - p_size % 3 AS w, p_size % 13 = 0 AS amb, p_size % 11 = 0 AS unk, CASE WHEN p_size >= 45 THEN 2 ELSE 1 END AS n,
+    p_size % 17 <> 0 AS typed, CASE WHEN p_size % 17 = 0 THEN 'X' WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 7 = 0 THEN 'X' ELSE 'M' END WHEN p_size % 3 = 1 THEN 'S' ELSE 'M' END AS st, CASE WHEN p_size % 6 = 0 THEN 0 ELSE 1 END AS q FROM part),
+b AS (SELECT *, NOT amb AND NOT unk AS named, d = 'E' AND NOT amb AND NOT unk AS m FROM g),
+c AS (SELECT coalesce(episode_no, -1)::BIGINT AS episode_no,
+  count(*) FILTER (d = 'E') AS "goldExtract", count(*) FILTER (d = 'N') AS "goldDoNotExtract", count(*) FILTER (d = 'N') AS "goldDoNotExtractScored", 0::BIGINT AS "goldDoNotExtractUnscored", count(*) FILTER (d = 'R') AS "goldReviewExcluded", 0::BIGINT AS "characterDiscoveryExcluded",
+  sum(n)::BIGINT AS "predictionTotal", (sum(n) - coalesce(sum(n) FILTER (d = 'R' AND named), 0))::BIGINT AS "predictions", coalesce(sum(n) FILTER (d = 'R' AND named), 0)::BIGINT AS "reviewExcludedPredictions", count(*) FILTER (m) AS "detectionMatches",
+  count(*) FILTER (m AND st = 'M') AS "factCorrect", count(*) FILTER (m AND st = 'S') AS "semanticPending", count(*) FILTER (m AND typed) AS "valueTypeCorrect", count(*) FILTER (m) AS "structuredValueEvaluated", count(*) FILTER (m AND u % 10 <> 3) AS "structuredValueCorrect",
+  count(*) FILTER (m AND st = 'M') AS "attributeValueCorrect", count(*) FILTER (d = 'N' AND named) AS "hardNegativeViolations", count(*) FILTER (n = 2 AND NOT amb AND NOT (d = 'R' AND named)) AS "duplicates",
+  coalesce(sum(w) FILTER (d = 'E'), 0)::BIGINT AS "weightedGold", coalesce(sum(w) FILTER (m), 0)::BIGINT AS "weightedDetectionMatches", coalesce(sum(w) FILTER (m AND st = 'M'), 0)::BIGINT AS "weightedFactCorrect",
+  coalesce(sum(q) FILTER (m), 0)::BIGINT AS "evidenceQuotes", coalesce(sum(q) FILTER (m), 0)::BIGINT AS "locatableEvidenceQuotes", count(*) FILTER (m AND q > 0) AS "matchedWithPredictionEvidence", count(*) FILTER (m) AS "matchedWithGoldEvidence", count(*) FILTER (m AND q > 0) AS "matchedWithCoveredGoldEvidence",
+  0::BIGINT AS "judgeInputTokens", 0::BIGINT AS "judgeCachedInputTokens", 0::BIGINT AS "judgeOutputTokens", coalesce(sum(n) FILTER (unk), 0)::BIGINT AS "unknownSubjectPredictions", count(*) FILTER (unk AND d = 'E' AND st = 'M' AND n = 1) AS "subjectOnlyFailures",
+  2 * count(*) FILTER (unk AND d = 'E' AND st = 'M' AND n = 2) AS "ambiguousUnknownSubjectPredictions", coalesce(sum(n) FILTER (unk AND d = 'E' AND st = 'S'), 0)::BIGINT AS "pendingUnknownSubjectPredictions", coalesce(sum(n) FILTER (unk AND (d <> 'E' OR st = 'X')), 0)::BIGINT AS "unmatchedUnknownSubjectPredictions"
+  FROM b GROUP BY ROLLUP (episode_no))
+"""
+_PACKED = """, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM p),
+r AS (SELECT DISTINCT doc_id, -1::BIGINT AS k, NULL::INT AS a, NULL::INT AS b, NULL::BIGINT AS i, []::STRUCT(s INT, e INT, f BIGINT, l BIGINT)[] AS made FROM n
+  UNION ALL
+  SELECT n.doc_id, n.paragraph_index,
+    CASE WHEN end_offset - start_offset > 3000 THEN NULL WHEN end_offset - coalesce(a, start_offset) > 3000 THEN start_offset WHEN end_offset - coalesce(a, start_offset) >= 2500 THEN NULL ELSE coalesce(a, start_offset) END,
+    CASE WHEN end_offset - start_offset > 3000 THEN NULL WHEN end_offset - coalesce(a, start_offset) > 3000 THEN end_offset WHEN end_offset - coalesce(a, start_offset) >= 2500 THEN NULL ELSE end_offset END,
+    CASE WHEN end_offset - start_offset > 3000 THEN NULL WHEN end_offset - coalesce(a, start_offset) > 3000 THEN paragraph_index WHEN end_offset - coalesce(a, start_offset) >= 2500 THEN NULL ELSE coalesce(i, paragraph_index) END,
+    CASE WHEN end_offset - start_offset > 3000 THEN list_concat(CASE WHEN a IS NULL THEN [] ELSE [{'s': a, 'e': b, 'f': i, 'l': paragraph_index - 1}] END, list_transform(range(0, end_offset - start_offset, 3000), lambda d: {'s': (start_offset + d)::INT, 'e': least(start_offset + d + 3000, end_offset)::INT, 'f': paragraph_index, 'l': paragraph_index}))
+      WHEN end_offset - coalesce(a, start_offset) > 3000 THEN [{'s': a, 'e': b, 'f': i, 'l': paragraph_index - 1}]
+      WHEN end_offset - coalesce(a, start_offset) >= 2500 THEN [{'s': coalesce(a, start_offset), 'e': end_offset, 'f': coalesce(i, paragraph_index), 'l': paragraph_index}] ELSE [] END
+  FROM r JOIN n ON n.doc_id = r.doc_id AND n.paragraph_index = r.k + 1),
+c AS (SELECT doc_id, unnest(made) AS c FROM r UNION ALL SELECT r.doc_id, {'s': a, 'e': b, 'f': i, 'l': k} FROM r JOIN (SELECT DISTINCT doc_id, n FROM n) USING (doc_id) WHERE k = n - 1 AND a IS NOT NULL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY c.s) - 1)::INT AS chunk_index, substring(text, c.s + 1, c.e - c.s) AS chunk_text, c.s AS start_offset, c.e AS end_offset, c.f::INT AS paragraph_start_index, c.l::INT AS paragraph_end_index FROM c JOIN documents USING (doc_id)"""
+
+
 def _r(a, b):
     return f'round_even("{a}"::DOUBLE / nullif("{b}", 0), 6)'
 
@@ -248,7 +323,7 @@ def _f(p, r):
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_filtered, paragraph_split, long_paragraph_split, chunk_pack, adjacent_context, evidence_locate, evidence_locate_ws, source_excerpt, name_exact, name_containment,
-    name_resolution, schema_key_canonical, discovery_dedup, setting_dedup, duplicate_rows, gold_ids, eval_counts, eval_metrics, identity_join, assignment, unmatched_gold, review_exclusion,
+    name_resolution, schema_key_canonical, discovery_dedup, setting_dedup, duplicate_rows, gold_ids, evaluate, eval_counts, eval_metrics, identity_join, assignment, unmatched_gold, review_exclusion,
     episode_alignment, token_bounds, embedding_bounds, ledger_report, number_parse, boolean_parse, content_hash, canonical_props, fact_keys,
 )}
 
@@ -258,27 +333,42 @@ ORACLES: dict[str, str] = {
     "paragraph_split": _PARAGRAPHS + "SELECT * FROM p",
     "long_paragraph_split": _PARAGRAPHS + "SELECT doc_id, paragraph_index, (start_offset + a)::INT AS start_offset, (start_offset + least(a + 3000, length(paragraph_text)))::INT AS end_offset, substring(paragraph_text, a + 1, 3000) AS paragraph_text FROM (SELECT *, unnest(generate_series(0, greatest(length(paragraph_text) - 1, 0), 3000))::INT AS a FROM p)",
     "adjacent_context": "SELECT conv_id, turn, lag(text) OVER w AS previous_text, text, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-    "evidence_locate": "WITH q AS (SELECT doc_id, text, string_split(text, chr(10))[3] AS quote FROM documents), h AS (SELECT *, CASE WHEN length(quote) > 0 AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS s FROM q) SELECT doc_id, s::INT AS start_offset, (s + length(quote))::INT AS end_offset, s IS NOT NULL AS verified FROM h",
-    "evidence_locate_ws": "WITH q AS (SELECT doc_id, text, string_split(text, chr(10))[3] AS quote FROM documents), h AS (SELECT *, CASE WHEN length(quote) > 0 AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS s FROM q) SELECT doc_id, s::INT AS start_offset, (s + length(quote))::INT AS end_offset FROM h",
-    "source_excerpt": "WITH q AS (SELECT doc_id, text, string_split(text, chr(10))[3] AS quote FROM documents), h AS (SELECT *, CASE WHEN length(quote) > 0 AND strpos(text, quote) > 0 THEN strpos(text, quote) - 1 END AS s FROM q) SELECT doc_id, CASE WHEN s IS NULL THEN substring(text, 1, 600) ELSE substring(text, greatest(s - 300, 0) + 1, least(s + length(quote) + 300, length(text)) - greatest(s - 300, 0)) END AS excerpt FROM h",
-    "name_exact": "SELECT a.n_nationkey AS row_id, b.n_nationkey AS known_id FROM nation a JOIN nation b ON trim(lower(a.n_name)) = trim(lower(b.n_name))",
-    "name_containment": f"SELECT row_id, string_agg(known_id::VARCHAR, ',' ORDER BY known_id) AS ids FROM (SELECT DISTINCT p_partkey AS row_id, known_id FROM part JOIN {_KNOWN} ON contains(known_name, lower(split_part(p_name, ' ', 1))) OR contains(lower(split_part(p_name, ' ', 1)), known_name)) GROUP BY row_id",
-    "schema_key_canonical": "SELECT n_nationkey, (['person.age', 'person.age', 'person.age', 'size', 'item.weight', 'item.weight', 'person.age', 'other.key'])[n_nationkey % 8 + 1] AS canonical_key FROM nation",
+    "evidence_locate": _FOUND + ' SELECT doc_id, "of", s::INT AS start_offset, (s + length(quote))::INT AS end_offset, s IS NOT NULL AS verified FROM h',
+    "evidence_locate_ws": rf"""WITH h AS (SELECT *, regexp_extract(text, array_to_string(list_transform(string_split(quote, ' '), lambda x: regexp_escape(x)), '\s+')) AS hit FROM {_QUOTES})
+      SELECT doc_id, "of", CASE WHEN length(quote) > 0 AND length(hit) > 0 THEN strpos(text, hit) - 1 END::INT AS start_offset, CASE WHEN length(quote) > 0 AND length(hit) > 0 THEN strpos(text, hit) - 1 + length(hit) END::INT AS end_offset FROM h""",
+    "source_excerpt": _FOUND + ' SELECT doc_id, "of", CASE WHEN s IS NULL THEN substring(text, 1, 600) ELSE substring(text, greatest(s - 300, 0) + 1, least(s + length(quote) + 300, length(text)) - greatest(s - 300, 0)) END AS excerpt FROM h',
+    "name_exact": "SELECT a.n_nationkey AS row_id, b.n_nationkey AS known_id FROM nation a JOIN nation b ON lower(a.n_name) = lower(b.n_name) AND (a.n_regionkey + a.n_nationkey % 2) % 5 = b.n_regionkey",
+    "chunk_pack": _PARAGRAPHS.replace("WITH l", "WITH RECURSIVE l") + _PACKED,
+    "name_resolution": f"""
+WITH m AS (SELECT *, lower(entity_name) AS e, lower(coalesce(raw_mention, '')) AS r FROM {_MENTIONS}),
+i AS (SELECT row_id, raw_mention, entity_name, e, r, (SELECT list_sort(list(DISTINCT known_id::VARCHAR)) FROM {_KNOWN} k WHERE known_name = e OR length(e) >= 2 AND length(known_name) >= 2 AND (contains(e, known_name) OR contains(known_name, e))) AS a,
+  (SELECT list_sort(list(DISTINCT known_id::VARCHAR)) FROM {_KNOWN} k WHERE known_name = r OR length(r) >= 2 AND length(known_name) >= 2 AND (contains(r, known_name) OR contains(known_name, r))) AS b FROM m),
+s AS (SELECT *, CASE WHEN coalesce(len(a), 0) = 0 AND contains(r, e) THEN 'UNRESOLVED' WHEN len(b) > 1 OR len(b) = 1 AND len(a) = 1 AND a[1] <> b[1] THEN 'AMBIGUOUS' WHEN len(b) = 1 THEN 'MATCHED' WHEN len(a) > 1 THEN 'AMBIGUOUS' WHEN len(a) = 1 THEN 'MATCHED' ELSE 'UNRESOLVED' END AS match_status FROM i)
+SELECT row_id, entity_name, raw_mention, CASE WHEN match_status = 'MATCHED' THEN CASE WHEN len(b) = 1 THEN b[1] ELSE a[1] END END AS matched_id, match_status FROM s""",
+    "canonical_props": "SELECT event_id, json(props)::VARCHAR AS props FROM events",
+    "name_containment": f"SELECT row_id, string_agg(known_id::VARCHAR, ',' ORDER BY known_id) AS ids FROM (SELECT DISTINCT row_id, known_id FROM {_MENTIONS} JOIN {_KNOWN} ON contains(known_name, lower(entity_name)) OR contains(lower(entity_name), known_name)) GROUP BY row_id",
+    "schema_key_canonical": """
+WITH s AS (SELECT * FROM (VALUES ('person.age', ['years', '나이']), ('person.height', ['size']), ('item.weight', ['size', 'mass'])) t (schema_key, aliases)),
+r AS (SELECT n_nationkey, trim((['person.age', 'years', 'person.years', 'size', 'item.size', 'mass', ' person.age ', 'other.key'])[n_nationkey % 8 + 1]) AS k FROM nation),
+x AS (SELECT n_nationkey, count(*) AS n, min(schema_key) AS to_key FROM r JOIN s ON schema_key = k GROUP BY 1),
+a AS (SELECT n_nationkey, count(DISTINCT schema_key) AS n, min(schema_key) AS to_key FROM r JOIN (SELECT schema_key, unnest(aliases) AS alias FROM s) ON alias NOT LIKE '%.%' AND (k = alias OR k = regexp_replace(schema_key, '[^.]*$', '') || alias) GROUP BY 1)
+SELECT n_nationkey, CASE WHEN x.n = 1 THEN x.to_key WHEN x.n > 1 THEN k WHEN a.n = 1 THEN a.to_key ELSE k END AS canonical_key FROM r LEFT JOIN x USING (n_nationkey) LEFT JOIN a USING (n_nationkey)""",
     "discovery_dedup": "SELECT conv_id, ordinal, name, match_status FROM (SELECT conv_id, turn AS ordinal, lower(split_part(text, ' ', 1)) AS name, 'UNRESOLVED' AS match_status, row_number() OVER (PARTITION BY conv_id, lower(split_part(text, ' ', 1)) ORDER BY turn) AS k FROM conversations WHERE turn % 3 <> 0) WHERE k = 1",
     "setting_dedup": f"SELECT ordinal, job, key, confidence, position FROM (SELECT *, row_number() OVER (PARTITION BY job, key ORDER BY coalesce(confidence, -1) DESC, ordinal) AS k, min(ordinal) OVER (PARTITION BY job, key) AS position FROM {_SET} WHERE key IS NOT NULL) WHERE k = 1 UNION ALL SELECT ordinal, job, key, confidence, ordinal FROM {_SET} WHERE key IS NULL",
     "duplicate_rows": f"SELECT ordinal, job, key, confidence FROM (SELECT *, row_number() OVER (PARTITION BY job, key ORDER BY ordinal) AS k FROM {_SET} WHERE key IS NOT NULL) WHERE k > 1",
     "gold_ids": "SELECT doc_id, 'episode-' || (doc_id % 10) || ':' || lower(lang) || ':' || source || ':' || row_number() OVER (PARTITION BY doc_id % 10, lower(lang), source ORDER BY doc_id) AS gold_id FROM documents",
+    "evaluate": _EVALUATED + f'SELECT *, {_r("detectionMatches", "predictions")} AS "detectionPrecision", {_r("weightedDetectionMatches", "weightedGold")} AS "weightedDetectionRecall", {_r("valueTypeCorrect", "detectionMatches")} AS "valueTypeAccuracy", {_r("hardNegativeViolations", "goldDoNotExtractScored")} AS "hardNegativeViolationRate", {_r("subjectOnlyFailures", "unknownSubjectPredictions")} AS "unknownSubjectRecoverableRate" FROM c',
     "eval_counts": _COUNTS,
     "eval_metrics": f'WITH c AS ({_COUNTS}), m AS (SELECT source, {_r("detectionMatches", "predictions")} AS "detectionPrecision", {_r("detectionMatches", "goldExtract")} AS "detectionRecall", {_r("factCorrect", "predictions")} AS "factPrecision", {_r("factCorrect", "goldExtract")} AS "factRecall", {_r("weightedDetectionMatches", "weightedGold")} AS "weightedDetectionRecall", {_r("weightedFactCorrect", "weightedGold")} AS "weightedFactRecall", {_r("hardNegativeViolations", "goldDoNotExtractScored")} AS "hardNegativeViolationRate" FROM c) SELECT *, ' + _f('"detectionPrecision"', '"detectionRecall"') + ' AS "detectionF1", ' + _f('"factPrecision"', '"factRecall"') + ' AS "factF1" FROM m',
     "identity_join": f"SELECT * FROM {_PAIRS}",
     "unmatched_gold": f"SELECT episode_no, ordinal FROM {_G} g WHERE NOT EXISTS (SELECT 1 FROM {_PAIRS} p WHERE p.episode_no = g.episode_no AND p.gold_ordinal = g.ordinal)",
     "review_exclusion": f"SELECT episode_no, ordinal AS pred_ordinal FROM {_P} p WHERE NOT EXISTS (SELECT 1 FROM {_PAIRS} x WHERE x.pred_ordinal = p.ordinal AND weight = 1000) AND EXISTS (SELECT 1 FROM {_PAIRS} x WHERE x.pred_ordinal = p.ordinal AND weight = 900)",
-    "episode_alignment": f"SELECT episode_no, coalesce(a, false) AS has_gold, coalesce(b, false) AS has_predictions FROM (SELECT DISTINCT episode_no, true AS a FROM {_G} WHERE episode_no < 30) FULL JOIN (SELECT DISTINCT episode_no, true AS b FROM {_P} WHERE episode_no > 5) USING (episode_no)",
+    "episode_alignment": f"SELECT episode_no, coalesce(a, false) AS has_gold, coalesce(b, false) AS has_predictions FROM (SELECT DISTINCT length(fact_key) % 7 * 10 + length(name) AS episode_no, true AS a FROM {_G}) FULL JOIN (SELECT DISTINCT length(key) % 7 * 10 + length(name) AS episode_no, true AS b FROM {_P}) USING (episode_no)",
     "token_bounds": "SELECT doc_id, strlen(coalesce(text, '')) + 4096 + 512 AS byte_bound, ceil(n_chars::DOUBLE * 1.10::DOUBLE)::BIGINT + 256 + 4096 AS token_bound FROM documents",
     "embedding_bounds": "SELECT source, (coalesce(sum(strlen(text)), 0) + 256)::BIGINT AS reserved_tokens FROM documents GROUP BY 1",
     "ledger_report": "WITH e AS (SELECT event_type AS purpose, user_id % 3 AS model, event_id % 1000 + 100 AS input, CASE WHEN event_id % 4 = 0 THEN event_id % 50 ELSE 0 END AS cached, event_id % 2000 + 500 AS reserved FROM events) SELECT purpose, model, count(*) AS calls, count(*) FILTER (cached > 0) AS cache_hits, sum(input)::BIGINT AS input_tokens, sum(cached)::BIGINT AS cached_tokens, round(sum(cached)::DOUBLE / sum(input), 6) AS cached_share, round(avg(reserved), 6) AS mean_reserved, round(avg(reserved::DOUBLE / input), 6) AS mean_reserved_over_used FROM e GROUP BY 1, 2",
     "number_parse": "SELECT p_partkey, p_size::DOUBLE AS number FROM part",
-    "boolean_parse": "SELECT event_id, ([true, false, true, false, true, false, NULL])[event_id % 7 + 1] AS flag FROM events",
+    "boolean_parse": "WITH w AS (SELECT event_id, lower(trim(([' Yes', 'no', '참', '거짓', 'TRUE', '0', 'maybe'])[event_id % 7 + 1])) AS w FROM events) SELECT event_id, CASE WHEN w IN ('true', '1', 'yes', 'y', '예', '참') THEN true WHEN w IN ('false', '0', 'no', 'n', '아니오', '거짓') THEN false END AS flag FROM w",
     "content_hash": "SELECT doc_id, 'notion-' || substring(sha256(text), 1, 12) AS version FROM documents",
     "fact_keys": "SELECT p_partkey, array_to_string(list_transform(string_split(lower(trim(p_type || '.' || p_name)), '.'), lambda x: replace(trim(x), ' ', '_')), '.') AS key FROM part",
 }

@@ -3,23 +3,58 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions import json_values as J
+from inkwell.functions import text as T
+
 GOLD = (
     "datasetVersion string, name string, episodes array<struct<episodeNo:int,sourceText:string,sourceFile:string,candidates:array<struct<decision:string,importance:string,"
     "entityName:string,factKey:string,acceptedFactKeyAliases:array<string>,factKeyAliases:array<string>,valueType:string,attributeValue:string,valueJson:string,evidenceQuotes:array<string>,note:string>>>>"
 )
-_SPAN = "quote:string,start_offset:int,end_offset:int"
-_PREDICTION = f"entity_name:string,attribute_name:string,attribute_value:string,value_type:string,value_json:string,evidence_spans:array<struct<{_SPAN}>>,match_status:string,matched_character_id:string,candidate_kind:string"
-PREDICTIONS = f"episodes array<struct<episodeNo:int,candidates:array<struct<{_PREDICTION}>>>>, episodeNo int, candidates array<struct<{_PREDICTION}>>"
+#: The fields of a prediction, each also in camel case.
+PREDICTION = {
+    "entity_name": "string", "attribute_name": "string", "attribute_value": "string", "value_type": "string", "value_json": "string", "evidence_spans": "array<struct<quote:string,start_offset:int,end_offset:int,startOffset:int,endOffset:int>>",
+    "match_status": "string", "matched_character_id": "string", "matched_character_name": "string", "candidate_kind": "string",
+}
+
+
+def camel(name: str) -> str:
+    return re.sub(r"_(\w)", lambda m: m[1].upper(), name)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): whole UTF-8 files."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+_PREDICTION = ",".join(f"{x}:{t}" for c, t in PREDICTION.items() for x in dict.fromkeys((c, camel(c))))
+PREDICTIONS = (
+    f"episodes array<struct<episodeNo:int,candidates:array<struct<{_PREDICTION}>>>>, episodeNo int, candidates array<struct<{_PREDICTION}>>, summary struct<episodeNo:int>, "
+    f"settingCandidates array<struct<{_PREDICTION}>>, knownCharacters array<struct<characterId:string,character_id:string,id:string,name:string>>"
+)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of spark.checkpoint.dir, which all executors share. Only a local session may leave that unset."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="inkwell-"))
+    return df.checkpoint()
+
+
+def read_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(file, text): the whole UTF-8 files under root, with their paths below it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    name = F.regexp_replace(plain(F.input_file_name()), "^file:/+", "file:/")
+    top = F.regexp_replace(plain(F.lit(whole)), "^file:/+", "file:/")
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    return rows.select(F.substring(name, F.length(top) + 2, F.lit(1 << 30)).alias("file"), F.col("value").alias("text"))
 
 
 def get_or_raise(table: DataFrame, key: str, value) -> Row:
@@ -33,9 +68,23 @@ def ordered_scan(table: DataFrame, key: str, value, order: str) -> DataFrame:
     return table.filter(F.col(key) == F.lit(value)).orderBy(order)
 
 
-def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
-    """Replace all rows of the keys that occur in rows, as partitions; other keys stay. Each key's files change place together at commit; there is no transaction over several keys."""
+def delete_by_key(spark: SparkSession, path: str, key: str, values) -> None:
+    """Delete all rows of the keys in values (those of a batch of jobs), which are partitions; other keys stay."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for value in values:
+        store.delete(jvm.org.apache.hadoop.fs.Path(top, f"{key}={escaped(str(value))}"), True)
+
+
+def replace_by_key(rows: DataFrame, path: str, key: str, keys=None) -> None:
+    """Replace all rows of the keys that occur in rows, as partitions; other keys stay. Of `keys`, those of a batch of jobs, the ones
+    without rows lose what they had. Each key's files change place together at commit; there is no transaction over several keys."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    if keys is not None:
+        have = {str(r[0]) for r in rows.select(key).filter(F.col(key).isin(list(keys))).distinct().toLocalIterator()}
+        delete_by_key(rows.sparkSession, path, key, [k for k in keys if str(k) not in have])
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -64,10 +113,10 @@ def inside(root: str, name: str) -> str:
 
 
 def read_gold(spark: SparkSession, path: str, texts: DataFrame | None = None) -> DataFrame:
-    """(episode_no, source_text, ordinal, gold fields). A sourceFile is looked up in texts (path, text) by its end; a missing one is an error."""
+    """(episode_no, source_text, ordinal, gold fields). A sourceFile is looked up in texts (file, text) by its whole path; a missing one is an error."""
     episodes = spark.read.schema(GOLD).json(path, multiLine=True).select(F.explode("episodes").alias("e")).select("e.*")
     if texts is not None:
-        episodes = episodes.join(texts.select(F.col("text").alias("file_text"), F.substring_index("path", "/", -1).alias("file")), F.substring_index("sourceFile", "/", -1) == F.col("file"), "left")
+        episodes = episodes.withColumn("file", F.regexp_replace("sourceFile", r"^(?:\./)+", "")).join(texts.select("file", F.col("text").alias("file_text")), "file", "left")
     else:
         episodes = episodes.withColumn("file_text", F.lit(None).cast("string"))
     text = F.coalesce("sourceText", "file_text")
@@ -80,15 +129,23 @@ def read_gold(spark: SparkSession, path: str, texts: DataFrame | None = None) ->
     )
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(episode_no, ordinal, candidate fields) from a bundle of episodes or a single episode; an episode that comes twice is an error."""
+def read_predictions(spark: SparkSession, path) -> DataFrame:
+    """(episode_no, ordinal, candidate fields, quotes, matched_name) from files that hold a bundle of episodes, a single episode, or the
+    result of a debug run; an episode that comes twice is an error, and so is a MATCHED id that a debug run's characters lack."""
     raw = spark.read.schema(PREDICTIONS).json(path, multiLine=True)
-    bundle = raw.select(F.explode("episodes").alias("e")).select("e.episodeNo", "e.candidates")
-    episodes = bundle.unionByName(raw.filter("episodes is null and episodeNo is not null").select("episodeNo", "candidates"))
+    none = F.lit(None).cast("map<string,string>")
+    names = F.map_from_entries(F.transform("knownCharacters", lambda c: F.struct(F.coalesce(c["characterId"], c["character_id"], c["id"]), c["name"])))
+    debug = raw.filter("settingCandidates is not null").select(F.col("summary.episodeNo").alias("episodeNo"), F.col("settingCandidates").alias("candidates"), F.coalesce(names, F.create_map().cast("map<string,string>")).alias("names"))
+    bundle = raw.select(F.explode("episodes").alias("e")).select("e.episodeNo", "e.candidates", none.alias("names"))
+    single = raw.filter("episodes is null and settingCandidates is null and episodeNo is not null").select("episodeNo", "candidates", none.alias("names"))
+    episodes = bundle.unionByName(single).unionByName(debug)
     twice = [r[0] for r in episodes.groupBy("episodeNo").count().filter("count > 1").limit(10).collect()]
     if twice:
         raise ValueError(f"episodes that come twice: {twice}")
-    return episodes.select(F.col("episodeNo").cast("long").alias("episode_no"), F.posexplode("candidates").alias("ordinal", "c")).select("episode_no", F.col("ordinal").cast("long").alias("ordinal"), "c.*")
+    rows = episodes.select(F.col("episodeNo").cast("long").alias("episode_no"), F.posexplode("candidates").alias("ordinal", "c"), "names").select("episode_no", F.col("ordinal").cast("long").alias("ordinal"), "c.*", "names")
+    rows = rows.withColumns({c: F.coalesce(c, camel(c)) if camel(c) != c else F.col(c) for c in PREDICTION})
+    named = F.when(F.col("names").isNull(), F.col("matched_character_name")).when(F.col("match_status") == "MATCHED", F.coalesce(F.col("names")[F.col("matched_character_id")], F.raise_error(F.concat(F.lit("unknown character ID "), F.coalesce("matched_character_id", F.lit("(none)"))))))
+    return rows.select("episode_no", "ordinal", *(c for c in PREDICTION if c != "matched_character_name"), F.transform("evidence_spans", lambda s: s["quote"]).alias("quotes"), named.alias("matched_name"))
 
 
 def read_schemas(spark: SparkSession, path: str) -> DataFrame:
@@ -110,21 +167,75 @@ def attach_names(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(named, "matched_character_id", "left")
 
 
-def gold_from_annotations(rows: DataFrame) -> DataFrame:
-    """(episode_no, candidates): annotation rows grouped by episode, ordered by sort_order and page_id."""
+#: The annotation's property of each gold field.
+PROPERTIES = {
+    "row_id": "정답 ID", "episode_no": "회차", "sort_order": "정렬 순서", "decision": "판정", "importance": "중요도", "entityName": "소속 캐릭터", "factKey": "canonical factKey", "factKeyAliases": "추가 허용 factKey 별칭",
+    "valueType": "valueType", "attributeValue": "정답 attributeValue", "valueJson": "정답 valueJson", "evidenceQuotes": "원문 근거", "note": "비고(판정 사유·검수 메모)",
+}
+PAGES = "id string, properties map<string,struct<type:string,title:array<struct<plain_text:string>>,rich_text:array<struct<plain_text:string>>,select:struct<name:string>,number:double>>"
+#: Fields that an EXTRACT row needs.
+REQUIRED = ("importance", "factKey", "valueType", "attributeValue", "valueJson", "evidenceQuotes")
+
+
+def parse_annotations(pages: DataFrame) -> DataFrame:
+    """(page_id, episode_no, sort_order, decision, importance, entityName, ...) of annotation pages read with the schema PAGES.
+
+    Texts are joined and stripped, aliases are a JSON list of texts, valueJson is a JSON object, each line of the evidence that
+    isn't blank is a quote. A row that breaks these rules, or an EXTRACT row that lacks a field, is an error that names its fields only.
+    """
+    at = lambda f: F.col("properties")[F.lit(PROPERTIES[f])]
+
+    def text(f: str) -> Column:
+        parts = F.when(at(f)["type"] == "title", at(f)["title"]).when(at(f)["type"] == "rich_text", at(f)["rich_text"])
+        return F.nullif(T.strip(F.coalesce(F.array_join(F.transform(parts, lambda x: F.coalesce(x["plain_text"], F.lit(""))), ""), F.lit(""))), F.lit(""))
+
+    wrong = lambda what: F.raise_error(F.concat(F.lit(f"annotation: {what}in row "), F.col("row_id")))
+    integral = lambda f: F.when(at(f)["number"] == F.floor(at(f)["number"]), at(f)["number"].cast("long")).otherwise(wrong(f"{PROPERTIES[f]} must be an integral number ").cast("long"))
+    select = lambda f: F.nullif(T.strip(F.coalesce(at(f)["select"]["name"], F.lit(""))), F.lit(""))
+    rows = pages.withColumn("row_id", F.coalesce(text("row_id"), "id", F.lit("unknown"))).select("properties", "row_id", F.col("id").alias("page_id"), *(text(f).alias(f"_{f}") for f in ("factKeyAliases", "valueJson", "evidenceQuotes", "entityName", "factKey", "attributeValue", "note")))
+    aliases = F.from_json("_factKeyAliases", "array<string>", {"mode": "PERMISSIVE"})
+    listed = F.col("_factKeyAliases").startswith("[") & aliases.isNotNull() & F.forall(aliases, lambda x: x.isNotNull() & x.rlike(T.SOLID))
+    value = F.when(F.col("_valueJson").isNull() | (F.col("_valueJson").startswith("{") & F.try_parse_json("_valueJson").isNotNull()), F.col("_valueJson")).otherwise(wrong("valueJson must be a JSON object "))
+    quotes = F.filter(F.transform(F.regexp_extract_all("_evidenceQuotes", F.lit(T.LINE), F.lit(0)), T.strip), lambda x: x != "")
+    rows = rows.select(
+        "page_id", "row_id", integral("episode_no").alias("episode_no"), integral("sort_order").alias("sort_order"), select("decision").alias("decision"), select("importance").alias("importance"),
+        F.coalesce("_entityName", wrong(f"{PROPERTIES['entityName']} is needed ")).alias("entityName"), F.col("_factKey").alias("factKey"),
+        F.when(F.col("_factKeyAliases").isNull(), F.array().cast("array<string>")).when(F.coalesce(listed, F.lit(False)), F.transform(aliases, T.strip)).otherwise(wrong("aliases must be a JSON list of texts ").cast("array<string>")).alias("factKeyAliases"),
+        select("valueType").alias("valueType"), F.col("_attributeValue").alias("attributeValue"), value.alias("valueJson"), F.coalesce(quotes, F.array().cast("array<string>")).alias("evidenceQuotes"), F.col("_note").alias("note"),
+    )
+    lacks = F.concat(*(F.when((F.size(c) == 0) if c == "evidenceQuotes" else F.col(c).isNull(), F.lit(PROPERTIES[c] + ", ")).otherwise(F.lit("")) for c in REQUIRED))
+    checked = F.when((F.col("decision") == "EXTRACT") & (lacks != ""), F.raise_error(F.concat(F.lit("annotation row "), F.col("row_id"), F.lit(" lacks "), lacks))).otherwise(F.col("decision"))
+    return rows.withColumn("decision", checked).drop("row_id")
+
+
+def gold_from_annotations(rows: DataFrame, source_pattern: str = "%02d화.txt") -> DataFrame:
+    """(episodeNo, sourceFile, candidates): annotation rows grouped by episode, ordered by sort_order and page_id. An episode's rows are one annotator's work."""
     own = [c for c in rows.columns if c not in ("episode_no", "sort_order", "page_id")]
     item = F.struct(F.coalesce("sort_order", F.lit(2**31 - 1)).alias("sort_order"), F.col("page_id"), F.struct(*own).alias("row"))
-    return rows.groupBy("episode_no").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["row"]).alias("candidates"))
+    grouped = rows.groupBy(F.col("episode_no").alias("episodeNo")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["row"]).alias("candidates"))
+    return grouped.select("episodeNo", F.format_string(source_pattern, "episodeNo").alias("sourceFile"), "candidates")
+
+
+def snapshot_version(episodes: DataFrame, name: str) -> str:
+    """Version of a dataset by its content: the same rows give the same version, whatever their order."""
+    one = F.sha2(J.canonical_json(F.to_json(F.struct(*sorted(episodes.columns)))), 256)
+    whole = episodes.select("episodeNo", one.alias("h")).groupBy().agg(F.sha2(F.concat(F.lit(name), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("episodeNo", "h"))), lambda x: x["h"]), "")), 256)).first()[0]
+    return f"notion-{whole[:12]}"
 
 
 def write_report(counts: DataFrame, path: str) -> None:
     counts.coalesce(1).write.mode("overwrite").json(path)
 
 
+def machine_summary(counts: Row, metrics: Row, run: dict, dataset: dict) -> dict:
+    """Run, dataset, metrics and counts of a report, without anything that is derived from a source text."""
+    return {"run": run, "dataset": dataset, "metrics": {k: v for k, v in metrics.asDict().items() if k != "episode_no"}, "counts": {k: v for k, v in counts.asDict().items() if k != "episode_no"}}
+
+
 def markdown(metrics: Row) -> str:
     """The metrics of one row as a table."""
     shown = lambda v: "pending" if v is None else f"{v:.2%}" if isinstance(v, float) else str(v)
-    return "\n".join(["| metric | value |", "|---|---|", *(f"| {k} | {shown(v)} |" for k, v in metrics.asDict().items())])
+    return "\n".join(["| metric | value |", "|---|---|", *(f"| {k} | {shown(v)} |" for k, v in metrics.asDict().items() if k != "episode_no")])
 
 
 def known_characters(spark: SparkSession, path: str) -> DataFrame:

@@ -18,14 +18,34 @@ def once(events: DataFrame, key: str = "request_id", time: str = "ts", late: str
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def work(jobs: DataFrame, handle: Callable[[DataFrame], DataFrame], results: str, failures: str, checkpoint: str, interval: str = "5 seconds"):
-    """Claims pending jobs batch by batch. A batch whose handler fails is written to `failures` with the cut error text, and the loop goes on."""
+def claimed(jobs: DataFrame, model: str | None = None, step: str | None = None) -> DataFrame:
+    """The pending jobs, as running ones with the model and the step of the worker that takes them."""
+    taken = {"status": F.lit("RUNNING"), "model_name": F.lit(model), "current_step": F.lit(step)}
+    return jobs.filter("status = 'PENDING'").withColumns({c: x.cast("string") for c, x in taken.items()})
 
-    def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.filter("status = 'PENDING'")
-        try:
-            handle(rows).withColumn("batch", F.lit(number)).write.mode("append").parquet(results)
-        except Exception as e:
-            rows.withColumn("error_message", F.lit(str(e)[:1000])).write.mode("append").parquet(failures)
 
-    return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+def work(jobs: DataFrame, handle: Callable[[DataFrame], DataFrame], results: str, reports: str, checkpoint: str, job: str = "job_id", model: str | None = None, step: str | None = None, interval: str = "5 seconds"):
+    """Claims pending jobs and handles them one by one, as the rows come; a job that fails is reported, and the loop goes on.
+
+    reports gets a row (job_id, status, current_step, error_message, batch) when a job is taken, and when it is COMPLETED or FAILED
+    with its error cut to 1,000 characters. A job is a unit of work that its handler distributes.
+    """
+
+    def report(rows: DataFrame, status: str, number: int, error: str | None = None) -> None:
+        rows.select(F.col(job).cast("string").alias("job_id"), F.lit(status).alias("status"), "current_step", F.lit(error).cast("string").alias("error_message"), F.lit(number).cast("long").alias("batch")).distinct().write.mode("append").parquet(reports)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = claimed(rows, model, step)
+        if rows.isEmpty():
+            return
+        report(rows, "RUNNING", number)
+        for r in rows.select(job).distinct().toLocalIterator():
+            own = rows.filter(F.col(job) == F.lit(r[0]))
+            try:
+                handle(own).withColumn("batch", F.lit(number)).write.mode("append").parquet(results)
+            except Exception as e:
+                report(own, "FAILED", number, (str(e) or type(e).__name__)[:1000])
+            else:
+                report(own, "COMPLETED", number)
+
+    return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**({"availableNow": True} if interval == "once" else {"processingTime": interval})).start()

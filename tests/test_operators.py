@@ -76,6 +76,11 @@ def test_chunk_cases(spark):
     assert sizes("") == []
     with pytest.raises(ValueError):
         chunking.pack(F.col("text"), 10, 5, 1)
+    # rows that share an id don't mix, and running sums cross the blocks that they are made in
+    df = spark.createDataFrame([(1, "aa\nbb"), (1, "cccc\ndd"), (2, "\n".join(f"{i:04d}" for i in range(400))), (3, None)], "doc_id long, text string")
+    got = chunking.split_paragraphs(df).collect()
+    assert sorted((r["paragraph_text"], r["start_offset"]) for r in got if r["doc_id"] == 1) == [("aa", 0), ("bb", 3), ("cccc", 0), ("dd", 5)]
+    assert [(r["paragraph_index"], r["start_offset"], r["end_offset"]) for r in got if r["doc_id"] == 2] == [(i, 5 * i, 5 * i + 4) for i in range(400)]
 
 
 def test_evidence(spark):
@@ -115,6 +120,31 @@ def test_name_resolution(spark):
     assert got == {i: (m, s) for i, (*_, m, s) in enumerate(cases)}
 
 
+def test_names_match_within_their_work(spark):
+    """Containment in both directions, by work; case folding unfolds letters."""
+    known = spark.createDataFrame([("1", "김철수", "a"), ("2", "철수", "b"), ("3", "Großmann", "a"), ("4", "철", "a")], "id string, name string, w string")
+    rows = spark.createDataFrame([(0, "철수", "a"), (1, "김철수 검사", "a"), (2, "김철수", "b"), (3, "GROSSMANN", "a"), (4, "GROSSMANN", "b"), (5, "철", "a"), (6, "수김철", "a")], "row_id long, entity_name string, w string").withColumn("raw_mention", F.lit(None).cast("string"))
+    got = {r["row_id"]: (r["matched_id"], r["match_status"]) for r in names.resolve(rows, names.known(known, "id", "name", "w"), work_col="w").collect()}
+    assert got == {0: ("1", "MATCHED"), 1: ("1", "MATCHED"), 2: ("2", "MATCHED"), 3: ("3", "MATCHED"), 4: (None, "UNRESOLVED"), 5: ("4", "MATCHED"), 6: (None, "UNRESOLVED")}
+    rng = random.Random(2)
+    words = ["".join(rng.choice("ab가나") for _ in range(rng.randrange(1, 6))) for _ in range(120)]
+    rows = spark.createDataFrame([(i, w, "") for i, w in enumerate(words[:60])], "row_id long, n string, work string")
+    known = spark.createDataFrame([(str(i), w, "") for i, w in enumerate(words[60:])], "known_id string, known_name string, work string")
+    got = {r["row_id"]: r["ids"] for r in names.contained(rows, "n", known, "ids").collect()}
+    wanted = {i: sorted(str(k) for k, x in enumerate(words[60:]) if len(x) > 1 and len(w) > 1 and (x in w or w in x)) for i, w in enumerate(words[:60])}
+    assert got == {i: x for i, x in wanted.items() if x}
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([("Lv.３６ (New +1)", "ＹＥＳ", 0.12345, " Ａ b "), ("정신 -1,234.5", " 참", 1.0, "ß"), ("none", "maybe", None, None)], "n string, b string, c double, i string")
+    got = df.select(T.parse_decimal(F.col("n")).cast("double"), T.parse_boolean(F.col("b")), T.confidence(F.col("c")).cast("string"), T.id_part("i")).collect()
+    assert [tuple(r) for r in got] == [(36.0, True, "0.1235", "a_b"), (-1234.5, True, "1.0000", "ss"), (None, None, None, None)]
+    letters = [c for c in map(chr, range(1, 0x3000)) if c.lower() != c.casefold() or c.upper() != c]
+    folded = spark.createDataFrame([(c,) for c in letters], "c string").select("c", T.fold(F.col("c")).alias("f")).collect()
+    # dotless i and capital sharp s fold further, and Cherokee folds to its capitals
+    assert {r["c"] for r in folded if r["f"] != r["c"].casefold() and not "\u13a0" <= r["c"] <= "\u13fd"} <= {"ı", "ẞ"} and {"ß": "ss", "ς": "σ", "µ": "μ", "é": "é"}.items() <= {r["c"]: r["f"] for r in folded}.items()
+
+
 def test_dedup(spark):
     rows = spark.createDataFrame([(0, "a", 0.5), (1, "a", 0.9), (2, "a", 0.9), (3, None, None), (4, "b", None), (5, None, 0.1)], "ordinal long, key string, confidence double").withColumn("job", F.lit(1))
     got = sorted((r["position"], r["ordinal"]) for r in dedup.best_settings(rows, ["job"], "key").collect())
@@ -159,6 +189,147 @@ def test_assignment_is_best():
         assert all(w[i][j] > 0 for i, j in got)
 
 
+def test_assignment_by_components(spark):
+    rng = random.Random(6)
+    edges = [(e, rng.randrange(12), rng.randrange(12), rng.choice((900, 1000, 1025, 1120))) for e in range(4) for _ in range(18)]
+    taken = evaluation.assign(spark.createDataFrame([(*x, "kept") for x in edges], "episode_no long, gold_ordinal long, pred_ordinal long, weight long, more string")).collect()
+    for e in range(4):
+        w = [[max([x[3] for x in edges if x[:3] == (e, i, j)], default=0) for j in range(12)] for i in range(12)]
+        own = [r for r in taken if r["episode_no"] == e]
+        assert sum(r["weight"] for r in own) == sum(w[i][j] for i, j in evaluation.best_assignment(w)) and all(w[r["gold_ordinal"]][r["pred_ordinal"]] == r["weight"] and r["more"] == "kept" for r in own)
+        assert len({r["gold_ordinal"] for r in own}) == len({r["pred_ordinal"] for r in own}) == len(own)
+
+
+GOLD = "episode_no long, ordinal long, decision string, importance string, entity_name string, fact_key string, aliases array<string>, value_type string, attribute_value string, value_json string, quotes array<string>, source_text string"
+GIVEN = "episode_no long, ordinal long, candidate_kind string, entity_name string, match_status string, matched_name string, attribute_name string, value_type string, attribute_value string, value_json string, quotes array<string>"
+
+
+def scenarios():
+    """episode -> (gold rows, predictions, wanted counts)."""
+    text = "카엘은 12레벨 검사다. 불타는 검을 들고 있다."
+    q1, q2 = "카엘은 12레벨 검사다.", "불타는 검을 들고 있다."
+    level = ("EXTRACT", "MUST", "카엘", "level", [], "NUMBER", "12", '{"value": 12}', [q1], text)
+    sword = ("EXTRACT", "SHOULD", "카엘", "item.불타는_검", ["item.화염검"], "JSON", "불타는 검을 보유", '{"name": "불타는 검"}', [q2], text)
+    age = ("DO_NOT_EXTRACT", None, "카엘", "age", [], "NUMBER", "12", '{"value": 12}', [q1], text)
+    pred = lambda name, key, kind, value, json_, quotes=(), status=None, matched=None, what="SETTING": (what, name, status, matched, key, kind, value, json_, list(quotes))
+    p1, p2 = pred("카엘", "level", "NUMBER", "12", '{"value": 12}', [q1]), pred("카엘", "item.화염검", "JSON", "불타는 검 장착", '{"name": "불타는 검", "equipped": true}', [q2])
+    fact = lambda name, **k: ("EXTRACT", "MUST", name, "profile.species", [], "STRING", "바바리안", '{"value": "바바리안"}', [f"{name}은 바바리안이다."], None)
+    who = lambda name, status, value="바바리안", kind="STRING", matched=None, key="profile.species": pred(name, key, kind, value, '{"value": "x"}', [], status, matched)
+    skill = ("EXTRACT", "SHOULD", "카엘", "skill.화염구", [], "JSON", "화염구 Lv.3", '{"name": "화염구", "level": 3}', ["q"], None)
+    hurt = ("EXTRACT", "MUST", "카엘", "status.부상", [], "JSON", "오른쪽 발목 부상", '{"name": "부상", "location": "오른쪽 발목"}', ["q"], None)
+    job = ("EXTRACT", "NICE", "카엘", "profile.occupation", [], "STRING", "검사", "{}", ["q"], None)
+    ainar = ("EXTRACT", "SHOULD", "아이나르", "status.발목_부상", [], "JSON", "오른쪽 발목 부상", '{"name": "발목 부상"}', ["q"], None)
+    base = {"goldExtract": 2, "detectionMatches": 2, "weightedGold": 5, "weightedDetectionMatches": 5}
+    return {
+        1: ([level, sword, age], [p1, p2], base | {"predictions": 2, "factCorrect": 1, "semanticPending": 1, "goldDoNotExtractScored": 1, "hardNegativeViolations": 0, "duplicates": 0, "evidenceQuotes": 2, "locatableEvidenceQuotes": 2, "matchedWithCoveredGoldEvidence": 2, "structuredValueCorrect": 2, "weightedFactCorrect": 3}),
+        2: ([level, sword], [p1, p2, p1], base | {"predictions": 3, "duplicates": 1}),
+        3: ([level, sword], [p1, p2, pred("카엘", "level", "NUMBER", "13", '{"value": 13}', [q1])], base | {"duplicates": 0, "factCorrect": 1}),
+        4: ([level, sword, age], [p1, p2, pred("카엘", "age", "NUMBER", "12", '{"value": 12}', [q1])], base | {"hardNegativeViolations": 1}),
+        5: ([level, sword], [pred("카엘", "level", "NUMBER", "12", '{"value": 12}', ["원문에 없는 레벨 근거"]), p2], base | {"factCorrect": 1, "evidenceQuotes": 2, "locatableEvidenceQuotes": 1, "matchedWithCoveredGoldEvidence": 1}),
+        6: ([skill], [pred("카엘", "skill.화염구", "JSON", "화염구 Lv.3", '{"name": "화염구", "level": 4}')], {"factCorrect": 1, "attributeValueCorrect": 1, "structuredValueEvaluated": 1, "structuredValueCorrect": 0}),
+        7: ([hurt], [pred("카엘", "status.부상", "JSON", "왼쪽 발목 부상", '{"name": "부상", "location": "오른쪽 발목"}'), pred("카엘", "status.부상", "JSON", "오른쪽 발목 부상", '{"name": "부상", "location": "왼쪽 발목"}')], {"detectionMatches": 1, "factCorrect": 1, "structuredValueCorrect": 0}),
+        8: ([job], [pred("카엘", "profile.occupation", "STRING", "검사", '{"value": "전사"}')], {"factCorrect": 1, "structuredValueEvaluated": 0}),
+        9: ([("DO_NOT_EXTRACT", None, "카엘", None, [], None, "이름 없는 무기", None, [], None)], [], {"goldDoNotExtract": 1, "goldDoNotExtractUnscored": 1, "goldDoNotExtractScored": 0}),
+        10: ([("REVIEW_REQUIRED", None, "카엘", "status.정체_불명", [], None, None, None, [], None)], [pred("카엘", "status.정체_불명", "JSON", "정체를 알 수 없음", '{"name": "정체 불명"}')], {"predictionTotal": 1, "predictions": 0, "reviewExcludedPredictions": 1}),
+        11: ([fact("비요른 얀델")], [who("비요른", "MATCHED", matched="비요른 얀델")], {"detectionMatches": 1}),
+        12: ([fact("아이나르")], [("CHARACTER_DISCOVERY", "아이나르", None, None, None, None, None, None, []), who("아이나르", "UNRESOLVED")], {"characterDiscoveryExcluded": 1, "predictionTotal": 1, "detectionMatches": 1}),
+        13: ([fact("비요른 얀델")], [who("비요른 얀델", "AMBIGUOUS")], {"detectionMatches": 0, "predictions": 1}),
+        14: ([fact("아이나르")], [who("미상", "AMBIGUOUS")], {"detectionMatches": 0, "unknownSubjectPredictions": 1, "subjectOnlyFailures": 1}),
+        15: ([fact("아이나르"), fact("비요른")], [who("미상", "AMBIGUOUS")], {"subjectOnlyFailures": 0, "ambiguousUnknownSubjectPredictions": 1}),
+        16: ([fact("아이나르")], [who("미상", "AMBIGUOUS"), who("미상", "AMBIGUOUS")], {"unknownSubjectPredictions": 2, "subjectOnlyFailures": 0, "ambiguousUnknownSubjectPredictions": 2}),
+        17: ([fact("아이나르")], [who("미상", "AMBIGUOUS", "1", "NUMBER")], {"subjectOnlyFailures": 0, "unmatchedUnknownSubjectPredictions": 1}),
+        18: ([ainar], [who("미상", "AMBIGUOUS", "고블린 덫 때문에 오른쪽 발목을 다침", "JSON", key="status.발목_부상")], {"subjectOnlyFailures": 0, "pendingUnknownSubjectPredictions": 1, "judgeInputTokens": 0}),
+        19: ([fact("아이나르")], [who("미상", "MATCHED", matched="아이나르")], {"detectionMatches": 1, "unknownSubjectPredictions": 0}),
+        20: ([fact("아이나르")], [who("아이나르", "UNRESOLVED", key="profile.종족")], {"detectionMatches": 1}),
+        21: ([], [p1], {"predictions": 1, "goldExtract": 0}),
+    }
+
+
+def test_evaluation_end_to_end(spark):
+    cases = scenarios()
+    gold = spark.createDataFrame([(e, i, *g) for e, (rows, _, _) in cases.items() for i, g in enumerate(rows)], GOLD)
+    given = spark.createDataFrame([(e, i, *p) for e, (_, rows, _) in cases.items() for i, p in enumerate(rows)], GIVEN)
+    schemas = spark.createDataFrame([("profile.species", ["종족", "species"])], "schema_key string, aliases array<string>")
+    report = evaluation.evaluate(gold, given, schemas)
+    counts = {r["episode_no"]: r.asDict() for r in report.counts.collect()}
+    assert list(report.counts.columns) == ["episode_no", *evaluation.COUNTS] and len(evaluation.COUNTS) == 34
+    for e, (*_, wanted) in cases.items():
+        assert {k: counts[e][k] for k in wanted} == wanted, e
+    assert all(counts[None][k] == sum(c[k] for e, c in counts.items() if e is not None) for k in evaluation.COUNTS)
+    m = {r["episode_no"]: r for r in report.metrics().collect()}
+    assert len(m[1]) == 23 and (m[1]["detectionPrecision"], m[1]["detectionRecall"], m[1]["factMetricsComplete"], m[1]["factF1"], m[1]["evidenceLocatableRate"], m[1]["goldEvidenceCoverageRate"]) == (1.0, 1.0, False, None, 1.0, 1.0)
+    assert m[2]["detectionPrecision"] == 0.666667 and m[4]["hardNegativeViolationRate"] == 1.0 and m[5]["evidenceLocatableRate"] == 0.5 and m[8]["structuredValueAccuracy"] is None and m[9]["hardNegativeViolationRate"] is None and m[10]["detectionPrecision"] is None and m[14]["unknownSubjectRecoverableRate"] == 1.0
+    matches = {(r["episode_no"], r["gold_id"]): r for r in report.matches.collect()}
+    assert matches[1, "episode-1:카엘:level:1"]["evidence_matched"] and not matches[5, "episode-5:카엘:level:1"]["evidence_matched"] and matches[5, "episode-5:카엘:level:1"]["fact_correct"] and matches[20, "episode-20:아이나르:profile.species:1"]["attribute_name"] == "profile.종족"
+    assert [tuple(r) for r in report.review_excluded.collect()] == [(10, 0)] and (13, 0) in {tuple(r) for r in report.unmatched_predictions.collect()} and (13, "episode-13:비요른_얀델:profile.species:1") in {tuple(r) for r in report.unmatched_gold.collect()}
+    broken = gold.withColumn("importance", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="no importance"):
+        evaluation.evaluate(broken, given).counts.collect()
+
+
+def test_judge(spark):
+    """A batch is one call; pending matches are decided; unknown subjects are never asked about; bad answers show no text."""
+    cases = {e: x for e, x in scenarios().items() if e in (1, 18)}
+    gold = spark.createDataFrame([(e, i, *g) for e, (rows, _, _) in cases.items() for i, g in enumerate(rows)], GOLD)
+    given = spark.createDataFrame([(e, i, *p) for e, (_, rows, _) in cases.items() for i, p in enumerate(rows)], GIVEN)
+
+    def provider(prompt):
+        asked = json.loads(prompt)["cases"]
+        assert all("불타는 검" in c["sourceExcerpt"] and c["predictionEvidence"] for c in asked)
+        return json.dumps({"results": [{"caseId": c["caseId"], "core_meaning_covered": True, "supported_by_evidence": True, "contradiction": False, "unsupported_detail": False, "reason": "same"} for c in asked]}), 100, 50, 20
+
+    report = evaluation.evaluate(gold, given, provider=provider)
+    c = {r["episode_no"]: r for r in report.counts.collect()}
+    assert (c[1]["judgeInputTokens"], c[1]["judgeCachedInputTokens"], c[1]["judgeOutputTokens"], c[1]["factCorrect"], c[1]["semanticPending"], c[18]["judgeInputTokens"]) == (100, 50, 20, 2, 0, 0)
+    m = {r["episode_no"]: r for r in report.metrics().collect()}
+    assert (m[1]["factPrecision"], m[1]["factRecall"], m[1]["factMetricsComplete"]) == (1.0, 1.0, True)
+    rows = spark.createDataFrame([(1, i, "a", "k", "x", "y", ["q"], ["q"], "s") for i in range(10)], "episode_no long, ordinal long, entity_name string, fact_key string, gold_value string, value string, gold_quotes array<string>, quotes array<string>, excerpt string")
+    said = lambda prompt: (json.dumps({"results": [{"caseId": x["caseId"], "core_meaning_covered": True, "supported_by_evidence": True, "contradiction": x["caseId"] == 1, "unsupported_detail": False, "reason": ""} for x in json.loads(prompt)["cases"]]}), 1, 0, 0)
+    got = evaluation.judge(rows, said).orderBy("ordinal").collect()
+    assert [r["matched"] for r in got] == [i not in (1, 9) for i in range(10)] and sum(r["input_tokens"] for r in got) == 2
+    for answer in ("secret", '{"results": [{"caseId": 0, "reason": "secret"}]}'):
+        with pytest.raises(ValueError, match="invalid") as e:
+            evaluation.verdicts(answer, 1)
+        assert "secret" not in str(e.value)
+    with pytest.raises(ValueError, match="once"):
+        evaluation.verdicts(said(json.dumps({"cases": [{"caseId": 0}, {"caseId": 0}]}))[0], 2)
+
+
+def test_json_containment_cases():
+    yes = [({"a": 1}, {"a": "1", "b": 2}), ({"a": [1, {"b": True}]}, {"a": ["1", {"b": "예", "c": 0}]}), ({"v": None}, {"v": None}), ({"n": 36}, {"n": "정신 36 (New +1)"}), ({"t": "Ａ  b"}, {"t": "a B"}), ({"x": False}, {"x": 0}), ({"t": "1"}, {"t": 1})]
+    no = [({"a": 1}, {}), ({"a": [1]}, {"a": [1, 2]}), ({"a": {}}, {"a": []}), ({"v": None}, {"v": 0}), ({"n": 1}, {"n": True}), ({"x": True}, {"x": "maybe"}), ({"a": 1}, None)]
+    assert all(J.contains(*x) for x in yes) and not any(J.contains(*x) for x in no)
+
+
+def test_query_search_and_subjects(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in vector.search(df, "q", lambda ts: [[0.0, 2.0]], 1, 2).collect()] == [2]
+    calls = []
+    for bad in (dict(text=" ", k=1), dict(text="q", k=0), dict(text="q", k=1, episode_range=(2, 1))):
+        with pytest.raises(ValueError):
+            vector.search(df, bad.pop("text"), lambda ts: calls.append(1), bad.pop("k"), 2, **bad)
+    assert not calls
+    fields = "source_chunk_id string, ordinal int, candidate_kind string, entity_name string, raw_entity_mention string, attribute_name string, attribute_value string"
+    rows = spark.createDataFrame([("c1", 0, "SETTING", "그는", "그는", "a", "1"), ("c1", 1, "SETTING", "철수", "철수", "a", "1"), ("c1", 2, "SETTING", "미상", None, "a", "1"), ("c2", 0, "SETTING", "나", "나", "a", "1"), ("c3", 0, "CHARACTER_DISCOVERY", "그녀", None, None, None)], fields)
+    chunks = spark.createDataFrame([("c1", "t1", None, "t2"), ("c2", "t2", "t1", None)], "chunk_id string, chunk_text string, previous_text string, next_text string")
+
+    def provider(prompt):
+        asked = json.loads(prompt.split("\n")[-1])
+        assert prompt.startswith("static\n") and asked["current"] in ("t1", "t2")
+        return "```json\n" + json.dumps({"resolutions": [{"candidateId": c["candidateId"], "resolvedEntityName": "영희" if c["candidateId"] == "candidate-0" and asked["current"] == "t1" else "그"} for c in asked["candidates"]]}) + "\n```"
+
+    answers = extraction.ask_subjects(rows, chunks, provider, "static", ["영희"])
+    filled = extraction.fill_subjects(rows, spark.createDataFrame(answers.collect(), answers.schema))
+    assert {(r["source_chunk_id"], r["ordinal"]): r["entity_name"] for r in filled.collect()} == {("c1", 0): "영희", ("c1", 1): "철수", ("c1", 2): "미상", ("c2", 0): "미상", ("c3", 0): "그녀"}
+    counts = extraction.subject_counts(rows, filled)
+    assert sorted(tuple(r) for r in counts.collect()) == [("c1", 1, 1, 1), ("c2", 1, 0, 1)]
+    with pytest.raises(Exception, match="don't match"):
+        extraction.ask_subjects(rows, chunks, lambda p: '{"resolutions": []}', "static").collect()
+    state = spark.createDataFrame([("j", "e", [1.0], "OK"), ("j", "e", None, "FAILED"), ("j", "e", None, None)], "job_id string, episode_id string, embedding array<double>, embedding_status string")
+    summary = extraction.job_summary(state, spark.createDataFrame([("j",)] * 4, "job_id string"), counts.withColumn("job_id", F.lit("j"))).first()
+    assert json.loads(summary["summary_json"]) == {"episodeCount": 1, "chunkCount": 3, "embeddedChunkCount": 1, "embeddingFailedChunkCount": 1, "embeddingSkippedChunkCount": 1, "candidateCount": 4, "subjectFallbackCallCount": 2, "subjectFallbackResolvedCount": 1, "subjectFallbackUnresolvedCount": 2}
+
+
 def test_values_and_metrics(spark):
     rows = [("NUMBER", "36 (New +1)", None, "number", "36", None), ("BOOLEAN", "예", None, "BOOLEAN", "true", None), ("STRING", "a", None, "STRING", "b", None), ("NUMBER", "x", None, "NUMBER", "x", None), ("STRING", "Ａ", '{"k": 1}', "STRING", "a", '{"k": "1", "z": 2}'), (None, "a", "{}", "STRING", "a", None)]
     df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string")
