@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -65,6 +66,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def upload(spark: SparkSession, local: str, path: str) -> None:
     """Copy a file of the driver to a path of any file system that Spark can write."""
     jvm = spark.sparkContext._jvm

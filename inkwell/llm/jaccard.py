@@ -312,6 +312,18 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(common.tidied(run), "a long, b long")
 
 
+def checked(docs: DataFrame, pairs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b), written. Only the texts of sets that are in a pair are made into sets."""
+    pairs = common.materialize(pairs, "jaccard-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets, bits = sets_of(docs, common.materialize(known.select("node", "least.doc_id", "least.row_hash").join(nodes.hint("merge"), "node", "left_semi"), "jaccard-candidates"), k)
+    sets = common.materialize(sets, "jaccard-texts")
+    bits.destroy()
+    links = common.materialize(verify(pairs, sets, percent), "jaccard-links")
+    common.drop_shuffles(docs.sparkSession)
+    return links
+
+
 def with_known(rows: DataFrame, known: DataFrame, node: str, tag: str = "") -> DataFrame:
     """rows with size and bitmap of the column node. Both sides grow with the corpus: a merge join at every size."""
     return rows.join(known.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}{tag}") for c in ("n", *BITMAP))).hint("merge"), node)
@@ -330,6 +342,7 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     described = common.materialize(describe(docs, k), "jaccard-sets")
     dealt = entries(docs, k, percent, described.count()).repartition(partitions, F.shiftright("key", 1)).sortWithinPartitions("key", "node")
     shared = common.materialize(collisions(dealt), "jaccard-collisions")
+    common.drop_shuffles(docs.sparkSession)
     # one row of each set, and whether it is a candidate; copies are one row of each task before they meet
     least = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hash")
     own = described.filter(F.col("node").isNotNull()).select("node", least.alias("least"), F.col("n_shingles").alias("n"), *BITMAP, F.lit(False).alias("met"))
@@ -337,12 +350,9 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     unique = own.union(flags).groupBy("node").agg(F.min("least").alias("least"), *(F.max(c).alias(c) for c in ("n", *BITMAP, "met")))
     unique = common.materialize(unique, "jaccard-unique")
     known = unique.filter("met").drop("met")
-    sets, bits = sets_of(docs, known.select("least.doc_id", "least.row_hash"), k)
-    sets = common.materialize(sets, "jaccard-texts")
-    bits.destroy()
     first = shared.filter("fresh").select(F.col("hub").alias("a"), F.col("node").alias("b")).repartition("b").distinct()
     first = with_known(with_known(first, known, "b"), known, "a", "_a")
-    links = common.materialize(verify(first.filter(possible(percent)).select("a", "b"), sets, percent), "jaccard-links")
+    links = checked(docs, first.filter(possible(percent)).select("a", "b"), known, k, percent)
     roots = None if every else common.materialize(graph.components(links), "jaccard-roots")
     most = shared.agg(F.max("rank")).first()[0] or 0
     used = 1
@@ -361,7 +371,7 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
         fresh = F.col("rank").isNull() | (F.col("rank") >= GROWTH * used) | F.col("rank").between(used, F.col("rank_a") - 1)
         more = hubs.join(members.withColumnRenamed("node", "b").hint("merge"), (hubs["key"] == members["key"]) & (F.col("root") != F.col("root_a")) & fresh & possible(percent))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = common.materialize(verify(more, sets, percent), "jaccard-links")
+        more = checked(docs, more, known, k, percent)
         used *= GROWTH
         if not more.isEmpty():
             links = links.union(more)
