@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import common
 
 FOLDS, HELD_OUT = 10, 0
-CLASSES, GROUPS, DIM, NOISE, CHILD_NOISE, MINIBATCH, RATE, SEED = 768, 256, 16, 100, 8, 1024, 0.3, 3
+CLASSES, GROUPS, DIM, NOISE, CHILD_NOISE, MINIBATCH, RATE, SEED = 768, 256, 16, 50, 8, 4096, 0.3, 3
 TRAIN_TASKS = 4096
 CHUNK_WORDS = 2_000_000
 ALPHA = 0.1
@@ -239,7 +239,7 @@ class Model:
             self._train_classes(packed, past, noise, rate, rng)
             if self.tree:
                 dealt = np.flatnonzero(slots >= 0)
-                size = 64 * (self.tree.groups + self.tree.groups * self.tree.b)
+                size = 256 * (self.tree.groups + self.tree.groups * self.tree.b)
                 rng.shuffle(dealt)
                 for k in range(0, len(dealt), size):
                     self._train_children(packed[dealt[k : k + size]], slots[dealt[k : k + size]], past, rate, rng)
@@ -426,7 +426,7 @@ class Fitted:
         """The tokens that have a class of their own."""
         return F.broadcast(like.sparkSession.createDataFrame([(t,) for t in [END_TOKEN, *self.by_hash]], "token long"))
 
-    def log10(self, seq: np.ndarray, sizes: np.ndarray, batch: int = 250_000) -> np.ndarray:
+    def log10(self, seq: np.ndarray, sizes: np.ndarray, batch: int = 500_000) -> np.ndarray:
         """log10 of P(class) and, for words that are dealt out, of P(slot | class) over what the slot is shared out over, for each token of sequences()."""
         c2, c1, c = contexts(self.tree.class_of(seq), sizes)
         ids = contexts(seq, sizes)[2]
