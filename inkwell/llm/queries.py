@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontam, jaccard, langid, lm, packing, quality, tokens, toxicity, url_filter, warc
+from inkwell.llm import decontam, jaccard, langid, lm, mixing, packing, quality, tokens, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
     "op10_decontamination": decontam.query,
+    "op12_mixing": mixing.query,
 }
 ORACLES = {
     "op1_quality": quality.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op10_decontamination": decontam.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op12_mixing": mixing.ORACLE,
 }
