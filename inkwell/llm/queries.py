@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontam, jaccard, langid, lm, mixing, packing, quality, tokens, toxicity, url_filter, warc
+from inkwell.llm import decontam, jaccard, langid, lm, manifest, mixing, packing, quality, tokens, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_decontamination": decontam.query,
     "op12_mixing": mixing.query,
+    "op13_manifest": manifest.query,
 }
 ORACLES = {
     "op1_quality": quality.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_warc": warc.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op12_mixing": mixing.ORACLE,
+    "op13_manifest": manifest.ORACLE,
 }
