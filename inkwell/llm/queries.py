@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontam, jaccard, langid, lm, manifest, mixing, packing, quality, tokens, toxicity, url_filter, warc
+from inkwell.llm import decontam, jaccard, langid, lm, manifest, mixing, packing, quality, tokens, toxicity, trie, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_packing": packing.query,
     "op10_decontamination": decontam.query,
+    "op11_prefix_trie": trie.query,
     "op12_mixing": mixing.query,
     "op13_manifest": manifest.query,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op10_decontamination": decontam.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
     "op12_mixing": mixing.ORACLE,
     "op13_manifest": manifest.ORACLE,
 }
