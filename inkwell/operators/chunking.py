@@ -1,40 +1,39 @@
-"""Paragraphs and chunks with exact source offsets (code points, end exclusive), without leaving the JVM."""
+"""Paragraphs and chunks with exact source offsets (code points, end exclusive): one pass of an Arrow function over each text."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from inkwell.functions import text as T
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 TARGET, LARGEST, SMALLEST = 2500, 3000, 1000
 
 
-BLOCK = 64
-
-
-def starts(lengths: Column) -> Column:
-    """Running sums of an array of lengths, each before its own element.
-
-    Appending to an array copies it, so the sums are made block by block, and only the blocks' own sums over the whole array.
-    """
-    at = F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(BLOCK))
-    blocks = F.transform(at, lambda i: F.slice(lengths, i + 1, BLOCK))
+def _lines(text: str | None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of the lines that aren't blank, in order; a line break other than the usual ones belongs to the body that it ends."""
+    at = 0
+    for line in (text or "").splitlines(keepends=True):
+        body = line[:-2] if line.endswith("\r\n") else line[:-1] if line[-1] in "\r\n" else line
+        if body.strip():
+            yield at, at + len(body), body
+        at += len(line)
 
-    def run(values: Column, first: Column) -> Column:
-        zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(values, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
 
-    total = lambda block: F.aggregate(block, F.lit(0), lambda a, n: a + n)
-    return F.flatten(F.zip_with(blocks, run(F.transform(blocks, total), F.lit(0)), run))
+def _lists(rows: list[list[tuple]], kinds: dict[str, pa.DataType]) -> pa.Array:
+    """An array of lists of structs."""
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    columns = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * len(kinds)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds)))
 
 
-def paragraphs(c: Column) -> Column:
-    """Array of (start, end, body) of the lines that aren't blank, in order."""
-    lines = F.regexp_extract_all(c, F.lit(T.LINE), F.lit(0))
-    body = lambda line: F.regexp_replace(line, r"(?:\r\n|\r|\n)\z", "")
-    placed = F.zip_with(lines, starts(F.transform(lines, F.length)), lambda line, at: F.struct(at.alias("start"), (at + F.length(body(line))).alias("end"), body(line).alias("body")))
-    return F.filter(placed, lambda p: p["body"].rlike(T.SOLID))
+@F.arrow_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("body", StringType())])))
+def paragraphs(texts: pa.Array) -> pa.Array:
+    """Array of (start, end, body) of the lines that aren't blank, in order: one pass over each text."""
+    return _lists([list(_lines(t)) for t in texts.to_pylist()], {"start": pa.int32(), "end": pa.int32(), "body": pa.string()})
 
 
 def split_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,37 +49,43 @@ def split_long(paragraphs_: DataFrame, most: int = LARGEST) -> DataFrame:
     return rows.withColumn("paragraph_text", F.expr(f"substring(paragraph_text, at + 1, {most})")).withColumn("start_offset", F.col("start_offset") + F.col("at")).withColumn("end_offset", F.col("start_offset") + F.length("paragraph_text")).drop("at")
 
 
-def pack(c: Column, target: int = TARGET, most: int = LARGEST, least: int = SMALLEST) -> Column:
-    """Array of (start, end, first, last) of the chunks of a text: one fold over its paragraphs, which are (start, end).
+def packed(lines: Iterable[tuple[int, int, str]], target: int, most: int, least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, first, last) of the chunks of a text's paragraphs.
 
     A paragraph over `most` closes the open chunk and is cut. One that would make the chunk longer than `most` closes it and
     opens the next, without a look at the target in that step. Otherwise it is added, and a chunk of target length is closed.
     """
+    held = None  # start, end, first and last paragraph of the open chunk
+    for k, (start, end, _) in enumerate(lines):
+        if end - start > most:
+            if held:
+                yield held
+            held = None
+            for at in range(start, end, most):
+                yield at, min(at + most, end), k, k
+        elif held and end - held[0] > most:
+            yield held
+            held = start, end, k, k
+        else:
+            held = (held[0], end, held[2], k) if held else (start, end, k, k)
+            if held[1] - held[0] >= max(target, least):
+                yield held
+                held = None
+    if held:
+        yield held
+
+
+def pack(c: Column, target: int = TARGET, most: int = LARGEST, least: int = SMALLEST) -> Column:
+    """Array of (start, end, first, last, body) of the chunks of a text: one pass over it."""
     if not 0 < least <= target <= most:
         raise ValueError("0 < least <= target <= most is needed")
-    kind = "array<struct<start:int,end:int,first:int,last:int>>"
-    none = F.lit(None).cast("int")
-    chunk = lambda a, b, i, j: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), i.cast("int").alias("first"), j.cast("int").alias("last"))
-    state = lambda out, a, b, i, k: F.struct(out.alias("out"), a.alias("a"), b.alias("b"), i.alias("i"), k.alias("k"))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["a"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(chunk(acc["a"], acc["b"], acc["i"], acc["k"] - 1))))
-
-    def step(acc: Column, p: Column) -> Column:
-        k, size = acc["k"], p["end"] - p["start"]
-        cut = F.transform(F.sequence(F.lit(0), size - 1, F.lit(most)), lambda d: chunk(p["start"] + d, F.least(p["start"] + d + most, p["end"]), k, k))
-        span = p["end"] - F.coalesce(acc["a"], p["start"])
-        first, at = F.coalesce(acc["a"], p["start"]), F.coalesce(acc["i"], k)
-        full = (span >= target) & (span >= least)
-        return (
-            F.when(size > most, state(F.concat(closed(acc), cut), none, none, none, k + 1))
-            .when(span > most, state(closed(acc), p["start"], p["end"], k, k + 1))
-            .when(full, state(F.concat(acc["out"], F.array(chunk(first, p["end"], at, k))), none, none, none, k + 1))
-            .otherwise(state(acc["out"], first, p["end"], at, k + 1))
-        )
-
-    start = state(F.array().cast(kind), none, none, none, F.lit(0))
-    return F.aggregate(paragraphs(c), start, step, closed)
+    kinds = {"start": pa.int32(), "end": pa.int32(), "first": pa.int32(), "last": pa.int32(), "body": pa.string()}
+
+    @F.arrow_udf("array<struct<start:int,end:int,first:int,last:int,body:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists([[(*x, t[x[0] : x[1]]) for x in packed(_lines(t), target, most, least)] for t in texts.to_pylist()], kinds)
+
+    return run(c)
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
@@ -88,9 +93,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **si
 
     chunk_text is the slice of the source. chunk_id is a deterministic name of (id, chunk_index).
     """
-    packed = docs.select(id_col, text_col, F.posexplode(pack(F.col(text_col), **sizes)).alias("chunk_index", "c"))
-    return packed.select(
-        id_col, "chunk_index", F.expr(f"substring({text_col}, c.start + 1, c.end - c.start)").alias("chunk_text"), F.col("c.start").alias("start_offset"), F.col("c.end").alias("end_offset"),
+    rows = docs.select(id_col, F.posexplode(pack(F.col(text_col), **sizes)).alias("chunk_index", "c"))
+    return rows.select(
+        id_col, "chunk_index", F.col("c.body").alias("chunk_text"), F.col("c.start").alias("start_offset"), F.col("c.end").alias("end_offset"),
         F.col("c.first").alias("paragraph_start_index"), F.col("c.last").alias("paragraph_end_index"), F.sha1(F.concat_ws(":", F.col(id_col).cast("string"), F.col("chunk_index").cast("string"))).alias("chunk_id"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,42 +57,94 @@ def known(entities: DataFrame, id_col: str, name_col: str, work_col: str | None
 
 
 def _exact(rows: DataFrame, name: str, entities: DataFrame, out: str) -> DataFrame:
-    found = rows.select("row_id", "work", F.col(name).alias("known_name")).filter(F.col(name) != "").join(entities, ["work", "known_name"])
+    found = rows.select("row_id", _work(rows), F.col(name).alias("known_name")).filter(F.col(name) != "").join(entities.select(_work(entities), "known_name", "known_id"), ["work", "known_name"])
     return found.groupBy("row_id").agg(F.sort_array(F.collect_set("known_id")).alias(out))
 
 
-def _pairs(name: Column) -> Column:
-    """The distinct pairs of neighbouring characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, 2)))
+def _work(rows: DataFrame) -> Column:
+    """A work as a key that joins: null is a work of its own, told from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), rows["work"]), F.lit("")).alias("work")
 
 
-def contained(rows: DataFrame, name: str, entities: DataFrame, out: str) -> DataFrame:
-    """(row_id, out): ids of the known names of which one holds the other, both of at least two characters.
+#: Names of a work that one automaton holds; a work with more is dealt in blocks, each against each.
+BLOCK = 200_000
+
+
+def automaton(names: list[str]):
+    """Aho-Corasick over distinct names, each standing for its place in the list; None without any."""
+    out = ahocorasick.Automaton()
+    for i, n in enumerate(names):
+        out.add_word(n, i)
+    if not names:
+        return None
+    out.make_automaton()
+    return out
+
+
+def _hits(names: list[str], texts: list[str]) -> set[tuple[int, int]]:
+    """(place of a name, place of a text that holds it): one pass over each text."""
+    found = automaton(names)
+    return {(i, j) for j, t in enumerate(texts) for _, i in found.iter(t)} if found else set()
+
 
-    The distinct names of a work are compared, not the rows. The longer of two such names has the first two characters of the
-    shorter among its pairs of neighbours, so both directions are joins by work and pair, and no two other names meet.
+def contained_names(names: DataFrame, entities: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(work, n, ids) of names (work, n): ids of the known names of the work of which one holds the other, both of at least two characters.
+
+    For each work an automaton over the known names reads the distinct names, and one over the names reads the known ones, so the work is
+    linear in their lengths and the hits, whatever beginnings names share. Works are keys of a cogroup; a work with more than `block`
+    names on a side is cut by hash, and each part meets each part of the other side.
     """
-    names = rows.select("work", F.col(name).alias("n")).filter(F.length(name) >= 2).distinct()
-    long = entities.filter(F.length("known_name") >= 2)
-    first = lambda c: F.substring(c, 1, 2)
-    holds = names.select("work", "n", F.explode(_pairs(F.col("n"))).alias("pair")).join(long.withColumn("pair", first("known_name")), ["work", "pair"]).filter(F.col("n").contains(F.col("known_name")))
-    held = names.withColumn("pair", first("n")).join(long.select("work", "known_id", "known_name", F.explode(_pairs(F.col("known_name"))).alias("pair")), ["work", "pair"]).filter(F.col("known_name").contains(F.col("n")))
-    met = holds.select("work", "n", "known_id").union(held.select("work", "n", "known_id")).groupBy("work", "n").agg(F.sort_array(F.collect_set("known_id")).alias(out))
-    return rows.select("row_id", "work", F.col(name).alias("n")).join(met, ["work", "n"]).select("row_id", out)
+    left = names.select(_work(names), "n").filter(F.length("n") >= 2).distinct()
+    right = entities.select(_work(entities), "known_name", "known_id").filter(F.length("known_name") >= 2)
+    sizes = left.select("work", F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select("work", F.lit(0), F.lit(1))).groupBy("work").agg(F.ceil(F.sum("l") / block).alias("parts"), F.ceil(F.sum("r") / block).alias("blocks")).filter("parts > 0 and blocks > 0")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = left.join(sizes, "work").select("work", "n", part("n", "parts").alias("part"), every("blocks").alias("block"))
+    right = right.join(sizes, "work").select("work", "known_name", "known_id", part("known_name", "blocks").alias("block"), every("parts").alias("part"))
+
+    def meet(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        texts = own["n"].tolist()
+        by_name = known.groupby("known_name", sort=False)["known_id"].agg(list)
+        held = by_name.index.tolist()
+        met: dict[int, set[int]] = {}
+        for k, t in _hits(held, texts):
+            met.setdefault(t, set()).add(k)
+        for t, k in _hits(texts, held):
+            met.setdefault(t, set()).add(k)
+        rows = [(texts[t], sorted({i for k in ks for i in by_name.iloc[k]})) for t, ks in met.items()]
+        return pd.DataFrame({"work": own["work"].iloc[0] if len(own) else None, "n": [r[0] for r in rows], "ids": [r[1] for r in rows]})
+
+    keys, kind = ["work", "part", "block"], right.schema["known_id"].dataType.simpleString()
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"work string, n string, ids array<{kind}>")
+    # parts of one name come from different blocks, and no known name is in two
+    return found.groupBy("work", "n").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+
+
+def contained(rows: DataFrame, name: str, entities: DataFrame, out: str) -> DataFrame:
+    """(row_id, out): contained_names() of the column `name` of rows (row_id, work, ...)."""
+    own = rows.select("row_id", _work(rows), F.col(name).alias("n"))
+    return own.join(contained_names(rows.select("work", F.col(name).alias("n")), entities), ["work", "n"]).select("row_id", F.col("ids").alias(out))
 
 
 def resolve(rows: DataFrame, entities: DataFrame, kind: str = "SETTING", work_col: str | None = None) -> DataFrame:
-    """rows (row_id, entity_name, raw_mention[, candidate_kind]) with matched_id and match_status; work_col is the column of the work of a row.
+    """rows (entity_name, raw_mention[, candidate_kind]) with matched_id and match_status; work_col is the column of the work of a row.
 
     Rules in order: the entity name must be concrete, or an exact known name that is no bare mention; discoveries go by the
     entity alone; so do mentions that are pronouns; then the raw mention decides, and contradictions are AMBIGUOUS.
+
+    Every distinct name of a work is looked up once, and all columns of a row travel as one struct: rows may repeat, and their columns may
+    have any names. A null work is a work of its own, in which the known entities without a work are.
     """
     work = F.col(work_col).cast("string") if work_col else F.lit("")
-    base = rows.withColumns({"e": normalize(F.col("entity_name")), "r": normalize(F.col("raw_mention")), "work": work})
-    if "candidate_kind" not in rows.columns:
-        base = base.withColumn("candidate_kind", F.lit(kind))
-    for name, tag in (("e", "e"), ("r", "r")):
-        base = base.join(_exact(base, name, entities, f"{tag}_exact"), "row_id", "left").join(contained(base, name, entities, f"{tag}_part"), "row_id", "left")
+    given = F.col("candidate_kind") if "candidate_kind" in rows.columns else F.lit(kind)
+    base = rows.select(F.struct("*").alias("_row"), normalize(F.col("entity_name")).alias("e"), normalize(F.col("raw_mention")).alias("r"), work.alias("work"), given.alias("candidate_kind"))
+    base = base.select("_row", "e", "r", _work(base), "candidate_kind")
+    looked = base.select("work", F.explode(F.array("e", "r")).alias("n")).filter("n <> ''").distinct()
+    plain = looked.select(F.when(F.col("work") != "", F.expr("substring(work, 2)")).alias("work"), "n")
+    exact = looked.join(entities.select(_work(entities), F.col("known_name").alias("n"), "known_id"), ["work", "n"]).groupBy("work", "n").agg(F.sort_array(F.collect_set("known_id")).alias("exact"))
+    found = exact.join(contained_names(plain, entities), ["work", "n"], "full_outer")
+    for c in ("e", "r"):
+        base = base.join(found.select("work", F.col("n").alias(c), F.col("exact").alias(f"{c}_exact"), F.col("ids").alias(f"{c}_part")), ["work", c], "left")
     empty = F.array().cast("array<string>")
     ids = lambda c: F.coalesce(F.transform(c, lambda x: x.cast("string")), empty)
     e_exact = ids("e_exact")
@@ -110,7 +164,7 @@ def resolve(rows: DataFrame, entities: DataFrame, kind: str = "SETTING", work_co
         .when(F.size("r_ids") == 1, of("MATCHED", first("r_ids")))
         .otherwise(by_entity)
     )
-    return base.withColumn("m", result).select(*rows.columns, "m.matched_id", "m.match_status")
+    return base.select("_row", result.alias("m")).select("_row.*", "m.matched_id", "m.match_status")
 
 
 def canonical_keys(rows: DataFrame, schemas: DataFrame, key_col: str = "attribute_name") -> DataFrame:
@@ -125,6 +179,9 @@ def canonical_keys(rows: DataFrame, schemas: DataFrame, key_col: str = "attribut
     named = numbered.select("schema", "key", space.alias("space"), F.explode("aliases").alias("alias")).withColumn("alias", T.strip(F.col("alias"))).filter((F.col("alias") != "") & ~F.col("alias").contains("."))
     forms = named.select("schema", "key", F.explode(F.array("alias", F.concat("space", "alias"))).alias("k")).distinct()
     alias = forms.groupBy("k").agg(F.count(F.lit(1)).alias("n_alias"), F.min("key").alias("alias_of"))
-    rows = rows.withColumn("k", T.strip(F.col(key_col)))
-    pick = F.when(F.col("n_exact") == 1, F.col("exact")).when(F.col("n_exact") > 1, F.col("k")).when(F.col("n_alias") == 1, F.col("alias_of")).otherwise(F.col("k"))
-    return rows.join(exact, "k", "left").join(alias, "k", "left").withColumn("canonical_key", pick).drop("k", "n_exact", "exact", "n_alias", "alias_of")
+    exact, alias = (x.select(*(F.col(c).alias(f"_ink_{c}") for c in x.columns)) for x in (exact, alias))
+    own = rows.withColumn("_ink_k", T.strip(F.col(key_col)))
+    e, k = F.col, F.col("_ink_k")
+    pick = F.when(e("_ink_n_exact") == 1, e("_ink_exact")).when(e("_ink_n_exact") > 1, k).when(e("_ink_n_alias") == 1, e("_ink_alias_of")).otherwise(k)
+    met = own.join(exact, "_ink_k", "left").join(alias, "_ink_k", "left").withColumn("canonical_key", pick)
+    return met.select(*(own[c] for c in rows.columns if c != "canonical_key"), "canonical_key")

@@ -20,20 +20,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(chunks: DataFrame, query: list[float], k: int, *, where: Column | None = None, episode_range: tuple[int | None, int | None] = (None, None), exclude: DataFrame | None = None, id_col: str = "vec_id", vector: str = "embedding", episode: str = "episode_no") -> DataFrame:
-    """The k nearest rows by cosine distance, ids breaking ties. Filters come before the scoring and reach the scan; the limit runs as a top-K in every task."""
+def guard(query: list[float], k: int, episode_range: tuple[int | None, int | None]) -> None:
     low, high = episode_range
     if not query or k < 1 or (low is not None and high is not None and low > high):
         raise ValueError("a query vector, k of at least 1 and an ordered range are needed")
-    rows = chunks.filter(F.col(vector).isNotNull())
+
+
+def filtered(rows: DataFrame, where: Column | None, episode_range: tuple[int | None, int | None], exclude: DataFrame | None, id_col: str, episode: str) -> DataFrame:
+    low, high = episode_range
     if where is not None:
         rows = rows.filter(where)
     if low is not None:
         rows = rows.filter(F.col(episode) >= low)
     if high is not None:
         rows = rows.filter(F.col(episode) <= high)
-    if exclude is not None:
-        rows = rows.join(exclude.select(id_col), id_col, "left_anti")
+    return rows if exclude is None else rows.join(exclude.select(id_col), id_col, "left_anti")
+
+
+def ranked(rows: DataFrame, query: list[float], k: int, id_col: str, vector: str) -> DataFrame:
     q = F.array(*(F.lit(float(x)) for x in query))
     length = float(sum(x * x for x in query)) ** 0.5
     own = F.col(vector)
@@ -41,6 +45,12 @@ def top_k(chunks: DataFrame, query: list[float], k: int, *, where: Column | None
     return rows.withColumn("similarity", similarity).orderBy((1 - F.col("similarity")).asc_nulls_last(), id_col).limit(k)
 
 
+def top_k(chunks: DataFrame, query: list[float], k: int, *, where: Column | None = None, episode_range: tuple[int | None, int | None] = (None, None), exclude: DataFrame | None = None, id_col: str = "vec_id", vector: str = "embedding", episode: str = "episode_no") -> DataFrame:
+    """The k nearest rows by cosine distance, ids breaking ties. Filters come before the scoring and reach the scan; the limit runs as a top-K in every task."""
+    guard(query, k, episode_range)
+    return ranked(filtered(chunks.filter(F.col(vector).isNotNull()), where, episode_range, exclude, id_col, episode), query, k, id_col, vector)
+
+
 def search(chunks: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]], k: int, dim: int, **options) -> DataFrame:
     """top_k() of a query text, which the provider embeds once, after all arguments are checked."""
     if not text or not text.strip():

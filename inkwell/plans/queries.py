@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import json_values as J
 from inkwell.functions import text as T
-from inkwell.operators import chunking, dedup, evaluation, evidence, metering, names, vector
+from inkwell.operators import ann, chunking, dedup, evaluation, evidence, metering, names, vector
+from inkwell.sources import tables
 
 #: Fixed query vector of 64 numbers.
 Q = [((k * 37 % 64) - 32) / 32 for k in range(64)]
@@ -33,6 +34,15 @@ def vector_topk_filtered(spark, sf):
     return out.select("vec_id", "episode_no", F.round("similarity", 6).alias("similarity"))
 
 
+def vector_index_search(spark, sf):
+    """vector_topk_filtered by an index with all its cells probed, where it is exact."""
+    path = tables.scratch(spark, "index")
+    ann.build(_chunks(spark, sf), path)
+    exclude = _chunks(spark, sf).filter("vec_id % 13 = 0")
+    out = ann.search(spark, path, Q, 20, nprobe=ann.CELLS + 1, where=(F.col("work_id") < 6) & (F.col("version") == "v1"), episode_range=(5, 40), exclude=exclude)
+    return out.select("vec_id", "episode_no", F.round("similarity", 6).alias("similarity"))
+
+
 def paragraph_split(spark, sf):
     return chunking.split_paragraphs(_t(spark, sf, "documents").select("doc_id", "text"))
 
@@ -67,9 +77,9 @@ def evidence_locate(spark, sf):
 
 
 def evidence_locate_ws(spark, sf):
-    rows = _quotes(spark, sf).withColumn("quote", F.regexp_replace("quote", " ", "\n\t"))
-    at = evidence.locate_spaced(F.col("text"), F.col("quote"))
-    return rows.select("doc_id", "of", at["start"].alias("start_offset"), at["end"].alias("end_offset"))
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    quotes = _quotes(spark, sf).select("doc_id", "of", F.regexp_replace("quote", " ", "\n\t").alias("quote"))
+    return evidence.locate_quotes(docs, quotes, "doc_id").select("doc_id", "of", F.col("at.start").alias("start_offset"), F.col("at.end").alias("end_offset"))
 
 
 def source_excerpt(spark, sf):
@@ -322,7 +332,7 @@ def _f(p, r):
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_filtered, paragraph_split, long_paragraph_split, chunk_pack, adjacent_context, evidence_locate, evidence_locate_ws, source_excerpt, name_exact, name_containment,
+    vector_topk, vector_topk_filtered, vector_index_search, paragraph_split, long_paragraph_split, chunk_pack, adjacent_context, evidence_locate, evidence_locate_ws, source_excerpt, name_exact, name_containment,
     name_resolution, schema_key_canonical, discovery_dedup, setting_dedup, duplicate_rows, gold_ids, evaluate, eval_counts, eval_metrics, identity_join, assignment, unmatched_gold, review_exclusion,
     episode_alignment, token_bounds, embedding_bounds, ledger_report, number_parse, boolean_parse, content_hash, canonical_props, fact_keys,
 )}
@@ -372,3 +382,4 @@ SELECT n_nationkey, CASE WHEN x.n = 1 THEN x.to_key WHEN x.n > 1 THEN k WHEN a.n
     "content_hash": "SELECT doc_id, 'notion-' || substring(sha256(text), 1, 12) AS version FROM documents",
     "fact_keys": "SELECT p_partkey, array_to_string(list_transform(string_split(lower(trim(p_type || '.' || p_name)), '.'), lambda x: replace(trim(x), ' ', '_')), '.') AS key FROM part",
 }
+ORACLES["vector_index_search"] = ORACLES["vector_topk_filtered"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -35,14 +36,24 @@ PREDICTIONS = (
 )
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir, which all executors share. Only a local session may leave that unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local session may leave that unset."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="inkwell-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
