@@ -5,8 +5,8 @@ shuffled. A conversation is its path of digests, and equal paths become one row:
 neighbouring ids, and a path's chunks are then streamed in order through one SHA-256, so no group of copies is ever held in memory.
 
 The paths are dealt by the hash of their first turn; a task builds the subtries of a bucket of first turns from dictionaries of pointers,
-and sums them up in postorder without recursion. A first turn with more than one path and more than LIMIT turns under it is
-oversized: its paths are dealt by the turn behind the ones that they all share (found from the least and the greatest path), and again
+and sums them up in postorder without recursion. A first turn with more than one path and more turns under it than its
+limit is oversized: its paths are dealt by the turn behind the ones that they all share (found from the least and the greatest path), and again
 until nothing is oversized. The few nodes above the subtries, the root among them, are the spine; their numbers are sums over the tops
 of the subtries and over spine nodes below them, as aggregations with partial sums.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import common
 from inkwell.llm.manifest import CRC32
 
-LIMIT, BUCKET, CHUNK, DIGEST = 50_000, 100_000, 4096, 32
+LIMIT, FEW, BUCKET, CHUNK, DIGEST = 50_000, 64, 100_000, 4096, 32
 NOTHING = sha256(b"").hexdigest()
 TURNS = "array<struct<i:long,digest:string,bytes:long>>"
 
@@ -189,17 +189,19 @@ def spine(tops: DataFrame, ended: DataFrame) -> DataFrame:
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256", "digest"]
 
 
-def trie(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
+def trie(turns: DataFrame, limit: int | None = None) -> DataFrame:
     """A row (COLUMNS) for each node of the prefix trie of turns (conv_id, i, digest, bytes), whose order in a conversation is i.
 
+    limit: turns of a subtrie; as many as a partition has on average, FEW at least and LIMIT at most, unless given.
+
     n_leaves and saved_tokens are of the whole subtree; digest is that of the node's turn, by which with_texts() finds role and text.
     """
     spark = turns.sparkSession
     paths = common.materialize(paths_of(conversations_of(turns)), "trie-paths")
-    dealt = common.materialize(cut(paths, limit), "trie-dealt")
     below = F.size("sizes") > F.col("cut")
-    total = dealt.agg(F.sum(F.size("sizes"))).first()[0] or 0
+    total = paths.agg(F.sum(F.size("sizes"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    dealt = common.materialize(cut(paths, limit or min(LIMIT, max(FEW, total // buckets))), "trie-dealt")
     bucket = F.pmod(F.xxhash64(prefix(F.col("path"), F.col("cut") + 1)), F.lit(buckets))
     nodes = dealt.filter(below).withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda frame: build(frame), NODE)
     nodes = common.materialize(nodes, "trie-nodes")
