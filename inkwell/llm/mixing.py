@@ -7,8 +7,8 @@ The words of the mix are equal blocks. Sainte-Laguë gives them to the sources w
 source's blocks in the same way to its shards by their words. apportion() doesn't list all quotients: the divisors for n / 2 seats more
 and fewer bound each quota from both sides, so that only a few quotients an entry are ranked, whatever the number of seats.
 
-A shard's documents lie one after another in the order of a seeded hash, and are cut into the blocks. Its quota takes all of them a
-whole number of times, and of the rest those that a seeded phase picks at even distances; so what a document has of the blocks taken
+A shard's documents lie one after another in the order of a seeded hash, and are cut into the blocks. The words of its quota take all of
+them a whole number of times, and of the rest the blocks that a seeded phase picks at even distances; so what a document has of the blocks taken
 is a difference of two closed forms, and no block is ever a row. A hot source is cut into many shards, whose number follows its size.
 Blocks are BLOCK words, or fewer where the smallest target is under FINE of them, so a small source comes as near to its target.
 
@@ -96,9 +96,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     shards = items.groupBy("source", "shard", "blocks", "block").agg(F.sum("words").alias("shard_words"))
     shards = apportion(shards, "shard_words", "blocks", ["source"], ["shard"], "quota")
     n = F.ceil(F.col("shard_words") / F.col("block"))
-    shards = shards.withColumn("n", F.greatest(n, F.lit(1).cast("long"))).withColumn("quota", F.least("quota", limit * F.col("n")))
+    shards = shards.withColumn("n", F.greatest(n, F.lit(1).cast("long")))
+    # the quota in words, as the last block of a shard is shorter
+    shards = shards.withColumn("quota", F.least(F.col("quota") * F.col("block"), limit * F.col("shard_words")))
     phase = F.pmod(number(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("-")), F.col("shard").cast("string")))), F.col("n"))
-    shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "n", F.expr("quota div n").alias("passes"), F.expr("quota % n").alias("rest"), phase.alias("phase"))
+    shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "n", F.expr("coalesce(quota div nullif(shard_words, 0), 0)").alias("passes"), F.expr("coalesce((quota % nullif(shard_words, 0) * n + shard_words div 2) div shard_words, 0)").alias("rest"), phase.alias("phase"))
     shards = common.materialize(shards, "mix-shards")
     placed = items.withColumn("end", F.sum("words").over(Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")))
     placed = placed.join(shards, placed["source"].eqNullSafe(F.col("_source")) & (placed["shard"] == F.col("_shard"))).withColumn("start", F.col("end") - F.col("words"))
@@ -139,8 +141,9 @@ p AS (SELECT i.*, q.source_size, q.target, q.block, q.blocks, {number_('h')} % q
 h AS (SELECT source, shard, block, blocks, sum(words)::BIGINT AS shard_words FROM p GROUP BY ALL),
 y AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY shard_words::DOUBLE / (2 * j + 1) DESC, shard) AS r, blocks
       FROM (SELECT *, unnest(range(0, blocks + 1)) AS j FROM h WHERE shard_words > 0)),
-k AS (SELECT source, shard, greatest(ceil(shard_words / block)::BIGINT, 1) AS n, (SELECT count(*) FROM y WHERE y.source IS NOT DISTINCT FROM h.source AND y.shard = h.shard AND r <= y.blocks) AS quota FROM h),
-m AS (SELECT source, shard, n, least(quota, {LIMIT} * n) // n AS passes, least(quota, {LIMIT} * n) % n AS rest, {number_(f"md5('{SEED}:' || coalesce(source, '-') || ':' || shard)")} % n AS phase FROM k),
+k AS (SELECT source, shard, block, shard_words, greatest(ceil(shard_words / block)::BIGINT, 1) AS n, (SELECT count(*) FROM y WHERE y.source IS NOT DISTINCT FROM h.source AND y.shard = h.shard AND r <= y.blocks) AS quota FROM h),
+z AS (SELECT * EXCLUDE (quota), least(quota * block, {LIMIT} * shard_words) AS quota FROM k),
+m AS (SELECT source, shard, n, coalesce(quota // nullif(shard_words, 0), 0) AS passes, coalesce((quota % nullif(shard_words, 0) * n + shard_words // 2) // nullif(shard_words, 0), 0) AS rest, {number_(f"md5('{SEED}:' || coalesce(source, '-') || ':' || shard)")} % n AS phase FROM z),
 e AS (SELECT *, (sum(words) OVER (PARTITION BY source, shard ORDER BY h, doc_id NULLS FIRST, size))::BIGINT AS "end" FROM p),
 o AS (SELECT *, "end" - words AS start FROM e),
 t AS (SELECT o.*, passes * words + ({upto('"end"')}) - ({upto('start')}) AS taken FROM o JOIN m ON o.source IS NOT DISTINCT FROM m.source AND o.shard = m.shard)
