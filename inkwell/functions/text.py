@@ -86,9 +86,9 @@ def plain_number(value: str) -> Decimal | None:
 
 
 def parse_decimal(c: Column) -> Column:
-    """plain_number as a column, for the digits 0 to 9 in any width."""
+    """plain_number as a column, for the digits 0 to 9 in any width; null beyond 28 digits before the point, and rounded beyond 10 behind it."""
     first = F.regexp_extract(strip(F.regexp_replace(nfkc(c), ",", "")), f"^{NUMBER}", 1)
-    return F.when(first != "", first.cast("decimal(38,10)"))
+    return F.when(first != "", first.try_cast("decimal(38,10)"))
 
 
 def parse_boolean(c: Column) -> Column:

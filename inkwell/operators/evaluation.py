@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from inkwell.functions import json_values as J
 from inkwell.functions import text as T
-from inkwell.operators import dedup, evidence, names
+from inkwell.operators import components, dedup, evidence, names
 from inkwell.sources import tables
 
 #: Weights of a pair and of importance.
@@ -88,79 +89,95 @@ def pair_weight(identity: Column, status: Column, type_matched: Column, covered:
     return F.when(identity > 0, identity + value + F.when(type_matched, SAME_TYPE).otherwise(0) + F.when(covered, COVERED).otherwise(0)).otherwise(0)
 
 
-def best_assignment(weights) -> list[tuple[int, int]]:
-    """Pairs (row, column) of greatest total weight, each row and column once, pairs of weight 0 left out.
+def best_pairs(gold: np.ndarray, pred: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Positions of the edges (gold, pred, weight) in an assignment of greatest weight: each gold row and prediction once, edges of weight 0 left out.
 
-    Shortest augmenting paths with potentials (Jonker and Volgenant 1987), over costs that are the negative weights; each step
-    looks at a whole row.
+    Shortest augmenting paths with prices, over adjacency lists and a heap, so memory is that of the edges. A gold row and a prediction
+    have prices that no edge between them exceeds in sum; a path goes from a new gold row over edges, at what the prices have to spare,
+    to a free prediction or to a gold row that gives up its own.
     """
+    rows, columns = (np.unique(x, return_inverse=True) for x in (gold, pred))
+    best: dict[tuple[int, int], int] = {}
+    for k, (i, j, w) in enumerate(zip(rows[1].tolist(), columns[1].tolist(), weight.tolist(), strict=True)):
+        if w > 0 and (i, j) not in best or (i, j) in best and w > weight[best[i, j]]:
+            best[i, j] = k
+    edges: list[list[tuple[int, float]]] = [[] for _ in rows[0]]
+    for (i, j), k in best.items():
+        edges[i].append((j, float(weight[k])))
+    price = [max((w for _, w in e), default=0.0) for e in edges]
+    cost, holder, held = [0.0] * len(columns[0]), [-1] * len(columns[0]), [-1] * len(edges)
+    for start in range(len(edges)):
+        least, end, end_row = price[start], -1, start  # the new row stays without a prediction
+        dist: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: dict[int, float] = {}
+        reached, heap, row, at = [(start, 0.0)], [], start, 0.0
+        while True:
+            for j, w in edges[row]:
+                d = at + price[row] + cost[j] - w
+                if j not in done and d < least and d < dist.get(j, np.inf):
+                    dist[j], came[j] = d, row
+                    heappush(heap, (d, j))
+            while heap and (heap[0][1] in done or heap[0][0] > dist[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] >= least:
+                break
+            at, j = heappop(heap)
+            done[j] = at
+            row = holder[j]
+            if row < 0:
+                least, end = at, j
+                break
+            reached.append((row, at))
+            if at + price[row] < least:
+                least, end, end_row = at + price[row], j, row
+        for r, d in reached:
+            price[r] -= least - d
+        for j, d in done.items():
+            cost[j] += least - d
+        if end >= 0 and holder[end] >= 0:
+            held[end_row] = -1
+        while end >= 0:
+            r = came[end]
+            holder[end], held[r], end = r, end, held[r]
+    return sorted(best[i, j] for i, j in enumerate(held) if j >= 0)
+
+
+def best_assignment(weights) -> list[tuple[int, int]]:
+    """best_pairs() of a matrix of weights, as pairs (row, column)."""
     w = np.array(weights, float)
     if not w.size:
         return []
-    turned = w.shape[0] > w.shape[1]
-    cost = -(w.T if turned else w)
-    n, m = cost.shape
-    row_of, u, v = np.full(m, -1), np.zeros(n), np.zeros(m)
-    for start in range(n):
-        dist, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        row, last, total = start, -1, 0.0
-        while True:
-            d = np.where(done, np.inf, total + cost[row] - u[row] - v)
-            nearer = d < dist
-            dist[nearer], came[nearer] = d[nearer], last
-            at = int(np.where(done, np.inf, dist).argmin())
-            total, done[at] = dist[at], True
-            if row_of[at] < 0:
-                break
-            last, row = at, row_of[at]
-        settled = np.flatnonzero(done & (np.arange(m) != at))
-        u[start] += total
-        u[row_of[settled]] += total - dist[settled]
-        v[settled] -= total - dist[settled]
-        while at >= 0:
-            before = came[at]
-            row_of[at] = start if before < 0 else row_of[before]
-            at = before
-    pairs = [(int(i), j) for j, i in enumerate(row_of) if i >= 0 and -cost[i, j] > 0]
-    return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
+    i, j = np.indices(w.shape)
+    return [(int(i.flat[k]), int(j.flat[k])) for k in best_pairs(i.ravel(), j.ravel(), w.ravel())]
 
 
-def best_pairs(gold: np.ndarray, pred: np.ndarray, weight: np.ndarray) -> list[int]:
-    """Positions of the edges (gold, pred, weight) in the assignment of greatest weight, solved by connected component."""
-    group = np.arange(len(gold))
-    sides = [np.unique(x, return_inverse=True)[1] for x in (gold, pred)]
-    while True:  # the smallest position that an edge is joined with
-        before = group
-        for side in sides:
-            least = np.full(side.max(initial=-1) + 1, len(group))
-            np.minimum.at(least, side, group)
-            group = np.minimum(group, least[side])
-        if np.array_equal(before, group):
-            break
-    order = np.argsort(group, kind="stable")
-    out: list[int] = []
-    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
-        rows, columns = np.unique(gold[own], return_inverse=True), np.unique(pred[own], return_inverse=True)
-        w, edge = np.zeros((len(rows[0]), len(columns[0]))), {}
-        for k, i, j in zip(own.tolist(), rows[1].tolist(), columns[1].tolist(), strict=True):
-            if weight[k] > w[i, j]:
-                w[i, j], edge[i, j] = weight[k], k
-        out += [edge[p] for p in best_assignment(w)]
-    return out
-
-
-def assign(pairs: DataFrame, by: tuple[str, ...] = ("episode_no",)) -> DataFrame:
-    """The rows of pairs (episode_no, gold_ordinal, pred_ordinal, weight, ...) that the assignment of greatest weight takes.
-
-    `by` names columns that both sides of a pair share, so that no two groups compete for a fact. A group's facts are one
-    annotator's work on one episode; within it each connected component of pairs is solved by itself.
+#: A group with more pairs than this is cut into its connected components first.
+GROUP = 50_000
+
+
+def assign(pairs: DataFrame, by: tuple[str, ...] = ("episode_no",), most: int = GROUP) -> DataFrame:
+    """The rows of pairs (episode_no, gold_ordinal, pred_ordinal, weight, ...) that an assignment of greatest weight takes.
+
+    `by` names columns that both sides of a pair share, so that no two groups compete for a fact. A group is solved by one task; one of
+    more than `most` pairs is cut into its connected components, which are found by joins, and each of these is solved by itself.
     """
+    pairs = tables.settled(pairs)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["gold_ordinal", "pred_ordinal"], kind="stable", ignore_index=True)
-        return frame.iloc[sorted(best_pairs(*(frame[c].to_numpy() for c in ("gold_ordinal", "pred_ordinal", "weight"))))]
+        return frame.iloc[best_pairs(*(frame[c].to_numpy() for c in ("gold_ordinal", "pred_ordinal", "weight")))]
 
-    return pairs.groupBy(*by).applyInPandas(solve, pairs.schema)
+    large = pairs.groupBy(*by).count().filter(F.col("count") > most).select(*(F.col(c).alias(f"_ink_{c}") for c in by))
+    if large.isEmpty():
+        return pairs.groupBy(*by).applyInPandas(solve, pairs.schema)
+    in_large = [pairs[c].eqNullSafe(F.col(f"_ink_{c}")) for c in by]
+    cut = pairs.join(F.broadcast(large) if large.count() < 1000 else large, in_large, "left_semi")
+    node = lambda side, c: F.xxhash64(*by, F.lit(side), F.col(c))  # noqa: E731  two that share a hash only share a task
+    cut = tables.settled(cut.withColumns({"_ink_a": node(0, "gold_ordinal"), "_ink_b": node(1, "pred_ordinal")}))
+    roots = components.components(cut, "_ink_a", "_ink_b").select(F.col("node").alias("_ink_a"), F.col("root").alias("_ink_root"))
+    solved = cut.join(roots, "_ink_a").select(*pairs.columns, "_ink_root").groupBy("_ink_root").applyInPandas(lambda f: solve(f.drop(columns="_ink_root")), pairs.schema)
+    return pairs.join(large, in_large, "left_anti").groupBy(*by).applyInPandas(solve, pairs.schema).unionByName(solved)
 
 
 def diagnose_unknown(pairs: DataFrame, unknown: DataFrame) -> DataFrame:
@@ -326,7 +343,7 @@ def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None
     quotes and, where known, candidate_kind, match_status, matched_character_id, matched_name. schemas: (schema_key, aliases).
     provider judges texts that differ; without one such matches stay pending. Unknown subjects are never judged.
     """
-    gold, settings = prepared_gold(gold), prepared_predictions(predictions, schemas)
+    gold, settings = tables.settled(prepared_gold(gold)), tables.settled(prepared_predictions(predictions, schemas))
     keys = ["episode_no", "pred_ordinal"]
     place = lambda rows, to: rows.withColumnRenamed("ordinal", to)
     named = settings.filter("name is not null")
@@ -358,6 +375,7 @@ def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None
     free_gold, free = left(place(extract, "gold_ordinal"), assigned, ["episode_no", "gold_ordinal"]), left(place(settings, "pred_ordinal"), assigned, keys)
     excluded = free.join(identity(decided(REVIEW), named).select(*keys), keys, "left_semi")
     scored_free = left(free, excluded, keys)
+    scored_free = tables.settled(scored_free)
     violations = assign(identity(negative, scored_free.withColumnRenamed("pred_ordinal", "ordinal").filter("name is not null")), ("episode_no", "name"))
     subject = F.when(F.length("matched_character_id") > 0, F.col("matched_character_id"))
     identified = left(place(settings, "pred_ordinal"), excluded, keys).withColumns({"ordinal": F.col("pred_ordinal"), "setting_key": dedup.setting_key(subject, names.normalize(F.col("entity_name")), F.col("attribute_name"), F.col("value_type"), F.col("canonical_json"), F.coalesce("match_status", F.lit("")))})
@@ -391,12 +409,14 @@ def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None
     ]
     if "candidate_kind" in predictions.columns:
         parts.append((predictions, {"characterDiscoveryExcluded": flag(F.col("candidate_kind") == "CHARACTER_DISCOVERY")}))
-    # each part has a row of counts for an episode before they meet, and the total is one more level of the same aggregation
+    # all parts meet in one aggregation, whose partial sums are a row a task and episode
+    used = {c: None for _, own in parts for c in own}
     rows = None
     for frame, own in parts:
-        part = frame.select("episode_no", *(x.cast("long").alias(c) for c, x in own.items())).groupBy("episode_no").agg(*(F.sum(c).alias(c) for c in own))
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    counts = rows.rollup("episode_no").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in rows.columns else F.lit(0).cast("long").alias(c) for c in COUNTS))
-    details = matches.select("episode_no", "gold_id", "pred_ordinal", "entity_name", "fact_key", "attribute_name", "value.status", "value.type_matched", F.col("value.structured").alias("structured_matched"), "attribute_matched", F.col("matched").alias("fact_correct"), "evidence_matched", "reason")
+        part = frame.select("episode_no", *((own[c] if c in own else F.lit(None)).cast("long").alias(c) for c in used))
+        rows = part if rows is None else rows.union(part)
+    episodes = rows.groupBy("episode_no").agg(*(F.sum(c).alias(c) for c in used))
+    counts = episodes.rollup("episode_no").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in used else F.lit(0).cast("long").alias(c) for c in COUNTS))
+    details = matches.select("episode_no", "gold_id", "pred_ordinal", "entity_name", "fact_key", "attribute_name", "value.status", "value.type_matched", F.col("value.structured").alias("structured_matched"), "attribute_matched", F.col("matched").alias("fact_correct"), "evidence_matched", "reason", "weight")
     shown = lambda rows: rows.select(*keys)
     return Report(counts, details, free_gold.select("episode_no", "gold_id"), shown(scored_free), shown(excluded), shown(duplicates), violations.select("episode_no", "gold_ordinal", "pred_ordinal"), subjects)

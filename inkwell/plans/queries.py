@@ -117,10 +117,13 @@ def name_resolution(spark, sf):
 
 
 def schema_key_canonical(spark, sf):
-    schemas = spark.createDataFrame([("person.age", ["years", "나이"]), ("person.height", ["size"]), ("item.weight", ["size", "mass"])], "schema_key string, aliases array<string>")
-    keys = F.array(*(F.lit(x) for x in ("person.age", "years", "person.years", "size", "item.size", "mass", " person.age ", "other.key")))
-    rows = _t(spark, sf, "nation").select("n_nationkey", F.element_at(keys, (F.col("n_nationkey") % 8 + 1).cast("int")).alias("attribute_name"))
-    return names.canonical_keys(rows, schemas).select("n_nationkey", "canonical_key")
+    """Customers' keys by the regions as schemas: the key itself, an alias bare and behind the namespace, one letter that several regions share, and neither."""
+    region, nation = _t(spark, sf, "region"), _t(spark, sf, "nation")
+    schemas = region.select(F.concat(F.lit("place."), F.lower("r_name")).alias("schema_key"), F.array("r_name", F.substring("r_name", 1, 2), F.substring("r_name", 1, 1)).alias("aliases"))
+    rows = _t(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    k, two = F.col("c_custkey") % 5, F.substring("r_name", 1, 2)
+    shown = F.when(k == 0, F.concat(F.lit(" place."), F.lower("r_name"))).when(k == 1, F.col("r_name")).when(k == 2, F.concat(F.lit("place."), two)).when(k == 3, F.substring("r_name", 1, 1)).otherwise(F.col("n_name"))
+    return names.canonical_keys(rows.select("c_custkey", shown.alias("attribute_name")), schemas).select("c_custkey", "canonical_key")
 
 
 def _discoveries(spark, sf):
@@ -214,6 +217,24 @@ def evaluate(spark, sf):
     return both.withColumn("episode_no", F.coalesce("episode_no", F.lit(-1).cast("long")))
 
 
+def _competing(spark, sf):
+    """Parts as gold rows and as predictions of the same episode and name, with few brands and types as keys, so that many compete for one another."""
+    p = _t(spark, sf, "part").withColumns({"word": F.element_at(F.split("p_name", " "), 1), "number": F.col("p_size") % 2 == 0})
+    rest = F.col("p_size") % 3
+    own = [F.when(F.col("number"), "NUMBER").otherwise("STRING").alias("value_type"), F.when(F.col("number"), (F.col("p_size") % 8).cast("string")).otherwise(F.concat(F.lit("value "), (F.col("p_size") % 5).cast("string"))).alias("attribute_value"), F.lit("{}").alias("value_json"), F.array(F.when(rest == 0, "alpha one").when(rest == 1, "beta two").otherwise("gamma three")).alias("quotes")]
+    gold = p.filter("p_partkey % 2 = 0").select((F.col("p_partkey") % 40).cast("long").alias("episode_no"), F.col("p_partkey").cast("long").alias("ordinal"), F.lit("EXTRACT").alias("decision"), F.lit("MUST").alias("importance"), F.col("word").alias("entity_name"), F.substring("p_brand", 1, 7).alias("fact_key"), F.array(F.element_at(F.split("p_type", " "), 1)).alias("aliases"), *own, F.lit(None).cast("string").alias("source_text"))
+    given = p.filter("p_partkey % 2 = 1").select(((F.col("p_partkey") + 1) % 40).cast("long").alias("episode_no"), F.col("p_partkey").cast("long").alias("ordinal"), F.col("word").alias("entity_name"), F.when(F.col("p_partkey") % 3 == 0, F.element_at(F.split("p_type", " "), 1)).otherwise(F.substring("p_brand", 1, 7)).alias("attribute_name"), *own)
+    return gold, given
+
+
+def evaluate_competing(spark, sf):
+    """The greatest weight of each episode's matches, and what there was to match."""
+    report = evaluation.evaluate(*_competing(spark, sf))
+    weight = report.matches.groupBy(F.col("episode_no").alias("e")).agg(F.sum("weight").cast("long").alias("weight"))
+    counts = report.counts.filter("episode_no is not null").select("episode_no", "goldExtract", "predictions")
+    return counts.join(weight, F.col("episode_no") == F.col("e"), "left").select("episode_no", "goldExtract", "predictions", F.coalesce("weight", F.lit(0).cast("long")).alias("weight"))
+
+
 def unmatched_gold(spark, sf):
     gold, _, pairs = _pairs(spark, sf)
     return gold.select("episode_no", "ordinal").join(pairs.select("episode_no", F.col("gold_ordinal").alias("ordinal")), ["episode_no", "ordinal"], "left_anti")
@@ -246,12 +267,16 @@ def ledger_report(spark, sf):
 
 
 def number_parse(spark, sf):
-    return _t(spark, sf, "part").select("p_partkey", T.parse_decimal(F.concat(F.lit("Lv."), F.col("p_size").cast("string"), F.lit(" (New +1)"))).cast("double").alias("number"))
+    """The number in a brand, and a price written with commas behind a currency."""
+    price = F.concat(F.lit("USD "), F.format_number(F.col("p_retailprice").cast("double"), 2), F.lit(" each"))
+    return _t(spark, sf, "part").select("p_partkey", T.parse_decimal(F.col("p_brand")).cast("double").alias("brand"), T.parse_decimal(price).cast("double").alias("price"))
 
 
 def boolean_parse(spark, sf):
-    words = F.array(*(F.lit(x) for x in (" Yes", "no", "참", "거짓", "TRUE", "0", "maybe")))
-    return _t(spark, sf, "events").select("event_id", T.parse_boolean(F.element_at(words, (F.col("event_id") % 7 + 1).cast("int"))).alias("flag"))
+    """Labels, and the flags of order lines, as they are written."""
+    labels = _t(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.lit(0).alias("line"), F.concat(F.lit(" "), F.col("toxic").cast("string")).alias("w"))
+    lines = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("w"))
+    return labels.unionByName(lines).select("id", "line", T.parse_boolean(F.col("w")).alias("flag"))
 
 
 def content_hash(spark, sf):
@@ -333,7 +358,7 @@ def _f(p, r):
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_filtered, vector_index_search, paragraph_split, long_paragraph_split, chunk_pack, adjacent_context, evidence_locate, evidence_locate_ws, source_excerpt, name_exact, name_containment,
-    name_resolution, schema_key_canonical, discovery_dedup, setting_dedup, duplicate_rows, gold_ids, evaluate, eval_counts, eval_metrics, identity_join, assignment, unmatched_gold, review_exclusion,
+    name_resolution, schema_key_canonical, discovery_dedup, setting_dedup, duplicate_rows, gold_ids, evaluate, evaluate_competing, eval_counts, eval_metrics, identity_join, assignment, unmatched_gold, review_exclusion,
     episode_alignment, token_bounds, embedding_bounds, ledger_report, number_parse, boolean_parse, content_hash, canonical_props, fact_keys,
 )}
 
@@ -358,11 +383,12 @@ SELECT row_id, entity_name, raw_mention, CASE WHEN match_status = 'MATCHED' THEN
     "canonical_props": "SELECT event_id, json(props)::VARCHAR AS props FROM events",
     "name_containment": f"SELECT row_id, string_agg(known_id::VARCHAR, ',' ORDER BY known_id) AS ids FROM (SELECT DISTINCT row_id, known_id FROM {_MENTIONS} JOIN {_KNOWN} ON contains(known_name, lower(entity_name)) OR contains(lower(entity_name), known_name)) GROUP BY row_id",
     "schema_key_canonical": """
-WITH s AS (SELECT * FROM (VALUES ('person.age', ['years', '나이']), ('person.height', ['size']), ('item.weight', ['size', 'mass'])) t (schema_key, aliases)),
-r AS (SELECT n_nationkey, trim((['person.age', 'years', 'person.years', 'size', 'item.size', 'mass', ' person.age ', 'other.key'])[n_nationkey % 8 + 1]) AS k FROM nation),
-x AS (SELECT n_nationkey, count(*) AS n, min(schema_key) AS to_key FROM r JOIN s ON schema_key = k GROUP BY 1),
-a AS (SELECT n_nationkey, count(DISTINCT schema_key) AS n, min(schema_key) AS to_key FROM r JOIN (SELECT schema_key, unnest(aliases) AS alias FROM s) ON alias NOT LIKE '%.%' AND (k = alias OR k = regexp_replace(schema_key, '[^.]*$', '') || alias) GROUP BY 1)
-SELECT n_nationkey, CASE WHEN x.n = 1 THEN x.to_key WHEN x.n > 1 THEN k WHEN a.n = 1 THEN a.to_key ELSE k END AS canonical_key FROM r LEFT JOIN x USING (n_nationkey) LEFT JOIN a USING (n_nationkey)""",
+WITH s AS (SELECT 'place.' || lower(r_name) AS schema_key, [r_name, substring(r_name, 1, 2), substring(r_name, 1, 1)] AS aliases FROM region),
+r AS (SELECT c_custkey, trim(CASE c_custkey % 5 WHEN 0 THEN ' place.' || lower(r_name) WHEN 1 THEN r_name WHEN 2 THEN 'place.' || substring(r_name, 1, 2) WHEN 3 THEN substring(r_name, 1, 1) ELSE n_name END) AS k
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+x AS (SELECT c_custkey, count(*) AS n, min(schema_key) AS to_key FROM r JOIN s ON schema_key = k GROUP BY 1),
+a AS (SELECT c_custkey, count(DISTINCT schema_key) AS n, min(schema_key) AS to_key FROM r JOIN (SELECT schema_key, unnest(aliases) AS alias FROM s) ON k = alias OR k = 'place.' || alias GROUP BY 1)
+SELECT c_custkey, CASE WHEN x.n = 1 THEN x.to_key WHEN x.n > 1 THEN k WHEN a.n = 1 THEN a.to_key ELSE k END AS canonical_key FROM r LEFT JOIN x USING (c_custkey) LEFT JOIN a USING (c_custkey)""",
     "discovery_dedup": "SELECT conv_id, ordinal, name, match_status FROM (SELECT conv_id, turn AS ordinal, lower(split_part(text, ' ', 1)) AS name, 'UNRESOLVED' AS match_status, row_number() OVER (PARTITION BY conv_id, lower(split_part(text, ' ', 1)) ORDER BY turn) AS k FROM conversations WHERE turn % 3 <> 0) WHERE k = 1",
     "setting_dedup": f"SELECT ordinal, job, key, confidence, position FROM (SELECT *, row_number() OVER (PARTITION BY job, key ORDER BY coalesce(confidence, -1) DESC, ordinal) AS k, min(ordinal) OVER (PARTITION BY job, key) AS position FROM {_SET} WHERE key IS NOT NULL) WHERE k = 1 UNION ALL SELECT ordinal, job, key, confidence, ordinal FROM {_SET} WHERE key IS NULL",
     "duplicate_rows": f"SELECT ordinal, job, key, confidence FROM (SELECT *, row_number() OVER (PARTITION BY job, key ORDER BY ordinal) AS k FROM {_SET} WHERE key IS NOT NULL) WHERE k > 1",
@@ -377,9 +403,32 @@ SELECT n_nationkey, CASE WHEN x.n = 1 THEN x.to_key WHEN x.n > 1 THEN k WHEN a.n
     "token_bounds": "SELECT doc_id, strlen(coalesce(text, '')) + 4096 + 512 AS byte_bound, ceil(n_chars::DOUBLE * 1.10::DOUBLE)::BIGINT + 256 + 4096 AS token_bound FROM documents",
     "embedding_bounds": "SELECT source, (coalesce(sum(strlen(text)), 0) + 256)::BIGINT AS reserved_tokens FROM documents GROUP BY 1",
     "ledger_report": "WITH e AS (SELECT event_type AS purpose, user_id % 3 AS model, event_id % 1000 + 100 AS input, CASE WHEN event_id % 4 = 0 THEN event_id % 50 ELSE 0 END AS cached, event_id % 2000 + 500 AS reserved FROM events) SELECT purpose, model, count(*) AS calls, count(*) FILTER (cached > 0) AS cache_hits, sum(input)::BIGINT AS input_tokens, sum(cached)::BIGINT AS cached_tokens, round(sum(cached)::DOUBLE / sum(input), 6) AS cached_share, round(avg(reserved), 6) AS mean_reserved, round(avg(reserved::DOUBLE / input), 6) AS mean_reserved_over_used FROM e GROUP BY 1, 2",
-    "number_parse": "SELECT p_partkey, p_size::DOUBLE AS number FROM part",
-    "boolean_parse": "WITH w AS (SELECT event_id, lower(trim(([' Yes', 'no', '참', '거짓', 'TRUE', '0', 'maybe'])[event_id % 7 + 1])) AS w FROM events) SELECT event_id, CASE WHEN w IN ('true', '1', 'yes', 'y', '예', '참') THEN true WHEN w IN ('false', '0', 'no', 'n', '아니오', '거짓') THEN false END AS flag FROM w",
+    "number_parse": "SELECT p_partkey, regexp_extract(p_brand, '[0-9]+')::DOUBLE AS brand, round(p_retailprice::DOUBLE, 2) AS price FROM part",
+    "boolean_parse": "WITH w AS (SELECT doc_id AS id, 0 AS line, toxic::VARCHAR AS w FROM labels UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem) SELECT id, line, CASE WHEN lower(w) IN ('true', '1', 'yes', 'y', '예', '참') THEN true WHEN lower(w) IN ('false', '0', 'no', 'n', '아니오', '거짓') THEN false END AS flag FROM w",
     "content_hash": "SELECT doc_id, 'notion-' || substring(sha256(text), 1, 12) AS version FROM documents",
     "fact_keys": "SELECT p_partkey, array_to_string(list_transform(string_split(lower(trim(p_type || '.' || p_name)), '.'), lambda x: replace(trim(x), ' ', '_')), '.') AS key FROM part",
 }
+
+
+def _best(pairs: str) -> str:
+    """SQL that tries every assignment of each group of pairs (episode_no, name, gold_ordinal, pred_ordinal, weight): b has a group's greatest weight."""
+    return f"""
+p AS ({pairs}),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY episode_no, name ORDER BY gold_ordinal) AS k FROM p),
+o AS (SELECT episode_no, name, k, pred_ordinal, weight FROM n UNION ALL SELECT DISTINCT episode_no, name, k, NULL, 0 FROM n),
+s AS (SELECT DISTINCT episode_no, name, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS w FROM p
+  UNION SELECT s.episode_no, s.name, s.k + 1, CASE WHEN o.pred_ordinal IS NULL THEN used ELSE list_sort(list_append(used, o.pred_ordinal::BIGINT)) END, w + o.weight
+  FROM s JOIN o ON o.episode_no = s.episode_no AND o.name = s.name AND o.k = s.k + 1 WHERE o.pred_ordinal IS NULL OR NOT list_contains(used, o.pred_ordinal::BIGINT)),
+m AS (SELECT episode_no, name, max(w) AS w FROM s GROUP BY ALL),
+b AS (SELECT m.*, max(len(used)) AS pairs FROM m JOIN s ON s.episode_no = m.episode_no AND s.name = m.name AND s.w = m.w GROUP BY ALL)"""
+
+
+ORACLES["assignment"] = f"WITH RECURSIVE {_best(f'SELECT x.*, g.name FROM {_PAIRS} x JOIN {_G} g ON g.ordinal = x.gold_ordinal')} SELECT episode_no, sum(pairs)::BIGINT AS pairs, sum(w)::BIGINT AS weight FROM b GROUP BY 1"
+_C = """(SELECT p_partkey, p_size, split_part(p_name, ' ', 1) AS name, lower(substring(p_brand, 1, 7)) AS brand, lower(split_part(p_type, ' ', 1)) AS kind, CASE WHEN p_size % 2 = 0 THEN 'NUMBER' ELSE 'STRING' END AS t,
+  CASE WHEN p_size % 2 = 0 THEN p_size % 8 ELSE p_size % 5 END AS v FROM part)"""
+ORACLES["evaluate_competing"] = f"""WITH RECURSIVE x AS (SELECT g.p_partkey % 40 AS episode_no, g.name, g.p_partkey AS gold_ordinal, y.p_partkey AS pred_ordinal,
+    CASE WHEN (CASE WHEN y.p_partkey % 3 = 0 THEN y.kind ELSE y.brand END) = g.brand THEN 1000 ELSE 900 END + CASE WHEN g.t <> y.t THEN 0 WHEN g.v = y.v THEN 120 WHEN g.t = 'STRING' THEN 70 ELSE 20 END + CASE WHEN g.p_size % 3 = y.p_size % 3 THEN 5 ELSE 0 END AS weight
+  FROM {_C} g JOIN {_C} y ON g.p_partkey % 2 = 0 AND y.p_partkey % 2 = 1 AND g.p_partkey % 40 = (y.p_partkey + 1) % 40 AND g.name = y.name AND (CASE WHEN y.p_partkey % 3 = 0 THEN y.kind ELSE y.brand END) IN (g.brand, g.kind)),
+{_best('SELECT * FROM x')}, e AS (SELECT p_partkey % 40 AS episode_no, 1 AS g, 0 AS p FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT (p_partkey + 1) % 40, 0, 1 FROM part WHERE p_partkey % 2 = 1)
+SELECT episode_no::BIGINT AS episode_no, sum(g)::BIGINT AS "goldExtract", sum(p)::BIGINT AS predictions, coalesce(any_value(w), 0)::BIGINT AS weight FROM e LEFT JOIN (SELECT episode_no, sum(w) AS w FROM b GROUP BY 1) USING (episode_no) GROUP BY 1"""
 ORACLES["vector_index_search"] = ORACLES["vector_topk_filtered"]
