@@ -61,7 +61,8 @@ def extract(chunks: DataFrame, provider: Callable[[str], str], static_prompt: st
 
     def ask(text: str) -> list[dict]:
         for left in reversed(range(attempts)):
-            answer = provider(head + text)
+            # a provider that keeps its answers is told which attempt it is
+            answer = provider.ask(head + text, attempts - 1 - left) if hasattr(provider, "ask") else provider(head + text)
             try:
                 found = loads_object(answer).get("candidates", [])
                 if not all(isinstance(c, dict) and valid(c) for c in found):
