@@ -1,4 +1,4 @@
-"""Command line: score prediction files against a gold file, cut texts into chunks, make a gold file of annotation pages."""
+"""Command line: score prediction files against a gold file, cut texts into chunks, make a gold file of annotation pages, show a report."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import chunking, evaluation
-from inkwell.sources import tables
+from inkwell.sources import paged, tables
 
 
 def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> dict:
@@ -24,18 +24,44 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.output:
         Path(args.output).write_text(json.dumps(summary, ensure_ascii=False, indent=2), encoding="utf-8")
     if args.markdown:
-        Path(args.markdown).write_text(tables.markdown(metrics), encoding="utf-8")
+        Path(args.markdown).write_text(tables.markdown(summary), encoding="utf-8")
     return summary
 
 
+def run_report(spark: SparkSession, args: argparse.Namespace) -> str:
+    """A report file as a page, and without anything that is derived from a source text as machine output."""
+    report = json.loads(Path(args.report).read_text(encoding="utf-8"))
+    summary = {k: report.get(k, {}) for k in ("run", "dataset", "metrics", "counts")}
+    page = tables.markdown(summary)
+    for path, text in ((args.output, page), (args.machine_output, json.dumps(summary, ensure_ascii=False, indent=2))):
+        if path:
+            Path(path).parent.mkdir(parents=True, exist_ok=True)
+            Path(path).write_text(text, encoding="utf-8")
+    return page
+
+
 def run_chunk(spark: SparkSession, args: argparse.Namespace) -> None:
     chunking.chunks(tables.read_texts(spark, args.texts), "file").write.mode("overwrite").parquet(args.output)
 
 
 def run_gold(spark: SparkSession, args: argparse.Namespace) -> None:
-    episodes = tables.gold_from_annotations(tables.parse_annotations(spark.read.schema(tables.PAGES).json(args.pages)))
+    """A gold file of annotation pages, from JSON lines or from the paged source, written episode by episode."""
+    if args.paged:
+        paged.register(spark)
+        pages = spark.read.format("paged").option("path", args.pages).load()
+        pages = paged.annotations(pages.filter(F.col("episode_no").isin([float(e) for e in args.episode])) if args.episode else pages)
+    else:
+        pages = spark.read.schema(tables.PAGES).json(args.pages)
+    rows = tables.parse_annotations(pages)
+    episodes = tables.settled(tables.gold_from_annotations(rows.filter(F.col("episode_no").isin(args.episode)) if args.episode else rows))
+    if episodes.isEmpty():
+        raise ValueError("no annotation row matches the episodes")
     version = args.version or tables.snapshot_version(episodes, args.name)
-    episodes.orderBy("episodeNo").groupBy().agg(F.collect_list(F.struct("*")).alias("episodes")).select(F.lit(version).alias("datasetVersion"), F.lit(args.name).alias("name"), "episodes").coalesce(1).write.mode("overwrite").json(args.output)
+    with open(args.output, "w", encoding="utf-8") as out:
+        out.write(f'{{"datasetVersion": {json.dumps(version)}, "name": {json.dumps(args.name, ensure_ascii=False)}, "episodes": [')
+        for i, r in enumerate(episodes.orderBy("episodeNo").select(F.to_json(F.struct("*")).alias("t")).toLocalIterator()):
+            out.write(("," if i else "") + "\n" + r["t"])
+        out.write("\n]}\n")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -56,13 +82,20 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("output")
     g.add_argument("--name", required=True)
     g.add_argument("--version")
+    g.add_argument("--paged", action="store_true")
+    g.add_argument("--episode", type=int, action="append")
     g.set_defaults(run=run_gold)
+    r = sub.add_parser("report")
+    r.add_argument("--report", required=True)
+    r.add_argument("--output", required=True)
+    r.add_argument("--machine-output")
+    r.set_defaults(run=run_report)
     return top
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     args = parser().parse_args(argv)
-    return args.run(spark or SparkSession.builder.getOrCreate(), args)
+    return args.run(spark or (None if args.run is run_report else SparkSession.builder.getOrCreate()), args)
 
 
 if __name__ == "__main__":

@@ -29,8 +29,8 @@ from inkwell.sources import tables
 
 #: At most so many cells; so many sampled vectors for each of them; so many numbers in the sample.
 CELLS, SAMPLE, NUMBERS, STEPS = 4096, 64, 1 << 24, 10
-#: Cells probed at first, as a share of all, and rows that must pass the filters, as a multiple of K.
-PROBED, REFILL = 0.4, 4
+#: Cells probed at first, as a share of all (enough for vectors that lie almost at random; clustered ones need a few cells), and rows that must pass the filters, as a multiple of K.
+PROBED, REFILL = 0.7, 4
 INDEX = {"cell": "int", "code": "binary", "scale": "double", "off": "double", "same": "bigint"}
 
 

@@ -53,16 +53,37 @@ def valid(c: dict) -> bool:
     return all(x is None for x in values) if c.get("candidate_kind") == "CHARACTER_DISCOVERY" else all(values[k] is not None for k in (0, 2, 3))
 
 
+def names_text(known: list[str]) -> str:
+    """Known names, each once and in order."""
+    return json.dumps(sorted({n.strip() for n in known if n and n.strip()}), ensure_ascii=False)
+
+
+def prompt(head: str, known: list[str], episode_no: int | None, episode_title: str | None, text: str) -> str:
+    """What is the same for most chunks stands first, so that a provider can keep it: rules and schemas, known names, the episode, the text."""
+    metadata = json.dumps({"episode_no": episode_no, "episode_title": episode_title}, ensure_ascii=False, sort_keys=True)
+    return f"{head}\nknown_character_names:\n{names_text(known)}\n\nmetadata:\n{metadata}\n\nchunk_text:\n{text}"
+
+
+def with_known_names(chunks: DataFrame, known: DataFrame, work: str = "work_id", name: str = "name") -> DataFrame:
+    """chunks with known_names, the names of their work in known (work, name): the few characters of a work, an empty list without any."""
+    own = known.groupBy(F.col(work).alias("_ink_work")).agg(F.sort_array(F.collect_set(name)).alias("known_names"))
+    met = chunks.join(own, chunks[work].eqNullSafe(F.col("_ink_work")), "left").drop("_ink_work")
+    return met.withColumn("known_names", F.coalesce("known_names", F.array().cast("array<string>")))
+
+
 def extract(chunks: DataFrame, provider: Callable[[str], str], static_prompt: str, hints: list[dict], attempts: int = 3, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
-    """(source_chunk_id, ordinal, candidate fields): each chunk goes to the provider; answers that are no valid JSON are asked for again, provider errors end the job. The chunk id is always the row's own."""
+    """(source_chunk_id, ordinal, candidate fields): each chunk goes to the provider; answers that are no valid JSON are asked for again, provider errors end the job. The chunk id is always the row's own.
+
+    Where chunks have them, known_names (an array, see with_known_names()), episode_no and episode_title are in the prompt.
+    """
     if not hints:
         raise ValueError("hints are needed")
     head = static_prompt + "\n" + hints_text(hints) + "\n"
 
-    def ask(text: str) -> list[dict]:
+    def ask(asked: str) -> list[dict]:
         for left in reversed(range(attempts)):
             # a provider that keeps its answers is told which attempt it is
-            answer = provider.ask(head + text, attempts - 1 - left) if hasattr(provider, "ask") else provider(head + text)
+            answer = provider.ask(asked, attempts - 1 - left) if hasattr(provider, "ask") else provider(asked)
             try:
                 found = loads_object(answer).get("candidates", [])
                 if not all(isinstance(c, dict) and valid(c) for c in found):
@@ -75,10 +96,11 @@ def extract(chunks: DataFrame, provider: Callable[[str], str], static_prompt: st
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [[{k: (json.dumps(c.get(k), ensure_ascii=False) if k == "value_json" and c.get(k) is not None else c.get(k)) for k in FIELDS} for c in ask(t)] for t in frame["t"]]
+            out = [[{k: (json.dumps(c.get(k), ensure_ascii=False) if k == "value_json" and c.get(k) is not None else c.get(k)) for k in FIELDS} for c in ask(prompt(head, list(k), None if pd.isna(n) else int(n), h, t))] for t, k, n, h in zip(frame["t"], frame["k"], frame["n"], frame["h"], strict=True)]
             yield pd.DataFrame({"i": frame["i"], "candidates": out})
 
-    source = chunks.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    given = lambda c, kind: (F.col(c) if c in chunks.columns else F.lit(None)).cast(kind)
+    source = chunks.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.coalesce(given("known_names", "array<string>"), F.array().cast("array<string>")).alias("k"), given("episode_no", "long").alias("n"), given("episode_title", "string").alias("h"))
     rows = source.mapInPandas(run, f"i string, candidates {CANDIDATE}")
     return rows.select(F.col("i").alias("source_chunk_id"), F.posexplode("candidates").alias("ordinal", "c")).select("source_chunk_id", "ordinal", "c.*").withColumn("entity_name", F.trim("entity_name"))
 

@@ -6,6 +6,7 @@ import json
 import re
 import tempfile
 import uuid
+from hashlib import sha256
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -92,6 +93,7 @@ def delete_by_key(spark: SparkSession, path: str, key: str, values) -> None:
 def replace_by_key(rows: DataFrame, path: str, key: str, keys=None) -> None:
     """Replace all rows of the keys that occur in rows, as partitions; other keys stay. Of `keys`, those of a batch of jobs, the ones
     without rows lose what they had. Each key's files change place together at commit; there is no transaction over several keys."""
+    rows = settled(rows)  # they are looked at twice, and may read the table that they replace
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
     if keys is not None:
         have = {str(r[0]) for r in rows.select(key).filter(F.col(key).isin(list(keys))).distinct().toLocalIterator()}
@@ -115,6 +117,67 @@ def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return table.join(new, key, "left").withColumns(pick).drop("new").select(*table.columns, *(c for c in names if c not in table.columns))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a Hadoop path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def update_files(spark: SparkSession, path: str, changes: DataFrame, key: str) -> int:
+    """updated() of the Parquet files under path, of which only those that hold a changed key are rewritten; how many these are.
+
+    A repeated or missing key is an error before anything is written. The new files are written aside, with a journal that names them and
+    the files that they replace; the journal's last name is the commit. Then they are moved in and the old files deleted, which
+    finish_updates() does for a commit that was interrupted. Readers that list the files in between may see rows of both.
+    """
+    store, _ = _hadoop(spark, path)
+    finish_updates(spark, path)
+    changes = settled(changes)
+    table = spark.read.parquet(path)
+    if set(changes.columns) - set(table.columns):
+        raise ValueError(f"columns that the table lacks: {sorted(set(changes.columns) - set(table.columns))}")
+    located = table.select(F.col(key).alias("_k"), F.col("_metadata.file_path").alias("_file"))
+    held = settled(changes.select(F.col(key).alias("_k")).join(located, "_k", "left"))
+    wrong = [r[0] for r in held.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.count("_file").alias("m")).filter("n > 1 or m = 0").limit(10).collect()]
+    if wrong:
+        raise ValueError(f"repeated or missing keys, among them {wrong}")
+    old = [r[0] for r in held.select("_file").distinct().collect()]
+    if not old:
+        return 0
+    name = uuid.uuid4().hex
+    aside = f"{path.rstrip('/')}/_update-{name}"
+    own = spark.read.schema(table.schema).parquet(*old)
+    updated(own, changes, key).select(*table.columns).coalesce(max(1, min(len(old), own.rdd.getNumPartitions()))).write.parquet(f"{aside}/rows")
+    written = [s.getPath().toString() for s in store.listStatus(_hadoop(spark, f"{aside}/rows")[1]) if s.getPath().getName().startswith("part-")]
+    out = store.create(_hadoop(spark, f"{aside}/journal.new")[1], True)
+    out.write(bytearray(json.dumps({"new": written, "old": old}).encode()))
+    out.close()
+    store.rename(_hadoop(spark, f"{aside}/journal.new")[1], _hadoop(spark, f"{aside}/journal")[1])
+    finish_updates(spark, path)
+    return len(old)
+
+
+def finish_updates(spark: SparkSession, path: str) -> None:
+    """Carry out the committed updates of a folder, and drop what was never committed."""
+    store, top = _hadoop(spark, path)
+    for status in store.listStatus(top) if store.exists(top) else ():
+        aside = status.getPath()
+        if not aside.getName().startswith("_update-"):
+            continue
+        journal = _hadoop(spark, f"{aside.toString()}/journal")[1]
+        if store.exists(journal):
+            stream = store.open(journal)
+            done = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            for new in done["new"]:
+                at = _hadoop(spark, new)[1]
+                if store.exists(at) and not store.rename(at, _hadoop(spark, f"{path.rstrip('/')}/{aside.getName()[1:]}-{at.getName()}")[1]):
+                    raise OSError(f"{new} can't be moved in")
+            for old in done["old"]:
+                store.delete(_hadoop(spark, old)[1], False)
+        store.delete(aside, True)
+
+
 def inside(root: str, name: str) -> str:
     """The path of name under root; a name that leads out of it is an error."""
     path = PurePosixPath(name)
@@ -227,11 +290,30 @@ def gold_from_annotations(rows: DataFrame, source_pattern: str = "%02d화.txt")
     return grouped.select("episodeNo", F.format_string(source_pattern, "episodeNo").alias("sourceFile"), "candidates")
 
 
+#: Fixed value: the name under which a version has a field that isn't its own in snake case.
+VERSIONED = {"factKeyAliases": "accepted_fact_key_aliases"}
+
+
 def snapshot_version(episodes: DataFrame, name: str) -> str:
-    """Version of a dataset by its content: the same rows give the same version, whatever their order."""
-    one = F.sha2(J.canonical_json(F.to_json(F.struct(*sorted(episodes.columns)))), 256)
-    whole = episodes.select("episodeNo", one.alias("h")).groupBy().agg(F.sha2(F.concat(F.lit(name), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("episodeNo", "h"))), lambda x: x["h"]), "")), 256)).first()[0]
-    return f"notion-{whole[:12]}"
+    """Version of a dataset: the digest of its canonical JSON, keys sorted, without blanks, candidates in snake case and without nulls. The same rows give the same version, whatever their order.
+
+    The episodes' JSON is made by the executors and streamed through one digest on the driver, in the order of episodeNo.
+    """
+    bare = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    fields = [f.name for f in episodes.schema["candidates"].dataType.elementType.fields]
+    snake = lambda f: VERSIONED.get(f, re.sub("[A-Z]", lambda m: "_" + m[0].lower(), f))
+
+    def one(c: Column) -> Column:
+        # a text that is JSON itself goes in as it is
+        pieces = [F.when(c[f].isNotNull(), F.concat(F.lit(json.dumps(snake(f)) + ":"), c[f] if f == "valueJson" else bare(c[f]))) for f in fields]
+        return F.concat(F.lit("{"), F.array_join(F.array(*pieces), ","), F.lit("}"))
+
+    text = F.concat(F.lit('{"candidates":['), F.array_join(F.transform("candidates", one), ","), F.lit('],"episodeNo":'), F.col("episodeNo").cast("string"), F.lit(',"sourceFile":'), bare(F.col("sourceFile")), F.lit(',"title":null}'))
+    digest = sha256(b'{"episodes":[')
+    for i, row in enumerate(episodes.select("episodeNo", J.canonical_json(text).alias("t")).orderBy("episodeNo").toLocalIterator()):
+        digest.update((b"," if i else b"") + row["t"].encode())
+    digest.update(b'],"name":' + json.dumps(name, ensure_ascii=False).encode() + b"}")
+    return f"notion-{digest.hexdigest()[:12]}"
 
 
 def write_report(counts: DataFrame, path: str) -> None:
@@ -243,17 +325,38 @@ def machine_summary(counts: Row, metrics: Row, run: dict, dataset: dict) -> dict
     return {"run": run, "dataset": dataset, "metrics": {k: v for k, v in metrics.asDict().items() if k != "episode_no"}, "counts": {k: v for k, v in counts.asDict().items() if k != "episode_no"}}
 
 
-def markdown(metrics: Row) -> str:
-    """The metrics of one row as a table."""
-    shown = lambda v: "pending" if v is None else f"{v:.2%}" if isinstance(v, float) else str(v)
-    return "\n".join(["| metric | value |", "|---|---|", *(f"| {k} | {shown(v)} |" for k, v in metrics.asDict().items() if k != "episode_no")])
+#: The metrics and counts of a Markdown report, with their labels.
+SHOWN_METRICS = {
+    "detectionPrecision": "Detection Precision", "detectionRecall": "Detection Recall", "detectionF1": "Detection F1", "factPrecision": "Fact Precision", "factRecall": "Fact Recall", "factF1": "Fact F1",
+    "weightedDetectionRecall": "중요도 가중 Detection Recall", "weightedFactRecall": "중요도 가중 Fact Recall", "valueTypeAccuracy": "valueType Accuracy", "attributeValueAccuracy": "attributeValue Accuracy",
+    "structuredValueAccuracy": "structuredValue Accuracy", "evidenceLocatableRate": "원문에서 찾을 수 있는 근거 비율", "goldEvidenceCoverageRate": "정답 근거 범위 포괄 비율", "hardNegativeViolationRate": "DO_NOT_EXTRACT 위반율",
+    "duplicatePredictionRate": "중복 예측 비율", "unknownSubjectPredictionRate": "미상 주체 예측 비율", "subjectOnlyFailureRate": "주체 해소만 실패한 비율",
+}
+SHOWN_COUNTS = {
+    "goldExtract": "EXTRACT 정답", "predictions": "채점 대상 예측", "detectionMatches": "Detection 매칭", "factCorrect": "Fact 정답", "semanticPending": "의미 판정 대기", "reviewExcludedPredictions": "REVIEW 제외 예측",
+    "characterDiscoveryExcluded": "캐릭터 발견 후보 제외", "judgeInputTokens": "LLM Judge 입력 토큰", "judgeCachedInputTokens": "LLM Judge 캐시 입력 토큰", "judgeOutputTokens": "LLM Judge 출력 토큰",
+}
+
+
+def markdown(summary: dict) -> str:
+    """A machine_summary() as a page: what was run on what, its metrics and its counts."""
+    run, dataset, metrics, counts = (summary.get(k) or {} for k in ("run", "dataset", "metrics", "counts"))
+    judge = run.get("semanticJudgeModel", "-") if run.get("semanticJudgeEnabled") else "사용 안 함"
+
+    def shown(v) -> str:
+        if isinstance(v, bool):
+            return "완료" if v else "미완료"
+        return "판정 대기/대상 없음" if v is None else f"{v:.2%}" if isinstance(v, (int, float)) else str(v)
+
+    head = {"데이터셋": f"`{dataset.get('name', '-')}`", "스냅샷 버전": f"`{dataset.get('version', '-')}`", "평가 회차": f"`{dataset.get('episodeCount', 0)}`개", "분석 모델": f"`{run.get('analysisModel') or '-'}`", "의미 판정 모델": f"`{judge}`"}
+    table = lambda title, names, rows: ["", f"## {title}", "", f"| {names} |", "| --- | ---: |", *(f"| {a} | {b} |" for a, b in rows)]
+    lines = ["# 설정 추출 평가 결과", "", *(f"- {k}: {v}" for k, v in head.items())]
+    lines += table("핵심 지표", "지표 | 결과", [(label, shown(metrics.get(m))) for m, label in SHOWN_METRICS.items()])
+    lines += table("평가 개수", "구분 | 개수", [(label, counts.get(c, 0)) for c, label in SHOWN_COUNTS.items()])
+    return "\n".join([*lines, ""])
 
 
 def known_characters(spark: SparkSession, path: str) -> DataFrame:
     """(id, name) where the id may be spelt in three ways."""
     raw = spark.read.schema("characterId string, character_id string, id string, name string").json(path, multiLine=True)
     return raw.select(F.coalesce("characterId", "character_id", "id").alias("id"), "name")
-
-
-def dump(rows: list[dict]) -> str:
-    return json.dumps(rows, ensure_ascii=False, indent=2)
