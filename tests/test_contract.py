@@ -65,11 +65,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"episodes": [{"episodeNo": 1, "candidates": [{"entity_name": "A"}]}, {"episodeNo": 1, "candidates": []}]}))
     with pytest.raises(ValueError):
         tables.read_predictions(spark, str(tmp_path / "p.json"))
-    debug = {"summary": {"episodeNo": 3}, "knownCharacters": [{"characterId": "c1", "name": "비요른 얀델"}], "settingCandidates": [{"candidateKind": "SETTING", "entity_name": "비요른", "matchStatus": "MATCHED", "matched_character_id": "c1", "attributeName": "a", "value_json": {"v": 1}, "evidenceSpans": [{"quote": "q", "startOffset": 1}]}]}
+    debug = {"summary": {"episodeNo": 3}, "knownCharacters": [{"characterId": "c1", "name": "Odile Marsh"}], "settingCandidates": [{"candidateKind": "SETTING", "entity_name": "Odile", "matchStatus": "MATCHED", "matched_character_id": "c1", "attributeName": "a", "value_json": {"v": 1}, "evidenceSpans": [{"quote": "q", "startOffset": 1}]}]}
     for name, rows in (("d.json", debug), ("e.json", {"episodeNo": 4, "candidates": [{"entityName": "B", "matched_character_name": "C"}]}), ("f.json", debug | {"knownCharacters": []})):
         (tmp_path / name).write_text(json.dumps(rows, ensure_ascii=False))
     got = {r["episode_no"]: (r["entity_name"], r["match_status"], r["matched_name"], r["attribute_name"], r["value_json"], r["quotes"]) for r in tables.read_predictions(spark, [str(tmp_path / "d.json"), str(tmp_path / "e.json")]).collect()}
-    assert got == {3: ("비요른", "MATCHED", "비요른 얀델", "a", '{"v": 1}', ["q"]), 4: ("B", None, "C", None, None, None)}
+    assert got == {3: ("Odile", "MATCHED", "Odile Marsh", "a", '{"v": 1}', ["q"]), 4: ("B", None, "C", None, None, None)}
     with pytest.raises(Exception, match="unknown character ID"):
         tables.read_predictions(spark, str(tmp_path / "f.json")).collect()
     (tmp_path / "s.json").write_text(json.dumps([{"schemaKey": "a.b", "aliases": ["x"], "valueType": "STRING"}]))
@@ -109,7 +109,7 @@ def test_streams(spark, sf, tmp_path):
     assert got == {(r["w"]["start"], r["event_type"]): r["count"] for r in events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").count().collect()}
 
 
-def test_jobs_are_claimed_and_reported_one_by_one(spark, tmp_path):
+def test_jobs_are_claimed_and_reported(spark, tmp_path):
     schema = "job_id string, status string, payload string"
     spark.createDataFrame([("a", "PENDING", "x"), ("b", "PENDING", "bad"), ("c", "DONE", "y")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
 
@@ -126,7 +126,7 @@ def test_jobs_are_claimed_and_reported_one_by_one(spark, tmp_path):
 
 
 def annotation(i, episode=1, order=1.0, **fields):
-    text = {"entityName": "카엘", "factKey": "level", "attributeValue": "12", "valueJson": '{"value": 12}', "evidenceQuotes": " a \n\n b", "factKeyAliases": '[" lv "]'} | fields
+    text = {"entityName": "Mira", "factKey": "rank", "attributeValue": "12", "valueJson": '{"value": 12}', "evidenceQuotes": " a \n\n b", "factKeyAliases": '[" lv "]'} | fields
     p = {tables.PROPERTIES[k]: {"type": "rich_text", "rich_text": [{"plain_text": v[:1]}, {"plain_text": v[1:]}]} for k, v in text.items() if v and k not in ("decision", "importance", "valueType")}
     p |= {tables.PROPERTIES[k]: {"type": "select", "select": {"name": text.get(k, d)}} for k, d in (("decision", "EXTRACT"), ("importance", "MUST"), ("valueType", "NUMBER"))}
     return json.dumps({"id": i, "properties": p | {tables.PROPERTIES["episode_no"]: {"type": "number", "number": episode}, tables.PROPERTIES["sort_order"]: {"type": "number", "number": order}}}, ensure_ascii=False)
@@ -140,7 +140,7 @@ def test_annotations_become_gold(spark, tmp_path):
 
     rows = parsed(annotation("p2", 2, 5), annotation("p1", 1, 2), annotation("p0", 1, 2, factKey="age", decision="DO_NOT_EXTRACT", valueJson=""), annotation("p3", 1, 1, note="n"))
     gold = {r["episodeNo"]: r for r in tables.gold_from_annotations(rows).collect()}
-    assert [c["factKey"] for c in gold[1]["candidates"]] == ["level", "age", "level"] and gold[1]["sourceFile"] == "01화.txt" and gold[1]["candidates"][0]["note"] == "n"
+    assert [c["factKey"] for c in gold[1]["candidates"]] == ["rank", "age", "rank"] and gold[1]["sourceFile"] == "01화.txt" and gold[1]["candidates"][0]["note"] == "n"
     first = gold[2]["candidates"][0]
     assert (first["decision"], first["factKeyAliases"], first["evidenceQuotes"], json.loads(first["valueJson"])) == ("EXTRACT", ["lv"], ["a", "b"], {"value": 12})
     version = tables.snapshot_version(tables.gold_from_annotations(rows), "n")
@@ -162,4 +162,4 @@ def test_command_line_scores_files(spark, tmp_path):
     at = lambda x: str(tmp_path / x)
     summary = cli.main(["evaluate", "--gold", at("gold.json"), "--predictions", at("p.json"), "--source-root", at("src"), "--output", at("o.json"), "--markdown", at("o.md")], spark)
     assert summary == json.loads((tmp_path / "o.json").read_text()) and summary["metrics"]["factF1"] == 1.0 and summary["metrics"]["evidenceLocatableRate"] == 1.0 and len(summary["counts"]) == 34 and len(summary["metrics"]) == 22
-    assert "| factF1 | 100.00% |" in (tmp_path / "o.md").read_text()
+    assert "| Fact F1 | 100.00% |" in (tmp_path / "o.md").read_text() and "| EXTRACT 정답 | 1 |" in (tmp_path / "o.md").read_text()
