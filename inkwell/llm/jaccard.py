@@ -9,6 +9,11 @@ out segments that are too small to tell sets apart, up to `slack` units. Why no
 leaves out segments; what is left of its budget is above H, so some segment of it is covered, and the other set's part of it
 is at most one smaller, so it is indexed too. If neither leaves out any, the same holds with the whole budget.
 
+An exact segment all of whose shingles are common ones (of FREQUENT of the documents: license lines, passages) is left out too, as far as
+the slack reaches: what is left out is told by the segment's content, which is the same in both sets where they agree, so the argument
+holds, and a set that leaves out less than its partner has indexed all that its partner has. The table of common shingles is counted over
+all documents, bounded, and only steers costs: any table gives the same links.
+
 allocate() chooses m0, m1 and the smallest segment size by cost: index entries of a set, plus the wrong candidates that
 its segments, of Poisson sizes, are expected to cause among all documents; so the segments grow with the corpus.
 
@@ -45,6 +50,8 @@ SHINGLE, PERCENT = 5, 80
 #: Cost model: the chance that a set has a given shingle of another one by accident, and the cost of a wrong candidate in index entries.
 SHARED, WRONG = 0.001, 0.1
 BITS, GROWTH = 512, 64
+#: Common shingles: of this share of the documents, so many at most, counted in chunks of so many documents; slack for segments of them.
+FREQUENT, COMMON, CHUNK, ROOM = 0.001, 1 << 18, 4000, 0.03
 PAGE = 32768
 BITMAP = [f"b{i}" for i in range(BITS // 64)]
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1000003) for k in range(64)]
@@ -122,7 +129,7 @@ def allocate(band: int, percent: int, documents: int) -> tuple[int, int, int, in
                     m0 = max(need + slack - 2 * m1, 0)
                     k0 = low / (m0 + weight * m1)
                     p0, p1 = (_at_most(least, k0), _at_most(least + 1, weight * k0)) if least >= 0 else (0.0, 0.0)
-                    wanted = ceil(m0 * p0 + 2 * m1 * p1 + 3 * sqrt(m0 * p0 * (1 - p0) + 4 * m1 * p1 * (1 - p1)))
+                    wanted = ceil((m0 * (p0 + ROOM) if least >= 0 else 0) + 2 * m1 * p1 + 3 * sqrt(m0 * p0 * (1 - p0) + 4 * m1 * p1 * (1 - p1)))
                     if wanted <= slack or wanted > 4 * need:
                         break
                     slack = wanted
@@ -136,9 +143,13 @@ def allocate(band: int, percent: int, documents: int) -> tuple[int, int, int, in
     return best
 
 
-def keys(s: np.ndarray, percent: int, documents: int) -> np.ndarray:
-    """Index keys of a set in the bands of all smaller or equal sizes that can be linked with it. Even: a segment; odd: one with a deletion."""
+def keys(s: np.ndarray, percent: int, documents: int, common_: np.ndarray | None = None) -> np.ndarray:
+    """Index keys of a set in the bands of all smaller or equal sizes that can be linked with it. Even: a segment; odd: one with a deletion. common_: common shingles in order."""
     edges, out = bands(percent), []
+    if common_ is None or not len(common_):
+        often = np.zeros(len(s), bool)
+    else:
+        often = common_[np.minimum(np.searchsorted(common_, s), len(common_) - 1)] == s
     value = common.mix64(s + np.uint64(0x5851F42D4C957F2D))
     first = int(np.searchsorted(edges, -(-percent * len(s) // 100), side="right")) - 1
     for band in range(first, int(np.searchsorted(edges, len(s), side="right"))):
@@ -154,8 +165,12 @@ def keys(s: np.ndarray, percent: int, documents: int) -> np.ndarray:
         ends = np.cumsum(size)
         sums = total[ends] - total[ends - size]
         exact = np.arange(m0 + m1) < m0
-        skips = int((size[:m0] <= least).sum()) + 2 * int((size[m0:] <= least + 1).sum()) <= slack
-        whole = np.flatnonzero(size > least) if skips else np.arange(m0 + m1)
+        units = int((size[:m0] <= least).sum()) + 2 * int((size[m0:] <= least + 1).sum())
+        idle = exact & (size > least) & (size > 0) & (np.bincount(segment[often], minlength=m0 + m1) == size)
+        skips = units <= slack
+        if not skips or units + int(idle.sum()) > slack:
+            idle[:] = False
+        whole = np.flatnonzero((size > least) & ~idle) if skips else np.arange(m0 + m1)
         salt = common.mix64((np.uint64(band + 1) << np.uint64(40)) + np.arange(m0 + m1, dtype=np.uint64))
         out.append(common.mix64(sums[whole] ^ salt[whole]) & ~np.uint64(1))
         owner = segment[order]
@@ -187,16 +202,55 @@ def possible(percent: int):
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, row_hash, n_shingles, node, bitmap...): node is the hash of the set, null for the empty one."""
+    """(doc_id, row_hash, n_shingles, node, bitmap..., often): node is the hash of the set, null for the empty one.
+
+    often, in the last row of each chunk of CHUNK documents: the shingles that several of its distinct sets have, and how many have each.
+    """
+    names = ["doc_id", "row_hash", "n_shingles", "node", *BITMAP, "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chunk, rows = None, {}, 0  # the last batch waits for its chunk's counts
+
+        def counted(held: list) -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([*chunk.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            packed = np.stack((found[n > 1].view(np.int64), n[n > 1]), 1).tobytes()
+            return pa.record_batch([*held, pa.array([None] * (len(held[0]) - 1) + [packed], pa.binary())], names=names)
+
         for batch, sets in _sets(batches, k):
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(pa.array(x) for x in np.array([bitmap(s) for s in sets]).T.copy())], names=["doc_id", "row_hash", "n_shingles", "node", *BITMAP])
+            if not len(sets):
+                continue
+            if held is not None:
+                if rows >= CHUNK:
+                    yield counted(held)
+                    chunk, rows = {}, 0
+                else:
+                    yield pa.record_batch([*held, pa.nulls(len(held[0]), pa.binary())], names=names)
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            held = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(x) for x in np.array([bitmap(s) for s in sets]).T.copy())]
+            chunk |= zip(nodes, sets, strict=True)
+            rows += len(sets)
+        if held is not None:
+            yield counted(held)
+
+    return docs.select("doc_id", "text", common.row_hash(docs["doc_id"], docs["text"]).alias("row_hash")).mapInArrow(common.tidied(run), "doc_id long, row_hash long, n_shingles long, node long, " + ", ".join(f"{b} long" for b in BITMAP) + ", often binary")
+
+
+def common_shingles(described: DataFrame, documents: int) -> np.ndarray:
+    """The shingles of FREQUENT of all documents, by the counts of all chunks, COMMON at most, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                pairs = np.frombuffer(x, np.int64).reshape(-1, 2)
+                for at in range(0, len(pairs), 50_000):
+                    yield pa.record_batch([pa.array(pairs[at : at + 50_000, c]) for c in (0, 1)], names=["h", "n"])
 
-    return docs.select("doc_id", "text", common.row_hash(docs["doc_id"], docs["text"]).alias("row_hash")).mapInArrow(common.tidied(run), "doc_id long, row_hash long, n_shingles long, node long, " + ", ".join(f"{b} long" for b in BITMAP))
+    counts = described.filter("often is not null").select("often").mapInArrow(common.tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    most = counts.filter(F.col("n") >= max(8, FREQUENT * documents)).orderBy(F.col("n").desc(), "h").limit(COMMON).select("h").toArrow()  # COMMON rows at most
+    return np.sort(most.column("h").to_numpy().view(np.uint64)) if most.num_rows else np.zeros(0, np.uint64)
 
 
-def entries(docs: DataFrame, k: int, percent: int, documents: int) -> DataFrame:
+def entries(docs: DataFrame, k: int, percent: int, documents: int, common_: Broadcast | None = None) -> DataFrame:
     """(key, node) of every set; a task that meets a set again leaves the repeated entries out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +260,7 @@ def entries(docs: DataFrame, k: int, percent: int, documents: int) -> DataFrame:
             for s in sets:
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    own.append(keys(s, percent, documents))
+                    own.append(keys(s, percent, documents, common_.value if common_ else None))
                     nodes.append(node)
             if len(seen) > 500_000:
                 seen.clear()
@@ -340,7 +394,10 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     described = common.materialize(describe(docs, k), "jaccard-sets")
-    dealt = entries(docs, k, percent, described.count()).repartition(partitions, F.shiftright("key", 1)).sortWithinPartitions("key", "node")
+    documents = described.count()
+    often = docs.sparkSession.sparkContext.broadcast(common_shingles(described, documents))
+    described = described.drop("often")
+    dealt = entries(docs, k, percent, documents, often).repartition(partitions, F.shiftright("key", 1)).sortWithinPartitions("key", "node")
     shared = common.materialize(collisions(dealt), "jaccard-collisions")
     common.drop_shuffles(docs.sparkSession)
     # one row of each set, and whether it is a candidate; copies are one row of each task before they meet

@@ -74,10 +74,28 @@ def test_keys_lose_no_link(percent):
             a, b = np.unique(common_part), np.unique(np.concatenate((common_part[: size - (most - extra)], rng.integers(0, 2**63, extra).astype(np.uint64))))
             if not jaccard.linked(a, b, percent) or set(a.tolist()) == set(b.tolist()):
                 continue
-            x, y = jaccard.keys(a, percent, documents), jaccard.keys(b, percent, documents)
-            shared = {k >> 1 for k in x.tolist()} & {k >> 1 for k in y.tolist()}
-            whole = {k >> 1 for k in np.concatenate((x, y)).tolist() if not k & 1}
-            assert shared & whole, (size, documents, len(a), len(b))
+            # whatever the table of common shingles is: none, some or nearly all of the two sets'
+            for table in (None, a[:: 3 + size % 9], np.union1d(a[: size // 2], b[:3]), np.union1d(a, b)[1:]):
+                x, y = jaccard.keys(a, percent, documents, table), jaccard.keys(b, percent, documents, table)
+                shared = {k >> 1 for k in x.tolist()} & {k >> 1 for k in y.tolist()}
+                whole = {k >> 1 for k in np.concatenate((x, y)).tolist() if not k & 1}
+                assert shared & whole, (size, documents, len(a), len(b))
+
+
+def test_common_shingles_leave_out_segments(spark):
+    """A passage in every document: its shingles are found, in whichever chunks they are, and fewer keys are shared by documents that have nothing else in common."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) + " " + passage) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    described = common.materialize(jaccard.describe(df, 5), "t")
+    assert described.count() == 60 and described.filter("often is not null").count() <= 5
+    table = jaccard.common_shingles(described, 60)
+    memo = common.HashMemo()
+    sets = [jaccard.shingles(memo.of(common.words(t.encode())), 5) for _, t in rows]
+    assert len(table) == 26 and set(table.tolist()) == set.intersection(*(set(s.tolist()) for s in sets))
+    met = [sum(n > 1 for n in np.unique(np.concatenate([jaccard.keys(s, 80, 10**5, x) for s in sets]), return_counts=True)[1]) for x in (None, table)]
+    assert met[1] < met[0] / 5, met
 
 
 def test_jaccard_edges(spark, odd, none):
@@ -306,11 +324,33 @@ def test_pipeline(spark, sf):
 
 
 def test_pipeline_edges(spark, odd, none, sf):
+    """Each stage on nulls, empty, long and repeated texts, and all of them on what the one before kept."""
+    ids = lambda df: sorted(str(r["doc_id"]) for r in df.select("doc_id").collect())
+    every = ids(odd)
+    stages = dict(corpus_pipeline.STAGES)
+    assert ids(stages["quality_rules"](spark, odd, sf)) == []  # under 20 words, or words that repeat
+    assert ids(stages["near_duplicates"](spark, odd, sf)) == sorted(map(str, (1, 2, 3, None, 5, 7, 8, 9, 10, 11)))  # 6 is 5 again, 12 and a second 7 are 7
+    assert ids(stages["decontamination"](spark, odd, sf)) == every
+    toxic = stages["toxicity"](spark, odd, sf)
+    assert toxic.columns == odd.columns and set(ids(toxic)) <= set(every) and {"1", "2", "3", "9"} <= set(ids(toxic))
+    check_packing(stages["packing"](spark, odd, sf).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()], 2048)
     for docs in (odd, none):
+        left = ids(docs)
         for name, stage in corpus_pipeline.STAGES:
             docs = common.materialize(stage(spark, docs, sf), name)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, sf).count() >= 0
+            assert set(ids(docs)) <= set(left)
+            left = ids(docs)
+
+
+def test_id_columns_that_clash_are_errors(spark, odd):
+    from inkwell.llm import tokens, url_filter
+
+    named = odd.select(odd["doc_id"].alias("field"), odd["doc_id"].alias("host"), "text", odd["text"].alias("url"))
+    for name in ("field", "Section"):
+        with pytest.raises(ValueError, match="rename"):
+            tokens.attribute(named.withColumnRenamed("field", name), name, ["text"])
+    with pytest.raises(ValueError, match="rename"):
+        url_filter.filter_urls(named, id_col="host")
 
 
 def test_pipeline_tells_rows_apart(spark, tmp_path):
