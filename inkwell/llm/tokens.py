@@ -107,6 +107,8 @@ def attribute(df: DataFrame, id_col: str, fields: list[str], lines: bool = False
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    if id_col.lower() in ("field", "section", "start", "end", "n_tokens"):
+        raise ValueError(f"id_col {id_col!r} is the name of a column of the result; rename it first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

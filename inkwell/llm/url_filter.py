@@ -95,6 +95,8 @@ def probes_of(host: bytes, path: bytes, path_lengths: list[int]) -> list[bytes]:
 def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) for every row; see the module's docstring for the edge cases."""
     spark = pages.sparkSession
+    if id_col.lower() in ("host", "path", "rule", "verdict"):
+        raise ValueError(f"id_col {id_col!r} is the name of a column of the result; rename it first")
     packed = DigestArray.pack(((h + p).encode(), VERDICTS.index(v)) for v, h, p in rules)
     lengths = sorted({len(p.encode()) for _, _, p in rules}, reverse=True)
     name = f"rules-{hashlib.sha256(packed).hexdigest()}.bin"
