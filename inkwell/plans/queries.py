@@ -8,6 +8,7 @@ from inkwell.functions import json_values as J
 from inkwell.functions import text as T
 from inkwell.operators import ann, chunking, dedup, evaluation, evidence, metering, names, vector
 from inkwell.sources import tables
+from inkwell.streaming import reservations
 
 #: Fixed query vector of 64 numbers.
 Q = [((k * 37 % 64) - 32) / 32 for k in range(64)]
@@ -266,6 +267,28 @@ def ledger_report(spark, sf):
     return metering.report(e, ["purpose", "model"])
 
 
+def _requests(spark, sf, events):
+    """Events as the ledger's: three of a row are a request, a purchase settles it (one in four without known usage), an error releases it."""
+    kind = F.when(F.col("event_type") == "purchase", "settle").when(F.col("event_type") == "error", "release").otherwise("reserve")
+    used = lambda x: F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 != 0), x)
+    return events.select(F.concat(F.lit("r"), F.expr("event_id div 3").cast("string")).alias("request_id"), (F.col("event_id") % 3).cast("int").alias("ordinal"), kind.alias("event"), F.col("ts").cast("timestamp").alias("time"), F.lit("p").alias("purpose"), F.concat(F.lit("m"), (F.expr("event_id div 3") % 4).cast("string")).alias("model"), F.when(kind == "reserve", F.col("event_id") % 7 * 10 + 100).alias("reserved"), used(F.floor("value")).alias("input"), used(F.col("event_id") % 5).alias("cached"), used(F.col("event_id") % 9).alias("output"))
+
+
+def ledger_settle(spark, sf):
+    """The final state of each request, with every event posted twice."""
+    events = _requests(spark, sf, _t(spark, sf, "events"))
+    return metering.settle(events.unionByName(events))
+
+
+def ledger_stream(spark, sf):
+    """The same as state of a stream, all of whose requests are held longer than the events last."""
+    out = tables.scratch(spark, "ledger")
+    events = _requests(spark, sf, tables.stream_parquet(spark, f"{sf}/events.parquet"))
+    changes = reservations.requests(events, hold=10**12, late="3650 days")
+    changes.writeStream.foreachBatch(lambda rows, number: rows.write.mode("append").parquet(f"{out}/changes")).outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return reservations.latest(spark.read.schema(reservations.OUT).parquet(f"{out}/changes")).drop("expired", "version")
+
+
 def number_parse(spark, sf):
     """The number in a brand, and a price written with commas behind a currency."""
     price = F.concat(F.lit("USD "), F.format_number(F.col("p_retailprice").cast("double"), 2), F.lit(" each"))
@@ -359,7 +382,7 @@ def _f(p, r):
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_filtered, vector_index_search, paragraph_split, long_paragraph_split, chunk_pack, adjacent_context, evidence_locate, evidence_locate_ws, source_excerpt, name_exact, name_containment,
     name_resolution, schema_key_canonical, discovery_dedup, setting_dedup, duplicate_rows, gold_ids, evaluate, evaluate_competing, eval_counts, eval_metrics, identity_join, assignment, unmatched_gold, review_exclusion,
-    episode_alignment, token_bounds, embedding_bounds, ledger_report, number_parse, boolean_parse, content_hash, canonical_props, fact_keys,
+    episode_alignment, token_bounds, embedding_bounds, ledger_report, ledger_settle, ledger_stream, number_parse, boolean_parse, content_hash, canonical_props, fact_keys,
 )}
 
 ORACLES: dict[str, str] = {
@@ -431,4 +454,10 @@ ORACLES["evaluate_competing"] = f"""WITH RECURSIVE x AS (SELECT g.p_partkey % 40
   FROM {_C} g JOIN {_C} y ON g.p_partkey % 2 = 0 AND y.p_partkey % 2 = 1 AND g.p_partkey % 40 = (y.p_partkey + 1) % 40 AND g.name = y.name AND (CASE WHEN y.p_partkey % 3 = 0 THEN y.kind ELSE y.brand END) IN (g.brand, g.kind)),
 {_best('SELECT * FROM x')}, e AS (SELECT p_partkey % 40 AS episode_no, 1 AS g, 0 AS p FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT (p_partkey + 1) % 40, 0, 1 FROM part WHERE p_partkey % 2 = 1)
 SELECT episode_no::BIGINT AS episode_no, sum(g)::BIGINT AS "goldExtract", sum(p)::BIGINT AS predictions, coalesce(any_value(w), 0)::BIGINT AS weight FROM e LEFT JOIN (SELECT episode_no, sum(w) AS w FROM b GROUP BY 1) USING (episode_no) GROUP BY 1"""
+ORACLES["ledger_settle"] = """WITH e AS (SELECT 'r' || (event_id // 3) AS request_id, event_id % 3 AS ordinal, event_type = 'purchase' AS settle, event_type = 'error' AS release, 'm' || (event_id // 3 % 4) AS model, event_id, CASE WHEN event_type = 'purchase' AND event_id % 4 <> 0 THEN floor(value)::BIGINT END AS input FROM events),
+u AS (SELECT request_id, max(ordinal) FILTER (input IS NOT NULL) AS last FROM e GROUP BY 1)
+SELECT request_id, 'p' AS purpose, any_value(model) AS model, max(event_id % 7 * 10 + 100) FILTER (NOT settle AND NOT release) AS reserved, count(*) FILTER (NOT settle AND NOT release) AS attempts,
+  CASE WHEN any_value(last) IS NOT NULL THEN 'SETTLED' WHEN bool_or(settle OR release) THEN 'RELEASED' ELSE 'RESERVED' END AS state,
+  max(input) FILTER (ordinal = last) AS input, max(event_id % 5) FILTER (ordinal = last) AS cached, max(event_id % 9) FILTER (ordinal = last) AS output FROM e JOIN u USING (request_id) GROUP BY request_id"""
+ORACLES["ledger_stream"] = ORACLES["ledger_settle"]
 ORACLES["vector_index_search"] = ORACLES["vector_topk_filtered"]

@@ -123,6 +123,15 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the Parquet files of a folder, or of a single file."""
+    store, at = _hadoop(spark, path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if store.getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(path.rstrip("/").rpartition("/")[0])
+
+
 def update_files(spark: SparkSession, path: str, changes: DataFrame, key: str) -> int:
     """updated() of the Parquet files under path, of which only those that hold a changed key are rewritten; how many these are.
 

@@ -97,6 +97,9 @@ def test_keyed_tables(spark, tmp_path):
             tables.updated(table, spark.createDataFrame(bad, "id int, e string"), "id")
     with pytest.raises(LookupError):
         tables.get_or_raise(table, "id", 7)
+    tables.append(table, str(tmp_path / "a"))
+    tables.append(spark.createDataFrame([(0, "q"), (2, "a")], "id int, e string"), str(tmp_path / "a"))
+    assert [r["e"] for r in tables.ordered_scan(spark.read.parquet(str(tmp_path / "a")), "id", 2, "e").collect()] == ["a", "x"]
 
 
 def test_streams(spark, sf, tmp_path):
