@@ -370,32 +370,34 @@ def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None
     attribute = F.when(F.col("value.type_matched"), F.col("matched"))
     matches = matches.withColumns({"attribute_matched": attribute, "evidence_matched": evidence.acceptable(F.col("e"), F.col("source_text").isNotNull())})
 
-    assigned = matches.select(*keys, "gold_ordinal")
-    left = lambda rows, taken, on: rows.join(taken.select(*on), on, "left_anti")
-    free_gold, free = left(place(extract, "gold_ordinal"), assigned, ["episode_no", "gold_ordinal"]), left(place(settings, "pred_ordinal"), assigned, keys)
-    excluded = free.join(identity(decided(REVIEW), named).select(*keys), keys, "left_semi")
-    scored_free = left(free, excluded, keys)
-    scored_free = tables.settled(scored_free)
-    violations = assign(identity(negative, scored_free.withColumnRenamed("pred_ordinal", "ordinal").filter("name is not null")), ("episode_no", "name"))
+    # where each setting stands: taken by a match, or with the identity of a gold row under review; what follows are filters
+    taken = matches.select(*keys, F.lit(True).alias("_taken"))
+    reviewed = identity(decided(REVIEW), named).select(*keys, F.lit(True).alias("_review")).distinct()
+    placed = place(settings, "pred_ordinal").join(taken, keys, "left").join(reviewed, keys, "left").fillna(False, ["_taken", "_review"])
+    placed = tables.settled(placed.withColumn("_excluded", ~F.col("_taken") & F.col("_review")))
+    free_gold = place(extract, "gold_ordinal").join(matches.select("episode_no", "gold_ordinal"), ["episode_no", "gold_ordinal"], "left_anti")
+    excluded, scored_free = placed.filter("_excluded"), placed.filter("not _taken and not _review")
+    violations = tables.settled(assign(identity(negative, scored_free.withColumnRenamed("pred_ordinal", "ordinal").filter("name is not null")), ("episode_no", "name")))
     subject = F.when(F.length("matched_character_id") > 0, F.col("matched_character_id"))
-    identified = left(place(settings, "pred_ordinal"), excluded, keys).withColumns({"ordinal": F.col("pred_ordinal"), "setting_key": dedup.setting_key(subject, names.normalize(F.col("entity_name")), F.col("attribute_name"), F.col("value_type"), F.col("canonical_json"), F.coalesce("match_status", F.lit("")))})
+    identified = placed.filter("not _excluded").withColumns({"ordinal": F.col("pred_ordinal"), "setting_key": dedup.setting_key(subject, names.normalize(F.col("entity_name")), F.col("attribute_name"), F.col("value_type"), F.col("canonical_json"), F.coalesce("match_status", F.lit("")))})
     duplicates = dedup.repeated(identified, ["episode_no"], "setting_key")
 
     missing = F.coalesce(F.col("match_status") != "MATCHED", F.lit(True)) & (F.col("plain_name") == T.plain_normalize(names.UNKNOWN))
-    unknown = place(settings.filter(missing), "pred_ordinal")
-    by_key = free_gold.select("episode_no", "gold_ordinal", F.explode("accepted_keys").alias("key")).join(left(unknown, assigned, keys).select(*keys, "key"), ["episode_no", "key"]).drop("key").distinct()
+    unknown = placed.filter(missing & ~F.col("_taken"))
+    by_key = free_gold.select("episode_no", "gold_ordinal", F.explode("accepted_keys").alias("key")).join(unknown.select(*keys, "key"), ["episode_no", "key"]).drop("key").distinct()
     by_key = compared(by_key, extract, settings).select(*keys, "gold_ordinal", "value.status")
-    subjects = diagnose_unknown(by_key, left(unknown, assigned, keys).select(*keys))
+    subjects = tables.settled(diagnose_unknown(by_key, unknown.select(*keys)))
 
     one = F.lit(1).cast("long")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
     source = F.col("source_text").isNotNull()
+    is_ = lambda d: F.col("decision") == d
     parts = [
-        (extract, {"goldExtract": one, "weightedGold": F.col("importance_weight")}),
-        (negative, {"goldDoNotExtract": one, "goldDoNotExtractScored": flag(F.size("accepted_keys") > 0), "goldDoNotExtractUnscored": flag(F.size("accepted_keys") == 0)}),
-        (decided(REVIEW), {"goldReviewExcluded": one}),
-        (settings, {"predictionTotal": one, "predictions": one, "unknownSubjectPredictions": flag(missing)}),
-        (excluded, {"reviewExcludedPredictions": one, "predictions": -one}),
+        (gold, {
+            "goldExtract": flag(is_(EXTRACT)), "weightedGold": F.when(is_(EXTRACT), F.col("importance_weight")), "goldDoNotExtract": flag(is_(DO_NOT_EXTRACT)), "goldReviewExcluded": flag(is_(REVIEW)),
+            "goldDoNotExtractScored": flag(is_(DO_NOT_EXTRACT) & (F.size("accepted_keys") > 0)), "goldDoNotExtractUnscored": flag(is_(DO_NOT_EXTRACT) & (F.size("accepted_keys") == 0)),
+        }),
+        (placed, {"predictionTotal": one, "predictions": one - flag(F.col("_excluded")), "reviewExcludedPredictions": flag(F.col("_excluded")), "unknownSubjectPredictions": flag(missing)}),
         (matches, {
             "detectionMatches": one, "weightedDetectionMatches": F.col("importance_weight"), "factCorrect": flag(F.col("matched")), "weightedFactCorrect": flag(F.col("matched")) * F.col("importance_weight"), "semanticPending": flag(F.col("matched").isNull()),
             "valueTypeCorrect": flag(F.col("value.type_matched")), "structuredValueEvaluated": flag(F.col("value.structured").isNotNull()), "structuredValueCorrect": flag(F.col("value.structured")), "attributeValueCorrect": flag(F.col("attribute_matched")),
@@ -415,7 +417,7 @@ def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None
     for frame, own in parts:
         part = frame.select("episode_no", *((own[c] if c in own else F.lit(None)).cast("long").alias(c) for c in used))
         rows = part if rows is None else rows.union(part)
-    episodes = rows.groupBy("episode_no").agg(*(F.sum(c).alias(c) for c in used))
+    episodes = tables.settled(rows.groupBy("episode_no").agg(*(F.sum(c).alias(c) for c in used)))
     counts = episodes.rollup("episode_no").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in used else F.lit(0).cast("long").alias(c) for c in COUNTS))
     details = matches.select("episode_no", "gold_id", "pred_ordinal", "entity_name", "fact_key", "attribute_name", "value.status", "value.type_matched", F.col("value.structured").alias("structured_matched"), "attribute_matched", F.col("matched").alias("fact_correct"), "evidence_matched", "reason", "weight")
     shown = lambda rows: rows.select(*keys)
