@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
 import tempfile
@@ -47,15 +48,41 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a Hadoop path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which release() deletes."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Delete all scratch paths, as the end of the driver does; frames that still read them can't be used afterwards."""
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            store, at = _hadoop(spark, path)
+            store.delete(at, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return
+
+
+atexit.register(release)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and kept as a table in the shared folder: a lost executor loses nothing, and Spark knows its size."""
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
@@ -117,12 +144,6 @@ def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return table.join(new, key, "left").withColumns(pick).drop("new").select(*table.columns, *(c for c in names if c not in table.columns))
 
 
-def _hadoop(spark: SparkSession, path: str):
-    """(file system, path) of a Hadoop path."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files of a folder, or of a single file."""
     store, at = _hadoop(spark, path)
