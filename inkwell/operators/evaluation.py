@@ -329,7 +329,7 @@ def prepared_predictions(predictions: DataFrame, schemas: DataFrame | None) -> D
 
 def compared(pairs: DataFrame, gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """pairs (episode_no, gold_ordinal, pred_ordinal, ...) with the facts of both sides and how the values compare."""
-    g = gold.select("episode_no", F.col("ordinal").alias("gold_ordinal"), "gold_id", "entity_name", "fact_key", "importance_weight", F.col("value_type").alias("gold_type"), F.col("attribute_value").alias("gold_value"), F.col("value_json").alias("gold_json"), F.col("quotes").alias("gold_quotes"), "source_text")
+    g = gold.select("episode_no", F.col("ordinal").alias("gold_ordinal"), "gold_id", "entity_name", "fact_key", "importance_weight", F.col("value_type").alias("gold_type"), F.col("attribute_value").alias("gold_value"), F.col("value_json").alias("gold_json"), F.col("quotes").alias("gold_quotes"))
     p = predictions.select("episode_no", F.col("ordinal").alias("pred_ordinal"), "attribute_name", "value_type", "attribute_value", "value_json", "quotes")
     met = pairs.join(g, ["episode_no", "gold_ordinal"]).join(p, ["episode_no", "pred_ordinal"])
     return met.withColumn("value", compare_values("gold_type", "gold_value", "gold_json", "value_type", "attribute_value", "value_json"))
@@ -356,7 +356,11 @@ def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None
     pairs = compared(identity(extract, named), extract, settings)
     covers = evidence.evaluate("gold_quotes", "quotes", F.lit(None).cast("string"))
     pairs = pairs.withColumn("e", covers).withColumn("weight", pair_weight(F.col("weight"), F.col("value.status"), F.col("value.type_matched"), F.col("e.covered") > 0)).drop("e")
-    matches = assign(pairs, ("episode_no", "name")).withColumn("e", evidence.evaluate("gold_quotes", "quotes", "source_text"))
+    # what competes are numbers; the facts, and the episodes' texts, are only joined to the pairs that are taken
+    pairs, pair = tables.settled(pairs), ["episode_no", "gold_ordinal", "pred_ordinal"]
+    picked = assign(pairs.select(*pair, "name", "weight"), ("episode_no", "name"))
+    sources = extract.select("episode_no", F.col("ordinal").alias("gold_ordinal"), "source_text")
+    matches = pairs.join(picked.select(*pair), pair, "left_semi").join(sources, pair[:2]).withColumn("e", evidence.evaluate("gold_quotes", "quotes", "source_text"))
     open_ = F.col("value.status") == "SEMANTIC_JUDGE_REQUIRED"
     spent = ("input_tokens", "cached_tokens", "output_tokens")
     if provider is None:
@@ -366,9 +370,9 @@ def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None
         cases = matches.filter(open_).select("episode_no", F.col("pred_ordinal").alias("ordinal"), "entity_name", "fact_key", "gold_value", F.col("attribute_value").alias("value"), "gold_quotes", "quotes", F.coalesce(excerpt, F.lit("")).alias("excerpt"))
         said = place(judge(cases, provider, batch), "pred_ordinal").withColumnRenamed("matched", "said")
         matches = matches.join(said, keys, "left").withColumn("matched", F.when(open_, F.col("said")).otherwise(F.col("value.status") == "MATCH")).drop("said")
-    matches = tables.settled(matches)  # the assignment and the judge's calls are made once
+    matches = tables.settled(matches.withColumn("has_source", F.col("source_text").isNotNull()).drop("source_text"))  # the assignment and the judge's calls are made once
     attribute = F.when(F.col("value.type_matched"), F.col("matched"))
-    matches = matches.withColumns({"attribute_matched": attribute, "evidence_matched": evidence.acceptable(F.col("e"), F.col("source_text").isNotNull())})
+    matches = matches.withColumns({"attribute_matched": attribute, "evidence_matched": evidence.acceptable(F.col("e"), F.col("has_source"))})
 
     # where each setting stands: taken by a match, or with the identity of a gold row under review; what follows are filters
     taken = matches.select(*keys, F.lit(True).alias("_taken"))
@@ -390,7 +394,7 @@ def evaluate(gold: DataFrame, predictions: DataFrame, schemas: DataFrame | None
 
     one = F.lit(1).cast("long")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
-    source = F.col("source_text").isNotNull()
+    source = F.col("has_source")
     is_ = lambda d: F.col("decision") == d
     parts = [
         (gold, {
