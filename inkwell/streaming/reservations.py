@@ -7,14 +7,17 @@ reservation is released by a timer (expired); usage that still comes in time set
 Spark. A request's state is forgotten `keep` after its last event, when the watermark lets no event of that time in any more.
 
 The stream has a row for each change of a request, with a version; latest() takes the last of each.
+
+What a request costs is mostly the way between Spark and Python. So the state is asked as seldom as possible, and an event and a change
+are one column of JSON each, which Spark writes and reads.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +25,8 @@ SECOND = 1000
 STATE = "purpose string, model string, reserved long, attempts long, at_ordinal int, input long, cached long, output long, over boolean, expired boolean, seen array<string>, reserved_at long, last_at long, version long"
 OUT = "request_id string, purpose string, model string, reserved long, attempts long, state string, input long, cached long, output long, expired boolean, version long"
 EMPTY = {"purpose": None, "model": None, "reserved": None, "attempts": 0, "at_ordinal": None, "input": None, "cached": None, "output": None, "over": False, "expired": False, "seen": [], "reserved_at": None, "last_at": 0, "version": 0}
+EVENT = ("ordinal", "event", "purpose", "model", "reserved", "input", "cached", "output", "at")
+SHOWN = ("purpose", "model", "reserved", "attempts", "input", "cached", "output", "expired", "version")
 RESERVED, SETTLED, RELEASED = "RESERVED", "SETTLED", "RELEASED"
 
 
@@ -31,6 +36,7 @@ def state_of(s: dict) -> str:
 
 def taken(s: dict, e: dict) -> bool:
     """Put an event into the state of its request; whether it was new."""
+    e = dict.fromkeys(EVENT) | e
     name = f"{e['ordinal']}:{e['event']}"
     s["last_at"] = max(s["last_at"], e["at"])
     if name in s["seen"]:
@@ -60,33 +66,34 @@ class Requests(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("request", STATE)
 
-    def _read(self) -> dict:
-        return dict(zip(EMPTY, self.state.get(), strict=True)) if self.state.exists() else dict(EMPTY)
+    def _read(self) -> dict | None:
+        held = self.state.get()
+        return None if held is None else dict(zip(EMPTY, held, strict=True))
 
-    def _shown(self, key, s: dict) -> pd.DataFrame:
+    def _shown(self, key, s: dict) -> Row:
         s["version"] += 1
-        return pd.DataFrame({"request_id": [key[0]], **{c: [s[c]] for c in ("purpose", "model")}, **{c: pd.array([s[c]], "Int64") for c in ("reserved", "attempts")}, "state": [state_of(s)], **{c: pd.array([s[c]], "Int64") for c in ("input", "cached", "output")}, "expired": [bool(s["expired"])], "version": [s["version"]]})
+        return Row(change=json.dumps({"request_id": key[0], "state": state_of(s)} | {c: s[c] for c in SHOWN}))
 
     def _due(self, s: dict) -> int:
         """When the request is looked at next."""
         return s["reserved_at"] + self.hold if state_of(s) == RESERVED and s["reserved_at"] is not None else s["last_at"] + self.keep
 
-    def _kept(self, s: dict, watermark: int) -> None:
-        for t in list(self.handle.listTimers()):
+    def _kept(self, s: dict, watermark: int, new: bool = False) -> None:
+        for t in () if new else list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.state.update(tuple(list(s[c]) if c == "seen" else s[c] for c in EMPTY))
         self.handle.registerTimer(max(self._due(s), watermark + 1))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s, changed = self._read(), False
-        for frame in rows:
-            for e in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                changed = taken(s, {c: int(v) if c in ("ordinal", "reserved", "input", "cached", "output") and v is not None else v for c, v in e.items()} | {"at": int(pd.Timestamp(e["time"]).timestamp() * SECOND)}) or changed
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, changed = self._read(), False
+        s = dict(EMPTY) if held is None else held
+        for e in rows:
+            changed = taken(s, json.loads(e["e"])) or changed
         if changed:
             yield self._shown(key, s)
-        self._kept(s, timerValues.getCurrentWatermarkInMs())
+        self._kept(s, timerValues.getCurrentWatermarkInMs(), held is None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s, now = self._read(), timerValues.getCurrentWatermarkInMs()
         if state_of(s) == RESERVED:
             s["expired"] = True
@@ -109,8 +116,12 @@ def prepare(spark: SparkSession) -> None:
 def requests(events: DataFrame, hold: int = 3600 * SECOND, keep: int = 24 * 3600 * SECOND, late: str = "10 minutes", time: str = "time") -> DataFrame:
     """The changes of each request (OUT) of a stream of events. keep is at least hold."""
     prepare(events.sparkSession)
-    whole = events.select(*(F.col(c).cast(t).alias(c) for c, t in (("request_id", "string"), ("ordinal", "int"), ("event", "string"))), F.col(time).cast("timestamp").alias("time"), *(F.col(c).cast("string").alias(c) for c in ("purpose", "model")), *(F.col(c).cast("long").alias(c) for c in ("reserved", "input", "cached", "output")))
-    return whole.withWatermark("time", late).groupBy("request_id").transformWithStateInPandas(Requests(hold, max(hold, keep)), OUT, "Update", "EventTime")
+    at = F.col(time).cast("timestamp")
+    columns = {"ordinal": "int", "event": "string", "purpose": "string", "model": "string", "reserved": "long", "input": "long", "cached": "long", "output": "long"}
+    event = F.to_json(F.struct(*(F.col(c).cast(t).alias(c) for c, t in columns.items()), F.unix_millis(at).alias("at")))
+    whole = events.select(F.col("request_id").cast("string").alias("request_id"), at.alias("time"), event.alias("e"))
+    changes = whole.withWatermark("time", late).groupBy("request_id").transformWithState(Requests(hold, max(hold, keep)), "change string", "Update", "EventTime")
+    return changes.select(F.from_json("change", OUT).alias("c")).select("c.*")
 
 
 def latest(changes: DataFrame) -> DataFrame:

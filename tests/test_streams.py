@@ -187,3 +187,41 @@ def test_tokens_are_booked_once(spark, tmp_path):
         answers.Once(lambda p: 1 / 0, str(tmp_path / "d"))("p")
     assert not list((tmp_path / "d").rglob("*.lock"))
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_a_new_request_costs_three_calls_to_the_state():
+    """Each call is a way to the JVM and back; that is what a stream of many requests takes its time for."""
+    calls = []
+
+    class State:
+        def get(self):
+            calls.append("get")
+
+        def exists(self):
+            calls.append("exists")
+            return False
+
+        def update(self, value):
+            calls.append("update")
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def listTimers(self):
+            calls.append("listTimers")
+            return []
+
+        def registerTimer(self, at):
+            calls.append("registerTimer")
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    own = reservations.Requests(1000, 2000)
+    own.init(Handle())
+    rows = [{"e": json.dumps({"ordinal": 0, "event": "reserve", "reserved": 7, "at": 5})}, {"e": json.dumps({"ordinal": 1, "event": "settle", "input": 3, "at": 6})}]
+    change = [json.loads(r["change"]) for r in own.handleInputRows(("a",), iter(rows), Timers())]
+    assert [(c["request_id"], c["state"], c["reserved"], c["input"], c["version"]) for c in change] == [("a", "SETTLED", 7, 3, 1)]
+    assert calls == ["get", "update", "registerTimer"]
