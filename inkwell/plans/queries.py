@@ -186,7 +186,11 @@ def identity_join(spark, sf):
 
 def assignment(spark, sf):
     """The weight that each episode's best assignment has, which is the same whatever pairs of equal weight it takes."""
-    taken = evaluation.assign(_pairs(spark, sf)[2], ("episode_no", "name"))
+    gold, pred, _ = _pairs(spark, sf)
+    gold = tables.settled(evaluation.with_kinds(gold, ("name", "fact_key", "accepted_keys")))
+    pred = tables.settled(evaluation.with_kinds(pred, ("name", "key")))
+    pairs = evaluation.identity_pairs(gold.filter("kind_place = 0"), pred.filter("kind_place = 0"))
+    taken = evaluation.assign_kinds(gold, pred, pairs)
     return taken.groupBy("episode_no").agg(F.count(F.lit(1)).alias("pairs"), F.sum("weight").cast("long").alias("weight"))
 
 

@@ -168,6 +168,33 @@ def test_a_large_component_is_sparse(spark):
     assert whole == cut and whole[1]["w"] == 5
 
 
+def test_flows_between_kinds_equal_single_rows():
+    """The greatest weight, and of that the most pairs, as rows one by one have it; no row twice."""
+    rng = np.random.default_rng(7)
+    for t in range(400):
+        n, m = rng.integers(1, 6, 2)
+        cells = [(i, j) for i in range(n) for j in range(m) if rng.random() < 0.6] or [(0, 0)]
+        g, p = (np.array(x) for x in zip(*cells, strict=True))
+        w, n_gold, n_pred = rng.choice(((900, 1000), (0, 5), (9, 10))[t % 3], len(cells)), rng.integers(1, 6, n), rng.integers(1, 6, m)
+        rows = [(k, i * 10 + a, j * 10 + b) for k, (i, j) in enumerate(cells) for a in range(n_gold[i]) for b in range(n_pred[j])]
+        k, gold, pred = (np.array(x) for x in zip(*rows, strict=True))
+        best = evaluation.best_pairs(gold, pred, w[k] * 1000 + (w[k] > 0))
+        got = [(g[e] * 10 + a + d, p[e] * 10 + b + d, w[e]) for e, a, b, many in evaluation.best_flows(g, p, w, n_gold[g], n_pred[p]) for d in range(many)]
+        assert sum(x[2] for x in got) == w[k][best].sum() and len({x[0] for x in got}) == len({x[1] for x in got}) == len(got) == len(best)
+        assert {x[:2] for x in got} <= set(zip(gold.tolist(), pred.tolist(), strict=True))
+
+
+def test_rows_that_are_alike_are_assigned_without_their_pairs(spark):
+    """30,000 x 20,000 equal rows are 6 x 10^8 pairs; one kind of each side, and one more that competes, are two."""
+    gold = spark.range(30_000).select(F.lit(1).cast("long").alias("episode_no"), F.col("id").alias("ordinal"), F.lit("n").alias("name"), F.lit("k").alias("fact_key"), F.array(F.lit("a")).alias("accepted_keys"))
+    pred = spark.range(25_000).select(F.lit(1).cast("long").alias("episode_no"), (F.col("id") + 7).alias("ordinal"), F.lit("n").alias("name"), F.when(F.col("id") % 5 == 0, "a").otherwise("k").alias("key"))
+    gold, pred = evaluation.with_kinds(gold, ("name", "fact_key", "accepted_keys")), evaluation.with_kinds(pred, ("name", "key"))
+    pairs = evaluation.identity_pairs(gold.filter("kind_place = 0"), pred.filter("kind_place = 0"))
+    assert pairs.count() == 2
+    got = evaluation.assign_kinds(gold, pred, pairs).agg(F.count(F.lit(1)), F.sum("weight"), F.countDistinct("gold_ordinal"), F.countDistinct("pred_ordinal")).first()
+    assert tuple(got) == (25_000, 20_000 * 1000 + 5_000 * 900, 25_000, 25_000)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 5001 + i) for i in range(300)] + [(7000, 7000)]
