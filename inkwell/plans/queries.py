@@ -241,8 +241,8 @@ def evaluate_competing(spark, sf):
 
 
 def unmatched_gold(spark, sf):
-    gold, _, pairs = _pairs(spark, sf)
-    return gold.select("episode_no", "ordinal").join(pairs.select("episode_no", F.col("gold_ordinal").alias("ordinal")), ["episode_no", "ordinal"], "left_anti")
+    gold, pred, _ = _pairs(spark, sf)
+    return gold.select("episode_no", "ordinal").join(evaluation.met_gold(gold, pred), ["episode_no", "ordinal"], "left_anti")
 
 
 def review_exclusion(spark, sf):

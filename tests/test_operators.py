@@ -313,6 +313,14 @@ def test_copies_are_compared_once(spark, monkeypatch):
     assert report.counts.filter("episode_no is null").select("detectionMatches", "factCorrect", "predictions", "goldExtract").first() == (200, 200, 200, 300)
 
 
+def test_identities_need_no_pairs(spark):
+    """Equal rows give one identity, and a gold row is met once a key, however many predictions have it."""
+    gold = spark.range(50).selectExpr("1L as episode_no", "id as ordinal", "'n' as name", "'k' as fact_key", "array('k', 'a') as accepted_keys")
+    pred = spark.range(40).selectExpr("1L as episode_no", "id as ordinal", "'n' as name", "if(id < 30, 'a', 'x') as key")
+    assert sorted((r["key"], r["weight"]) for r in evaluation.identities(gold).collect()) == [("a", 900), ("k", 1000)]
+    assert evaluation.met_gold(gold, pred).count() == 50
+
+
 def test_judge(spark):
     """A batch is one call; pending matches are decided; unknown subjects are never asked about; bad answers show no text."""
     number, gold, given = framed(spark, {e: x for e, x in scenarios().items() if e in ("texts that differ wait for a judge", "needs a judge")})
