@@ -246,9 +246,9 @@ def unmatched_gold(spark, sf):
 
 
 def review_exclusion(spark, sf):
-    _, pred, pairs = _pairs(spark, sf)
-    pred = pred.select("episode_no", F.col("ordinal").alias("pred_ordinal"))
-    return evaluation.without_review(pred, pairs.filter("weight = 1000"), pairs.filter("weight = 900"))[0]
+    gold, pred, _ = _pairs(spark, sf)
+    met = pred.withColumnRenamed("ordinal", "pred_ordinal").join(evaluation.identities(gold), ["episode_no", "name", "key"])
+    return evaluation.without_review(pred.select("episode_no", F.col("ordinal").alias("pred_ordinal")), met.filter("weight = 1000"), met.filter("weight = 900"))[0]
 
 
 def episode_alignment(spark, sf):
