@@ -321,6 +321,15 @@ def test_identities_need_no_pairs(spark):
     assert evaluation.met_gold(gold, pred).count() == 50
 
 
+def test_a_keys_pairs_are_spread(spark):
+    """300 x 300 rows of one key are dealt to several tasks, with the same pairs."""
+    gold = spark.createDataFrame([(1, i, "n", "k", ["a"]) for i in range(300)], "episode_no long, ordinal long, name string, fact_key string, accepted_keys array<string>")
+    pred = spark.createDataFrame([(1, i, "n", "a") for i in range(300)], "episode_no long, ordinal long, name string, key string")
+    got = evaluation.identity_pairs(gold, pred, dealt=8)
+    assert got.select("gold_ordinal", "pred_ordinal").distinct().count() == got.count() == 90_000
+    assert got.withColumn("task", F.spark_partition_id()).groupBy("task").count().count() > 4
+
+
 def test_judge(spark):
     """A batch is one call; pending matches are decided; unknown subjects are never asked about; bad answers show no text."""
     number, gold, given = framed(spark, {e: x for e, x in scenarios().items() if e in ("texts that differ wait for a judge", "needs a judge")})
