@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,24 @@ def _lists(rows: list[list[tuple]], kinds: dict[str, pa.DataType]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds)))
 
 
+#: Bytes of text that are Python objects at once, with all that is made of them.
+SLICE = 1 << 20
+
+
+def _by_slices(texts: pa.Array, one: Callable[[str | None], list[tuple]], kinds: dict[str, pa.DataType]) -> pa.Array:
+    """_lists() of one(text) of each text; only a slice of the batch is Python objects, and what was freed goes back to the system."""
+    step = max(1, len(texts) * SLICE // max(texts.nbytes, 1))
+    done = [_lists([one(t) for t in texts.slice(at, step).to_pylist()], kinds) for at in range(0, max(len(texts), 1), step)]
+    out = pa.concat_arrays(done) if len(done) > 1 else done[0]
+    del done
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 @F.arrow_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("body", StringType())])))
 def paragraphs(texts: pa.Array) -> pa.Array:
     """Array of (start, end, body) of the lines that aren't blank, in order: one pass over each text."""
-    return _lists([list(_lines(t)) for t in texts.to_pylist()], {"start": pa.int32(), "end": pa.int32(), "body": pa.string()})
+    return _by_slices(texts, lambda t: list(_lines(t)), {"start": pa.int32(), "end": pa.int32(), "body": pa.string()})
 
 
 def split_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,6 +108,22 @@ def test_chunking_is_linear(spark):
     assert got == [("a\x0b", 0), ("b\x85", 2), ("c ", 6), ("d\x1c", 9), (" e", 13)]
 
 
+def test_a_batch_of_texts_is_never_all_objects():
+    """40 MB of texts in one batch: what is Python objects at once stays far below them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["\n".join(f"line {i} of text {k}" for i in range(200)) for k in range(10_000)] + [None])
+    kinds = {"start": pa.int32(), "end": pa.int32(), "body": pa.string()}
+    tracemalloc.start()
+    got = chunking._by_slices(texts, lambda t: list(chunking._lines(t)), kinds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 10_001 and got[9_999][199].as_py()["body"] == "line 199 of text 9999" and got[10_000].as_py() == []
+    assert texts.nbytes > 40e6 and peak < 60e6, peak  # all lines as objects are some 300 MB
+
+
 # -- assignment
 
 
