@@ -97,7 +97,7 @@ def pack(c: Column, target: int = TARGET, most: int = LARGEST, least: int = SMAL
 
     @F.arrow_udf("array<struct<start:int,end:int,first:int,last:int,body:string>>")
     def run(texts: pa.Array) -> pa.Array:
-        return _lists([[(*x, t[x[0] : x[1]]) for x in packed(_lines(t), target, most, least)] for t in texts.to_pylist()], kinds)
+        return _by_slices(texts, lambda t: [(*x, t[x[0] : x[1]]) for x in packed(_lines(t), target, most, least)], kinds)
 
     return run(c)
 
