@@ -50,6 +50,8 @@ SHINGLE, PERCENT = 5, 80
 #: Cost model: the chance that a set has a given shingle of another one by accident, and the cost of a wrong candidate in index entries.
 SHARED, WRONG = 0.001, 0.1
 BITS, GROWTH = 512, 64
+#: Members of a part of a group, when its hubs meet them.
+PART = 256
 #: Common shingles: of this share of the documents, so many at most, counted in chunks of so many documents; slack for segments of them.
 FREQUENT, COMMON, CHUNK, ROOM = 0.001, 1 << 18, 4000, 0.03
 PAGE = 32768
@@ -383,6 +385,25 @@ def with_known(rows: DataFrame, known: DataFrame, node: str, tag: str = "") -> D
     return rows.join(known.select(F.col("node").alias(node), *(F.col(c).alias(f"{c}{tag}") for c in ("n", *BITMAP))).hint("merge"), node)
 
 
+def parts_of(members: str):
+    """Into how many parts a group of so many members is dealt."""
+    return (1 + F.expr(f"{members} div {PART}")).cast("int")
+
+
+def met(members: DataFrame, used: int, percent: int) -> DataFrame:
+    """(a, b) of the hubs of a round, from rank `used` on, and the members of their groups that they may be linked with.
+
+    members: key, node, rank, root, parts, n, bitmap. A group's members are dealt into its parts and each part meets all hubs of the round, so
+    large groups make even tasks and Spark needn't split both sides of a skewed join, whose tasks are the product of the splits. The
+    hubs that this repeats are fewer than the pairs by a factor of about PART.
+    """
+    hubs = members.filter(F.col("rank").between(used, GROWTH * used - 1)).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("root", "rank", "n", *BITMAP)))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts").withColumnRenamed("node", "b")
+    # members with a smaller rank have been hubs themselves, or are in this round
+    fresh = F.col("rank").isNull() | (F.col("rank") >= GROWTH * used) | F.col("rank").between(used, F.col("rank_a") - 1)
+    return hubs.join(dealt.hint("merge"), (hubs["key"] == dealt["key"]) & (hubs["part"] == dealt["part"]) & (F.col("root") != F.col("root_a")) & fresh & possible(percent))
+
+
 def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     """(doc_id, row_hash, n_shingles, component_id, first, n_links) of every row.
 
@@ -419,15 +440,11 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
         else:
             members = shared.select("key", "node", "rank").join(roots.hint("merge"), "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
         # groups with members, beside the first hub, that aren't all joined, or distinct where every pair counts, and with further hubs
-        open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("most")).filter(f"x <> y and most >= {used}").select("key")
-        members = common.materialize(with_known(members.join(open_keys.hint("merge"), "key", "left_semi"), known, "node"), "jaccard-open")
+        open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("most"), F.count(F.lit(1)).alias("members")).filter(f"x <> y and most >= {used}").select("key", parts_of("members").alias("parts"))
+        members = common.materialize(with_known(members.join(open_keys.hint("merge"), "key"), known, "node"), "jaccard-open")
         if members.isEmpty():
             break
-        hubs = members.filter(F.col("rank").between(used, GROWTH * used - 1)).select("key", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("root", "rank", "n", *BITMAP)))
-        # members with a smaller rank have been hubs themselves, or are in this round
-        fresh = F.col("rank").isNull() | (F.col("rank") >= GROWTH * used) | F.col("rank").between(used, F.col("rank_a") - 1)
-        more = hubs.join(members.withColumnRenamed("node", "b").hint("merge"), (hubs["key"] == members["key"]) & (F.col("root") != F.col("root_a")) & fresh & possible(percent))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = met(members, used, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = checked(docs, more, known, k, percent)
         used *= GROWTH
         if not more.isEmpty():

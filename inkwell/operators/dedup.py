@@ -29,7 +29,7 @@ def repeated(rows: DataFrame, partition: list[str], key: str, status: str | None
     rows = rows.filter(F.col(key).isNotNull())
     if status:
         rows = rows.filter(F.col(status) != "AMBIGUOUS")
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*partition, key).orderBy("ordinal"))).filter("k > 1").drop("k")
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(F.xxhash64(*partition, key), *partition, key).orderBy("ordinal"))).filter("k > 1").drop("k")
 
 
 def setting_key(matched_id: Column, name: Column, attribute: Column, value_type: Column, value_json: Column, status: Column) -> Column:
@@ -47,5 +47,5 @@ def gold_ids(gold: DataFrame) -> DataFrame:
 def occurrence_ids(rows: DataFrame, episode: str, name: Column, key: Column) -> DataFrame:
     """gold_id episode-{n}:{name}:{key}:{k}, k counting equal identities from 1 in input order."""
     rows = rows.withColumns({"g_name": name, "g_key": key})
-    k = F.row_number().over(Window.partitionBy(episode, "g_name", "g_key").orderBy("ordinal"))
+    k = F.row_number().over(Window.partitionBy(F.xxhash64(episode, "g_name", "g_key"), episode, "g_name", "g_key").orderBy("ordinal"))
     return rows.withColumn("gold_id", F.concat_ws(":", F.concat(F.lit("episode-"), F.col(episode).cast("string")), "g_name", "g_key", k.cast("string"))).drop("g_name", "g_key")

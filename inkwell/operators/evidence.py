@@ -176,15 +176,22 @@ def same_span(left: str, right: str, ratio: float = RATIO) -> bool:
     return bool(alike([T.plain_normalize(left)], [T.plain_normalize(right)], ratio)[0, 0])
 
 
+def covered(left: list[str], right: list[str]) -> int:
+    """How many of the normalised quotes on the left are alike() one on the right. Most hold one another; only the rest needs bounds and ratios."""
+    rest = [a for a in left if a and not any(b and (a in b or b in a) for b in right)]
+    held = sum(map(bool, left)) - len(rest)
+    return held + (int(alike(rest, right).any(1).sum()) if rest and right else 0)
+
+
 @F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("quotes", "locatable", "gold", "covered")]))
 def evaluate(gold: pd.Series, given: pd.Series, source: pd.Series) -> pd.DataFrame:
     """Counts of the given quotes, those found in the source, the gold quotes, and those that a given quote covers."""
     rows, seen, whole = [], None, ""
     for g, p, s in zip(gold, given, source, strict=True):
         g, p = ([T.plain_normalize(q) for q in (x if x is not None else [])] for x in (g, p))
-        if s is not seen:
+        if s is not seen and s != seen:  # the rows of an episode have equal texts, which needn't be one object
             seen, whole = s, T.plain_normalize(s if isinstance(s, str) else None)
-        rows.append((len(p), sum(bool(whole) and q in whole for q in p), len(g), int(alike(g, p).any(1).sum()) if g and p else 0))
+        rows.append((len(p), sum(bool(whole) and q in whole for q in p), len(g), covered(g, p)))
     return pd.DataFrame(rows, columns=["quotes", "locatable", "gold", "covered"])
 
 
