@@ -463,10 +463,10 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
         degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
         labels = labels.join(degree.hint("merge"), "node", "left").select("node", "all", F.coalesce("degree", "n_links").alias("n_links"))
     labels = common.materialize(labels, "jaccard-labels")
-    met = described.drop(*BITMAP).join(labels.hint("merge"), "node", "left")
+    rows = described.drop(*BITMAP).join(labels.hint("merge"), "node", "left")
     first = F.col("all").isNull() | (F.col("doc_id").eqNullSafe(F.col("all.doc_id")) & (F.col("row_hash") == F.col("all.row_hash")))
     component = F.when(F.col("all").isNull(), F.col("doc_id")).otherwise(F.col("all.doc_id"))
-    return met.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), first.alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), first.alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -390,6 +390,20 @@ def test_jaccard_counts_every_link(spark, k, percent, seed):
     assert {r["doc_id"]: r["component_id"] for r in got} == {r["doc_id"]: r["component_id"] for r in jaccard.components(df, k, percent).collect()}
 
 
+def test_hubs_meet_every_part_of_a_group(spark, monkeypatch):
+    """Groups of many parts and rounds give the links and components that all pairs give."""
+    monkeypatch.setattr(jaccard, "PART", 4)
+    monkeypatch.setattr(jaccard, "GROWTH", 3)
+    rows = near_copies(5, 150) + [(1000 + i, " ".join([*(f"b{j}" for j in range(400)), f"own{i}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = plain_components(rows, 3, 90)
+    for got in (jaccard.join(df, 3, 90), jaccard.components(df, 3, 90)):
+        found = got.collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == wanted
+        assert "n_links" not in got.columns or all(r["n_links"] == 39 for r in found if r["doc_id"] >= 1000)
+    assert sum(r["kept"] for r in jaccard.keep(df, 3, 90).collect()) == len({c for _, c in wanted.values()})
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_allocation_covers_its_budget(percent):
     """The segments cover one unit more than a linked pair's differences and the slack, in every band."""
