@@ -372,6 +372,14 @@ def test_pipeline_tells_rows_apart(spark, tmp_path):
     assert len(rest(corpus_pipeline.near_duplicates(spark, frame([(8, b), (8, near), (9, b)]), str(tmp_path)))) == 1
 
 
+def test_pipeline_keeps_one_of_each_component(spark, tmp_path):
+    """Near duplicates, with groups of several hubs, keeps a row of each component of all pairs."""
+    rows = near_copies(6, 80)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    components = {i: c for i, (n, c) in plain_components(rows, jaccard.SHINGLE, jaccard.PERCENT).items() if n}
+    assert sorted(r["doc_id"] for r in kept if r["text"].strip()) == sorted(set(components.values()))
+
+
 @pytest.mark.parametrize(("k", "percent", "seed"), [(3, 90, 3), (5, 80, 4)])
 def test_jaccard_counts_every_link(spark, k, percent, seed):
     """n_links is the number of other sets at the threshold, also in a group of many sets that are all linked."""
