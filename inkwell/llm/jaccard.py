@@ -20,7 +20,8 @@ its segments, of Poisson sizes, are expected to cause among all documents; so th
 Groups of equal keys are sorted and streamed; in each, the first set is the hub and the pairs with it are verified first. Then the
 groups get more hubs in rounds (64, 4096, ... of them) until all are used, so no link is missed; each pair is looked at once.
 join() verifies every pair; components(), which returns no links, leaves out groups and pairs that the links found so far already
-join. Every set has a bitmap with the parity of its elements' hashes: sets that differ in d elements have bitmaps that differ in
+join, and after the first round no set of a group of over PART members meets all others: distant() finds such groups' pairs by an index of
+how each set differs from what most sets of its group have. Every set has a bitmap with the parity of its elements' hashes: sets that differ in d elements have bitmaps that differ in
 at most d bits, so the joins only let pass pairs whose bitmaps allow a link, and a group of near copies below the threshold isn't
 expanded. Copies of a set are one node. Verification compares the whole sets, which are made again from the texts of the
 candidates only.
@@ -52,6 +53,8 @@ SHARED, WRONG = 0.001, 0.1
 BITS, GROWTH = 512, 64
 #: Members of a part of a group, when its hubs meet them.
 PART = 256
+#: How often a group is dealt anew by its differences, and of how many sets and elements, about, its centre is taken; they steer costs only.
+DEPTH, SAMPLE, SAMPLED = 4, 512, 1 << 20
 #: Common shingles: of this share of the documents, so many at most, counted in chunks of so many documents; slack for segments of them.
 FREQUENT, COMMON, CHUNK, ROOM = 0.001, 1 << 18, 4000, 0.03
 PAGE = 32768
@@ -404,6 +407,122 @@ def met(members: DataFrame, used: int, percent: int) -> DataFrame:
     return hubs.join(dealt.hint("merge"), (hubs["key"] == dealt["key"]) & (hubs["part"] == dealt["part"]) & (F.col("root") != F.col("root_a")) & fresh & possible(percent))
 
 
+def centers(sampled: DataFrame) -> DataFrame:
+    """(gid, k, often) of the sets (gid, set) that stand for a group: how many there are, and the elements that several have, with how many."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]), return_counts=True)
+        packed = np.stack((found[n > 1].view(np.int64), n[n > 1]), 1).tobytes()
+        return pa.table({"gid": table.column("gid").slice(0, 1), "k": pa.array([table.num_rows], pa.int64()), "often": pa.array([packed], pa.binary())})
+
+    return sampled.groupBy("gid").applyInArrow(run, "gid long, k long, often binary")
+
+
+def different(s: np.ndarray, k: int, often: bytes) -> np.ndarray:
+    """The elements in which a set differs from its group's centre (what most of the k sets have), in an order that all sets of the group share: those in which few differ first."""
+    table = np.frombuffer(often, np.int64).reshape(-1, 2)
+    elements, n = table[:, 0].copy().view(np.uint64), table[:, 1]
+    inside = 2 * n > k
+    out = np.setxor1d(s, elements[inside], assume_unique=True)
+    if len(elements):
+        at = np.minimum(np.searchsorted(elements, out), len(elements) - 1)
+        times = np.where(elements[at] == out, np.where(inside, k - n, n)[at], 0)
+        out = out[np.lexsort((out, times))]
+    return out
+
+
+def reach(excess: int, least: int, d: int, n: int, percent: int) -> tuple[int, int]:
+    """How many of the d first differences of a set of n elements are keys, for partners that are not near the centre and for those that are.
+
+    excess of a set: (100 + p) d - (100 - p) n; least: the smallest of the group. Two sets are linked if (100 + p) |a ^ b| <= (100 - p) (n_a + n_b), and
+    |a ^ b| = d_a + d_b - 2 (differences in common), so linked ones have at least (excess_a + excess_b) / 2 (100 + p) differences in common. Where
+    excess_a + excess_b <= 0 they are linked for sure, and the set of least excess with either of them too: such sets are near.
+    A partner that isn't near has an excess over -least. Nor can a set lack more of its differences in a partner than it may differ in.
+    """
+    twice, floor = 2 * (100 + percent), d - most_different(n, percent)
+    far, near = (max(1, -(-x // twice), floor) for x in (excess - least + 1, excess + least))
+    return max(0, d - far + 1), max(0, d - near + 1)
+
+
+def differing(rows: DataFrame, percent: int) -> DataFrame:
+    """(gid, node, root, n, bitmap..., excess, diff) of rows (gid, node, root, set, k, often); diff: the differences in order."""
+    names = ["gid", "node", "root", "n", *BITMAP, "excess", "diff"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(3)]
+            diff = [different(s, k.as_py() or 0, o.as_py() or b"") for s, k, o in zip(sets, batch.column(4), batch.column(5), strict=True)]
+            excess = [(100 + percent) * len(d) - (100 - percent) * len(s) for s, d in zip(sets, diff, strict=True)]
+            bits = np.array([bitmap(s) for s in sets], np.int64).reshape(-1, len(BITMAP)).T.copy()
+            yield pa.record_batch([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x) for x in bits), pa.array(excess, pa.int64()), pa.array([d.tobytes() for d in diff], pa.binary())], names=names)
+
+    return rows.select("gid", "node", "root", "set", "k", "often").mapInArrow(common.tidied(run), "gid long, node long, root long, n long, " + ", ".join(f"{b} long" for b in BITMAP) + ", excess long, diff binary")
+
+
+def postings(rows: DataFrame, percent: int) -> DataFrame:
+    """(gid, e, node, root, n, bitmap..., near, short) of rows of differing() with the least excess of their group; short: a key for partners that aren't near, too."""
+    kept = ["node", "root", "n", *BITMAP]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                col = {c: part.column(c).to_pylist() for c in ("excess", "least", "n", "diff")}
+                keys_, owner, short = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                near = np.array([e + x <= 0 for e, x in zip(col["excess"], col["least"], strict=True)], bool)
+                for i, (excess, least, n, diff) in enumerate(zip(*col.values(), strict=True)):
+                    own = np.frombuffer(diff, np.int64)
+                    far, all_ = reach(excess, least, len(own), n, percent)
+                    length = far if near[i] else all_
+                    keys_.append(own[:length])
+                    owner.append(np.full(length, i))
+                    short.append(np.arange(length) < far)
+                at_ = np.concatenate(owner)
+                yield pa.record_batch([part.column("gid").take(pa.array(at_)), pa.array(np.concatenate(keys_)), *(part.column(c).take(pa.array(at_)) for c in kept), pa.array(near[at_]), pa.array(np.concatenate(short))], names=["gid", "e", *kept, "near", "short"])
+
+    return rows.mapInArrow(common.tidied(run), "gid long, e long, node long, root long, n long, " + ", ".join(f"{b} long" for b in BITMAP) + ", near boolean, short boolean")
+
+
+def distant(docs: DataFrame, members: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b), distinct, that hold a link of each component for the sets of large groups that have different roots.
+
+    members: hub, node, root; those of one hub are a group. Each set is told by its differences from the group's centre. Sets near the centre are
+    paired with the one of least excess; any other link joins sets that have differences in common, one of them among the first of both (reach()), so these
+    are keys of smaller groups. Those of up to PART members are paired, larger ones are groups with a centre of their own; after DEPTH times what is left is paired.
+    """
+    groups = common.materialize(members.select(F.col("hub").alias("gid"), "node", "root").distinct(), "jaccard-groups")
+    wanted = known.select("node", "least.doc_id", "least.row_hash").join(groups.select("node").distinct().hint("merge"), "node", "left_semi")
+    sets, bits = sets_of(docs, common.materialize(wanted, "jaccard-candidates"), k)
+    # a text's copies are met by several tasks, and other texts may share a slot
+    sets = common.materialize(sets.groupBy("node").agg(F.first("set").alias("set")), "jaccard-texts")
+    bits.destroy()
+    found = []
+    for depth in range(DEPTH):
+        sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
+        rows = common.materialize(groups.join(sizes.hint("merge"), "gid").join(sets.hint("merge"), "node"), "jaccard-grouped")
+        share = F.greatest(F.lit(16), F.least(F.lit(SAMPLE), F.expr(f"{SAMPLED} div (1 + length(set) div 8)")))
+        centre = common.materialize(centers(rows.filter(F.pmod(F.xxhash64("gid", "node"), F.col("m")) < share).select("gid", "set")), "jaccard-centres")
+        rows = common.materialize(differing(rows.join(centre.hint("merge"), "gid", "left"), percent), "jaccard-differences")
+        least = common.materialize(rows.groupBy("gid").agg(F.min(F.struct("excess", "node", "root")).alias("x")).select("gid", F.col("x.excess").alias("least"), F.col("x.node").alias("a"), F.col("x.root").alias("root_a")), "jaccard-least")
+        rows = rows.join(least.hint("merge"), "gid")
+        found.append(rows.filter((F.col("excess") + F.col("least") <= 0) & (F.col("root") != F.col("root_a"))).select("a", F.col("node").alias("b")))
+        keyed = common.materialize(postings(rows.drop("a", "root_a"), percent), "jaccard-postings")
+        counts = keyed.groupBy("gid", "e").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gid", "e", "m")
+        keyed = common.materialize(keyed.join(counts.hint("merge"), ["gid", "e"]), "jaccard-keyed")
+        paired = keyed if depth == DEPTH - 1 else keyed.filter(F.col("m") <= PART)
+        hubs = paired.filter("not near").select("gid", "e", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("root", "short", "n", *BITMAP)))
+        other = F.col("near") | (F.col("short") & F.col("short_a") & (F.col("a") < F.col("node")))
+        met_ = hubs.join(paired.hint("merge"), ["gid", "e"]).filter((F.col("root") != F.col("root_a")) & other & possible(percent))
+        found.append(met_.select("a", F.col("node").alias("b")))
+        groups = common.materialize(keyed.filter(F.col("m") > PART).select(F.xxhash64("gid", "e").alias("gid"), "node", "root"), "jaccard-groups")
+        if depth == DEPTH - 1 or groups.isEmpty():
+            break
+    pairs = found[0]
+    for x in found[1:]:
+        pairs = pairs.union(x)
+    return common.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-distant")
+
+
 def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     """(doc_id, row_hash, n_shingles, component_id, first, n_links) of every row.
 
@@ -436,15 +555,22 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     used = 1
     while used <= most:
         if every:
-            members = shared.select("key", "node", "rank", F.col("node").alias("root"))
+            members = shared.select("key", "node", "rank", "hub", F.col("node").alias("root"))
         else:
-            members = shared.select("key", "node", "rank").join(roots.hint("merge"), "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
+            members = shared.select("key", "node", "rank", "hub").join(roots.hint("merge"), "node", "left").select("key", "node", "rank", "hub", F.coalesce("root", "node").alias("root"))
         # groups with members, beside the first hub, that aren't all joined, or distinct where every pair counts, and with further hubs
         open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("rank").alias("most"), F.count(F.lit(1)).alias("members")).filter(f"x <> y and most >= {used}").select("key", parts_of("members").alias("parts"))
+        if used > GROWTH and not every:  # all pairs of large groups were settled in the round before
+            open_keys = open_keys.filter("parts = 1")
         members = common.materialize(with_known(members.join(open_keys.hint("merge"), "key"), known, "node"), "jaccard-open")
         if members.isEmpty():
             break
-        more = met(members, used, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        large, far = F.col("parts") > 1, None
+        if used > 1 and not every:
+            far = distant(docs, members.filter(large), known, k, percent) if used == GROWTH and not members.filter(large).isEmpty() else None
+            members = members.filter(~large)
+        more = met(members.drop("hub"), used, percent).select("a", "b")
+        more = (more if far is None else more.union(far)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = checked(docs, more, known, k, percent)
         used *= GROWTH
         if not more.isEmpty():

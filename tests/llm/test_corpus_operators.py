@@ -412,6 +412,63 @@ def test_hubs_meet_every_part_of_a_group(spark, monkeypatch):
     assert sum(r["kept"] for r in jaccard.keep(df, 3, 90).collect()) == len({c for _, c in wanted.values()})
 
 
+def variants(seed, n):
+    """Copies of two bases with some words changed, most of them about as different from one another as linked sets may be."""
+    rng = random.Random(seed)
+    bases = [[f"b{x}w{j}" for j in range(120)] for x in range(2)]
+    rows = []
+    for i in range(n):
+        own = list(bases[i % 2])
+        for at in rng.sample(range(120), rng.choice((1, 2, 3, 3, 4, 5))):
+            own[at] = f"x{rng.randrange(n * 4)}" if rng.random() < 0.8 else "common"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_differences_lose_no_link(percent):
+    """Linked sets of a group are both near its centre, or have a difference in common that is a key of both, whatever the centre is."""
+    rng, memo = np.random.default_rng(percent), common.HashMemo()
+    for seed in range(3):
+        sets = [jaccard.shingles(memo.of(common.words(t.encode())), 5) for _, t in variants(seed, 120)]
+        sets += [s[rng.random(len(s)) < x] for s in sets[:40] for x in (0.5, 0.95)]
+        for sampled in (sets, sets[:1], sets[1::2], []):
+            found, n = np.unique(np.concatenate([*sampled, np.zeros(0, np.uint64)]), return_counts=True)
+            often = np.stack((found[n > 1].view(np.int64), n[n > 1]), 1).tobytes()
+            diff = [jaccard.different(s, len(sampled), often) for s in sets]
+            excess = [(100 + percent) * len(d) - (100 - percent) * len(s) for s, d in zip(sets, diff, strict=True)]
+            least = min(excess)
+            near = [e + least <= 0 for e in excess]
+            reach = [jaccard.reach(e, least, len(d), len(s), percent) for e, d, s in zip(excess, diff, sets, strict=True)]
+            first = excess.index(least)
+            assert all(jaccard.linked(sets[first], s, percent) for s, x in zip(sets, near, strict=True) if x)
+            for a in range(len(sets)):
+                for b in range(a):
+                    if not jaccard.linked(sets[a], sets[b], percent) or (near[a] and near[b]) or np.array_equal(sets[a], sets[b]):
+                        continue
+                    own = [set(diff[x][: reach[x][near[y] and not near[x]]].tolist()) for x, y in ((a, b), (b, a))]
+                    assert own[0] & own[1]
+
+
+def test_large_groups_do_not_meet_all_hubs(spark, monkeypatch):
+    """What hubs are dealt to the parts of groups grows with the rows, not with the square of a group's, and the components are those of all pairs."""
+    monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "GROWTH", 3)
+    met, dealt = jaccard.met, []
+
+    def counted(members, used, percent):
+        dealt[-1] += members.filter(F.col("rank").between(used, 3 * used - 1)).agg(F.sum("parts")).first()[0] or 0
+        return met(members, used, percent)
+
+    monkeypatch.setattr(jaccard, "met", counted)
+    for n in (120, 360):
+        rows = variants(7, n)
+        dealt.append(0)
+        got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows, jaccard.SHINGLE, jaccard.PERCENT)
+    assert 0 < dealt[1] < 4.5 * dealt[0]
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_allocation_covers_its_budget(percent):
     """The segments cover one unit more than a linked pair's differences and the slack, in every band."""
