@@ -313,6 +313,20 @@ def test_copies_are_compared_once(spark, monkeypatch):
     assert report.counts.filter("episode_no is null").select("detectionMatches", "factCorrect", "predictions", "goldExtract").first() == (200, 200, 200, 300)
 
 
+def test_evaluation_sends_no_side_of_a_join_through_the_driver(spark, monkeypatch):
+    """Joins of rows are sorted ones even where a few bytes hold all rows, as they do with millions of rows that are alike."""
+    gold = spark.range(300).selectExpr("1L", "id", "'EXTRACT'", "'MUST'", "'Ada'", "'k.a'", "array('k.b')", "'NUMBER'", "'7'", "'{}'", "array('a quote')", "cast(null as string)").toDF(*(c.split()[0] for c in GOLD.split(", ")))
+    given = spark.range(200).selectExpr("1L", "id + 5", "'SETTING'", "'ada'", "'UNRESOLVED'", "cast(null as string)", "'k.a'", "'number'", "'7'", "'{}'", "array('a quote')").toDF(*(c.split()[0] for c in GIVEN.split(", ")))
+    frames, own = [], evaluation.tables.settled
+    monkeypatch.setattr(evaluation.tables, "settled", lambda df: frames.append(df) or own(df))
+    provider = lambda prompt: (json.dumps({"results": []}), 0, 0, 0)
+    report = evaluation.evaluate(gold, given, provider=provider)
+    frames += [report.counts, report.matches, report.unmatched_gold, report.unmatched_predictions, report.unknown_subjects]
+    plans = "\n".join(df._jdf.queryExecution().executedPlan().toString() for df in frames)
+    assert plans.count("SortMergeJoin") >= 10 and "Broadcast" not in plans
+    assert report.counts.filter("episode_no is null").select("detectionMatches", "unmatchedUnknownSubjectPredictions").first() == (200, 0)
+
+
 def test_identities_need_no_pairs(spark):
     """Equal rows give one identity, and a gold row is met once a key, however many predictions have it."""
     gold = spark.range(50).selectExpr("1L as episode_no", "id as ordinal", "'n' as name", "'k' as fact_key", "array('k', 'a') as accepted_keys")
