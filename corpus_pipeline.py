@@ -44,7 +44,10 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component; of rows with its smallest doc_id the one of the smallest hash, and one of exact repeats."""
+    begun = common.written()
     judged = common.materialize(jaccard.keep(docs), "pipeline-judged")
+    common.release(begun, keep=1)
+    common.drop_shuffles(spark)
     copies = _keys(judged.filter(~F.col("kept")), "pipeline-copies")
     repeated = _keys(judged.filter("kept").groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "pipeline-repeated")
     single = _keyed(docs).join(copies, _KEY, "left_anti")

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -67,9 +68,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage. Those of the last job go the second time."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def upload(spark: SparkSession, local: str, path: str) -> None:

@@ -373,12 +373,14 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def checked(docs: DataFrame, pairs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
     """The linked ones of pairs (a, b), written. Only the texts of sets that are in a pair are made into sets."""
+    begun = common.written()
     pairs = common.materialize(pairs, "jaccard-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets, bits = sets_of(docs, common.materialize(known.select("node", "least.doc_id", "least.row_hash").join(nodes.hint("merge"), "node", "left_semi"), "jaccard-candidates"), k)
     sets = common.materialize(sets, "jaccard-texts")
     bits.destroy()
     links = common.materialize(verify(pairs, sets, percent), "jaccard-links")
+    common.release(begun, keep=1)
     common.drop_shuffles(docs.sparkSession)
     return links
 
@@ -490,6 +492,7 @@ def distant(docs: DataFrame, members: DataFrame, known: DataFrame, k: int, perce
     paired with the one of least excess; any other link joins sets that have differences in common, one of them among the first of both (reach()), so these
     are keys of smaller groups. Those of up to PART members are paired, larger ones are groups with a centre of their own; after DEPTH times what is left is paired.
     """
+    begun = common.written()
     groups = common.materialize(members.select(F.col("hub").alias("gid"), "node", "root").distinct(), "jaccard-groups")
     wanted = known.select("node", "least.doc_id", "least.row_hash").join(groups.select("node").distinct().hint("merge"), "node", "left_semi")
     sets, bits = sets_of(docs, common.materialize(wanted, "jaccard-candidates"), k)
@@ -520,7 +523,9 @@ def distant(docs: DataFrame, members: DataFrame, known: DataFrame, k: int, perce
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.union(x)
-    return common.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-distant")
+    pairs = common.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-distant")
+    common.release(begun, keep=1)
+    return pairs
 
 
 def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
@@ -534,7 +539,7 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     described = common.materialize(describe(docs, k), "jaccard-sets")
-    documents = described.count()
+    begun, documents = common.written(), described.count()
     often = docs.sparkSession.sparkContext.broadcast(common_shingles(described, documents))
     described = described.drop("often")
     dealt = entries(docs, k, percent, documents, often).repartition(partitions, F.shiftright("key", 1)).sortWithinPartitions("key", "node")
@@ -589,6 +594,7 @@ def labelled(docs: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
         degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
         labels = labels.join(degree.hint("merge"), "node", "left").select("node", "all", F.coalesce("degree", "n_links").alias("n_links"))
     labels = common.materialize(labels, "jaccard-labels")
+    common.release(begun, keep=1)
     rows = described.drop(*BITMAP).join(labels.hint("merge"), "node", "left")
     first = F.col("all").isNull() | (F.col("doc_id").eqNullSafe(F.col("all.doc_id")) & (F.col("row_hash") == F.col("all.row_hash")))
     component = F.when(F.col("all").isNull(), F.col("doc_id")).otherwise(F.col("all.doc_id"))

@@ -380,6 +380,25 @@ def test_pipeline_keeps_one_of_each_component(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept if r["text"].strip()) == sorted(set(components.values()))
 
 
+def test_near_duplicates_leaves_no_scratch_behind(spark, tmp_path):
+    """Once the kept rows are known, only their keys stay on disk, and none of the tables by which they were found."""
+    begun = common.written()
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(near_copies(6, 20), "doc_id long, text string"), str(tmp_path))
+    assert {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path in common._scratch[begun:]} == {"pipeline-judged", "pipeline-copies", "pipeline-repeated"}
+    assert kept.count() > 0
+
+
+def test_dropped_shuffles_include_the_last_jobs(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    common.drop_shuffles(spark)
+    before = files()
+    dealt = spark.range(1000).repartition(7, "id").sortWithinPartitions("id")
+    common.materialize(dealt.mapInArrow(lambda batches: batches, "id long"), "dealt")
+    assert files() > before
+    common.drop_shuffles(spark)
+    assert files() <= before
+
+
 @pytest.mark.parametrize(("k", "percent", "seed"), [(3, 90, 3), (5, 80, 4)])
 def test_jaccard_counts_every_link(spark, k, percent, seed):
     """n_links is the number of other sets at the threshold, also in a group of many sets that are all linked."""
